@@ -37,13 +37,14 @@ def sections(text: Column, level: int = fixed.HEADER_LEVEL, keep_preamble: bool
     parts = F.split(text, r"(?m)(?=^" + mark + r"[ \t]+\S)")
     title = lambda s: strip(F.regexp_extract(s, r"\A" + mark + r"[ \t]+([^\n]+)", 1))
     entries = F.transform(parts, lambda s: F.struct(title(s).alias("title"), strip(s).alias("section")))
-    headed = F.filter(entries, lambda e: e["title"] != "")
-    if keep_preamble:
-        kept = F.filter(entries, lambda e: (e["title"] != "") | (e["section"] != ""))
-    else:
-        kept = headed
-    whole = F.array(F.struct(F.lit("").alias("title"), strip(text).alias("section")))
-    return F.when(F.size(headed) > 0, kept).otherwise(whole)
+    headed = lambda e: e["title"] != ""
+
+    def choose(found: Column) -> Column:
+        # Without headers the split leaves one untitled entry, which is the whole text.
+        kept = F.filter(found, lambda e: headed(e) | (e["section"] != "")) if keep_preamble else F.filter(found, headed)
+        return F.when(F.exists(found, headed), kept).otherwise(found)
+
+    return bind(entries, choose)
 
 
 def join_pipe_rows(section: Column) -> Column:

@@ -108,9 +108,6 @@ def last_sentences(text: Column, n: int = 3) -> Column:
     )
 
 
-_WORD_EDGE = r"(?U)^[^\p{L}]+|[^\p{L}]+$"
-
-
 def _language_score(tokens: Column, lowered: Column, lang: str, rank: int) -> Column:
     words = sorted(set(fixed.LANGUAGE_WORDS[lang]))
     score = F.size(F.filter(tokens, lambda t: t.isin(words))).cast("double")
@@ -141,8 +138,7 @@ def language(text: Column) -> Column:
         )
 
     def tokenised(lowered: Column) -> Column:
-        words = F.transform(whitespace_tokens(lowered), lambda t: F.regexp_replace(t, _WORD_EDGE, ""))
-        return F.struct(lowered.alias("lowered"), words.alias("tokens"))
+        return F.struct(lowered.alias("lowered"), F.split(lowered, r"[^\p{L}]+").alias("tokens"))
 
     evidence = bind(bind(F.lower(F.coalesce(text, F.lit(""))), tokenised), decide)
     return bind(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.functions import markup as M
 from lectern.functions import text as X
+from lectern.functions.rows import each
 from lectern.operators import ordinals
 
 METADATA = ("university_id", "program", "year", "aliases", "source_file")
@@ -37,8 +38,8 @@ def split_sections(
 ) -> DataFrame:
     """One row per section: adds ``section_idx``, ``title``, ``section``; drops the text."""
     kept = [c for c in df.columns if c != column]
-    found = F.posexplode(M.sections(F.col(column), level, keep_preamble))
-    return df.select(*kept, found.alias("section_idx", "_s")).select(*kept, "section_idx", "_s.title", "_s.section")
+    found = each(df, kept, M.sections(F.col(column), level, keep_preamble), "_s", "section_idx")
+    return found.select(*kept, "section_idx", "_s.title", "_s.section")
 
 
 def _check_windows(max_tokens: int, overlap: int) -> int:
@@ -71,9 +72,7 @@ def chunk_tokens(
     kept = [c for c in df.columns if c != column]
     staged = df.select(*kept, tokenizer.encode(F.col(column)).alias("_tokens"))
     # The generator emits slices, so a long document's tokens are not copied per window.
-    exploded = staged.select(
-        *kept, F.posexplode(windows(F.col("_tokens"), max_tokens, overlap)).alias("window_idx", "_w")
-    )
+    exploded = each(staged, kept, windows(F.col("_tokens"), max_tokens, overlap), "_w", "window_idx")
     return exploded.select(
         *kept, "window_idx", tokenizer.decode(F.col("_w")).alias("chunk"), F.size("_w").alias("n_tokens")
     )
@@ -137,7 +136,7 @@ def merge_at_splits(df: DataFrame, splits: Column, pieces: str = "pieces") -> Da
         ),
     )
     full = F.filter(runs, lambda r: r != "")
-    return staged.select(*kept, F.posexplode(full).alias("group_idx", "chunk"))
+    return each(staged, kept, full, "chunk", "group_idx")
 
 
 def chunk_stats(df: DataFrame, column: str = "chunk", by: list[str] | None = None, method: str = "character") -> DataFrame:
@@ -233,9 +232,7 @@ def section_records(
             ),
         ),
     )
-    rows = staged.select(*kept, F.posexplode("_rows").alias("_i", "_r")).select(
-        *kept, (F.col("_i") + 1).alias("id"), "_r.*"
-    )
+    rows = each(staged, kept, F.col("_rows"), "_r", "_i").select(*kept, (F.col("_i") + 1).alias("id"), "_r.*")
     shown = rows.withColumn("tables_text", F.transform("_sources", _table_text)).withColumn(
         "is_table", F.size("_sources") > 0
     )
@@ -290,14 +287,14 @@ def build_chunks(
             ),
         ),
     )
-    parts = staged.select(*meta, F.posexplode("_parts").alias("section_idx", "_p"))
-    cut = parts.select(
+    parts = each(staged, meta, F.col("_parts"), "_p", "section_idx")
+    kept = [
         *meta,
         "section_idx",
         F.col("_p.section_title").alias("section_title"),
         F.col("_p.before").alias("_before"),
-        F.posexplode(windows(F.col("_p.tokens"), max_tokens, overlap)).alias("window_idx", "_w"),
-    )
+    ]
+    cut = each(parts, kept, windows(F.col("_p.tokens"), max_tokens, overlap), "_w", "window_idx")
     numbered = cut.withColumn("text", F.array_join("_w", " ")).withColumn(
         "chunk_index", F.col("_before") + F.col("window_idx")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.functions import arrow
 from lectern.functions import text as X
+from lectern.functions.rows import each
 
 
 def normalize_unicode(df: DataFrame, column: str = "text") -> DataFrame:
@@ -93,7 +94,7 @@ def extract_keywords(
     """
     counter = arrow.keyword_counter(k, stop_words, min_length)
     counted = df.select(key, counter(F.lower(F.col(column))).alias("words"))
-    return counted.select(key, F.posexplode("words").alias("pos", "entry")).select(
+    return each(counted, [key], F.col("words"), "entry", "pos").select(
         key, (F.col("pos") + 1).alias("rank"), F.col("entry.word").alias("word"), F.col("entry.count").alias("count")
     )
 

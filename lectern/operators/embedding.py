@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lectern import fixed
 from lectern.functions import arrow, vectors
 from lectern.functions import text as X
+from lectern.functions.rows import each
 from lectern.operators import ordinals
 
 DIM = 64
@@ -122,7 +123,7 @@ def mean_pool(df: DataFrame, key: str, column: str = "vector", mask: str | None
 
     added = rows.mapInPandas(partial, schema)
     # Per dimension from here on; each (key, dimension) meets at most one row per task.
-    terms = added.select("key", "w", F.posexplode("v").alias("dim", "x"))
+    terms = each(added, ["key", "w"], F.col("v"), "x", "dim")
     summed = terms.groupBy("key", "dim").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
     pooled = summed.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("dim", (F.col("x") / F.greatest("w", F.lit(fixed.POOL_EPS))).alias("x")))).alias("v")

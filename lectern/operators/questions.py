@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.functions import arrow
 from lectern.functions import text as X
+from lectern.functions.rows import each
 from lectern.operators import cleaning
 
 ENTITY_TYPES = tuple(fixed.ENTITY_PATTERNS_REFERENCE)
@@ -23,8 +24,7 @@ def classify_intent(df: DataFrame, column: str = "text", rules=None, threshold:
 def extract_entities(df: DataFrame, key: str, column: str = "text", rules: str | dict = "default") -> DataFrame:
     """Long form (key, type, subtype, value, start, end); matches of one type do not overlap."""
     finder = arrow.entity_finder(rules)
-    found = df.select(key, F.explode(finder(F.col(column))).alias("entity"))
-    return found.select(key, "entity.*")
+    return each(df, [key], finder(F.col(column)), "entity").select(key, "entity.*")
 
 
 def entity_counts(entities: DataFrame, key: str, types=ENTITY_TYPES) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from lectern import fixed
 from lectern.functions import text as X
+from lectern.functions.rows import each
 from lectern.operators import filters as flt
 from lectern.operators.ordinals import top_rows
 
@@ -372,9 +373,8 @@ def ivf_search(
 ) -> DataFrame:
     """Top-k among the items of each query's ``nprobe`` best lists."""
     probes = min(nprobe, len(index.centroids))
-    asked = queries.filter(F.col("embedding").isNotNull()).select(
-        "query_id", "embedding", F.explode(_nearest(index.centroids, probes)(F.col("embedding"))).alias("list_id")
-    )
+    encoded = queries.filter(F.col("embedding").isNotNull())
+    asked = each(encoded, ["query_id", "embedding"], _nearest(index.centroids, probes)(F.col("embedding")), "list_id")
     pool = index.items.select("item_id", "embedding", "list_id")
     found = search_cells(pool, asked, VectorKernel("ip", skip_same_id), k, ["list_id"], cell_items, cell_queries)
     return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
@@ -418,9 +418,8 @@ def lsh_search(
     codes = _buckets(dim, tables, bits, seed)
 
     def bucketed(df: DataFrame, key: str) -> DataFrame:
-        return df.filter(F.col("embedding").isNotNull()).select(
-            key, "embedding", F.posexplode(codes(F.col("embedding"))).alias("table", "bucket")
-        )
+        encoded = df.filter(F.col("embedding").isNotNull())
+        return each(encoded, [key, "embedding"], codes(F.col("embedding")), "bucket", "table")
 
     kernel = VectorKernel("ip", skip_same_id)
     found = search_cells(
@@ -577,14 +576,12 @@ def bm25(
     share of those blocks.
     """
     pool = items.select("item_id", X.whitespace_tokens(F.lower(F.col("text"))).alias("tokens"))
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(X.whitespace_tokens(F.lower(F.col("text"))))).alias("term")
-    )
+    asked = each(queries, ["query_id"], F.array_distinct(X.whitespace_tokens(F.lower(F.col("text")))), "term")
     totals = pool.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length")).first()
     n, mean_length = totals["n"], totals["mean_length"] or 0.0
     vocabulary = asked.select("term").distinct()
     frequency = (
-        pool.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        each(pool, [], F.array_distinct("tokens"), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .join(vocabulary, "term", "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.functions import markup as M
 from lectern.functions import text as X
+from lectern.functions.rows import each
 from lectern.operators.chunking import METADATA
 
 
@@ -37,7 +38,7 @@ def _tables(section: Column) -> Column:
 
 def extract_tables(sections: DataFrame, column: str = "section") -> DataFrame:
     """One row per HTML or pipe table: ``table_idx``, ``source``, ``position`` in the section."""
-    found = sections.select(*sections.columns, F.explode(_tables(F.col(column))).alias("_t"))
+    found = each(sections, sections.columns, _tables(F.col(column)), "_t")
     return found.select(*sections.columns, "_t.*")
 
 
@@ -56,17 +57,17 @@ def with_rows(tables: DataFrame) -> DataFrame:
 
 def table_cells(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Long form (keys, row_idx, col_idx, header, value); duplicate headers keep all their cells."""
-    rows = with_rows(tables).select(*keys, "header", F.posexplode("body").alias("row_idx", "_cells"))
+    rows = each(with_rows(tables), [*keys, "header"], F.col("body"), "_cells", "row_idx")
     named = rows.withColumn("_names", M.column_names(F.col("header"), F.size("_cells")))
     cells = F.arrays_zip(F.col("_names").alias("header"), M.padded(F.col("_cells"), F.size("_names")).alias("value"))
-    return named.select(*keys, "row_idx", F.posexplode(cells).alias("col_idx", "_c")).select(
+    return each(named, [*keys, "row_idx"], cells, "_c", "col_idx").select(
         *keys, "row_idx", "col_idx", "_c.header", "_c.value"
     )
 
 
 def table_row_maps(tables: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row_idx, cells map): a repeated header keeps its last value."""
-    rows = with_rows(tables).select(*keys, "header", F.posexplode("body").alias("row_idx", "_cells"))
+    rows = each(with_rows(tables), [*keys, "header"], F.col("body"), "_cells", "row_idx")
     entries = M.row_entries(F.col("header"), F.col("_cells"))
     pairs = F.transform(entries, lambda e: F.struct(e["name"], e["value"]))
     return rows.select(*keys, "row_idx", F.map_from_entries(pairs).alias("cells"))
@@ -155,7 +156,7 @@ def document_tables(docs: DataFrame, column: str = "text", level: int = fixed.HE
             ),
         ),
     )
-    rows = staged.select(*kept, F.posexplode("_parts").alias("section_idx", "_p")).select(
+    rows = each(staged, kept, F.col("_parts"), "_p", "section_idx").select(
         *kept, "section_idx", "_p.title", "_p.section", F.col("_p.before").alias("_before")
     )
     found = extract_tables(rows)
@@ -195,10 +196,8 @@ def build_table_rows(docs: DataFrame, column: str = "text", level: int = fixed.H
     """One record per table row. The section ordinal keeps row ids unique in a document."""
     meta = [c for c in METADATA if c in docs.columns]
     found = with_rows(table_context(document_tables(docs, column, level)))
-    rows = found.select(
-        *meta, "section_idx", "title", "table_idx", "source", "context_paragraph", "header",
-        F.posexplode("body").alias("row_index", "_cells"),
-    )
+    kept = [*meta, "section_idx", "title", "table_idx", "source", "context_paragraph", "header"]
+    rows = each(found, kept, F.col("body"), "_cells", "row_index")
     entries = M.row_entries(F.col("header"), F.col("_cells"))
     pairs = F.transform(entries, lambda e: F.concat(e["name"], F.lit(": "), e["value"]))
     texts = rows.withColumn("text_fallback", F.array_join(pairs, " | "))

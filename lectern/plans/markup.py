@@ -174,12 +174,14 @@ def table_row_maps(t: Inputs):
     return maps.select(*KEYS, "row_idx", F.explode("cells").alias("name", "value"))
 
 
-_PRECEDING = """CASE table_no WHEN 1 THEN intro0 || E'\\n\\nEach row names one attribute. Values are plain.'
-  ELSE CASE table_no WHEN 2 THEN intro1 ELSE t1 || E'\\n\\nSmall print follows.' END END"""
-# The part of the pipe table after the last blank line is what precedes the third table.
-_PRECEDING = _PRECEDING.replace("intro0 || E'\\n\\nEach", "E'Each").replace(
-    "E'Each row names", "intro0 || E'\\n\\nEach row names"
-)
+_PRECEDING = """CASE table_no
+  WHEN 1 THEN intro0 || E'\\n\\nEach row names one attribute. Values are plain.'
+  WHEN 2 THEN intro1 ELSE t1 || E'\\n\\nSmall print follows.' END"""
+# Sentences before a table; the split drops the mark that ends a sentence, the join adds full stops.
+_SENTENCES = """CASE table_no
+  WHEN 1 THEN E'It belongs to the ' || type || E' range. ### Attributes\\n\\nEach row names one attribute. Values are plain..'
+  WHEN 2 THEN E'## Prices\\n\\n' || intro1 || '.'
+  ELSE E'## Prices\\n\\n' || intro1 || ' ' || t1 || E'\\n\\nSmall print follows..' END"""
 
 
 @query(
@@ -188,10 +190,7 @@ _PRECEDING = _PRECEDING.replace("intro0 || E'\\n\\nEach", "E'Each").replace(
     + f"""SELECT p_partkey, section_idx, table_idx, {_PRECEDING} AS preceding,
       CASE table_no WHEN 1 THEN 'Ask the **supplier** for details.'
         WHEN 2 THEN E'Small print follows.\\n\\n' || t2 ELSE '' END AS following,
-      CASE table_no
-        WHEN 1 THEN E'It belongs to the ' || type || E' range. ### Attributes\\n\\nEach row names one attribute. Values are plain..'
-        WHEN 2 THEN E'## Prices\\n\\n' || intro1 || '.'
-        ELSE E'## Prices\\n\\n' || intro1 || E'. ' || t1 || E'\\n\\nSmall print follows..' END AS context_paragraph
+      {_SENTENCES} AS context_paragraph
     FROM tab""",
 )
 def table_contexts(t: Inputs):
@@ -281,10 +280,9 @@ def tables_exported(t: Inputs):
 
 TABLE_ROWS = (
     BASE
-    + """, texts AS (SELECT b.*, t.brand, t.type, t.key, t.title, t.source, CASE table_no
-        WHEN 1 THEN E'It belongs to the ' || type || E' range. ### Attributes\\n\\nEach row names one attribute. Values are plain..'
-        WHEN 2 THEN E'## Prices\\n\\n' || intro1 || '.'
-        ELSE E'## Prices\\n\\n' || intro1 || E'. ' || t1 || E'\\n\\nSmall print follows..' END AS context_paragraph,
+    + """, texts AS (SELECT b.*, t.brand, t.type, t.key, t.title, t.source, """
+    + _SENTENCES
+    + """ AS context_paragraph,
       CASE WHEN b.header[1] = 'Code' THEN 'Code: ' || b.cells[2] ELSE array_to_string(
         list_transform(range(1, len(b.header) + 1), lambda c: b.header[c] || ': ' || b.cells[c]), ' | ') END AS text_fallback
     FROM body b JOIN tab t USING (p_partkey, section_idx, table_idx)),
@@ -319,7 +317,7 @@ _SUMMARIES = (
     BASE
     + """, summed AS (
       SELECT key || '.md' AS source_file, title0 AS section_title, title0 || ' ' || intro0 AS lead, 0 AS chunk_index, brand FROM sec
-      UNION ALL SELECT key || '.md', 'Prices', 'Prices ' || intro1, 1, brand FROM sec
+      UNION ALL SELECT key || '.md', 'Prices', 'Prices ' || intro1 || ' Small print follows.', 1, brand FROM sec
       UNION ALL SELECT key || '.md', 'Notes', 'Notes No table here for ' || name || '.', 2, brand FROM sec),
     cut AS (SELECT *, regexp_split_to_array(lead, '[.!?]+\\s+')[1] AS first FROM summed),
     said AS (SELECT *, CASE WHEN length(first) <= 100 THEN first || '.' ELSE substr(first, 1, 100) || '...' END AS text FROM cut)

@@ -37,10 +37,7 @@ def mask_sql(column: str) -> str:
 
 def language_sql(column: str) -> str:
     lowered = f"lower({column})"
-    words = (
-        f"list_transform({tokens_sql(lowered)}, "
-        "lambda t: regexp_replace(regexp_replace(t, '^[^\\pL]+', ''), '[^\\pL]+$', ''))"
-    )
+    words = f"regexp_split_to_array({lowered}, '[^\\pL]+')"
     scores = []
     for rank, lang in enumerate(fixed.LANGUAGE_WORDS):
         listed = quoted(sorted(set(fixed.LANGUAGE_WORDS[lang])))
