@@ -113,7 +113,8 @@ def _language_score(tokens: Column, lowered: Column, lang: str, rank: int) -> Co
     score = F.size(F.filter(tokens, lambda t: t.isin(words))).cast("double")
     letters = fixed.LANGUAGE_LETTERS[lang]
     if letters:
-        score = score + F.lit(0.5) * F.regexp_count(lowered, F.lit(f"[{letters}]"))
+        marked = F.length(lowered) - F.length(F.translate(lowered, letters, ""))
+        score = score + F.lit(0.5) * marked
     # Ties go to the language listed first.
     return F.struct(score.alias("score"), F.lit(-rank).alias("order"), F.lit(lang).alias("lang"))
 
@@ -131,8 +132,8 @@ def language(text: Column) -> Column:
             _language_score(source["tokens"], lowered, lang, rank)
             for rank, lang in enumerate(fixed.LANGUAGE_WORDS)
         ]
-        letters = F.regexp_count(lowered, F.lit(r"\p{L}"))
-        arabic = F.regexp_count(lowered, F.lit(r"\p{IsArabic}"))
+        letters = F.length(lowered) - F.length(F.regexp_replace(lowered, r"\p{L}+", ""))
+        arabic = F.length(lowered) - F.length(F.regexp_replace(lowered, r"\p{IsArabic}+", ""))
         return F.struct(
             F.array_max(F.array(*scores)).alias("best"), letters.alias("letters"), arabic.alias("arabic")
         )

@@ -85,13 +85,12 @@ def key_lookup_duplicates(t: Inputs):
 @query(
     "chunks_in_order",
     f"""SELECT doc_id AS document_id, window_idx AS chunk_index, chunk AS text FROM ({WINDOWS})
-    WHERE doc_id = (SELECT arg_max(doc_id, n_chars) FROM documents) ORDER BY window_idx""",
+    WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY doc_id, window_idx""",
 )
 def chunks_in_order(t: Inputs):
-    longest = t.documents.agg(F.max_by("doc_id", "n_chars")).first()[0]
     chunks = chunking.chunk_tokens(t.documents.select(F.col("doc_id").alias("document_id"), "text"))
     named = chunks.select("document_id", F.col("window_idx").alias("chunk_index"), F.col("chunk").alias("text"))
-    return flt.chunks_of(named, longest)
+    return flt.chunks_of(named, t.labels.select(F.col("doc_id").alias("document_id")))
 
 
 @query(
@@ -340,13 +339,13 @@ def event_log(t: Inputs):
       ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",
 )
 def queries_logged(t: Inputs):
-    asked = t.conversations.select("conv_id", "turn", F.col("text").alias("question"))
+    asked = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("question"))
     replies = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     answers = asked.join(replies, ["conv_id", "turn"]).withColumnRenamed("turn", "num_sources")
     path = scratch_path(t.spark, "query-log")
     # Two appends: the log grows by both.
-    ingest.log_queries(answers.filter("conv_id < 50"), path)
-    ingest.log_queries(answers.filter("conv_id >= 50"), path)
+    ingest.log_queries(answers.filter("role = 'user'"), path)
+    ingest.log_queries(answers.filter("role <> 'user'"), path)
     return t.spark.read.parquet(path).select(
         "question", "answer", "num_sources", "user_id", "question_type", "response_time_ms", "llm_model"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import fixed
-from lectern.functions import text as X
+
 from lectern.operators import chunking, cleaning, questions
 from lectern.operators import filters as flt
 from lectern.plans.registry import Inputs, query
@@ -383,4 +383,3 @@ def paragraph_chunks(t: Inputs):
     )
 
 
-__all__ = ["CHUNKS", "X", "corpus", "quoted", "tokens_sql", "windows_sql"]
