@@ -41,12 +41,7 @@ def _decoded(path: Column) -> Column:
 
 def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(path, source_file, text), one row per file of the tree."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("wholetext", "true")
-        .text(path)
-    )
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=True)
     full = _decoded(F.col("_metadata.file_path"))
     return files.select(full.alias("path"), file_name(full).alias("source_file"), F.col("value").alias("text"))
 

@@ -102,8 +102,9 @@ def etl_totals(chunks: DataFrame, tables: DataFrame) -> DataFrame:
 # ---- relational tables -------------------------------------------------------------------
 
 
-def _fields(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def _fields(spec: str) -> dict[str, str]:
+    """Column -> type, in order."""
+    return dict(part.split() for part in spec.split(", "))
 
 
 TABLES = {
@@ -141,11 +142,10 @@ TABLES = {
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of a relational table in order; absent ones are null."""
-    schema = TABLES[table]
     return df.select(
         *[
-            (F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema
+            (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in TABLES[table].items()
         ]
     )
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -56,20 +56,17 @@ def ingest_stream(
     out: str,
     checkpoint: str,
     glob: str = "*.md",
+    key: Column | None = None,
     build: Callable[[DataFrame], DataFrame] = chunking.build_chunks,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
-    """Chunks of new files below ``path``, each file once."""
-    files = (
-        spark.readStream.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("wholetext", "true")
-        .text(path)
-    )
-    located = files.select(
-        F.col("_metadata.file_path").alias("path"),
-        corpus.file_name(F.col("_metadata.file_path")).alias("source_file"),
-        F.col("value").alias("text"),
+    """Chunks of new files below ``path``, each file once.
+
+    ``key`` names a file by an expression over ``path``; by default the file name does.
+    """
+    files = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=True)
+    located = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn(
+        "source_file", key if key is not None else corpus.file_name(F.col("path"))
     )
     docs = corpus.derive_path_metadata(located).drop("path").withColumn("aliases", F.array().cast("array<string>"))
     return _start(build(docs), checkpoint, trigger).format("parquet").outputMode("append").start(out)
