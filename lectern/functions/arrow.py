@@ -48,6 +48,24 @@ def keyword_counter(k: int, stop_words: tuple[str, ...], min_length: int):
     return count
 
 
+# What a text must contain for a pattern to match; a cheap test that spares the search.
+_DIGIT = r"\d"
+_ENTITY_GUARDS = {
+    "iso_date": _DIGIT,
+    "us_date": _DIGIT,
+    "eu_date": _DIGIT,
+    "natural_date": _DIGIT,
+    "currency": _DIGIT,
+    "numeric": _DIGIT,
+    "invoice_code": _DIGIT,
+    "hash_invoice": _DIGIT,
+    "compound_invoice": _DIGIT,
+    "email": "@",
+    "tunisian_phone": _DIGIT,
+    "international_phone": _DIGIT,
+    "company_suffix": r"(?i)(?:LLC|Inc|Ltd|Corp|SA|GmbH)\b|SARL|Corporation",
+}
+
 ENTITIES = T.ArrayType(
     T.StructType(
         [
@@ -63,17 +81,25 @@ ENTITIES = T.ArrayType(
 
 def entity_finder(rules: str | dict = "default"):
     """Matches per type with offsets, sorted by start; a match inside an earlier one is dropped."""
+    guards = _ENTITY_GUARDS if isinstance(rules, str) else {}
     compiled = {
-        kind: [(re.compile(p, flags), subtype) for p, subtype, flags in patterns]
+        kind: [(re.compile(p, flags), subtype, guards.get(subtype)) for p, subtype, flags in patterns]
         for kind, patterns in _entity_rules(rules).items()
     }
+    needed = {g for g in guards.values()}
 
     def find(text: str | None) -> list[dict] | None:
         if text is None:
             return None
         found = []
+        possible = {g: re.search(g, text) is not None for g in needed}
         for kind, patterns in compiled.items():
-            spans = [(m.start(), m.end(), sub, m.group(0)) for p, sub in patterns for m in p.finditer(text)]
+            spans = [
+                (m.start(), m.end(), sub, m.group(0))
+                for p, sub, guard in patterns
+                if guard is None or possible[guard]
+                for m in p.finditer(text)
+            ]
             spans.sort(key=lambda s: s[0])  # stable: pattern order decides equal starts
             end = -1
             for start, stop, subtype, value in spans:

@@ -17,6 +17,7 @@ from lectern.functions.text import bind, last_items, strip
 # positions stay true). Each table is then one line and its pattern needs no repeated
 # group, which would recurse once per table row in the regex engine.
 ROW_MARK = "\u0001"
+TABLE_MARK = "\u0002"
 _PIPE_BREAK = r"(?<=\|[ \t]{0,16})\n(?=[ \t]*\|)"
 HTML_TABLE = r"(?is:<table\b[^>]*>.*?</table\s*>)"
 PIPE_TABLE = (
@@ -58,12 +59,10 @@ def table_sources(section: Column) -> Column:
     return F.regexp_extract_all(join_pipe_rows(section), F.lit(TABLE), F.lit(0))
 
 
-def table_count(section: Column) -> Column:
-    return F.regexp_count(join_pipe_rows(section), F.lit(TABLE))
-
-
-def between_tables(section: Column) -> Column:
-    return F.split(join_pipe_rows(section), TABLE, -1)
+def cut_at_tables(section: Column) -> Column:
+    """Text, table, text, table, ..., text: the section cut around its tables in one search."""
+    marked = F.regexp_replace(join_pipe_rows(section), "(" + TABLE + ")", f"{TABLE_MARK}$1{TABLE_MARK}")
+    return F.split(marked, TABLE_MARK, -1)
 
 
 def without_tables(section: Column) -> Column:

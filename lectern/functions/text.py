@@ -47,34 +47,35 @@ def truncate(text: Column, n: int) -> Column:
     )
 
 
-# Text without this character cannot match, so the costlier search is skipped.
-_NEEDS = {"email": "@"}
+# What a text must contain for a pattern to match; a cheap test that spares the search.
+_PII_GUARDS = {
+    "email": lambda text: F.contains(text, F.lit("@")),
+    "phone": lambda text: F.rlike(text, F.lit(r"(?U)\d\d")),
+    "national_id": lambda text: F.rlike(text, F.lit(r"(?U)\d{8}")),
+    "iban": lambda text: F.rlike(text, F.lit(r"(?U)[A-Z]{2}\d{2}[A-Z0-9]{11}")),
+}
 
 
-def _pii_pattern(kind: str) -> str:
-    return "(?U)" + fixed.PII_PATTERNS[kind]
+def pii_types(types: Sequence[str] | None) -> list[str]:
+    return list(fixed.PII_PATTERNS) if types is None else [t for t in types if t in fixed.PII_PATTERNS]
 
 
-def pii_steps(text: Column, types: Sequence[str] | None = None) -> list[tuple[str, Column, Column]]:
-    """(type, hits, masked text) for each type in order, each applied to the previous result."""
-    kinds = list(fixed.PII_PATTERNS) if types is None else [t for t in types if t in fixed.PII_PATTERNS]
-    steps, current = [], text
-    for kind in kinds:
-        pattern = _pii_pattern(kind)
-        hits = F.regexp_count(current, F.lit(pattern))
-        masked = F.regexp_replace(current, pattern, fixed.PII_REPLACEMENTS[kind])
-        if kind in _NEEDS:
-            possible = F.contains(current, F.lit(_NEEDS[kind]))
-            hits = F.when(possible, hits).otherwise(F.when(current.isNotNull(), 0))
-            masked = F.when(possible, masked).otherwise(current)
-        steps.append((kind, hits, masked))
-        current = masked
-    return steps
+def mask_one(text: Column, kind: str) -> Column:
+    masked = F.regexp_replace(text, "(?U)" + fixed.PII_PATTERNS[kind], fixed.PII_REPLACEMENTS[kind])
+    return F.when(_PII_GUARDS[kind](text), masked).otherwise(text)
+
+
+def pii_hits(text: Column, kind: str) -> Column:
+    return F.regexp_count(text, F.lit("(?U)" + fixed.PII_PATTERNS[kind]))
 
 
 def mask_pii(text: Column, types: Sequence[str] | None = None) -> Column:
-    steps = pii_steps(text, types)
-    return steps[-1][2] if steps else text
+    def step(kind: str) -> Callable[[Column], Column]:
+        return lambda t: mask_one(t, kind)
+
+    for kind in pii_types(types):
+        text = bind(text, step(kind))
+    return text
 
 
 def first_sentence_summary(text: Column, max_length: int = fixed.SUMMARY_LENGTH) -> Column:
@@ -109,8 +110,7 @@ def last_sentences(text: Column, n: int = 3) -> Column:
 
 
 def _language_score(tokens: Column, lowered: Column, lang: str, rank: int) -> Column:
-    words = sorted(set(fixed.LANGUAGE_WORDS[lang]))
-    score = F.size(F.filter(tokens, lambda t: t.isin(words))).cast("double")
+    score = F.size(F.filter(tokens, lambda t: t.isin(sorted(set(fixed.LANGUAGE_WORDS[lang]))))).cast("double")
     letters = fixed.LANGUAGE_LETTERS[lang]
     if letters:
         marked = F.length(lowered) - F.length(F.translate(lowered, letters, ""))
@@ -139,7 +139,10 @@ def language(text: Column) -> Column:
         )
 
     def tokenised(lowered: Column) -> Column:
-        return F.struct(lowered.alias("lowered"), F.split(lowered, r"[^\p{L}]+").alias("tokens"))
+        known = sorted({w for words in fixed.LANGUAGE_WORDS.values() for w in words})
+        # One pass keeps the function words of any language; the lists then see only those.
+        words = F.filter(F.split(lowered, r"[^\p{L}]+"), lambda t: t.isin(known))
+        return F.struct(lowered.alias("lowered"), words.alias("tokens"))
 
     evidence = bind(bind(F.lower(F.coalesce(text, F.lit(""))), tokenised), decide)
     return bind(

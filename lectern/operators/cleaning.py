@@ -25,15 +25,15 @@ def mask_pii(df: DataFrame, column: str = "text", types: Sequence[str] | None =
     """Masks personal data and adds the hits per type (``email_hits``, ...).
 
     The masks run in the given order, so eight digits become a phone number before the
-    national id pattern sees them. Each step is a projection of its own: the count and the
-    replacement read the same column, and no step is evaluated twice.
+    national id pattern sees them. Matches are counted only in texts that a mask changed.
     """
-    masked = df
-    kinds = list(fixed.PII_PATTERNS) if types is None else [t for t in types if t in fixed.PII_PATTERNS]
-    for kind in kinds:
-        [(_, hits, text)] = X.pii_steps(F.col(column), [kind])
-        masked = masked.withColumns({f"{kind}_hits": hits, column: text})
-    return masked
+    result = df
+    for kind in X.pii_types(types):
+        result = result.withColumn("_masked", X.mask_one(F.col(column), kind))
+        changed = F.col("_masked") != F.col(column)
+        hits = F.when(changed, X.pii_hits(F.col(column), kind)).when(~changed, 0)
+        result = result.withColumns({f"{kind}_hits": hits, column: F.col("_masked")}).drop("_masked")
+    return result
 
 
 def detect_language(df: DataFrame, column: str = "text", name: str = "language") -> DataFrame:
@@ -67,8 +67,7 @@ def preprocess(
         staged = normalize_whitespace(normalize_unicode(staged, column), column)
     staged = staged.withColumn("_unmasked", F.col(column))
     if mask:
-        kinds = list(fixed.PII_PATTERNS) if types is None else types
-        staged = mask_pii(staged, column, kinds).drop(*[f"{k}_hits" for k in kinds])
+        staged = staged.withColumn(column, X.mask_pii(F.col(column), types))
     return staged.withColumns(
         {
             "processed_length": F.length(column),

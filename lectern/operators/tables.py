@@ -19,21 +19,18 @@ from lectern.operators.chunking import METADATA
 def _tables(section: Column) -> Column:
     """array<struct<table_idx, source, position>> with the true character position of each table."""
 
-    def locate(found: Column) -> Column:
-        def total(items: Column, n: Column) -> Column:
-            return F.aggregate(F.slice(items, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s))
+    def locate(parts: Column) -> Column:
+        def before(n: Column) -> Column:
+            return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s))
 
         return F.transform(
-            found["sources"],
+            F.filter(parts, lambda _, i: i % 2 == 1),
             lambda source, i: F.struct(
-                i.alias("table_idx"),
-                source.alias("source"),
-                (total(found["between"], i + 1) + total(found["sources"], i)).alias("position"),
+                i.alias("table_idx"), source.alias("source"), before(2 * i + 1).alias("position")
             ),
         )
 
-    parts = F.struct(M.table_sources(section).alias("sources"), M.between_tables(section).alias("between"))
-    return X.bind(parts, locate)
+    return X.bind(M.cut_at_tables(section), locate)
 
 
 def extract_tables(sections: DataFrame, column: str = "section") -> DataFrame:
@@ -139,12 +136,12 @@ def sample_rows(header: Column, body: Column, n: int = 3) -> Column:
 def document_tables(docs: DataFrame, column: str = "text", level: int = fixed.HEADER_LEVEL) -> DataFrame:
     """Tables of whole documents with ``section_idx``, ``title``, ``section`` and ``table_no``.
 
-    ``table_no`` runs over the document from 1; it is added up from the table counts of
-    the preceding sections in the document's row.
+    ``table_no`` runs over the document from 1; it is added up from the tables of the
+    preceding sections in the document's row.
     """
     kept = [c for c in docs.columns if c != column]
     staged = docs.select(*kept, M.sections(F.col(column), level).alias("_sections"))
-    staged = staged.withColumn("_counts", F.transform("_sections", lambda s: M.table_count(s["section"])))
+    staged = staged.withColumn("_found", F.transform("_sections", lambda s: _tables(s["section"])))
     staged = staged.withColumn(
         "_parts",
         F.transform(
@@ -152,15 +149,16 @@ def document_tables(docs: DataFrame, column: str = "text", level: int = fixed.HE
             lambda s, i: F.struct(
                 s["title"].alias("title"),
                 s["section"].alias("section"),
-                F.aggregate(F.slice("_counts", F.lit(1), i), F.lit(0), lambda acc, n: acc + n).alias("before"),
+                F.get("_found", i).alias("tables"),
+                F.aggregate(F.slice("_found", F.lit(1), i), F.lit(0), lambda acc, t: acc + F.size(t)).alias("before"),
             ),
         ),
     )
-    rows = each(staged, kept, F.col("_parts"), "_p", "section_idx").select(
-        *kept, "section_idx", "_p.title", "_p.section", F.col("_p.before").alias("_before")
-    )
-    found = extract_tables(rows)
-    return found.withColumn("table_no", F.col("_before") + F.col("table_idx") + 1).drop("_before")
+    rows = each(staged, kept, F.col("_parts"), "_p", "section_idx")
+    before = [*kept, "section_idx", "_p.title", "_p.section", F.col("_p.before").alias("_before")]
+    found = each(rows, before, F.col("_p.tables"), "_t")
+    columns = [*kept, "section_idx", "title", "section"]
+    return found.select(*columns, "_t.*", (F.col("_before") + F.col("_t.table_idx") + 1).alias("table_no"))
 
 
 def build_table_chunks(docs: DataFrame, column: str = "text", level: int = fixed.HEADER_LEVEL) -> DataFrame:

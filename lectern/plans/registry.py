@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.session import pin_utc
+from lectern.sources.store import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Tables whose rows take long to process.
+TEXT_TABLES = {"documents", "pages", "part", "conversations"}
+
+
 class Inputs:
     """The given tables, read on demand."""
 
@@ -20,7 +25,8 @@ class Inputs:
         self.path = path.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        path = f"{self.path}/{name}.parquet"
+        return read_table(self.spark, path) if name in TEXT_TABLES else self.spark.read.parquet(path)
 
 
 def query(name: str, sql: str | None = None):

@@ -13,6 +13,8 @@ from lectern.operators import chunking, completion, context, embedding, ingest,
 from lectern.plans.registry import Inputs, query
 from lectern.plans.text import tokens_sql, windows_sql
 from lectern.plans.vectors import DIM, SLOTS, rounded
+from lectern.session import scratch_path
+from lectern.sources.store import stored
 
 ATTACH = ("university_id", "program", "year", "source_file", "section_title")
 
@@ -41,7 +43,11 @@ def sources(t: Inputs) -> dict:
         F.lit("turns.md").alias("source_file"),
         F.lit("").alias("section_title"),
     )
-    return {"chunk": embedding.embed(chunks), "table": embedding.embed(turns)}
+    # Ingest writes the encoded items once; searches scan them.
+    return {
+        name: stored(embedding.embed(items), scratch_path(t.spark, name))
+        for name, items in (("chunk", chunks), ("table", turns))
+    }
 
 
 ITEMS = f"""WITH items AS (

@@ -8,6 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ---- tables ---------------------------------------------------------------------------
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over the cores when its files have fewer splits than that.
+
+    Large tables have many splits and are read as they lie, without a shuffle. A table of a
+    few small files would otherwise keep all but a few cores idle in row-by-row text work.
+    """
+    df = spark.read.parquet(path)
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions() if hasattr(df, "_jdf") else df.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < cores else df
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table and reads it back: derived once, then scanned with column pruning."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---- JSON lines ---------------------------------------------------------------------
 
 
