@@ -232,7 +232,7 @@ Summary:""",
 # --- fixed values: HTML entities decoded in text ------------------------------------
 # "&amp;" comes last so that an escaped entity is decoded once.
 HTML_ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
