@@ -156,25 +156,21 @@ def validate_metadata(df: DataFrame, required: Sequence[str] = REQUIRED_METADATA
     return df.withColumn("missing", missing).withColumn("valid", F.size("missing") == 0)
 
 
-def validate_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:
+def validate_embeddings(df: DataFrame, column: str = "embedding", dim: int | None = None) -> DataFrame:
     """Adds ``reason``: null for a good vector, else ``missing``, ``not finite`` or ``dimension``.
 
-    The expected dimension is the most frequent one. It is counted per dimension (a table
-    as small as the number of distinct dimensions) and joined back as one row.
+    Without ``dim`` the most frequent dimension is expected; that one number is counted
+    first, per task and then per dimension.
     """
-    sizes = df.groupBy(F.size(column).alias("_dim")).agg(F.count(F.lit(1)).alias("_n"))
-    modal = sizes.agg(F.max_by("_dim", F.struct("_n", F.col("_dim"))).alias("_modal"))
     vector = F.col(column)
-    return (
-        df.withColumn("_one", F.lit(1))
-        .join(F.broadcast(modal.withColumn("_one", F.lit(1))), "_one")  # one row
-        .withColumn(
-            "reason",
-            F.when(vector.isNull(), "missing")
-            .when(F.size(vector) != F.col("_modal"), "dimension")
-            .when(~vectors.finite(vector), "not finite"),
-        )
-        .drop("_one", "_modal")
+    if dim is None:
+        sizes = df.filter(vector.isNotNull()).groupBy(F.size(column).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        dim = sizes.agg(F.max_by("d", F.struct("n", "d"))).first()[0]
+    return df.withColumn(
+        "reason",
+        F.when(vector.isNull(), "missing")
+        .when(F.size(vector) != F.lit(dim), "dimension")
+        .when(~vectors.finite(vector), "not finite"),
     )
 
 

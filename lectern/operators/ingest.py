@@ -117,36 +117,37 @@ def recent_per_user(log: DataFrame, n: int, time: str = "timestamp", tie: str =
     return top_rows(log, ["user_id"], [F.col(time).desc(), F.col(tie).desc()], n)
 
 
+def _per_group(df: DataFrame, by: str, statistic: str) -> DataFrame:
+    counted = df.groupBy(F.col(by).cast("string").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return counted.select(F.lit(statistic).alias("statistic"), "key", "value")
+
+
+def _totals(df: DataFrame, **aggregates: Column) -> DataFrame:
+    """One row per named aggregate of the whole table; an empty table has them as well."""
+    row = df.agg(*[column.cast("double").alias(name) for name, column in aggregates.items()])
+    long = row.unpivot([], list(aggregates), "statistic", "value")
+    return long.select("statistic", F.lit(None).cast("string").alias("key"), "value")
+
+
 def query_stats(log: DataFrame, duration: str = "response_time_ms", kind: str = "question_type") -> DataFrame:
-    """(question_type, queries, total_queries, avg_response_time_ms): one row per type.
+    """(statistic, key, value): total_queries, avg_response_time_ms and question_types per type.
 
-    Sums and counts per type are aggregated once; the totals come from that small table.
+    The mean is rounded to two decimals and 0 for an empty log.
     """
-    per_type = log.groupBy(F.col(kind).alias("question_type")).agg(
-        F.count(F.lit(1)).alias("queries"), F.sum(duration).alias("_sum"), F.count(duration).alias("_timed")
-    )
-    total = per_type.agg(
-        F.sum("queries").alias("total_queries"),
-        F.round(F.coalesce(F.sum("_sum") / F.nullif(F.sum("_timed"), F.lit(0)), F.lit(0.0)), 2).alias("avg_response_time_ms"),
-        F.lit(1).alias("_one"),
-    )
-    return (
-        per_type.select("question_type", "queries", F.lit(1).alias("_one"))
-        .join(F.broadcast(total), "_one")  # one row
-        .drop("_one")
+    totals = _totals(
+        log,
+        total_queries=F.count(F.lit(1)),
+        avg_response_time_ms=F.round(F.coalesce(F.avg(duration), F.lit(0.0)), 2),
     )
+    return totals.unionByName(_per_group(log, kind, "question_types"))
 
 
 def document_stats(docs: DataFrame, chunks: DataFrame, by: str = "university_id") -> DataFrame:
-    """(university_id, documents, total_documents, total_chunks)."""
-    per = docs.groupBy(by).agg(F.count(F.lit(1)).alias("documents"))
-    totals = per.agg(F.sum("documents").alias("total_documents"), F.lit(1).alias("_one"))
-    chunk_total = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.lit(1).alias("_one"))
+    """(statistic, key, value): total_documents, total_chunks and documents_by_university."""
     return (
-        per.withColumn("_one", F.lit(1))
-        .join(F.broadcast(totals), "_one")  # one row
-        .join(F.broadcast(chunk_total), "_one")  # one row
-        .drop("_one")
+        _totals(docs, total_documents=F.count(F.lit(1)))
+        .unionByName(_totals(chunks, total_chunks=F.count(F.lit(1))))
+        .unionByName(_per_group(docs, by, "documents_by_university"))
     )
 
 

@@ -228,22 +228,30 @@ def search_cells(
     table has one row per cell; callers bound the number of cells by ``MAX_CELLS``.
     """
     schema = _hit_schema(items, queries)
-    keys = cell or ["_cell"]
-    if not cell:
-        items, queries = items.withColumn("_cell", F.lit(0)), queries.withColumn("_cell", F.lit(0))
-    ni = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ni"))
-    nq = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
-    sizes = F.broadcast(
-        ni.join(nq, keys).select(
-            *keys,
-            F.ceil(F.col("_ni") / cell_items).cast("int").alias("_fi"),
-            F.ceil(F.col("_nq") / cell_queries).cast("int").alias("_fq"),
+    keys = cell or []
+    # Both sides may come from one table; fresh names keep their columns apart.
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
+    if cell:
+        ni = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ni"))
+        nq = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
+        sizes = F.broadcast(  # at most MAX_CELLS rows
+            ni.join(nq, keys).select(
+                *keys,
+                F.ceil(F.col("_ni") / cell_items).cast("int").alias("_fi"),
+                F.ceil(F.col("_nq") / cell_queries).cast("int").alias("_fq"),
+            )
         )
-    )
+        items, queries = items.join(sizes, keys), queries.join(sizes, keys)
+    else:
+        fragments = {
+            "_fi": F.lit(max(1, -(-items.count() // cell_items))),
+            "_fq": F.lit(max(1, -(-queries.count() // cell_queries))),
+        }
+        items, queries = items.withColumns(fragments), queries.withColumns(fragments)
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = items.join(sizes, keys).withColumn("_i", own("item_id", "_fi")).withColumn("_q", every("_fq"))
-    right = queries.join(sizes, keys).withColumn("_q", own("query_id", "_fq")).withColumn("_i", every("_fi"))
+    left = items.withColumn("_i", own("item_id", "_fi")).withColumn("_q", every("_fq"))
+    right = queries.withColumn("_q", own("query_id", "_fq")).withColumn("_i", every("_fi"))
     by = [*keys, "_i", "_q"]
 
     def meet(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:

@@ -367,8 +367,9 @@ def queries_recent_per_user(t: Inputs):
 
 @query(
     "query_stats",
-    """SELECT event_type AS question_type, count(*) AS queries, (SELECT count(*) FROM events) AS total_queries,
-      (SELECT round(avg(value), 2) FROM events) AS avg_response_time_ms FROM events GROUP BY event_type""",
+    """SELECT 'question_types' AS statistic, event_type AS key, count(*)::DOUBLE AS value FROM events GROUP BY event_type
+    UNION ALL SELECT 'total_queries', NULL, count(*) FROM events
+    UNION ALL SELECT 'avg_response_time_ms', NULL, round(avg(value), 2) FROM events""",
 )
 def query_stats(t: Inputs):
     return ingest.query_stats(event_log(t))
@@ -376,12 +377,13 @@ def query_stats(t: Inputs):
 
 @query(
     "document_stats",
-    f"""SELECT university_id, count(*) AS documents, (SELECT count(*) FROM documents) AS total_documents,
-      (SELECT count(*) FROM ({WINDOWS})) AS total_chunks FROM {DOCS} GROUP BY university_id""",
+    f"""SELECT 'documents_by_university' AS statistic, university_id AS key, count(*)::DOUBLE AS value FROM {DOCS}
+    GROUP BY university_id UNION ALL SELECT 'total_documents', NULL, count(*) FROM documents
+    UNION ALL SELECT 'total_chunks', NULL, count(*) FROM ({WINDOWS})""",
 )
 def document_stats(t: Inputs):
     chunks = chunking.chunk_tokens(t.documents.select("doc_id", "text")).select("doc_id")
-    return ingest.document_stats(documents(t), chunks).withColumn("total_documents", F.col("total_documents").cast("long"))
+    return ingest.document_stats(documents(t), chunks)
 
 
 @query(

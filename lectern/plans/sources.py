@@ -122,8 +122,9 @@ def envelopes_read(t: Inputs):
 
 @query(
     "etl_written",
-    f"""SELECT chunk_id, text, source_file, (SELECT count(*) FROM ({CHUNKS})) AS total_chunks,
-      (SELECT count(*) FROM conversations) AS total_table_rows FROM ({CHUNKS})""",
+    f"""SELECT chunk_id AS key, text AS value FROM ({CHUNKS})
+    UNION ALL SELECT 'total_chunks', count(*)::VARCHAR FROM ({CHUNKS})
+    UNION ALL SELECT 'total_table_rows', count(*)::VARCHAR FROM conversations""",
 )
 def etl_written(t: Inputs):
     chunks = chunking.build_chunks(corpus(t))
@@ -131,9 +132,10 @@ def etl_written(t: Inputs):
     path = scratch_path(t.spark, "etl")
     store.write_etl(chunks, tables, path)
     written, _ = store.read_etl(t.spark, path)
-    totals = t.spark.read.json(f"{path}/totals").withColumn("_one", F.lit(1))
-    joined = written.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")  # one row
-    return joined.select("chunk_id", "text", "source_file", "total_chunks", "total_table_rows")
+    totals = t.spark.read.schema("total_chunks long, total_table_rows long").json(f"{path}/totals")
+    return written.select(F.col("chunk_id").alias("key"), F.col("text").alias("value")).unionByName(
+        totals.unpivot([], ["total_chunks", "total_table_rows"], "key", "n").select("key", F.col("n").cast("string").alias("value"))
+    )
 
 
 @query(

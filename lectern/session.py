@@ -53,10 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    fallback = os.path.join(tempfile.gettempdir(), f"lectern-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), f"lectern-{spark.sparkContext.applicationId}")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
