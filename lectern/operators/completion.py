@@ -13,6 +13,8 @@ from lectern import fixed
 from lectern.functions import text as X
 from lectern.operators import context as ctx
 from lectern.operators import retrieval
+from lectern.session import scratch_path
+from lectern.sources.store import stored
 
 
 def map_items(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
@@ -86,7 +88,9 @@ def answer_batch(
     Questions are ``(query_id, text, embedding)`` with optional ``question_type`` and
     ``language``. A question without hits keeps its row, with a fixed answer and no sources.
     """
-    hits = retrieval.search_and_rerank(sources, questions, k, attach=attach, **options)
+    found = retrieval.search_and_rerank(sources, questions, k, attach=attach, **options)
+    # Contexts and citations both read the hits; the search runs once.
+    hits = stored(found, scratch_path(questions.sparkSession, "hits"))
     contexts = ctx.assemble_context(hits)
     cited = ctx.citations(hits, floor=0.0)
     per_query = cited.groupBy("query_id").agg(

@@ -86,7 +86,7 @@ def lookup_duplicates(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def chunks_of(df: DataFrame, documents: object, column: str = "document_id", order: str = "chunk_index") -> DataFrame:
     """Chunks of one document (by value) or of a table of documents, in order."""
     if isinstance(documents, DataFrame):
-        kept = df.join(documents.select(column), column, "left_semi")
+        kept = df.join(documents.select(column).distinct(), column, "left_semi")
         return kept.orderBy(column, order)
     return df.filter(F.col(column) == documents).orderBy(order)
 

@@ -12,9 +12,14 @@ from lectern.operators.ordinals import top_rows
 STATUSES = ("success", "failed", "skipped")
 
 
+def _keys(df: DataFrame, on: str) -> DataFrame:
+    """The distinct keys: repeated ones are dropped in each task, before the shuffle."""
+    return df.select(on).distinct()
+
+
 def unprocessed(files: DataFrame, chunks: DataFrame, on: str = "source_file") -> DataFrame:
     """Files that have no chunk yet."""
-    return files.join(chunks.select(on), on, "left_anti")
+    return files.join(_keys(chunks, on), on, "left_anti")
 
 
 def ingest_status(files: DataFrame, chunks: DataFrame, exists: Column, on: str = "source_file") -> DataFrame:
@@ -41,7 +46,7 @@ def merge_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Several incoming rows of one file count as one document, the first by path.
     """
-    fresh = incoming.join(existing.select("source_file"), "source_file", "left_anti")
+    fresh = incoming.join(_keys(existing, "source_file"), "source_file", "left_anti")
     values = [c for c in fresh.columns if c != "source_file"]
     first = fresh.groupBy("source_file").agg(F.min_by(F.struct(*values), F.struct(*[F.col(v) for v in values])).alias("_d"))
     return existing.unionByName(first.select("source_file", "_d.*").select(*existing.columns))
@@ -49,7 +54,7 @@ def merge_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def merge_chunks(existing: DataFrame, incoming: DataFrame, on: str = "source_file") -> DataFrame:
     """Chunks are added only to documents that have none."""
-    return existing.unionByName(incoming.join(existing.select(on), on, "left_anti").select(*existing.columns))
+    return existing.unionByName(incoming.join(_keys(existing, on), on, "left_anti").select(*existing.columns))
 
 
 def with_chunk_counts(documents: DataFrame, chunks: DataFrame, on: str = "source_file") -> DataFrame:
@@ -62,7 +67,7 @@ def with_chunk_counts(documents: DataFrame, chunks: DataFrame, on: str = "source
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = None) -> DataFrame:
     """Child rows whose parent does not exist; rows without a key are none."""
-    keys = parent.select(F.col(pk or fk).alias(fk))
+    keys = _keys(parent.select(F.col(pk or fk).alias(fk)), fk)
     return child.filter(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
 
 
@@ -79,7 +84,7 @@ def cascade_delete(
     for child, (parent, fk, key) in edges.items():
         if parent not in gone:
             continue
-        lost = gone[parent].select(F.col(key).alias(fk))
+        lost = _keys(gone[parent].select(F.col(key).alias(fk)), fk)
         gone[child] = tables[child].join(lost, fk, "left_semi")
         kept[child] = tables[child].join(lost, fk, "left_anti")
     return kept

@@ -2,48 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER_SLICES = 256
+from lectern.functions.text import bind
 
+ROWS_PER_SLICE = 4_000_000
+MAX_SLICES = 4_096
 
-def _slice_bounds(df: DataFrame, by: str, slices: int) -> list[float]:
-    """Approximate quantiles of the order column: at most ``slices`` numbers reach the driver."""
-    shares = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(F.col(by).cast("double"), shares, 10_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+
+def _slice_bounds(df: DataFrame, by: str, slices: int | None) -> list[float]:
+    """Cuts of the order column into even slices: at most ``MAX_SLICES`` numbers reach the driver."""
+    shares = ", ".join(repr(i / MAX_SLICES) for i in range(1, MAX_SLICES))
+    quantiles = F.expr(f"percentile_approx(cast(`{by}` AS double), array({shares}), 20000)")
+    found = df.agg(F.count(F.lit(1)).alias("n"), quantiles.alias("q")).first()
+    wanted = slices or -(-found["n"] // ROWS_PER_SLICE)
+    wanted = max(1, min(wanted, MAX_SLICES))
+    quantiles = found["q"] or []
+    picked = {quantiles[i * MAX_SLICES // wanted - 1] for i in range(1, wanted)} if quantiles else set()
+    return sorted(b for b in picked if math.isfinite(b))
+
+
+def _slice_of(position: Column, bounds: list[float]) -> Column:
+    """Number of bounds at or below the position, by binary search in a literal array."""
+    n = len(bounds)
+    cuts = F.expr("array(" + ", ".join(f"{b!r}D" for b in bounds) + ")")
+
+    def halve(step: int) -> Callable[[Column], Column]:
+        def advance(low: Column) -> Column:
+            reached = (low + step <= n) & (F.get(cuts, low + (step - 1)) <= position)
+            return F.when(reached, low + step).otherwise(low)
+
+        return advance
+
+    found = F.lit(0)
+    step = 1 << (n.bit_length() - 1)
+    while step:
+        found = bind(found, halve(step))
+        step //= 2
+    return found
 
 
 def running_number(
-    df: DataFrame,
-    partition: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    slices: int = ORDER_SLICES,
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str, slices: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its group, for groups of any size.
 
     The first order column must be numeric; with the rest of ``order`` it must be unique
-    in a group. A plain ``row_number`` would sort a whole group in one task. Here the
-    order column is cut into slices at its quantiles, rows are numbered inside (group,
-    slice), and each slice starts after the rows counted in the slices before it. A
-    (group, slice) pair holds about ``1 / slices`` of all rows at most, however skewed
-    the groups are, and the offsets window sees at most ``slices`` rows per group.
+    in a group. A plain ``row_number`` would sort a whole group in one task, so it is used
+    only for tables of at most ``ROWS_PER_SLICE`` rows. Larger ones are cut into slices at
+    quantiles of the order column; rows are numbered inside (group, slice), and each slice
+    starts after the rows counted in the slices before it. A (group, slice) pair holds about
+    one slice of all rows at most, however skewed the groups are, and the offsets window
+    sees one row per slice and group.
     """
     bounds = _slice_bounds(df, order[0], slices)
-    position = F.col(order[0]).cast("double")
-    cuts = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>")
-    sliced = df.withColumn("_slice", F.size(F.filter(cuts, lambda cut: cut <= position)))
+    if not bounds:
+        window = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(window).cast("long"))
+    sliced = df.withColumn("_slice", _slice_of(F.col(order[0]).cast("double"), bounds))
     keys = [*partition, "_slice"]
     counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    if partition:
-        before = Window.partitionBy(*partition).orderBy("_slice")
-    else:
-        before = Window.partitionBy(F.lit(0)).orderBy("_slice")  # at most `slices` rows
+    before = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("_slice")
     offsets = counts.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.coalesce(F.sum("_rows").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,11 @@ from lectern.operators.ordinals import top_rows
 SCORE_DECIMALS = 9
 BROADCAST_ROWS = 8_192
 BROADCAST_BYTES = 64 << 20
-CELL_ITEMS = 50_000
+CELL_ITEMS = 20_000
+CELL_TEXTS = 5_000
 CELL_QUERIES = 5_000
+HIT_ROWS = 1 << 20
+VOCABULARY_ROWS = 1 << 18
 MAX_CELLS = 1 << 20
 _BLOCK = 4_000_000  # scores held at once
 
@@ -271,20 +274,28 @@ def search_cells(
     )
 
 
-def _top_k(items: DataFrame, queries: DataFrame, kernel, k: int, strategy: str, rows: int) -> DataFrame:
+def _top_k(
+    items: DataFrame, queries: DataFrame, kernel, k: int, strategy: str, rows: int, cell_items: int
+) -> tuple[DataFrame, int | None]:
+    """Top-k hits and, where the queries were counted, the greatest possible number of hits."""
     if strategy not in ("auto", "in_place", "cells"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    found = None
+    found, bound = None, None
     if strategy != "cells":
         # At most `rows` + 1 queries reach the driver; this is the size check itself.
         small = queries.limit(rows + 1).toArrow()
         if small.num_rows <= rows and small.nbytes <= BROADCAST_BYTES:
-            found = _search_in_place(items, queries, small, kernel, k)
+            found, bound = _search_in_place(items, queries, small, kernel, k), small.num_rows * k
         elif strategy == "in_place":
             raise ValueError("too many queries to send to every task")
     if found is None:
-        found = search_cells(items, queries, kernel, k)
-    return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+        found = search_cells(items, queries, kernel, k, cell_items=cell_items)
+    return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k), bound
+
+
+def _for_join(hits: DataFrame, bound: int | None) -> DataFrame:
+    """Hits of a known small number are sent to the items, which then are not shuffled."""
+    return F.broadcast(hits) if bound is not None and bound <= HIT_ROWS else hits
 
 
 def knn_exact(
@@ -300,16 +311,29 @@ def knn_exact(
 
     For ``l2`` the hits carry ``distance`` (squared) and ``score`` = 1 / (1 + distance).
     """
+    return _knn(items, queries, k, metric, skip_same_id, strategy, broadcast_rows)[0]
+
+
+def _knn(
+    items: DataFrame,
+    queries: DataFrame,
+    k: int,
+    metric: str = "ip",
+    skip_same_id: bool = False,
+    strategy: str = "auto",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> tuple[DataFrame, int | None]:
     if metric not in ("ip", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
     pool = items.select("item_id", "embedding").filter(F.col("embedding").isNotNull())
     asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    hits = _top_k(pool, asked, VectorKernel(metric, skip_same_id), k, strategy, broadcast_rows)
+    kernel = VectorKernel(metric, skip_same_id)
+    hits, bound = _top_k(pool, asked, kernel, k, strategy, broadcast_rows, CELL_ITEMS)
     if metric == "l2":
         hits = hits.withColumn("distance", F.col("score") * -1.0 + 0.0).withColumn(
             "score", 1.0 / (1.0 + F.col("distance"))
         )
-    return hits
+    return hits, bound
 
 
 # ---- clustered (inverted file) search ----------------------------------------------
@@ -466,9 +490,9 @@ def knn_filtered(
         return knn_exact(flt.filter_metadata(items, filters), queries, k, **options)
     if mode != "post":
         raise ValueError(f"unknown mode {mode!r}")
-    wide = knn_exact(items, queries, 3 * k, **options).drop("rank")
+    wide, bound = _knn(items, queries, 3 * k, **options)
     matching = flt.filter_metadata(items, filters).select("item_id")
-    kept = wide.join(matching, "item_id", "left_semi")
+    kept = matching.join(_for_join(wide.drop("rank"), bound), "item_id")
     return top_rows(kept, ["query_id"], [F.col("score").desc(), F.col("item_id")], k).select(
         "query_id", "item_id", "score", "rank"
     )
@@ -486,13 +510,13 @@ def search_sources(
     """Hits of every source with its name as ``type``, the item's text and chosen columns."""
     parts = []
     for place, (name, items) in enumerate(sources.items()):
-        hits = knn_exact(items, queries, k, **options)
+        hits, bound = _knn(items, queries, k, **options)
         details = items.select(
             "item_id",
             source_text(items).alias("text"),
             *[(F.col(c) if c in items.columns else F.lit(None).cast("string")).alias(c) for c in attach],
         )
-        joined = hits.join(details, "item_id")
+        joined = details.join(_for_join(hits, bound), "item_id")
         parts.append(
             joined.select(
                 "query_id", F.lit(name).alias("type"), F.lit(place).alias("place"), "item_id", "score", "rank", "text", *attach
@@ -588,12 +612,15 @@ def bm25(
     totals = pool.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length")).first()
     n, mean_length = totals["n"], totals["mean_length"] or 0.0
     vocabulary = asked.select("term").distinct()
-    frequency = (
-        each(pool, [], F.array_distinct("tokens"), "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .join(vocabulary, "term", "left_semi")
-    )
+    terms = each(pool, [], F.array_distinct("tokens"), "term")
+    if vocabulary.limit(VOCABULARY_ROWS + 1).count() <= VOCABULARY_ROWS:
+        # Other terms are dropped where they are read.
+        terms = terms.join(F.broadcast(vocabulary), "term", "left_semi")
+        frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        frequency = (
+            terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "term", "left_semi")
+        )
     weight = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
         asked.join(frequency, "term")
@@ -605,7 +632,8 @@ def bm25(
             F.transform("t", lambda e: e["weight"]).alias("weights"),
         )
     )
-    return _top_k(pool, weighted, LexicalKernel(k1, b, float(mean_length)), k, strategy, broadcast_rows)
+    kernel = LexicalKernel(k1, b, float(mean_length))
+    return _top_k(pool, weighted, kernel, k, strategy, broadcast_rows, CELL_TEXTS)[0]
 
 
 def fuse(
@@ -618,11 +646,11 @@ def fuse(
     """Weighted sum of both scores, each scaled to 0..1 within its query; a missing hit counts 0."""
 
     def scaled(hits: DataFrame, name: str) -> DataFrame:
-        # Hits per query are few (a top-k list), so these windows stay small.
-        bounds = hits.groupBy("query_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        span = F.col("_hi") - F.col("_lo")
-        value = F.when(span > 0, (F.col("score") - F.col("_lo")) / span).otherwise(F.lit(1.0))
-        return hits.join(bounds, "query_id").select("query_id", "item_id", value.alias(name))
+        # A query's hits are its top-k list, so the windows are small; hits are read once.
+        own = Window.partitionBy("query_id")
+        low, high = F.min("score").over(own), F.max("score").over(own)
+        value = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.lit(1.0))
+        return hits.select("query_id", "item_id", value.alias(name))
 
     both = scaled(vector_hits, "vector_score").join(
         scaled(text_hits, "bm25_score"), ["query_id", "item_id"], "full_outer"
@@ -663,6 +691,7 @@ def index_info(sources: Mapping[str, DataFrame], index_type: str = "flat", colum
 
 def check_alignment(emb: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: ``vector without metadata`` or ``metadata without vector``."""
-    lone = emb.join(meta, key, "left_anti").select(key, F.lit("vector without metadata").alias("problem"))
-    bare = meta.join(emb, key, "left_anti").select(key, F.lit("metadata without vector").alias("problem"))
+    known = lambda df: df.select(key).distinct()
+    lone = emb.join(known(meta), key, "left_anti").select(key, F.lit("vector without metadata").alias("problem"))
+    bare = meta.join(known(emb), key, "left_anti").select(key, F.lit("metadata without vector").alias("problem"))
     return lone.unionByName(bare)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern import fixed
 from lectern.functions import markup as M
 from lectern.operators import chunking, embedding, tables
 from lectern.plans.registry import Inputs, query
@@ -350,7 +351,17 @@ def section_summaries_by_title(t: Inputs):
     )
 
 
-@query("page_texts")
+_BARE = "html"
+for _pattern in (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>",
+    r"(?s)</?[A-Za-z!][^>]*>",
+):
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', chr(10), 'g')"
+for _entity, _char in fixed.HTML_ENTITIES:
+    _BARE = f"replace({_BARE}, '{_entity}', chr({ord(_char)}))"
+
+
+@query("page_texts", f"SELECT page_id, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')) AS text FROM pages")
 def page_texts(t: Inputs):
     """Visible text of the raw pages."""
     return t.pages.select("page_id", F.trim(F.regexp_replace(M.strip_html(F.col("html")), r"\s+", " ")).alias("text"))

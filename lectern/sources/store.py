@@ -94,30 +94,27 @@ def read_envelope(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return chunks, tables
 
 
-def write_etl(chunks: DataFrame, tables: DataFrame, path: str, mode: str = "errorifexists", buckets: int = 64) -> None:
+def write_etl(chunks: DataFrame, tables: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Chunks and table items as Parquet below ``path``, with a table of totals.
 
-    One folder per hash of the source file bounds the number of folders; rows of a large
-    source stay spread over the tasks that produced them.
+    Each task writes its own file: the rows of a document lie together in one of them, and
+    no folder per source multiplies the number of files.
     """
     for name, df in (("chunks", chunks), ("tables", tables)):
-        bucket = F.pmod(F.xxhash64("source_file"), F.lit(buckets)).cast("int")
-        df.withColumn("bucket", bucket).write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}")
+        df.write.mode(mode).parquet(f"{path}/{name}")
     spark = chunks.sparkSession
     etl_totals(*read_etl(spark, path)).coalesce(1).write.mode(mode).json(f"{path}/totals")
 
 
 def read_etl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/chunks").drop("bucket"), spark.read.parquet(f"{path}/tables").drop("bucket")
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/tables")
 
 
 def etl_totals(chunks: DataFrame, tables: DataFrame) -> DataFrame:
     """One row: total_chunks, total_table_rows."""
     counted = chunks.select(F.lit("chunk").alias("kind")).unionByName(tables.select(F.lit("table").alias("kind")))
-    return counted.agg(
-        F.count_if(F.col("kind") == "chunk").alias("total_chunks"),
-        F.count_if(F.col("kind") == "table").alias("total_table_rows"),
-    )
+    is_chunk = F.col("kind") == "chunk"
+    return counted.agg(F.count_if(is_chunk).alias("total_chunks"), F.count_if(~is_chunk).alias("total_table_rows"))
 
 
 # ---- relational tables -------------------------------------------------------------------

@@ -225,7 +225,17 @@ def test_running_number_without_groups(spark):
     df = spark.range(1000).withColumn("x", F.lit(1))
     rows = ordinals.running_number(df, [], ["id"], "n", slices=8)
     assert rows.filter("n <> id + 1").count() == 0
-    assert ordinals.running_number(df.limit(0), [], ["id"], "n").count() == 0
+    assert ordinals.running_number(df.limit(0), [], ["id"], "n", slices=8).count() == 0
+    assert ordinals.running_number(df, [], ["id"], "n").filter("n <> id + 1").count() == 0
+
+
+def test_slices_bound_the_groups(spark):
+    # One group holds everything; no (group, slice) pair may.
+    df = spark.range(8000).select(F.lit("hot").alias("g"), "id")
+    bounds = ordinals._slice_bounds(df, "id", 16)
+    sliced = df.withColumn("s", ordinals._slice_of(F.col("id").cast("double"), bounds))
+    assert sliced.filter("s <> 0").count() > 7000
+    assert sliced.groupBy("g", "s").count().agg(F.max("count")).first()[0] <= 8000 / 16 * 1.2
 
 
 def test_dedup_keeps_the_first(spark):
