@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -132,6 +134,83 @@ def _entity_rules(rules: str | dict) -> dict:
     }
 
 
+def split_proposer(load, window: int = 20, step: int = 10, max_iterations: int | None = 50):
+    """Split points of a document's pieces, proposed window by window by a loaded function.
+
+    ``load`` runs once per batch of rows and returns pieces -> split points relative to the
+    window. A call without points splits half-way, a failing call after ``step`` pieces; the
+    next window starts at the last split. The last ``step`` pieces are not asked about.
+    """
+
+    def propose(ask, pieces: list[str]) -> list[int]:
+        cuts, at, rounds = {0}, 0, 0
+        while at < len(pieces) - step and (max_iterations is None or rounds < max_iterations):
+            rounds += 1
+            part = pieces[at : at + window]
+            try:
+                found = [int(s) for s in ask(part) if s >= 0] or [len(part) // 2]
+            except Exception:
+                found = [step]
+            cuts.update(at + s for s in found if s > 0)
+            if max(found) <= 0:
+                break
+            at += max(found)
+        return sorted(cuts)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def splits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ask = load()
+        for rows in batches:
+            yield rows.map(lambda pieces: None if pieces is None else propose(ask, list(pieces)))
+
+    return splits
+
+
+def tokenizer_functions(load):
+    """(encode, decode) between text and token ids for a loaded tokenizer, batch by batch.
+
+    ``load`` runs once per Python worker and returns an object with ``encode`` (texts ->
+    id lists) and ``decode`` (id lists -> texts).
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = load()
+        for texts in batches:
+            yield pd.Series(list(tokenizer.encode(texts.fillna("").tolist())), dtype=object)
+
+    @F.pandas_udf(T.StringType())
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = load()
+        for ids in batches:
+            yield pd.Series(list(tokenizer.decode([list(i) for i in ids])), dtype=object)
+
+    return encode, decode
+
+
+# Entities that stay escaped until markup has been read.
+_MARKUP_ENTITY = re.compile(r"&(?:amp|lt|gt|quot|apos|#39|#34|#38|#60|#62|#x0*(?:22|26|27|3c|3e));?", re.IGNORECASE)
+_ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    def one(match: re.Match) -> str:
+        entity = match.group(0)
+        return entity if _MARKUP_ENTITY.fullmatch(entity) else html.unescape(entity)
+
+    return texts.map(lambda t: t if t is None else _ENTITY.sub(one, t))
+
+
+def unescape_entities(text: Column) -> Column:
+    """Named and numeric entities as characters, except those that would become markup.
+
+    Only texts with an entity travel to Python.
+    """
+    escaped = F.when(F.rlike(text, F.lit(r"&(?:#|[A-Za-z])[A-Za-z0-9]*;")), text)
+    return F.coalesce(_unescape(escaped), text)
+
+
 def token_slot(token: str, dim: int) -> int:
     """Vector slot of a token: the first eight hex digits of its MD5, modulo the dimension."""
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim

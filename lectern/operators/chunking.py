@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.functions import arrow
 from lectern.functions import markup as M
 from lectern.functions import text as X
 from lectern.functions.rows import each
@@ -33,6 +34,11 @@ class Tokenizer:
 WHITESPACE = Tokenizer()
 
 
+def plugged_tokenizer(load) -> Tokenizer:
+    """Tokenizer from a loaded model; see :func:`lectern.functions.arrow.tokenizer_functions`."""
+    return Tokenizer(*arrow.tokenizer_functions(load))
+
+
 def split_sections(
     df: DataFrame, column: str = "text", level: int = fixed.HEADER_LEVEL, keep_preamble: bool = False
 ) -> DataFrame:
@@ -123,6 +129,11 @@ def semantic_splits(
     return F.concat(F.array(F.lit(0)), cut)
 
 
+def proposed_splits(pieces: Column, load, **options) -> Column:
+    """Split points asked from a loaded function, with the fixed fallbacks when it fails."""
+    return arrow.split_proposer(load, **options)(pieces)
+
+
 def merge_at_splits(df: DataFrame, splits: Column, pieces: str = "pieces") -> DataFrame:
     """One row per run of pieces between split points: ``group_idx``, ``chunk``; blank runs are dropped."""
     kept = [c for c in df.columns if c != pieces]

@@ -17,6 +17,11 @@ def normalize_unicode(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, arrow.nfkc(F.col(column)))
 
 
+def unescape_entities(df: DataFrame, column: str = "text") -> DataFrame:
+    """HTML entities as characters; run it before sections and tables are read."""
+    return df.withColumn(column, arrow.unescape_entities(F.col(column)))
+
+
 def normalize_whitespace(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, X.collapse_whitespace(F.col(column)))
 

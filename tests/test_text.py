@@ -178,6 +178,47 @@ def test_plugged_tokenizer(spark):
     assert [r["chunk"] for r in rows] == ["abcd", "def"]
 
 
+def test_loaded_tokenizer(spark):
+    def load():
+        class Codes:
+            def encode(self, texts):
+                return [[ord(c) for c in t] for t in texts]
+
+            def decode(self, ids):
+                return ["".join(chr(i) for i in row) for row in ids]
+
+        return Codes()
+
+    tokenizer = chunking.plugged_tokenizer(load)
+    rows = chunking.chunk_tokens(texts(spark, "abcdef", None), max_tokens=4, overlap=1, tokenizer=tokenizer).collect()
+    assert sorted((r["id"], r["window_idx"], r["chunk"], r["n_tokens"]) for r in rows) == [(0, 0, "abcd", 4), (0, 1, "def", 3)]
+    counted = cleaning.count_tokens(texts(spark, "abc"), method=tokenizer.encode(F.col("text")))
+    assert column(counted, "token_count") == [3]
+
+
+def test_proposed_splits(spark):
+    df = spark.createDataFrame([(1, [str(i) for i in range(25)]), (2, ["a"] * 10), (3, [])], "id int, pieces array<string>")
+
+    def failing():
+        def ask(part):
+            raise RuntimeError
+
+        return ask
+
+    even = df.select("id", chunking.even_splits(F.col("pieces")).alias("s"), chunking.proposed_splits(F.col("pieces"), failing).alias("f"))
+    found = {r["id"]: (r["s"], r["f"]) for r in even.collect()}
+    assert found[1] == ([0, 10, 20], [0, 10, 20]) and found[2] == ([0], [0])
+    silent = df.select("id", chunking.proposed_splits(F.col("pieces"), lambda: lambda part: []).alias("f")).filter("id = 1").first()
+    assert silent["f"] == [0, 10, 17]  # half of 20 pieces, then half of 15
+    asked = df.select("id", chunking.proposed_splits(F.col("pieces"), lambda: lambda part: [3, 7]).alias("f")).filter("id = 1").first()
+    assert asked["f"] == [0, 3, 7, 10, 14, 17, 21]
+
+
+def test_entities_are_unescaped_but_markup_is_not_made(spark):
+    df = texts(spark, "caf&eacute; &#8217;x&#x2019; &lt;b&gt; &amp; &unknown; &", "plain", None)
+    assert column(cleaning.unescape_entities(df), "text") == ["café ’x’ &lt;b&gt; &amp; &unknown; &", "plain", None]
+
+
 def test_chunk_overlap_lengths(spark):
     df = spark.createDataFrame([("d", 0, "a b c d"), ("d", 1, "c d e"), ("d", 2, "x"), ("d", 3, "x x")], "doc string, i int, chunk string")
     rows = {r["i"]: r["overlap"] for r in chunking.chunk_overlap(df, "doc", "i").collect()}
