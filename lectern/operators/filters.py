@@ -13,7 +13,15 @@ from lectern.functions import vectors
 
 METADATA_FIELDS = ("university_id", "program", "year", "aliases", "source_file", "chunk_type")
 REQUIRED_METADATA = ("university_id", "program", "year", "chunk_type")
-_UUID = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?(?:[0-9a-f]{4}-?){3}[0-9a-f]{12}\}?$"
+_ISO = (
+    r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}(?::\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?(?:[+-]\d{2}:?\d{2})?)?$"
+)
+
+
+def _is_uuid(value: Column) -> Column:
+    """32 hex digits once prefixes, braces and dashes are taken away."""
+    bare = F.regexp_replace(value, r"urn:|uuid:|^[{}]+|[{}]+$", "")
+    return F.rlike(F.replace(bare, F.lit("-"), F.lit("")), F.lit("^[0-9a-fA-F]{32}$"))
 
 
 def _field(df: DataFrame, key: str) -> Column:
@@ -181,7 +189,7 @@ def validate_questions(df: DataFrame) -> DataFrame:
     stamp = F.replace(F.col("timestamp").cast("string"), F.lit("Z"), F.lit("+00:00"))
     reason = (
         F.when(F.size("missing") > 0, F.concat(F.lit("missing "), F.array_join("missing", ", ")))
-        .when(~F.rlike(F.col("question_id"), F.lit(_UUID)), F.lit("question_id is no UUID"))
-        .when(F.try_to_timestamp(stamp).isNull(), F.lit("timestamp is not ISO"))
+        .when(~_is_uuid(F.col("question_id")), F.lit("question_id is no UUID"))
+        .when(~F.rlike(stamp, F.lit(_ISO)) | F.try_to_timestamp(stamp).isNull(), F.lit("timestamp is not ISO"))
     )
     return checked.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())

@@ -155,6 +155,21 @@ def test_question_records(spark):
     assert filters.validate_questions(questions.make_question_records(df)).filter("valid").count() == 2
 
 
+def test_question_validation(spark):
+    good = "a1b2c3d4-e5f6-7890-abcd-ef1234567890"
+    rows = [
+        (good, "2024-01-15T10:00:00.123456Z", "q", "q", None),
+        ("{urn:uuid:" + good.replace("-", "") + "}", "2024-01-15", "q", "q", None),
+        ("a1b2", "2024-01-15T10:00:00Z", "q", "q", "question_id is no UUID"),
+        (good, "2024", "q", "q", "timestamp is not ISO"),
+        (good, "2024-13-01T00:00:00", "q", "q", "timestamp is not ISO"),
+        (good, None, "q", None, "missing timestamp, processed_question"),
+    ]
+    df = spark.createDataFrame(rows, "question_id string, timestamp string, original_question string, processed_question string, expected string")
+    for r in filters.validate_questions(df).collect():
+        assert r["reason"] == r["expected"] and r["valid"] == (r["expected"] is None)
+
+
 @pytest.mark.parametrize("n", [0, 1, 462, 463, 512, 513, 924, 925])
 def test_window_counts(spark, n):
     df = texts(spark, " ".join(f"t{i}" for i in range(n)))
