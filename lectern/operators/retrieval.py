@@ -403,11 +403,17 @@ def ivf_search(
     cell_items: int = CELL_ITEMS,
     cell_queries: int = CELL_QUERIES,
 ) -> DataFrame:
-    """Top-k among the items of each query's ``nprobe`` best lists."""
+    """Top-k among the items of each query's ``nprobe`` best lists.
+
+    The numbers of the probed lists (at most ``nlist``) are collected, so that a table
+    partitioned by ``list_id`` is read only where a query looks.
+    """
     probes = min(nprobe, len(index.centroids))
     encoded = queries.filter(F.col("embedding").isNotNull())
     asked = each(encoded, ["query_id", "embedding"], _nearest(index.centroids, probes)(F.col("embedding")), "list_id")
     pool = index.items.select("item_id", "embedding", "list_id")
+    if probes < len(index.centroids):
+        pool = pool.filter(F.col("list_id").isin([r["list_id"] for r in asked.select("list_id").distinct().collect()]))
     found = search_cells(pool, asked, VectorKernel("ip", skip_same_id), k, ["list_id"], cell_items, cell_queries)
     return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 

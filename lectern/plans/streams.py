@@ -13,9 +13,10 @@ from lectern.streaming import jobs
 
 
 def stream(t: Inputs, name: str):
-    """The table as a stream of files."""
+    """The table as a stream of files, its rows spread over the cores (the test tables are one file each)."""
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.path)
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.path)
+    return rows.repartition(t.spark.sparkContext.defaultParallelism)
 
 
 def finish(query) -> None:

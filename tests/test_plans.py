@@ -99,6 +99,31 @@ def test_search_scores_items_where_they_lie(spark, sf):
     assert "CartesianProduct" not in cells and "NestedLoop" not in cells
 
 
+def test_clustered_search_reads_the_probed_lists(spark, sf, tmp_path):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    index = retrieval.ivf_build(vectors.selectExpr("vec_id AS item_id", "embedding"), nlist=4)
+    index.items.write.partitionBy("list_id").parquet(str(tmp_path / "index"))
+    stored = retrieval.ClusterIndex(spark.read.parquet(str(tmp_path / "index")), index.centroids)
+    one = vectors.filter("vec_id = 3").selectExpr("vec_id AS query_id", "embedding")
+    found = retrieval.ivf_search(stored, one, 3, nprobe=1)
+    assert re.search(r"PartitionFilters: \[[^\]]*list_id", plan(found))
+    assert found.orderBy("rank").first()["item_id"] == 3
+
+
+def test_hits_go_to_the_items(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    items = vectors.selectExpr("vec_id AS item_id", "embedding", "cast(label AS string) AS text", "label")
+    queries = vectors.selectExpr("vec_id AS query_id", "embedding", "cast(label AS string) AS text")
+    for df in (
+        retrieval.search_sources({"chunk": items}, queries, 3),
+        retrieval.knn_filtered(items, queries, {"label": 1}, 3, "post"),
+    ):
+        text = plan(df)
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        # The only shuffles are those of top-k lists, by query.
+        assert all("query_id" in line for line in text.split("\n") if "Exchange hashpartitioning" in line)
+
+
 def test_no_plan_crosses_tables(spark, sf):
     for name in ("key_lookup", "chunk_overlaps", "documents_merged", "cascade_deleted", "query_stats", "running_histories"):
         text = plan(QUERIES[name](spark, sf))
