@@ -9,7 +9,7 @@ from lectern.sources import corpus, store
 
 
 def tree(tmp_path):
-    folder = tmp_path / "Universities" / "TBS x+y"
+    folder = tmp_path / "Universities" / "Uni x+y"
     folder.mkdir(parents=True)
     (folder / "a.md").write_text("## A\n\nfirst\nsecond\n", encoding="utf-8")
     (tmp_path / "b c.md").write_text("é", encoding="utf-8")
@@ -22,7 +22,7 @@ def test_markdown_tree(spark, tmp_path):
     rows = {r["source_file"]: r for r in corpus.derive_path_metadata(files).collect()}
     assert set(rows) == {"a.md", "b c.md"}
     assert rows["a.md"]["text"] == "## A\n\nfirst\nsecond\n"
-    assert (rows["a.md"]["university_id"], rows["a.md"]["program"], rows["a.md"]["year"]) == ("TBS x+y", "General", "2024")
+    assert (rows["a.md"]["university_id"], rows["a.md"]["program"], rows["a.md"]["year"]) == ("Uni x+y", "General", "2024")
     assert rows["b c.md"]["university_id"] == "UNKNOWN"
 
 
@@ -36,7 +36,7 @@ def test_manifest(spark, tmp_path):
     root = tree(tmp_path)
     manifest = {
         "files": [
-            {"file": "Universities/TBS x+y/a.md", "university_id": "TBS", "aliases": ["x"], "year": "2022"},
+            {"file": "Universities/Uni x+y/a.md", "university_id": "UNI", "aliases": ["x"], "year": "2022"},
             {"file": "./b c.md", "university_id": "B"},
             {"file": "gone.md", "university_id": "G"},
         ]
@@ -45,7 +45,7 @@ def test_manifest(spark, tmp_path):
     entries = corpus.read_manifest(spark, str(root / "manifest.json"))
     applied = corpus.apply_manifest(corpus.read_markdown(spark, str(root)), entries, str(root))
     rows = {r["university_id"]: r for r in applied.collect()}
-    assert rows["TBS"]["found"] and rows["TBS"]["text"].startswith("## A") and rows["TBS"]["aliases"] == ["x"]
+    assert rows["UNI"]["found"] and rows["UNI"]["text"].startswith("## A") and rows["UNI"]["aliases"] == ["x"]
     assert rows["B"]["text"] == "é"
     assert not rows["G"]["found"] and rows["G"]["text"] is None
 
