@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, exact_dedup
+from lectern.llm import chat, exact_dedup, jaccard
 from lectern.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,29 @@ def _chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PLANTED_TURN).alias("text"),
     )
     return chat.digests(chat.format_conversations(given.unionByName(planted)))
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACED = r"[^\x20\x09-\x0D]+"
+
+
+@query(
+    "op9_ngram_jaccard",
+    rf"""
+    WITH RECURSIVE
+    w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{SPACED}') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1),
+                                                        lambda i: array_to_string(ws[i:i + 2], ' '))) AS gram
+          FROM w WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id
+          GROUP BY ALL),
+    l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 90 * (p.n + q.n - common)),
+    e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+    r AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
+    SELECT w.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.other) AS component_id
+    FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+    """,
+)
+def _ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
