@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, exact_dedup, jaccard, langid
+from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing
 from lectern.llm.common import documents
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -104,3 +106,21 @@ def _ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).drop("row")
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of a public tokenizer's file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+@query("op4_decontamination")
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark).drop("row")

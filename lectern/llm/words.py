@@ -18,6 +18,11 @@ import xxhash
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+# Every ASCII character but letters and digits.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+for _low, _high in ((48, 58), (65, 91), (97, 123)):
+    PUNCTUATION[_low:_high] = False
 SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
@@ -84,10 +89,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return hashes
 
 
-def find_words(column: pa.Array, lower: bool = False) -> Words:
+def find_words(column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
+    """Words of all texts; ``lower`` lower-cases A-Z first, ``separator`` says which bytes part words."""
     raw, offsets = text_bytes(column)
     data = LOWER[raw] if lower else raw
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
