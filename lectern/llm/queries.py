@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing
+from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, secrets
 from lectern.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -124,3 +124,8 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark).drop("row")
+
+
+@query("op8_secret_scan")
+def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(documents(spark, sf_dir)))
