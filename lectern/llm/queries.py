@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, secrets
+from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, secrets, substring
 from lectern.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -129,3 +129,23 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_scan")
 def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
+
+
+@query(
+    "op6_substring_dedup",
+    rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 48, 1))) AS p FROM w),
+    v AS (SELECT s.doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS k FROM s JOIN w USING (doc_id)),
+    m AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS least FROM v),
+    c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM m WHERE least < doc_id),
+    x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+    k AS (SELECT x.doc_id, count(c.p) AS n_removed,
+                 sha256(coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL), '')) AS kept_sha256
+          FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)
+    """,
+)
+def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("row")
