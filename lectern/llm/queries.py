@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, secrets, substring
+from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, lines, packing, secrets, substring
 from lectern.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -149,3 +149,26 @@ def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir)).drop("row")
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT doc_id, t, CASE WHEN t = '' THEN []::VARCHAR[] WHEN t[-1] = chr(10) THEN string_split(t[:-2], chr(10))
+                                 ELSE string_split(t, chr(10)) END AS ls FROM d),
+    w AS (SELECT doc_id, unnest(range(1, greatest(len(ls) - 1, 1))) AS p FROM l),
+    k AS (SELECT w.doc_id, p, ls[p] || chr(10) || ls[p + 1] || chr(10) || ls[p + 2] AS k FROM w JOIN l USING (doc_id)),
+    f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM k),
+    c AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM f WHERE nth > 1),
+    x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p, len(ls) AS n, t[-1] = chr(10) AS ended FROM l),
+    r AS (SELECT x.doc_id, count(c.p) AS n_removed,
+                 coalesce(string_agg(line || CASE WHEN x.p < n OR ended THEN chr(10) ELSE '' END, '' ORDER BY x.p)
+                          FILTER (WHERE c.p IS NULL), '') AS text
+          FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id)
+    SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(r.text, '') AS text
+    FROM l LEFT JOIN r USING (doc_id)
+    """,
+)
+def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeated_lines(documents(spark, sf_dir)).drop("row")
