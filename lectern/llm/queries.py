@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, lines, packing, secrets, substring
+from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, lines, packing, recurrent_lm, secrets, substring
 from lectern.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -172,3 +172,8 @@ def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_repeated_lines(documents(spark, sf_dir)).drop("row")
+
+
+@query("op5_lm_score")
+def _lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(documents(spark, sf_dir)).drop("row")
