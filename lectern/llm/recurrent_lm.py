@@ -251,24 +251,29 @@ class Adam:
         self.net, self.rate, self.step = net, rate, 0
         self.first, self.second = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
-    def update(self, grad: np.ndarray) -> None:
+    def update(self, grad: np.ndarray, share: float) -> None:
+        """A step of the rate times ``share``, the part of a full window that the gradient comes from."""
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad = grad / norm
         self.step += 1
         self.first += 0.1 * (grad - self.first)
         self.second += 0.01 * (grad * grad - self.second)
-        self.net.flat -= self.rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
+        self.net.flat -= self.rate * share * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
 
 
 def train_on(net: Net, adam: Adam, ids: np.ndarray, bounds: np.ndarray) -> tuple[float, int]:
-    """One pass over the documents; small batches get fewer lanes, so that there are enough updates."""
+    """One pass over the documents; small batches get fewer lanes, so that there are enough updates.
+
+    Where only a few long documents are left the steps are smaller, so that every token weighs the same.
+    """
     lanes = lay_out(ids, bounds, int(np.clip(len(ids) // (STEPS * 100), 4, 384)))
+    full = STEPS * lanes.target.shape[1]
     h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
     loss, count = 0.0, 0
     for low in range(0, len(lanes.target), STEPS):
         part, grad, h, n = gradient(net, lanes, low, min(low + STEPS, len(lanes.target)), h)
-        adam.update(grad)
+        adam.update(grad, n / full)
         loss, count = loss + part, count + n
     return loss, count
 
@@ -350,6 +355,20 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Vocabulary, int]:
 # ---- distributed training ---------------------------------------------------------------
 
 
+def unigram_net(vocabulary: Vocabulary, n_other: int) -> Net:
+    """A network whose outputs are the shares of the training counts, whatever its state."""
+    net = Net()
+    n = np.full(CLASSES * CLASS_WORDS, SMOOTHING)
+    spelled = vocabulary.words < OTHER
+    n[vocabulary.words[spelled]] += vocabulary.counts[spelled]
+    classes = n.reshape(CLASSES, CLASS_WORDS).sum(1)
+    net.c *= 0.1
+    net.o *= 0.1
+    net.cb[:] = np.log(np.append(classes, n_other + SMOOTHING) / (classes.sum() + n_other + SMOOTHING))
+    net.ob[:] = np.log(n.reshape(CLASSES, CLASS_WORDS) / classes[:, None])
+    return net
+
+
 def _trainer(flat: np.ndarray, vocabulary: Vocabulary, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -377,14 +396,15 @@ def _average(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"task": [group["task"].iloc[0] // MERGED], "n": [int(n.sum())], "loss": [group["loss"].sum()], "net": [mean.astype(np.float32).tobytes()]})
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds=ROUNDS) -> tuple[Net, list[float]]:
+def train(texts: DataFrame, vocabulary: Vocabulary, n_other: int, rounds=ROUNDS) -> tuple[Net, list[float]]:
     """The trained network and the mean loss of each round; ``texts`` has ``row, text``.
 
+    ``n_other`` tokens of the texts are no words of the network. Training begins with unigram shares.
     Copies are averaged ``MERGED`` at a time, level by level, so no task or driver holds more than
     that many.
     """
     schema = "task long, n long, loss double, net binary"
-    net, low, losses = Net(), 0.0, []
+    net, low, losses = unigram_net(vocabulary, n_other), 0.0, []
     share = F.pmod(F.xxhash64("row", F.lit("round")), F.lit(1 << 20)) / float(1 << 20)
     for high, rate in rounds:
         part = texts.filter((share >= low) & (share < high)).select("text")
@@ -469,9 +489,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total[0]), int(total[1])
     vocabulary, lowest = head_of(counts, most)
-    net, _ = train(learned.select("row", "text"), vocabulary)
     spelled = vocabulary.words < OTHER
     n_other, v_other = n - int(vocabulary.counts[spelled].sum()), v - int(spelled.sum())
+    net, _ = train(learned.select("row", "text"), vocabulary, n_other)
     scored = written(
         texts.mapInArrow(
             _scorer(net.flat, vocabulary),
