@@ -85,64 +85,56 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
+def _bodies(formatted: Column) -> Column:
+    pieces = F.split(formatted, END, -1)
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """Turns read from ``formatted``: ``conv_id, position, role, text, start, length``.
+    """Turns read from ``formatted``, one row each: ``conv_id, position, role, text, start, length``.
 
     ``start`` and ``length`` place the body text, as written, in the formatted text (code points);
-    the spans of role ``assistant`` are the loss mask. Other columns of the input are kept.
+    the spans of role ``assistant`` are the loss mask. Rows carry their own turn only.
     """
-    turns = formatted.select("*", F.posexplode(F.split("formatted", END, -1)).alias("position", "body"))
+    turns = formatted.select("conv_id", F.posexplode(_bodies(F.col("formatted"))).alias("position", "body"))
     running = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     role, text, before = _body(F.col("body"))
-    return (
-        turns.filter(F.col("position") < F.size(F.split("formatted", END, -1)) - 1)
-        .withColumn("_at", F.coalesce(F.sum(F.length("body") + len(END)).over(running), F.lit(0)))
-        .select(
-            *formatted.columns,
-            "position",
-            unescape_role(role).alias("role"),
-            unescape(text).alias("text"),
-            (F.col("_at") + before).alias("start"),
-            (F.length("body") - before).alias("length"),
-        )
+    at = F.coalesce(F.sum(F.length("body") + len(END)).over(running), F.lit(0))
+    return turns.withColumn("_at", at).select(
+        "conv_id",
+        "position",
+        unescape_role(role).alias("role"),
+        unescape(text).alias("text"),
+        (F.col("_at") + before).alias("start"),
+        (F.length("body") - before).alias("length"),
     )
 
 
+def _parsed(body: Column) -> Column:
+    role, text, _ = _body(body)
+    return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Checks the round trip and digests what was read back, one row per conversation.
+    """Reads every conversation back and digests what was read, one row per conversation.
 
-    ``round_trip`` says whether every recovered turn equals its source. Texts under the loss mask
-    are cut out of the formatted text by the mask's spans, then unescaped.
+    ``round_trip`` says whether the recovered turns equal the source turns. The text under the loss
+    mask is that of the recovered turns of role ``assistant``.
     """
-    read = read_conversations(formatted)
-    masked = unescape(F.substr("formatted", F.col("start").cast("int") + 1, F.col("length")))
-    source = F.get("turns", "position")
-    per_turn = read.select(
+    read = formatted.select(
         "conv_id",
-        "position",
-        F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"),
-        F.when(F.col("role") == LOSS_ROLE, masked).otherwise("").alias("loss"),
-        F.struct("start", "length", "role").alias("span"),
-        ((F.col("role") == source["role"]) & (F.col("text") == source["text"])).alias("same"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("turns").alias("sources"),
+        F.transform(_bodies(F.col("formatted")), _parsed).alias("read"),
+        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
     )
-    turn = F.sort_array(F.collect_list(F.struct("position", "said", "loss")))
-    return (
-        per_turn.groupBy("conv_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_turns"),
-            turn.alias("t"),
-            F.max("formatted_chars").alias("formatted_chars"),
-            (F.min("same") & (F.count(F.lit(1)) == F.max("sources"))).alias("round_trip"),
-        )
-        .select(
-            "conv_id",
-            "n_turns",
-            F.sha2(F.array_join("t.said", ""), 256).alias("turns_sha256"),
-            F.length(F.array_join("t.loss", "")).cast("long").alias("loss_chars"),
-            F.sha2(F.array_join("t.loss", ""), 256).alias("loss_sha256"),
-            "formatted_chars",
-            "round_trip",
-        )
+    said = F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.transform(F.filter("read", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"])
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length(F.array_join(loss, "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join(loss, ""), 256).alias("loss_sha256"),
+        "formatted_chars",
+        (F.col("read") == F.col("source")).alias("round_trip"),
     )
