@@ -10,8 +10,8 @@ columns are accumulated exactly.
 
 Pairs of one group of copies are never all formed: members of a block are paired with its smallest
 member, first inside each chunk of the input, then between chunks. What is linked already needs no
-further pair. Where members of a block stay in different components, all their cross pairs are
-multiplied out, so no link is lost.
+further pair. Where members of a block stay in different components, their rows of the matrix are
+multiplied out in tiles, all pairs across components at once inside a task, so no link is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from lectern.llm.common import sized, without_rows, written
 from lectern.llm.components import components
 from lectern.llm.words import chunks, find_words, mix, numbers, sequence_hashes
 
+# Documents of a tile, and columns that a task multiplies out at a time.
+TILE = 1024
+COLUMNS = 2048
 EMPTY_BLOCK = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -182,6 +185,110 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common n-grams, left by right, summed over blocks of columns."""
+    grams, at, seen = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    column = np.cumsum(seen > 1) - 1
+    column[seen < 2] = -1
+    at = column[at]
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    counts = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(at, [low, low + COLUMNS])
+        part = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        part[owner[a:b], at[a:b] - low] = 1
+        counts += part[: len(left)] @ part[len(left) :].T
+    return counts.astype(np.int64)
+
+
+def _multiply(percent: int):
+    """Links between parts inside one pair of tiles; of several between the same parts, those that join them."""
+
+    def run(tiles: pa.Table) -> pa.Table:
+        rows, part, n = (tiles.column(c).to_numpy() for c in ("row", "part", "n_shingles"))
+        side = tiles.column("side").to_numpy()
+        sets = [s.values.to_numpy() for s in tiles.column("grams").combine_chunks()]
+        # Side 0 is the first tile, 1 the second; a tile paired with itself has side 2 only.
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        common = overlaps([sets[i] for i in one], [sets[i] for i in two])
+        reached = common * 100 >= (n[one][:, None] + n[two][None, :] - common) * percent
+        reached &= part[one][:, None] != part[two][None, :]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i, j in zip(*(v.tolist() for v in np.nonzero(reached)), strict=True):
+            p, q = find(int(part[one[i]])), find(int(part[two[j]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((rows[one[i]], rows[two[j]]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different parts of the same block; ``rest`` has ``block, row, part`` and ``low``, the block's least part.
+
+    Blocks that have a part in common are taken together, so a pair that meets in many blocks is
+    multiplied out once. Members are dealt to tiles of about ``TILE`` rows: large parts to tiles of their
+    own, which are not paired with each other, small parts together. Tile pairs whose sizes cannot
+    reach the threshold are left out.
+    """
+    chains = components(rest.select(F.col("part").alias("a"), F.col("low").alias("b")).distinct())
+    family = chains.select(F.col("node").alias("part"), F.col("component").alias("family"))
+    members = written(rest.select("row", "part").distinct().join(family, "part").join(sets.select("row", "n_shingles"), "row"), "families")
+    parts = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("n") > TILE
+    few = parts.filter(~own).groupBy("family").agg(F.ceil(F.sum("n") / TILE).alias("mixed"))
+    dealt = written(
+        members.join(parts, ["family", "part"])
+        .join(few, "family", "left")
+        .select(
+            "family",
+            "row",
+            "part",
+            "n_shingles",
+            F.when(own, F.col("part")).otherwise(F.lit(-1)).alias("of"),
+            F.when(own, F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / TILE))).otherwise(F.pmod(F.xxhash64("part"), F.col("mixed"))).alias("tile"),
+        ),
+        "dealt",
+    )
+    tiles = dealt.groupBy("family", "of", "tile").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    fits = (F.col("l.most") * 100 >= F.col("r.least") * percent) & (F.col("r.most") * 100 >= F.col("l.least") * percent)
+    ordered = F.struct("l.of", "l.tile") <= F.struct("r.of", "r.tile")
+    apart = (F.col("l.of") != F.col("r.of")) | (F.col("l.of") == -1)
+    pairs = written(
+        tiles.alias("l").join(tiles.alias("r"), "family").filter(fits & ordered & apart).select(
+            "family",
+            F.struct("l.of", "l.tile").alias("first"),
+            F.struct("r.of", "r.tile").alias("second"),
+        ),
+        "tiles",
+    )
+    key = F.xxhash64("family", "first", "second").alias("pair")
+    alike = F.col("first") == F.col("second")
+    sides = pairs.select("family", "first", "second", F.explode(F.when(alike, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.select("family", key, "side", F.when(F.col("side") == 1, F.col("second")).otherwise(F.col("first")).alias("t"))
+    return (
+        dealt.withColumn("t", F.struct("of", "tile"))
+        .join(sides, ["family", "t"])
+        .join(sets.select("row", "grams"), "row")
+        .select("family", "pair", "row", "part", "n_shingles", "side", "grams")
+        .groupBy("family", "pair")
+        .applyInArrow(_multiply(percent), "a long, b long")
+    )
+
+
 def jaccard_components(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -229,7 +336,7 @@ def jaccard_components(
     )
     links = written(tied.filter("same").select("a", "b").union(_linked(open_pairs, sets, percent)), "linked")
     found = written(components(links), "components")
-    # Blocks whose members are still apart: multiply out their cross pairs.
+    # Blocks whose members are still apart.
     placed = (
         edges.filter(~F.col("same"))
         .select("block", F.col("member").alias("row"))
@@ -237,20 +344,9 @@ def jaccard_components(
         .select("block", "row", F.coalesce("component", "row").alias("part"))
     )
     apart = placed.groupBy("block").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    rest = written(
-        placed.join(apart.select("block"), "block").join(sets.select("row", "n_shingles"), "row").distinct(), "apart"
-    )
-    cross = (
-        rest.alias("l")
-        .join(rest.alias("r"), "block")
-        .filter("l.row < r.row and l.part <> r.part")
-        .filter(f"least(l.n_shingles, r.n_shingles) * 100 >= greatest(l.n_shingles, r.n_shingles) * {int(percent)}")
-        .select(F.col("l.row").alias("a"), F.col("r.row").alias("b"))
-        .distinct()
-        .join(open_pairs, ["a", "b"], "left_anti")
-    )
-    more = written(_linked(written(cross, "cross"), sets, percent), "linked")
-    if more.limit(1).count():
+    rest = written(placed.join(apart.select("block", "low"), "block"), "apart")
+    if rest.limit(1).count():
+        more = written(_across(rest, sets, percent), "linked")
         found = written(components(links.union(more)), "components")
     ids = sets.select("row", "id", "n_shingles")
     member = found.withColumnRenamed("node", "row")

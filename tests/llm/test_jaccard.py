@@ -108,3 +108,26 @@ def test_words_follow_the_separators():
     assert split == [["a", "b", "c"], [], [], [" x y", "z"], ["lead"], ["trail"], ["a" * 100, "b"]]
     again = words.find_words(pa.array(["x", *texts]).slice(1), lower=True)
     assert (again.hashes == found.hashes).all()
+
+
+def test_overlaps_count_common_columns(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.int64)) for n in (1, 5, 30, 50, 20)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]
+    assert jaccard.overlaps(sets[:2], sets[2:]).tolist() == want
+
+
+def test_tiles_smaller_than_families(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        words_ = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words_[rng.randrange(120)] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(words_))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert [found[i] for i in range(60)] == brute(texts, 3, 90)[1]
