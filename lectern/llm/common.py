@@ -19,7 +19,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The table written once below the shared folder and read back: a cut in the lineage."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lectern.llm.common import written
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has a single smaller neighbour and no node is both a larger and a smaller one."""
+    ends = links.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select("lo", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).count()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -30,21 +34,16 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``pairs`` (columns ``a``, ``b``); the component is its smallest node.
 
-    Alternating large and small stars over written tables until nothing changes; each round is two
-    joins and two sums, all split by node. A pair of a node with itself is ignored, and so are
+    Alternating large and small stars over written tables until all links lead to a root; each round
+    is two joins and two sums, all split by node. A pair of a node with itself is ignored, and so are
     pairs with a null.
     """
     links = written(
         pairs.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
         "links",
     )
-    before = _state(links)
-    while before[0]:
-        links = written(_small_star(_large_star(links).distinct()).distinct(), "links")
-        now = _state(links)
-        if now == before:
-            break
-        before = now
+    while not _settled(links):
+        links = written(_small_star(_large_star(links)).distinct(), "links")
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
