@@ -134,27 +134,29 @@ def _entity_rules(rules: str | dict) -> dict:
     }
 
 
-def split_proposer(load, window: int = 20, step: int = 10, max_iterations: int | None = 50):
+def split_proposer(load, window: int = 20, step: int = 10):
     """Split points of a document's pieces, proposed window by window by a loaded function.
 
     ``load`` runs once per batch of rows and returns pieces -> split points relative to the
     window. A call without points splits half-way, a failing call after ``step`` pieces; the
-    next window starts at the last split. The last ``step`` pieces are not asked about.
+    next window starts at the last split. The last ``step`` pieces are not asked about, all
+    others are, however many there are; a window that proposes only its own start ends the search.
     """
 
+    def points(ask, part: list[str]) -> set[int]:
+        """Proposed points of one window, 0 included if it was proposed."""
+        try:
+            asked = {int(s) for s in ask(part)}
+        except Exception:
+            return {step}
+        return {s for s in asked if s >= 0} or {len(part) // 2}
+
     def propose(ask, pieces: list[str]) -> list[int]:
-        cuts, at, rounds = {0}, 0, 0
-        while at < len(pieces) - step and (max_iterations is None or rounds < max_iterations):
-            rounds += 1
-            part = pieces[at : at + window]
-            try:
-                found = [int(s) for s in ask(part) if s >= 0] or [len(part) // 2]
-            except Exception:
-                found = [step]
-            cuts.update(at + s for s in found if s > 0)
-            if max(found) <= 0:
-                break
-            at += max(found)
+        cuts, at, moved = {0}, 0, True
+        while moved and len(pieces) - at > step:
+            found = points(ask, pieces[at : at + window])
+            cuts |= {at + s for s in found if s}
+            at, moved = at + max(found), max(found) > 0
         return sorted(cuts)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

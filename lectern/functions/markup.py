@@ -18,7 +18,7 @@ from lectern.functions.text import bind, last_items, strip
 # group, which would recurse once per table row in the regex engine.
 ROW_MARK = "\u0001"
 TABLE_MARK = "\u0002"
-_PIPE_BREAK = r"(?<=\|[ \t]{0,16})\n(?=[ \t]*\|)"
+_PIPE_BREAK = r"(\|[ \t]*)\n(?=[ \t]*\|)"
 HTML_TABLE = r"(?is:<table\b[^>]*>.*?</table\s*>)"
 PIPE_TABLE = (
     r"(?m:^[ \t]*\|[^\n\x01]+\|[ \t]*\x01[ \t]*\|?[ \t]*:?-[-: |\t]*\|[ \t]*(?:\x01[^\n]*)?$)"
@@ -49,7 +49,7 @@ def sections(text: Column, level: int = fixed.HEADER_LEVEL, keep_preamble: bool
 
 
 def join_pipe_rows(section: Column) -> Column:
-    return F.when(F.contains(section, F.lit("|")), F.regexp_replace(section, _PIPE_BREAK, ROW_MARK)).otherwise(
+    return F.when(F.contains(section, F.lit("|")), F.regexp_replace(section, _PIPE_BREAK, "$1" + ROW_MARK)).otherwise(
         section
     )
 

@@ -34,18 +34,21 @@ def complete(
     fallback: Column | None = None,
     name: str = "completion",
     batch_size: int = 32,
+    failed: str | None = None,
 ) -> DataFrame:
     """Adds the completion of a prompt column, the fallback where there is none.
 
     Each distinct prompt is completed once, however many rows share it; prompts are matched
     by a 256-bit digest, so the join moves digests and answers, not prompt texts. ``load``
-    runs once per Python worker. A batch whose call fails yields no completions, which
-    leaves those rows to the fallback.
+    runs once per Python worker. When a call with several prompts fails, its prompts are
+    asked one by one, so only those that fail alone are left to the fallback; ``failed`` names a
+    column that tells which rows those are.
     """
     if fallback is None:
         fallback = X.first_sentence_summary(F.col(prompt))
     if load is None:
-        return df.withColumn(name, fallback)
+        done = df.withColumn(name, fallback)
+        return done.withColumn(failed, F.lit(False)) if failed else done
     keyed = df.withColumn("_digest", F.sha2(F.col(prompt), 256))
     distinct = keyed.select("_digest", F.col(prompt).alias("prompt")).dropDuplicates(["_digest"])
 
@@ -54,17 +57,33 @@ def complete(
         for batch in batches:
             for low in range(0, len(batch), batch_size):
                 part = batch.iloc[low : low + batch_size]
-                try:
-                    answers = list(model(part["prompt"].tolist()))
-                except Exception:
-                    answers = [None] * len(part)
-                yield pd.DataFrame({"_digest": part["_digest"].tolist(), "_answer": answers})
-
-    answered = distinct.filter(F.col("_digest").isNotNull()).mapInPandas(run, "_digest string, _answer string")
-    joined = keyed.join(answered, "_digest", "left")
-    return joined.withColumn(name, F.coalesce(F.nullif(F.trim("_answer"), F.lit("")), fallback)).drop(
-        "_digest", "_answer"
+                answers = _answers(model, part["prompt"].tolist())
+                yield pd.DataFrame(
+                    {
+                        "_digest": part["_digest"].tolist(),
+                        "_answer": [a for a, _ in answers],
+                        "_failed": [f for _, f in answers],
+                    }
+                )
+
+    answered = distinct.filter(F.col("_digest").isNotNull()).mapInPandas(
+        run, "_digest string, _answer string, _failed boolean"
     )
+    # A prompt that most rows share is one row on the right and is sent to every task if all
+    # are few; otherwise adaptive execution splits the rows of such a prompt.
+    joined = keyed.join(answered, "_digest", "left")
+    done = joined.withColumn(name, F.coalesce(F.nullif(F.trim("_answer"), F.lit("")), fallback))
+    if failed:
+        done = done.withColumn(failed, F.coalesce("_failed", F.lit(False)))
+    return done.drop("_digest", "_answer", "_failed")
+
+
+def _answers(model: Callable[[list[str]], list[str | None]], prompts: list[str]) -> list[tuple[str | None, bool]]:
+    """(answer, failed) of each prompt; a failing call is repeated prompt by prompt."""
+    try:
+        return [(a, False) for a in model(prompts)]
+    except Exception:
+        return [(None, True)] if len(prompts) == 1 else [one for p in prompts for one in _answers(model, [p])]
 
 
 def extractive_answer(context: Column) -> Column:

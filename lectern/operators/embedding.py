@@ -17,6 +17,10 @@ from lectern.functions.rows import each
 from lectern.operators import ordinals
 
 DIM = 64
+# Titles of a corpus that are sent to every task when parts are joined to their totals.
+SENT_TITLES = 1 << 16
+# Partial sums that a task holds while it pools vectors.
+POOL_BYTES = 64 << 20
 
 
 def embed(df: DataFrame, column: str = "text", dim: int = DIM, name: str = "embedding") -> DataFrame:
@@ -115,7 +119,7 @@ def mean_pool(df: DataFrame, key: str, column: str = "vector", mask: str | None
                     sums[k] = (sums[k][0] + total, sums[k][1] + w)
                 else:
                     sums[k] = (total, w)
-            if len(sums) > 50_000:  # many keys: hand on partial sums instead of holding them
+            if len(sums) * matrix.shape[1] * 8 > POOL_BYTES:  # many keys: hand on partial sums instead of holding them
                 yield _frame(sums)
                 sums = {}
         if sums:
@@ -140,8 +144,9 @@ def section_summaries(chunks: DataFrame, order: str = "chunk_index", by: str = "
 
     Sections belong to one document, so a group is as large as a document. With
     ``by="title"`` equal titles of all documents form one section: its counts and metadata
-    are aggregated, and its text comes as one ``part`` per document, in document order,
-    because a title shared by a third of the corpus fits no single value.
+    are aggregated, and its text comes as one ``part`` per document, numbered in document order
+    (``section_id``, ``part_order``), because a title shared by a third of the corpus fits no
+    single value.
     """
     if by not in ("document", "title"):
         raise ValueError("by must be 'document' or 'title'")
@@ -163,8 +168,13 @@ def section_summaries(chunks: DataFrame, order: str = "chunk_index", by: str = "
     totals = grouped.groupBy("section_title").agg(
         F.sum("num_chunks").alias("num_chunks"), *[F.min_by(c, "source_file").alias(c) for c in meta]
     )
+    totals = totals.withColumn("section_id", F.sha2("section_title", 256))
     parts = grouped.select("section_title", F.col("source_file").alias("part"), "text")
-    return parts.join(totals, "section_title")
+    numbered = ordinals.running_number(parts, ["section_title"], ["part"], "part_order")
+    # Titles are one row each on the right. Few are sent to every task; of many, the rows of a
+    # title that most documents share are split by adaptive execution.
+    held = totals.count()
+    return numbered.join(F.broadcast(totals) if held <= SENT_TITLES else totals, "section_title")
 
 
 def embedding_catalog(

@@ -2,78 +2,38 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import bind
-
-ROWS_PER_SLICE = 4_000_000
-MAX_SLICES = 4_096
-
-
-def _slice_bounds(df: DataFrame, by: str, slices: int | None) -> list[float]:
-    """Cuts of the order column into even slices: at most ``MAX_SLICES`` numbers reach the driver."""
-    shares = ", ".join(repr(i / MAX_SLICES) for i in range(1, MAX_SLICES))
-    quantiles = F.expr(f"percentile_approx(cast(`{by}` AS double), array({shares}), 20000)")
-    found = df.agg(F.count(F.lit(1)).alias("n"), quantiles.alias("q")).first()
-    wanted = slices or -(-found["n"] // ROWS_PER_SLICE)
-    wanted = max(1, min(wanted, MAX_SLICES))
-    quantiles = found["q"] or []
-    picked = {quantiles[i * MAX_SLICES // wanted - 1] for i in range(1, wanted)} if quantiles else set()
-    return sorted(b for b in picked if math.isfinite(b))
-
-
-def _slice_of(position: Column, bounds: list[float]) -> Column:
-    """Number of bounds at or below the position, by binary search in a literal array."""
-    n = len(bounds)
-    cuts = F.expr("array(" + ", ".join(f"{b!r}D" for b in bounds) + ")")
-
-    def halve(step: int) -> Callable[[Column], Column]:
-        def advance(low: Column) -> Column:
-            reached = (low + step <= n) & (F.get(cuts, low + (step - 1)) <= position)
-            return F.when(reached, low + step).otherwise(low)
-
-        return advance
-
-    found = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        found = bind(found, halve(step))
-        step //= 2
-    return found
+from lectern.session import scratch_path
+from lectern.sources.store import stored
 
 
 def running_number(
     df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str, slices: int | None = None
 ) -> DataFrame:
-    """1-based position of each row in its group, for groups of any size.
+    """1-based position of each row in its group, for groups of any size and order columns of any type.
 
-    The first order column must be numeric; with the rest of ``order`` it must be unique
-    in a group. A plain ``row_number`` would sort a whole group in one task, so it is used
-    only for tables of at most ``ROWS_PER_SLICE`` rows. Larger ones are cut into slices at
-    quantiles of the order column; rows are numbered inside (group, slice), and each slice
-    starts after the rows counted in the slices before it. A (group, slice) pair holds about
-    one slice of all rows at most, however skewed the groups are, and the offsets window
-    sees one row per slice and group.
+    ``partition`` and ``order`` together must tell rows apart. Spark range-partitions the table by
+    them, so a group that holds most of the rows lies in many neighbouring slices; rows are numbered
+    within (group, slice), and a slice starts behind the rows that its group has in the slices before.
+    The numbered slices are written once to the shared folder: counts and rows then agree on where
+    the slices were cut, also when a task runs again.
     """
-    bounds = _slice_bounds(df, order[0], slices)
-    if not bounds:
-        window = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-    sliced = df.withColumn("_slice", _slice_of(F.col(order[0]).cast("double"), bounds))
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(slices, *partition, *order).withColumn("_slice", F.spark_partition_id())
     keys = [*partition, "_slice"]
-    counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("_slice")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = stored(cut.withColumn("_inside", inside), scratch_path(df.sparkSession, "numbered"))
+    counts = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per slice and group.
+    before = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys],
-        F.coalesce(F.sum("_rows").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        *[F.col(k).alias(f"_o_{k}") for k in keys], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    numbered = sliced.withColumn("_inside", F.row_number().over(inside))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
     return (
         numbered.join(offsets, on)
@@ -82,11 +42,22 @@ def running_number(
     )
 
 
+# Spark prunes ranks before the shuffle up to this limit (spark.sql.optimizer.windowGroupLimitThreshold).
+PRUNED_RANK = 1_000
+
+
 def top_rows(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows per group, numbered from 1.
 
-    The rank filter is pruned before the shuffle (at most ``k`` rows per group leave a
-    task), so a large group never meets in one task.
+    The rank filter is pruned before the shuffle (at most ``k`` rows per group leave a task), so a
+    large group never meets in one task. Beyond ``PRUNED_RANK`` Spark does not prune; then rows are
+    ranked in slices of each group first, and only the slices' best meet.
     """
-    window = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    def ranked(rows: DataFrame, by: Sequence) -> DataFrame:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
+
+    if k > PRUNED_RANK:
+        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        number = F.pmod(F.monotonically_increasing_id(), F.lit(slices))
+        df = ranked(df.withColumn("_slice", number), [*partition, "_slice"]).drop("_slice", name)
+    return ranked(df, partition)

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.functions import text as X
 from lectern.operators import chunking, completion, context, embedding, ingest, retrieval
 from lectern.plans.registry import Inputs, query
-from lectern.plans.text import tokens_sql, windows_sql
+from lectern.plans.text import language_sql, tokens_sql, windows_sql
 from lectern.plans.vectors import DIM, SLOTS, rounded
 from lectern.session import scratch_path
 from lectern.sources.store import stored
@@ -304,24 +305,21 @@ _CASES = " ".join(
 @query(
     "prompts",
     CONTEXT
-    + f""", typed AS (SELECT query_id, text, context, CASE WHEN num_sources >= 5 AND length(text) > 250 THEN 'comparison'
-        WHEN length(text) > 150 THEN 'summary' WHEN length(text) > 100 THEN 'chat' ELSE 'qa' END AS type,
-        CASE WHEN length(text) > 200 THEN 'ar' ELSE 'en' END AS language FROM contexts JOIN qn USING (query_id)),
-      known AS (SELECT *, CASE WHEN type = 'chat' THEN 'qa' ELSE type END AS kind FROM typed)
-    SELECT query_id, type AS question_type, language, CASE {_CASES} END AS prompt FROM known""",
+    + f""", typed AS (SELECT query_id, text, context, ['qa', 'summary', 'comparison', 'chat'][query_id % 4 + 1] AS type,
+        {language_sql('text')} AS language FROM contexts JOIN qn USING (query_id)),
+      known AS (SELECT * REPLACE (CASE WHEN language = 'ar' THEN 'ar' ELSE 'en' END AS language), language AS found,
+        CASE WHEN type = 'chat' THEN 'qa' ELSE type END AS kind FROM typed)
+    SELECT query_id, type AS question_type, found AS language, CASE {_CASES} END AS prompt FROM known""",
 )
 def prompts(t: Inputs):
-    size = F.length("question")
     joined = context.assemble_context(hits(t)).join(
         t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id"
     )
     typed = joined.withColumns(
         {
-            "question_type": F.when((F.col("num_sources") >= 5) & (size > 250), "comparison")
-            .when(size > 150, "summary")
-            .when(size > 100, "chat")  # unknown: falls back to qa
-            .otherwise("qa"),
-            "language": F.when(size > 200, "ar").otherwise("en"),
+            # "chat" is no known type and falls back to qa.
+            "question_type": F.element_at(F.array(*map(F.lit, ("qa", "summary", "comparison", "chat"))), (F.col("query_id") % 4 + 1).cast("int")),
+            "language": X.language(F.col("question")),
         }
     )
     return context.build_prompts(typed).select("query_id", "question_type", "language", "prompt")
@@ -355,12 +353,15 @@ def running_histories(t: Inputs):
 # ---- completion and answers ------------------------------------------------------------------------
 
 
+REFUSED = "there"
+
+
 def _reverse_model():
-    """A stand-in model: reverses short prompts, fails on batches with a very long one."""
+    """A stand-in model: reverses prompts, refuses a call in which any prompt holds a certain word."""
 
     def run(prompts: list[str]) -> list[str]:
-        if any(len(p) > 20_000 for p in prompts):
-            raise RuntimeError("prompt too long")
+        if any(REFUSED in p for p in prompts):
+            raise RuntimeError("refused")
         return [p[::-1] for p in prompts]
 
     return run
@@ -368,14 +369,14 @@ def _reverse_model():
 
 @query(
     "completions",
-    f"""SELECT doc_id, CASE WHEN length(text) <= 20000 THEN coalesce(nullif(trim(reverse(text)), ''), '.') ELSE CASE WHEN length(first) <= 100
+    f"""SELECT doc_id, contains(text, '{REFUSED}') AS refused, CASE WHEN NOT contains(text, '{REFUSED}') THEN coalesce(nullif(trim(reverse(text)), ''), '.') ELSE CASE WHEN length(first) <= 100
       THEN first || '.' ELSE substr(first, 1, 100) || '...' END END AS answer
     FROM (SELECT doc_id, text, trim(regexp_split_to_array(trim(text, E' \\n'), '[.!?]+\\s+')[1]) AS first FROM documents)""",
 )
 def completions(t: Inputs):
-    # One prompt per call, so that a failing prompt stands alone.
-    done = completion.complete(t.documents.select("doc_id", "text"), "text", _reverse_model, name="answer", batch_size=1)
-    return done.select("doc_id", "answer")
+    # Calls of the default size: refused prompts stand among others, which still get their answers.
+    done = completion.complete(t.documents.select("doc_id", "text"), "text", _reverse_model, name="answer", failed="refused")
+    return done.select("doc_id", "refused", "answer")
 
 
 @query(

@@ -12,22 +12,28 @@ from lectern.sources import corpus as files
 from lectern.sources import store
 
 
-def write_pages(t: Inputs) -> str:
-    """One text file per page."""
-    path = scratch_path(t.spark, "pages")
-    t.pages.select("page_id", "html").write.partitionBy("page_id").text(path)
+# Folders that hold the files, and envelopes or manifest entries of one file.
+FOLDERS, PER_FILE = 16, 100
+
+
+def write_files(t: Inputs, rows, key: str, text: str) -> str:
+    """One text file per row, its key in the first line, in a fixed number of folders."""
+    path = scratch_path(t.spark, "files")
+    rows.select(
+        F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias("folder"), F.concat(F.col(key).cast("string"), F.lit("\n"), F.col(text)).alias("value")
+    ).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
     return path
 
 
 def read_pages(t: Inputs, path: str):
     found = files.read_markdown(t.spark, path, "*.txt")
-    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long")
-    return found.withColumn("page_id", page).withColumn("text", F.regexp_replace("text", r"\n\z", ""))
+    page = F.regexp_extract("text", r"\A(\d+)\n", 1).cast("long")
+    return found.withColumn("page_id", page).withColumn("text", F.regexp_extract("text", r"(?s)\A\d+\n(.*)\n\z", 1))
 
 
 @query("files_scanned", "SELECT page_id, html AS text FROM pages")
 def files_scanned(t: Inputs):
-    return read_pages(t, write_pages(t)).select("page_id", "text")
+    return read_pages(t, write_files(t, t.pages, "page_id", "html")).select("page_id", "text")
 
 
 @query(
@@ -36,7 +42,7 @@ def files_scanned(t: Inputs):
     UNION ALL SELECT page_id, false, 'none', 'gone', NULL FROM pages""",
 )
 def manifest_applied(t: Inputs):
-    path = write_pages(t)
+    path = write_files(t, t.pages, "page_id", "html")
     pages = read_pages(t, path)
     entry = lambda file, univ, alias: F.struct(
         file.alias("file"),
@@ -45,15 +51,14 @@ def manifest_applied(t: Inputs):
         F.lit("2024").alias("year"),
         F.array(alias).alias("aliases"),
     )
-    here = F.regexp_extract("path", r"(page_id=\d+/.*)$", 1)
-    manifests = pages.select(
-        F.array(
-            entry(here, F.concat(F.lit("U"), F.col("page_id") % 7), F.lit("en")),
-            entry(F.concat(F.lit("gone/"), F.col("page_id"), F.lit(".md")), F.lit("none"), F.lit("gone")),
-        ).alias("files")
+    here = F.regexp_extract("path", r"(folder=\d+/.*)$", 1)
+    entries = F.array(
+        entry(here, F.concat(F.lit("U"), F.col("page_id") % 7), F.lit("en")),
+        entry(F.concat(F.lit("gone/"), F.col("page_id"), F.lit(".md")), F.lit("none"), F.lit("gone")),
     )
+    manifests = pages.groupBy(F.floor(F.col("page_id") / PER_FILE).alias("n")).agg(F.flatten(F.collect_list(entries)).alias("files"))
     where = scratch_path(t.spark, "manifests")
-    manifests.write.option("maxRecordsPerFile", 1).json(where)
+    manifests.select("files").write.option("maxRecordsPerFile", 1).json(where)
     applied = files.apply_manifest(pages, files.read_manifest(t.spark, where), path)
     return applied.select(
         F.col("program").cast("long").alias("page_id"), "found", "university_id", F.get("aliases", F.lit(0)).alias("alias"), "text"
@@ -105,14 +110,15 @@ def envelopes_read(t: Inputs):
         F.when(~secure, F.col("html")).alias("text"),
         F.struct(key.alias("source_file"), kind.alias("chunk_type")).alias("metadata"),
     )
-    envelopes = t.pages.select(
-        F.array(chunk).alias("chunks"),
-        F.array(table).alias("table_rows"),
-        F.lit(1).alias("total_chunks"),
-        F.lit(1).alias("total_table_rows"),
+    # An envelope is of one table format.
+    envelopes = t.pages.groupBy(F.floor(F.col("page_id") / PER_FILE).alias("n"), secure.alias("secure")).agg(
+        F.collect_list(chunk).alias("chunks"),
+        F.collect_list(table).alias("table_rows"),
+        F.count(F.lit(1)).alias("total_chunks"),
+        F.count(F.lit(1)).alias("total_table_rows"),
     )
     path = scratch_path(t.spark, "envelopes")
-    envelopes.write.option("maxRecordsPerFile", 1).json(path)
+    envelopes.drop("n", "secure").write.option("maxRecordsPerFile", 1).json(path)
     chunks, tables = store.read_envelope(t.spark, path)
     page = F.col("metadata.source_file").cast("long").alias("page_id")
     return chunks.select(page, F.lit("chunk").alias("kind"), "text", F.lit("-").alias("table_format")).unionByName(
@@ -141,12 +147,12 @@ def etl_written(t: Inputs):
 @query(
     "content_attached",
     """SELECT page_id, CASE WHEN length(url) % 3 = 0 THEN 'skipped' WHEN length(url) % 3 = 1 THEN 'updated' ELSE 'failed' END AS status,
-      CASE WHEN length(url) % 3 = 0 THEN url WHEN length(url) % 3 = 1 THEN html || E'\\n' END AS content,
-      CASE WHEN length(url) % 3 = 0 THEN NULL WHEN length(url) % 3 = 1 THEN strlen(html) + 1 END::BIGINT AS file_size
+      CASE WHEN length(url) % 3 = 0 THEN url WHEN length(url) % 3 = 1 THEN page_id || E'\\n' || html || E'\\n' END AS content,
+      CASE WHEN length(url) % 3 = 0 THEN NULL WHEN length(url) % 3 = 1 THEN strlen(page_id || html) + 2 END::BIGINT AS file_size
     FROM pages""",
 )
 def content_attached(t: Inputs):
-    path = write_pages(t)
+    path = write_files(t, t.pages, "page_id", "html")
     listed = read_pages(t, path).select("page_id", "path")
     # By length of the url: content already there, a file at the last candidate path, no file.
     case = F.length("url") % 3

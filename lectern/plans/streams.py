@@ -9,6 +9,7 @@ from lectern.plans import search
 from lectern.plans.registry import ORACLES, Inputs, query
 from lectern.plans.text import plain_sql, windows_sql
 from lectern.session import scratch_path
+from lectern.sources import corpus
 from lectern.streaming import jobs
 
 
@@ -62,19 +63,29 @@ def stream_answers(t: Inputs):
     )
 
 
-_TURNS = f"(SELECT 'c' || conv_id || '_' || turn AS name, {plain_sql('text')} AS text FROM conversations)"
+# The first word of a file is the turn's name, so the first chunk of a file tells whose chunks they are.
+_TURNS = f"""(SELECT name, {plain_sql("name || ' ' || text")} AS text, 'Université n° ' || length(text) % 5 AS university_id
+  FROM (SELECT 'c' || conv_id || '_' || turn AS name, text FROM conversations))"""
 
 
-@query("stream_ingest", windows_sql(512, 50, "name", _TURNS).replace("AS window_idx", "AS chunk_index"))
+@query("stream_ingest", windows_sql(512, 50, "name, university_id", _TURNS).replace("AS window_idx", "AS chunk_index"))
 def stream_ingest(t: Inputs):
+    """Files in folders with blanks and accents in their names, several deliveries, each file taken once."""
     path, out, checkpoint = (scratch_path(t.spark, n) for n in ("turns", "chunks", "checkpoint"))
-    turns = t.conversations.select(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("name"), "role", "text")
+    name = F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn")
+    turns = t.conversations.select(
+        F.concat(F.lit("Université n° "), F.length("text") % 5).alias("Universities"), F.concat(name, F.lit(" "), "text").alias("value"), "role"
+    )
     # Two deliveries, ingested by one stream position: each file is taken once.
     for part in ("role = 'user'", "role <> 'user'"):
-        turns.filter(part).drop("role").write.mode("append").partitionBy("name").text(path)
-        finish(jobs.ingest_stream(t.spark, path, out, checkpoint, "*.txt", key=F.regexp_extract("path", "name=([^/]+)/", 1)))
-    return t.spark.read.parquet(out).select(
-        F.col("source_file").alias("name"),
+        turns.filter(part).drop("role").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("Universities").text(path)
+        folder = F.concat(F.lit("Universities/"), F.regexp_extract("path", "Universities=([^/]+)/", 1), F.lit("/"), corpus.file_name(F.col("path")))
+        finish(jobs.ingest_stream(t.spark, path, out, checkpoint, "*.txt", key=folder))
+    chunks = t.spark.read.parquet(out)
+    names = chunks.filter("chunk_index = 0").select("source_file", F.regexp_extract("text", r"^(\S+)", 1).alias("name"))
+    return chunks.join(names, "source_file").select(
+        "name",
+        F.regexp_extract("source_file", "Universities/([^/]+)/", 1).alias("university_id"),
         "chunk_index",
         F.col("text").alias("chunk"),
         X.token_count(F.col("text")).alias("n_tokens"),

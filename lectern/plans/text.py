@@ -72,10 +72,23 @@ def whitespace_normalized(t: Inputs):
     return cleaning.normalize_whitespace(t.documents.select("doc_id", "text"))
 
 
-# The tables hold no compatibility characters, so NFC and NFKC agree on them.
-@query("unicode_normalized", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+# The tables hold no compatibility characters, so some are put in; each has its plain form beside it.
+_COMPATIBLE = (("of", "\ufb01\u2460", "fi1"), ("la", "\uff21\u00bd", "A1\u20442"), ("er", "\u2126e\u0301\u2075", "\u03a9\u00e95"))
+
+
+def _plain_form() -> str:
+    text = "text"
+    for word, _, plain in _COMPATIBLE:
+        text = f"replace({text}, ' {word} ', ' {plain} ')"
+    return f"nfc_normalize({text})"
+
+
+@query("unicode_normalized", f"SELECT doc_id, {_plain_form()} AS text FROM documents")
 def unicode_normalized(t: Inputs):
-    return cleaning.normalize_unicode(t.documents.select("doc_id", "text"))
+    text = F.col("text")
+    for word, odd, _ in _COMPATIBLE:
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {odd} "))
+    return cleaning.normalize_unicode(t.documents.select("doc_id", text.alias("text")))
 
 
 def _hits_sql() -> str:
@@ -272,6 +285,25 @@ def merged_pieces(t: Inputs):
     return chunking.merge_at_splits(pieces, chunking.even_splits(F.col("pieces")))
 
 
+# Windows of 20 pieces that move on by 7: cuts at 3 and 7 of each, as long as more than 10 pieces are left.
+_ASKED = "CASE WHEN n > 10 THEN ceil((n - 10) / 7.0)::INT ELSE 0 END"
+
+
+@query(
+    "proposed_pieces",
+    f"""WITH pieces AS ({windows_sql(5, 0)}),
+      placed AS (SELECT doc_id, window_idx AS i, chunk, CASE WHEN i >= 7 * asked THEN 7 * asked WHEN i % 7 < 3 THEN i - i % 7
+          ELSE i - i % 7 + 3 END AS start
+        FROM pieces JOIN (SELECT doc_id, {_ASKED} AS asked FROM (SELECT doc_id, count(*) AS n FROM pieces GROUP BY doc_id)) USING (doc_id))
+    SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS group_idx, chunk
+    FROM (SELECT doc_id, start, string_agg(chunk, ' ' ORDER BY i) AS chunk FROM placed GROUP BY doc_id, start)""",
+)
+def proposed_pieces(t: Inputs):
+    """Pieces of five tokens, so long documents have thousands, regrouped at proposed points."""
+    pieces = chunking.piece_arrays(t.documents.select("doc_id", "text"), size=5)
+    return chunking.merge_at_splits(pieces, chunking.proposed_splits(F.col("pieces"), lambda: lambda part: [3, 7]))
+
+
 @query(
     "semantic_pieces",
     f"""WITH pieces AS (SELECT doc_id, window_idx AS i, chunk, list_distinct({tokens_sql('lower(chunk)')}) AS words

@@ -106,11 +106,13 @@ def vectors_pooled(t: Inputs):
 
 @query(
     "embedding_catalog",
-    """SELECT vec_id AS chunk_id, 'hash-64' AS model_name, len(embedding)::INT AS embedding_dim,
-      (row_number() OVER (ORDER BY vec_id) + 999)::BIGINT AS position FROM embeddings""",
+    """SELECT chunk_id, 'hash-64' AS model_name, dim AS embedding_dim, (row_number() OVER (ORDER BY chunk_id) + 999)::BIGINT AS position
+    FROM (SELECT 'U' || label || '_General_2024_chunk_' || vec_id AS chunk_id, len(embedding)::INT AS dim FROM embeddings)""",
 )
 def embedding_catalog(t: Inputs):
-    rows = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    # Ids as the chunk operator makes them; positions follow their order as strings.
+    key = F.concat(F.lit("U"), "label", F.lit("_General_2024_chunk_"), "vec_id")
+    rows = t.embeddings.select(key.alias("chunk_id"), "embedding")
     return embedding.embedding_catalog(rows, "hash-64", start=1000)
 
 

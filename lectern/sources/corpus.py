@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from lectern import fixed
 
+# Chosen paths that are sent to the scan of file contents, at most.
+SENT_PATHS = 1 << 17
+
 MANIFEST = T.StructType(
     [
         T.StructField(
@@ -39,9 +42,10 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """(path, source_file, text), one row per file of the tree."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=True)
+def read_markdown(spark: SparkSession, path: str, glob: str = "*.md", stream: bool = False) -> DataFrame:
+    """(path, source_file, text), one row per file of the tree; of new files as a stream if asked."""
+    reader = spark.readStream if stream else spark.read
+    files = reader.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=True)
     full = _decoded(F.col("_metadata.file_path"))
     return files.select(full.alias("path"), file_name(full).alias("source_file"), F.col("value").alias("text"))
 
@@ -111,8 +115,9 @@ def candidate_paths(base: str = "") -> Column:
 def attach_content(documents: DataFrame, files: DataFrame, candidates: Column | None = None) -> DataFrame:
     """Documents with ``file_content``, ``file_size`` and ``status`` (updated, skipped, failed).
 
-    Candidate paths are matched to the list of files before any content is read; content
-    joins last, for the chosen path alone.
+    Candidate paths are matched to the list of files, without their content, before any content is
+    read. Few chosen paths are sent to the scan of the contents, so that content which nobody asks
+    for is dropped where it is read; many are joined by path.
     """
     options = candidates if candidates is not None else candidate_paths()
     listed = files.select(plain_path(F.col("path")).alias("_path"))
@@ -126,7 +131,8 @@ def attach_content(documents: DataFrame, files: DataFrame, candidates: Column |
     content = files.select(
         plain_path(F.col("path")).alias("_path"), F.col("content").alias("_content"), F.col("file_size").alias("_size")
     )
-    loaded = chosen.join(content, "_path").drop("_path")
+    few = chosen.limit(SENT_PATHS + 1).count() <= SENT_PATHS
+    loaded = content.join(F.broadcast(chosen) if few else chosen, "_path").drop("_path")
     base = documents
     for name, kind in (("file_content", "binary"), ("file_size", "long")):
         if name not in base.columns:

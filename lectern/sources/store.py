@@ -11,16 +11,21 @@ from pyspark.sql import types as T
 # ---- tables ---------------------------------------------------------------------------
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cores when its files have fewer splits than that.
+# A table of at most this many bytes of files is spread over the cores.
+SPREAD_BYTES = 64 << 20
 
-    Large tables have many splits and are read as they lie, without a shuffle. A table of a
-    few small files would otherwise keep all but a few cores idle in row-by-row text work.
+
+def read_table(spark: SparkSession, path: str, spread_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """A Parquet table as it lies; only one of few bytes is spread over the cores.
+
+    A small file is often a single row group and so a single task, which would leave all but one
+    core idle in row-by-row text work. Larger tables are never shuffled to be read.
     """
     df = spark.read.parquet(path)
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions() if hasattr(df, "_jdf") else df.rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if splits < cores else df
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if hasattr(df, "_jdf") else None
+    if held is None or held > spread_bytes:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

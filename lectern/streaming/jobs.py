@@ -64,10 +64,9 @@ def ingest_stream(
 
     ``key`` names a file by an expression over ``path``; by default the file name does.
     """
-    files = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=True)
-    located = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn(
-        "source_file", key if key is not None else corpus.file_name(F.col("path"))
-    )
+    located = corpus.read_markdown(spark, path, glob, stream=True)
+    if key is not None:
+        located = located.withColumn("source_file", key)
     docs = corpus.derive_path_metadata(located).drop("path").withColumn("aliases", F.array().cast("array<string>"))
     return _start(build(docs), checkpoint, trigger).format("parquet").outputMode("append").start(out)
 

@@ -123,3 +123,29 @@ def test_answers_keep_questions_without_hits(spark):
 def test_map_items(spark):
     doubled = completion.map_items(spark.range(5), lambda pdf: pdf.assign(id=pdf["id"] * 2), "id long")
     assert sorted(r["id"] for r in doubled.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_a_failing_prompt_leaves_the_others_their_answers(spark):
+    df = spark.createDataFrame([(i, "bad" if i % 16 == 3 else f"p{i}") for i in range(64)], "id int, p string").coalesce(1)
+
+    def load():
+        def ask(prompts):
+            if "bad" in prompts:
+                raise RuntimeError
+            return [p + "!" for p in prompts]
+
+        return ask
+
+    done = completion.complete(df, "p", load, F.lit("fallback"), failed="failed").collect()
+    assert all(r["completion"] == ("fallback" if r["p"] == "bad" else r["p"] + "!") for r in done)
+    assert {r["p"] for r in done if r["failed"]} == {"bad"} and sum(r["failed"] for r in done) == 4
+
+
+def test_a_prompt_shared_by_most_rows_is_asked_once(spark, tmp_path):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("hot").alias("p"))
+
+    def load():
+        return lambda prompts: [f"{p} {prompts.count(p)}" for p in prompts]
+
+    done = completion.complete(df, "p", load).filter("p = 'hot'")
+    assert done.count() == 2000 and done.select("completion").distinct().collect()[0][0] == "hot 1"

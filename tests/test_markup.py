@@ -150,3 +150,10 @@ def test_section_summaries(spark):
     assert [(r["text"], r["num_chunks"]) for r in by_doc] == [("A one.", 1), ("A three..", 1)]
     parts = embedding.section_summaries(chunks, by="title").orderBy("part").collect()
     assert [(r["part"], r["num_chunks"]) for r in parts] == [("0.md", 2), ("1.md", 2)]
+
+
+def test_pipe_rows_with_many_trailing_blanks(spark):
+    rows = ["| a | b |" + " " * 20, "|---|---|" + " " * 40, "| 1 | 2 |" + "\t" * 30, "| 3 | 4 |", "after"]
+    df = spark.createDataFrame([("\n".join(rows),)], "t string")
+    found = df.select(F.transform(M.table_sources(F.col("t")), M.table_rows).alias("r")).first()["r"]
+    assert found == [[["a", "b"], ["1", "2"], ["3", "4"]]]

@@ -229,13 +229,30 @@ def test_running_number_without_groups(spark):
     assert ordinals.running_number(df, [], ["id"], "n").filter("n <> id + 1").count() == 0
 
 
-def test_slices_bound_the_groups(spark):
-    # One group holds everything; no (group, slice) pair may.
-    df = spark.range(8000).select(F.lit("hot").alias("g"), "id")
-    bounds = ordinals._slice_bounds(df, "id", 16)
-    sliced = df.withColumn("s", ordinals._slice_of(F.col("id").cast("double"), bounds))
-    assert sliced.filter("s <> 0").count() > 7000
-    assert sliced.groupBy("g", "s").count().agg(F.max("count")).first()[0] <= 8000 / 16 * 1.2
+def test_running_number_orders_strings(spark):
+    # No order column is numeric; one group holds most rows.
+    rows = [("hot" if i % 4 else None, f"U_chunk_{i}", "x" * (i % 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, a string, b string").repartition(5)
+    numbered = ordinals.running_number(df, ["g"], ["a", "b"], "n", slices=16)
+    expected = df.selectExpr("*", "cast(row_number() OVER (PARTITION BY g ORDER BY a, b) AS long) AS n")
+    assert numbered.exceptAll(expected).count() == 0 and numbered.count() == 2000
+    alone = ordinals.running_number(df, [], ["a"], "n", slices=16)
+    assert [r["n"] for r in alone.orderBy("a").collect()] == list(range(1, 2001))
+
+
+def test_slices_split_a_hot_group(spark):
+    df = spark.range(8000).select(F.lit("hot").alias("g"), F.col("id").cast("string").alias("id"))
+    seen = df.repartitionByRange(16, "g", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert seen < 8000 / 16 * 2
+
+
+def test_top_rows_beyond_the_pruned_rank(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("g"), "id").repartition(4)
+    found = ordinals.top_rows(df, ["g"], [F.col("id").desc()], 2000)
+    expected = df.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY id DESC) AS rank").filter("rank <= 2000")
+    assert found.exceptAll(expected).count() == 0 and found.count() == 4000
+    # Two stages: slices of a group are ranked before the group meets.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Window [") == 2
 
 
 def test_dedup_keeps_the_first(spark):

@@ -106,14 +106,8 @@ def test_store(spark, tmp_path):
 def test_small_tables_are_spread_and_large_ones_left(spark, sf, tmp_path):
     df = store.read_table(spark, f"{sf}/documents.parquet")
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.range(1000).repartition(9).write.parquet(str(tmp_path / "many"))
-    old = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
-    try:
-        plan = store.read_table(spark, str(tmp_path / "many"))._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", old)
-    assert "Repartition" not in plan
+    large = store.read_table(spark, f"{sf}/documents.parquet", spread_bytes=1000)
+    assert "Repartition" not in large._jdf.queryExecution().optimizedPlan().toString()
 
 
 class FakeSession:

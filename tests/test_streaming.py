@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lectern.operators import embedding, retrieval
+from lectern.sources import corpus
 from lectern.streaming import jobs
 
 
@@ -22,6 +23,16 @@ def test_files_are_ingested_once(spark, tmp_path):
     assert [r[0] for r in run()] == ["a.md", "b.md"]
 
 
+def test_ingest_stream_names_files_as_the_batch_reader(spark, tmp_path):
+    folder = tmp_path / "src" / "Universities" / "X Y+é"
+    folder.mkdir(parents=True)
+    (folder / "my file é+%.md").write_text("# T\ntext", encoding="utf-8")
+    jobs.ingest_stream(spark, str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    batch = corpus.derive_path_metadata(corpus.read_markdown(spark, str(tmp_path / "src"))).first()
+    assert (row["source_file"], row["university_id"]) == (batch["source_file"], batch["university_id"]) == ("my file é+%.md", "X Y+é")
+
+
 def test_late_rows_update_open_windows_only(spark, tmp_path):
     src, out = tmp_path / "log", tmp_path / "out"
     schema = "ts timestamp_ntz, event_type string, value double"

@@ -229,6 +229,12 @@ def test_proposed_splits(spark):
     assert asked["f"] == [0, 3, 7, 10, 14, 17, 21]
 
 
+def test_proposed_splits_reach_the_last_piece(spark):
+    df = spark.createDataFrame([([str(i) for i in range(2000)],)], "pieces array<string>")
+    cuts = df.select(chunking.proposed_splits(F.col("pieces"), lambda: lambda part: [3, 7]).alias("f")).first()["f"]
+    assert cuts == [0, *(c for k in range(285) for c in (7 * k + 3, 7 * k + 7) if 2000 - 7 * k > 10)]
+
+
 def test_entities_are_unescaped_but_markup_is_not_made(spark):
     df = texts(spark, "caf&eacute; &#8217;x&#x2019; &lt;b&gt; &amp; &unknown; &", "plain", None)
     assert column(cleaning.unescape_entities(df), "text") == ["café ’x’ &lt;b&gt; &amp; &unknown; &", "plain", None]
