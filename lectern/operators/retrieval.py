@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,7 @@ HIT_ROWS = 1 << 20
 VOCABULARY_ROWS = 1 << 18
 MAX_CELLS = 1 << 20
 _BLOCK = 4_000_000  # scores held at once
+_PAIRS = 200_000  # pairs of vectors multiplied at once
 
 
 # ---- kernels: run inside tasks ---------------------------------------------------
@@ -80,6 +82,25 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rows[keep], cols[keep], found[keep]
 
 
+def _best_pairs(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (row, column, score) per row of a list of scored pairs; equal scores go to the lower column."""
+    order = np.lexsort((cols, -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], scores[keep]
+
+
+def _sorted_items(items: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their vectors, and the order itself."""
+    ids = _ids(items["item_id"])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], _matrix(items["embedding"])[order], order
+
+
+# A kernel prepares a query table once per task (or cell) and then scores one block of items after
+# the other against what it prepared.
+
+
 @dataclass(frozen=True)
 class VectorKernel:
     """Inner product (``ip``) or negative squared distance (``l2``) of vectors."""
@@ -87,11 +108,14 @@ class VectorKernel:
     metric: str = "ip"
     skip_same_id: bool = False
 
-    def __call__(self, items: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple]:
-        item_ids = _ids(items["item_id"])
-        order = np.argsort(item_ids, kind="stable")
-        item_ids, x = item_ids[order], _matrix(items["embedding"])[order]
-        query_ids, q = _ids(queries["query_id"]), _matrix(queries["embedding"])
+    def prepare(self, queries: pa.Table) -> tuple:
+        return _ids(queries["query_id"]), _matrix(queries["embedding"])
+
+    def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:
+        item_ids, x, _ = _sorted_items(items)
+        yield from self.scored(item_ids, x, *prepared, k)
+
+    def scored(self, item_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
         x_sq = (x * x).sum(axis=1) if self.metric == "l2" else None
         step = max(1, _BLOCK // max(len(item_ids), 1))
         for low in range(0, len(query_ids), step):
@@ -108,59 +132,145 @@ class VectorKernel:
             yield block_ids[rows], item_ids[cols], found
 
 
+@dataclass(frozen=True)
+class ListKernel:
+    """Inner products of the items of each list with the queries that probe it, where the items lie."""
+
+    centroids: np.ndarray
+    probes: int
+    skip_same_id: bool = False
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        return _best_lists(q, self.centroids, self.probes)
+
+    def prepare(self, queries: pa.Table) -> tuple:
+        query_ids, q = _ids(queries["query_id"]), _matrix(queries["embedding"])
+        lists = self.probed(q) if len(query_ids) else np.zeros((0, self.probes), np.int64)
+        asking = np.repeat(np.arange(len(query_ids)), lists.shape[1])
+        order = np.argsort(lists.ravel(), kind="stable")
+        bounds = np.searchsorted(lists.ravel()[order], np.arange(len(self.centroids) + 1))
+        return query_ids, q, asking[order], bounds
+
+    def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:
+        query_ids, q, asking, bounds = prepared
+        item_ids, x, order = _sorted_items(items)
+        lists = _ids(items["list_id"]).astype(np.int64)[order]
+        by_list = np.argsort(lists, kind="stable")
+        exact = VectorKernel("ip", self.skip_same_id)
+        edges = np.flatnonzero(np.diff(lists[by_list], prepend=-1, append=len(self.centroids)))
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            own = by_list[a:z]
+            wanted = asking[bounds[lists[own[0]]] : bounds[lists[own[0]] + 1]]
+            if len(wanted):
+                yield from exact.scored(item_ids[own], x[own], query_ids[wanted], q[wanted], k)
+
+
+@dataclass(frozen=True)
+class BucketKernel:
+    """Inner products of items and queries that share a random-hyperplane bucket in any table."""
+
+    planes: np.ndarray
+    tables: int
+    skip_same_id: bool = False
+
+    def prepare(self, queries: pa.Table) -> tuple:
+        query_ids, q = _ids(queries["query_id"]), _matrix(queries["embedding"])
+        codes = _codes(q, self.planes, self.tables) if len(query_ids) else np.zeros((0, self.tables), np.int64)
+        orders = np.argsort(codes, axis=0, kind="stable")
+        return query_ids, q, orders, np.take_along_axis(codes, orders, 0)
+
+    def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:
+        query_ids, q, orders, codes = prepared
+        item_ids, x, _ = _sorted_items(items)
+        if not len(item_ids) or not len(query_ids):
+            return
+        own = _codes(x, self.planes, self.tables)
+        step = max(1, _BLOCK // (len(query_ids) * 2))
+        for at in range(0, len(item_ids), step):
+            pairs = []
+            for table in range(self.tables):
+                part = own[at : at + step, table]
+                low, high = (np.searchsorted(codes[:, table], part, side) for side in ("left", "right"))
+                rows, nth = _expanded(high - low)
+                pairs.append((rows + at) * len(query_ids) + orders[low[rows] + nth, table])
+            met = np.unique(np.concatenate(pairs))
+            item, query = met // len(query_ids), met % len(query_ids)
+            if self.skip_same_id:
+                other = item_ids[item] != query_ids[query]
+                item, query = item[other], query[other]
+            scores = np.concatenate(
+                [np.einsum("nd,nd->n", x[item[i : i + _PAIRS]], q[query[i : i + _PAIRS]]) for i in range(0, len(item), _PAIRS)] or [np.zeros(0)]
+            )
+            query, item, found = _best_pairs(query, item, np.round(scores, SCORE_DECIMALS) + 0.0, k)
+            yield query_ids[query], item_ids[item], found
+
+
+def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position its count times the position itself, and the running number there."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 @dataclass(frozen=True)
 class LexicalKernel:
-    """BM25 of token lists against weighted query terms; items without a common term score nothing."""
+    """BM25 of token lists against weighted query terms; items without a common term score nothing.
+
+    The queries are postings, term -> (query, weight). Only (item, term) cells with a term that some
+    query has are expanded by that term's postings and summed by (query, item), so the work follows
+    the number of matches, not vocabulary times queries.
+    """
 
     k1: float
     b: float
     mean_length: float
 
-    def __call__(self, items: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple]:
+    def prepare(self, queries: pa.Table) -> tuple:
         query_ids = _ids(queries["query_id"])
         terms = _plain(queries["terms"])
-        vocabulary = terms.flatten().dictionary_encode()
-        index = {t: i for i, t in enumerate(vocabulary.dictionary.to_pylist())}
-        if not index:
-            return
-        q_rows = np.repeat(np.arange(len(query_ids)), terms.value_lengths().to_numpy(zero_copy_only=False))
-        q_cols = vocabulary.indices.to_numpy(zero_copy_only=False)
-        q_weights = _plain(queries["weights"]).flatten().to_numpy(zero_copy_only=False)
-
+        words = terms.flatten().dictionary_encode()
+        owner = np.repeat(np.arange(len(query_ids)), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        columns = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(columns, kind="stable")
+        bounds = np.searchsorted(columns[order], np.arange(len(words.dictionary) + 1))
+        weights = _plain(queries["weights"]).flatten().to_numpy(zero_copy_only=False)
+        return query_ids, words.dictionary, bounds, owner[order], weights[order]
+
+    def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:
+        query_ids, vocabulary, bounds, owner, weights = prepared
         item_ids = _ids(items["item_id"])
         order = np.argsort(item_ids, kind="stable")
         tokens = _plain(items["tokens"]).take(pa.array(order))
         item_ids = item_ids[order]
         lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         words = tokens.flatten().dictionary_encode()
-        known = np.array([index.get(w, -1) for w in words.dictionary.to_pylist()], dtype=np.int64)
-        if not len(known):
+        if not len(vocabulary) or not len(words.dictionary):
             return
-        t_cols = known[words.indices.to_numpy(zero_copy_only=False)]
-        t_rows = np.repeat(np.arange(len(item_ids)), lengths)
-        t_rows, t_cols = t_rows[t_cols >= 0], t_cols[t_cols >= 0]
-        width = len(index)
-        cells, tf = np.unique(t_rows * width + t_cols, return_counts=True)
-        rows, cols = cells // width, cells % width
+        known = pc.fill_null(pc.index_in(words.dictionary, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        columns = known.astype(np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+        rows = np.repeat(np.arange(len(item_ids)), lengths)
+        rows, columns = rows[columns >= 0], columns[columns >= 0]
+        cells, tf = np.unique(rows * len(vocabulary) + columns, return_counts=True)
+        rows, columns = cells // len(vocabulary), cells % len(vocabulary)
         saturated = tf * (self.k1 + 1) / (
             tf + self.k1 * (1 - self.b + self.b * lengths[rows] / max(self.mean_length, 1e-9))
         )
-        # Dense blocks: items x terms times terms x queries, both cut to the block budget.
-        q_step = max(1, _BLOCK // width)
-        i_step = max(1, _BLOCK // max(width, min(q_step, len(query_ids))))
-        for q_low in range(0, len(query_ids), q_step):
-            q_high = min(q_low + q_step, len(query_ids))
-            inside = (q_rows >= q_low) & (q_rows < q_high)
-            weights = np.zeros((width, q_high - q_low))
-            np.add.at(weights, (q_cols[inside], q_rows[inside] - q_low), q_weights[inside])
-            for i_low in range(0, len(item_ids), i_step):
-                a, z = np.searchsorted(rows, [i_low, i_low + i_step])
-                block = np.zeros((min(i_step, len(item_ids) - i_low), width))
-                block[rows[a:z] - i_low, cols[a:z]] = saturated[a:z]
-                scores = np.round((block @ weights).T, SCORE_DECIMALS)
-                scores[scores <= 0] = -np.inf
-                r, c, found = _best(scores, k)
-                yield query_ids[q_low + r], item_ids[i_low + c], found
+        # Whole items at a time, as many as keep their matches within the block budget.
+        matches = bounds[columns + 1] - bounds[columns]
+        done = np.concatenate([[0], np.cumsum(matches)])
+        low = 0
+        while low < len(rows):
+            reach = int(np.searchsorted(done, done[low] + _BLOCK, "right")) - 1
+            high = int(np.searchsorted(rows, rows[min(reach, len(rows) - 1)])) if reach < len(rows) else len(rows)
+            high = high if high > low else int(np.searchsorted(rows, rows[low], "right"))
+            cell, nth = _expanded(matches[low:high])
+            cell += low
+            at = bounds[columns[cell]] + nth
+            pairs, place = np.unique(owner[at] * len(item_ids) + rows[cell], return_inverse=True)
+            scores = np.round(np.bincount(place, saturated[cell] * weights[at], len(pairs)), SCORE_DECIMALS)
+            pairs, scores = pairs[scores > 0], scores[scores > 0]
+            query, item, found = _best_pairs(pairs // len(item_ids), pairs % len(item_ids), scores, k)
+            yield query_ids[query], item_ids[item], found
+            low = high
 
 
 def _candidates(parts: list[tuple], k: int) -> pd.DataFrame:
@@ -199,10 +309,11 @@ def _search_in_place(items: DataFrame, queries: DataFrame, small: pa.Table, kern
         best: list[tuple] = []
         held = 0
         arrow_schema = to_arrow_schema(schema)
+        prepared = kernel.prepare(shipped.value)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for part in kernel(pa.Table.from_batches([batch]), shipped.value, k):
+            for part in kernel(pa.Table.from_batches([batch]), prepared, k):
                 best.append(part)
                 held += len(part[0])
             if held > 1_000_000:  # keep one running top-k per task
@@ -263,7 +374,7 @@ def search_cells(
         arrow_schema = to_arrow_schema(schema)
         if not left_rows.num_rows or not right_rows.num_rows:
             return arrow_schema.empty_table()
-        parts = list(kernel(left_rows, right_rows, k))
+        parts = list(kernel(left_rows, kernel.prepare(right_rows), k))
         if not parts:
             return arrow_schema.empty_table()
         return pa.Table.from_pandas(_candidates(parts, k), schema=arrow_schema, preserve_index=False)
@@ -274,6 +385,15 @@ def search_cells(
     )
 
 
+def _counted(queries: DataFrame, rows: int) -> pa.Table | None:
+    """The queries if they are few enough for every task, by rows and bytes.
+
+    At most ``rows`` + 1 of them reach the driver; this is the size check itself.
+    """
+    small = queries.limit(rows + 1).toArrow()
+    return small if small.num_rows <= rows and small.nbytes <= BROADCAST_BYTES else None
+
+
 def _top_k(
     items: DataFrame, queries: DataFrame, kernel, k: int, strategy: str, rows: int, cell_items: int
 ) -> tuple[DataFrame, int | None]:
@@ -282,9 +402,8 @@ def _top_k(
         raise ValueError(f"unknown strategy {strategy!r}")
     found, bound = None, None
     if strategy != "cells":
-        # At most `rows` + 1 queries reach the driver; this is the size check itself.
-        small = queries.limit(rows + 1).toArrow()
-        if small.num_rows <= rows and small.nbytes <= BROADCAST_BYTES:
+        small = _counted(queries, rows)
+        if small is not None:
             found, bound = _search_in_place(items, queries, small, kernel, k), small.num_rows * k
         elif strategy == "in_place":
             raise ValueError("too many queries to send to every task")
@@ -347,42 +466,37 @@ class ClusterIndex:
     centroids: np.ndarray
 
 
+def _best_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The n best centroids of each vector by inner product, best first."""
+    scores = np.round(x @ centroids.T, SCORE_DECIMALS)
+    return np.argsort(-scores, axis=1, kind="stable")[:, :n]
+
+
 def _nearest(centroids: np.ndarray, n: int):
-    """array<int> of the n best centroids by inner product, best first."""
+    """array<int> of the n best centroids. Marked nondeterministic, so that it is computed once per vector."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def lists(embeddings: pa.Array) -> pa.Array:
         rows = len(embeddings)
         if rows == 0:
             return pa.array([], pa.list_(pa.int32()))
-        scores = np.round(_matrix(embeddings) @ centroids.T, SCORE_DECIMALS)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)
+        order = _best_lists(_matrix(embeddings), centroids, n).astype(np.int32)
         offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * order.shape[1])
         return pa.ListArray.from_arrays(offsets, pa.array(order.reshape(-1)))
 
-    return lists
+    return lists.asNondeterministic()
 
 
-def ivf_build(
-    items: DataFrame, nlist: int = 100, seed: int = 7, train_rows_per_list: int = 256, max_iter: int = 20
-) -> ClusterIndex:
-    """Clusters the vectors and assigns each item to its best centroid by inner product.
+def ivf_build(items: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int = 20) -> ClusterIndex:
+    """Clusters all vectors (distributed k-means) and assigns each item to its best centroid by inner product.
 
-    Centroids are trained on at most ``train_rows_per_list * nlist`` vectors; every item is
-    assigned. Write ``index.items`` with ``partitionBy("list_id")`` to let searches read only
-    the probed lists.
+    Store the index with :func:`ivf_store`: items are then assigned once, and searches read only the
+    probed lists.
     """
     if not 0 < nlist <= 65_536:
         raise ValueError("nlist must be between 1 and 65536")
     pool = items.filter(F.col("embedding").isNotNull())
-    budget = train_rows_per_list * nlist
-    n = pool.count()
-    vectors_df = pool.select("item_id", "embedding")
-    if n > budget:
-        # A hash of the id picks the training rows, so a rerun trains on the same ones.
-        share = max(1, int(n / budget))
-        vectors_df = vectors_df.filter(F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(share)) == 0)
-    training = vectors_df.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
+    training = pool.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
     try:
         model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(training)
     finally:
@@ -394,6 +508,21 @@ def ivf_build(
     return ClusterIndex(assigned, centroids)
 
 
+def ivf_store(index: ClusterIndex, path: str) -> ClusterIndex:
+    """Writes an index, items by list and the centroids beside them, and returns the stored one."""
+    spark = index.items.sparkSession
+    index.items.write.partitionBy("list_id").parquet(f"{path}/items")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+    return ivf_load(spark, path)
+
+
+def ivf_load(spark, path: str) -> ClusterIndex:
+    """A stored index; its at most 65,536 centroids are read to the driver."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
+    return ClusterIndex(spark.read.parquet(f"{path}/items"), np.array([r["centroid"] for r in rows]))
+
+
 def ivf_search(
     index: ClusterIndex,
     queries: DataFrame,
@@ -402,69 +531,94 @@ def ivf_search(
     skip_same_id: bool = False,
     cell_items: int = CELL_ITEMS,
     cell_queries: int = CELL_QUERIES,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Top-k among the items of each query's ``nprobe`` best lists.
 
-    The numbers of the probed lists (at most ``nlist``) are collected, so that a table
-    partitioned by ``list_id`` is read only where a query looks.
+    Counted queries are sent to every task with the lists they probe, and items are scored where they
+    lie: nothing but hits is shuffled. A table partitioned by ``list_id`` is read only where a
+    query looks. More queries meet the items in cells of (list, fragment).
     """
     probes = min(nprobe, len(index.centroids))
-    encoded = queries.filter(F.col("embedding").isNotNull())
-    asked = each(encoded, ["query_id", "embedding"], _nearest(index.centroids, probes)(F.col("embedding")), "list_id")
+    encoded = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
     pool = index.items.select("item_id", "embedding", "list_id")
-    if probes < len(index.centroids):
-        pool = pool.filter(F.col("list_id").isin([r["list_id"] for r in asked.select("list_id").distinct().collect()]))
-    found = search_cells(pool, asked, VectorKernel("ip", skip_same_id), k, ["list_id"], cell_items, cell_queries)
+    small = _counted(encoded, broadcast_rows)
+    if small is not None:
+        kernel = ListKernel(index.centroids, probes, skip_same_id)
+        if probes < len(index.centroids) and small.num_rows:
+            pool = pool.filter(F.col("list_id").isin(np.unique(kernel.probed(_matrix(small["embedding"]))).tolist()))
+        found = _search_in_place(pool, encoded, small, kernel, k)
+    else:
+        asked = each(encoded, ["query_id", "embedding"], _nearest(index.centroids, probes)(F.col("embedding")), "list_id")
+        found = search_cells(pool, asked, VectorKernel("ip", skip_same_id), k, ["list_id"], cell_items, cell_queries)
     return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
 # ---- hyperplane buckets --------------------------------------------------------------
 
 
-def _buckets(dim: int, tables: int, bits: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
-    powers = 1 << np.arange(bits, dtype=np.int32)
+# Items that a bucket of one table holds on average.
+BUCKET_ITEMS = 64
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+
+def _codes(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
+    """Bucket of each vector in each table: the sides of the table's hyperplanes it lies on."""
+    sides = (x @ planes.T >= 0).reshape(len(x), tables, -1)
+    return (sides * (1 << np.arange(sides.shape[2], dtype=np.int64))).sum(axis=2)
+
+
+def _buckets(planes: np.ndarray, tables: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def signature(embeddings: pa.Array) -> pa.Array:
         rows = len(embeddings)
         if rows == 0:
-            return pa.array([], pa.list_(pa.int32()))
-        sides = (_matrix(embeddings) @ planes.T >= 0).reshape(rows, tables, bits)
-        codes = (sides * powers).sum(axis=2).astype(np.int32)
+            return pa.array([], pa.list_(pa.int64()))
         offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * tables)
-        return pa.ListArray.from_arrays(offsets, pa.array(codes.reshape(-1)))
+        return pa.ListArray.from_arrays(offsets, pa.array(_codes(_matrix(embeddings), planes, tables).reshape(-1)))
 
-    return signature
+    return signature.asNondeterministic()
 
 
 def lsh_search(
     items: DataFrame,
     queries: DataFrame,
     k: int = fixed.RETRIEVAL_K,
-    dim: int = 64,
-    tables: int = 12,
-    bits: int = 6,
+    tables: int = 32,
+    bits: int | None = None,
     seed: int = 7,
     skip_same_id: bool = False,
     cell_items: int = CELL_ITEMS,
     cell_queries: int = CELL_QUERIES,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Approximate top-k: items that share a random-hyperplane bucket with the query, scored exactly."""
-    if tables * (1 << bits) > MAX_CELLS:
-        raise ValueError(f"tables * 2**bits must not exceed {MAX_CELLS}")
-    codes = _buckets(dim, tables, bits, seed)
-
-    def bucketed(df: DataFrame, key: str) -> DataFrame:
-        encoded = df.filter(F.col("embedding").isNotNull())
-        return each(encoded, [key, "embedding"], codes(F.col("embedding")), "bucket", "table")
-
-    kernel = VectorKernel("ip", skip_same_id)
-    found = search_cells(
-        bucketed(items, "item_id"), bucketed(queries, "query_id"), kernel, k, ["table", "bucket"], cell_items, cell_queries
-    )
-    distinct = found.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    return top_rows(distinct, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    """Approximate top-k: items that share a random-hyperplane bucket with the query, scored exactly.
+
+    The dimension is the data's, and so is the number of bits unless given: buckets hold about
+    ``BUCKET_ITEMS`` items however many there are. Counted queries are sent to every task with their
+    buckets, and items are hashed and scored where they lie. More queries meet the items in cells of
+    (table, bucket, fragment).
+    """
+    pool = items.filter(F.col("embedding").isNotNull()).select("item_id", "embedding")
+    encoded = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    held = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    bits = bits or max(1, round(np.log2(max(held["n"], 2) / BUCKET_ITEMS)))
+    if bits > 62:
+        raise ValueError("a bucket has at most 62 bits")
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, held["dim"] or 1))
+    small = _counted(encoded, broadcast_rows)
+    if small is not None:
+        found = _search_in_place(pool, encoded, small, BucketKernel(planes, tables, skip_same_id), k)
+    else:
+        if tables * (1 << bits) > MAX_CELLS:
+            raise ValueError(f"tables * 2**bits must not exceed {MAX_CELLS} for so many queries")
+        codes = _buckets(planes, tables)
+        bucketed = lambda df, key: each(df, [key, "embedding"], codes(F.col("embedding")), "bucket", "table")
+        kernel = VectorKernel("ip", skip_same_id)
+        cells = search_cells(
+            bucketed(pool, "item_id"), bucketed(encoded, "query_id"), kernel, k, ["table", "bucket"], cell_items, cell_queries
+        )
+        found = cells.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -107,14 +107,69 @@ def test_one_hot_list_and_bucket(spark):
     hits = retrieval.ivf_search(index, asked(spark, hot), 3, nprobe=2, skip_same_id=True, cell_items=9, cell_queries=9)
     assert ranked(hits) == exact
     hits = retrieval.lsh_search(
-        items(spark, hot), asked(spark, hot), 3, dim=16, tables=2, bits=2, skip_same_id=True, cell_items=9, cell_queries=9
+        items(spark, hot), asked(spark, hot), 3, tables=2, bits=2, skip_same_id=True, cell_items=9, cell_queries=9
     )
     assert ranked(hits) == exact
 
 
+def test_approximate_search_in_place_equals_cells(spark, tmp_path):
+    index = retrieval.ivf_store(retrieval.ivf_build(items(spark), nlist=6), str(tmp_path / "index"))
+    for probes in (1, 2, 6):
+        near = retrieval.ivf_search(index, asked(spark), 5, nprobe=probes, skip_same_id=True)
+        far = retrieval.ivf_search(index, asked(spark), 5, nprobe=probes, skip_same_id=True, broadcast_rows=3, cell_items=9)
+        assert ranked(near) == ranked(far)
+    near = retrieval.lsh_search(items(spark), asked(spark), 5, tables=4, bits=3, skip_same_id=True)
+    far = retrieval.lsh_search(items(spark), asked(spark), 5, tables=4, bits=3, skip_same_id=True, broadcast_rows=3)
+    assert ranked(near) == ranked(far)
+
+
+def test_approximate_search_shuffles_no_vector(spark, tmp_path):
+    index = retrieval.ivf_store(retrieval.ivf_build(items(spark), nlist=4), str(tmp_path / "index"))
+    for found in (retrieval.ivf_search(index, asked(spark), 3, nprobe=2), retrieval.lsh_search(items(spark), asked(spark), 3, tables=2, bits=2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "FlatMapCoGroups" not in plan
+        for line in plan.splitlines():
+            assert "Exchange" not in line or "embedding" not in line
+
+
+def test_lexical_cost_follows_the_matches():
+    """8,000 queries of rare terms cost at most 10 times as much per item as 400."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    tokens = [[f"t{v}" for v in rng.integers(0, 80_000, 500)] for _ in range(200)]
+    block = pa.table({"item_id": np.arange(200), "tokens": tokens})
+    kernel = retrieval.LexicalKernel(1.2, 0.75, 500.0)
+    took = {}
+    for n in (400, 8_000):
+        terms = [[f"t{v}" for v in rng.integers(0, 80_000, 10)] for _ in range(n)]
+        prepared = kernel.prepare(pa.table({"query_id": np.arange(n), "terms": terms, "weights": [[1.0] * 10] * n}))
+        start = time.perf_counter()
+        list(kernel(block, prepared, 5))
+        took[n] = time.perf_counter() - start
+    assert took[8_000] < 10 * max(took[400], 0.02)
+
+
+def test_lexical_blocks_do_not_change_scores(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    block = pa.table({"item_id": np.arange(60), "tokens": [[f"t{v}" for v in rng.integers(0, 30, rng.integers(0, 40))] for _ in range(60)]})
+    kernel = retrieval.LexicalKernel(1.2, 0.75, 20.0)
+    prepared = kernel.prepare(
+        pa.table({"query_id": np.arange(20), "terms": [[f"t{v}" for v in rng.choice(40, 6, False)] for _ in range(20)], "weights": [[1.5] * 6] * 20})
+    )
+    whole = retrieval._candidates(list(kernel(block, prepared, 4)), 4).reset_index(drop=True)
+    monkeypatch.setattr(retrieval, "_BLOCK", 50)
+    parts = retrieval._candidates(list(kernel(block, prepared, 4)), 4).reset_index(drop=True)
+    assert whole.equals(parts) and len(whole) > 50
+
+
 def test_bucketed_recall(spark):
     exact = retrieval.knn_exact(items(spark), asked(spark), 5, skip_same_id=True)
-    found = retrieval.lsh_search(items(spark), asked(spark), 5, dim=16, tables=16, bits=3, skip_same_id=True)
+    found = retrieval.lsh_search(items(spark), asked(spark), 5, tables=16, bits=3, skip_same_id=True)
     row = retrieval.recall(found, exact).first()
     assert row["expected"] == 5 * len(X) and row["recall"] > 0.8
 
