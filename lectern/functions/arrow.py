@@ -6,12 +6,12 @@ import hashlib
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,43 +30,50 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(foreign), text)
 
 
+ARROW_KEYWORDS = pa.list_(pa.struct([("word", pa.string()), ("count", pa.int64())]))
 KEYWORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("count", T.LongType())]))
 
 
 def keyword_counter(k: int, stop_words: tuple[str, ...], min_length: int):
-    """Top-k words of one text by count, ties by first occurrence; no token leaves its row."""
-    stops = frozenset(stop_words)
+    """Top-k words of each token list by count, ties by first occurrence; no token leaves its row.
 
-    def top(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        words = Counter(w for w in text.split() if len(w) >= min_length and w not in stops)
-        return [{"word": w, "count": n} for w, n in words.most_common(k)]
+    Works on whole Arrow batches: words are encoded once per batch, and counts and first places
+    come from one sort of (row, word).
+    """
 
-    @F.pandas_udf(KEYWORDS)
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(top)
+    @F.arrow_udf(KEYWORDS)
+    def count(tokens: pa.Array) -> pa.Array:
+        lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        words = tokens.flatten().dictionary_encode()
+        vocabulary = words.dictionary
+        if not len(vocabulary):
+            return pa.array([[] if v else None for v in tokens.is_valid().to_pylist()], ARROW_KEYWORDS)
+        asked = pc.and_(
+            pc.greater_equal(pc.utf8_length(vocabulary), min_length),
+            pc.invert(pc.is_in(vocabulary, value_set=pa.array(stop_words, pa.string()))),
+        ).to_numpy(zero_copy_only=False)
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(len(tokens)), lengths)
+        kept = np.flatnonzero(asked[codes])
+        cells, first, n = np.unique(rows[kept] * len(vocabulary) + codes[kept], return_index=True, return_counts=True)
+        order = np.lexsort((first, -n, cells // len(vocabulary)))
+        row = cells[order] // len(vocabulary)
+        top = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        entries = pa.StructArray.from_arrays(
+            [vocabulary.take(pa.array(cells[top] % len(vocabulary))).cast(pa.string()), pa.array(n[top])], ["word", "count"]
+        )
+        bounds = np.searchsorted(cells[top] // len(vocabulary), np.arange(len(tokens) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), entries, mask=tokens.is_null())
 
     return count
 
 
-# What a text must contain for a pattern to match; a cheap test that spares the search.
-_DIGIT = r"\d"
-_ENTITY_GUARDS = {
-    "iso_date": _DIGIT,
-    "us_date": _DIGIT,
-    "eu_date": _DIGIT,
-    "natural_date": _DIGIT,
-    "currency": _DIGIT,
-    "numeric": _DIGIT,
-    "invoice_code": _DIGIT,
-    "hash_invoice": _DIGIT,
-    "compound_invoice": _DIGIT,
-    "email": "@",
-    "tunisian_phone": _DIGIT,
-    "international_phone": _DIGIT,
-    "company_suffix": r"(?i)(?:LLC|Inc|Ltd|Corp|SA|GmbH)\b|SARL|Corporation",
-}
+# What a text must hold for any default pattern to match; the test runs in the JVM, and only texts
+# that pass it travel to Python.
+_ENTITY_GUARD = r"\d|@|(?i:(?:LLC|Inc|Ltd|Corp|SA|GmbH|SARL|Corporation)\b)|[A-Z][A-Za-z]+\s+[A-Z]"
+# Stands between the texts of a batch. No pattern asks for it, and to word boundaries and
+# lookbehinds it is like the end of a text.
+_BETWEEN = "\x00"
 
 ENTITIES = T.ArrayType(
     T.StructType(
@@ -79,42 +86,71 @@ ENTITIES = T.ArrayType(
         ]
     )
 )
+ARROW_ENTITIES = pa.list_(
+    pa.struct([("type", pa.string()), ("subtype", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+)
+
+
+class _Batch:
+    """Texts of a batch in one string, so that a pattern searches all of them in one run."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.joined = _BETWEEN.join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.ends = self.starts + sizes
+        self.odd = {i for i, t in enumerate(texts) if _BETWEEN in t}
+
+    def search(self, pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end) of all matches, each text searched as if it stood alone.
+
+        Texts into which a match reaches over from another one are searched once more, alone.
+        """
+        spans = np.array([m.span() for m in pattern.finditer(self.joined)], np.int64).reshape(-1, 2)
+        row = np.searchsorted(self.starts, spans[:, 0], "right") - 1
+        over = spans[:, 1] > self.ends[row]
+        again = set(self.odd)
+        for first, end in zip(row[over].tolist(), spans[over, 1].tolist(), strict=True):
+            again.update(range(first, int(np.searchsorted(self.starts, end, "right"))))
+        alone = [(i, *m.span()) for i in sorted(again) for m in pattern.finditer(self.texts[i])]
+        keep = ~np.isin(row, list(again))
+        inside = np.column_stack([row[keep], spans[keep] - self.starts[row[keep], None]])
+        return tuple(np.concatenate([inside, np.array(alone, np.int64).reshape(-1, 3)]).T)
 
 
 def entity_finder(rules: str | dict = "default"):
-    """Matches per type with offsets, sorted by start; a match inside an earlier one is dropped."""
-    guards = _ENTITY_GUARDS if isinstance(rules, str) else {}
-    compiled = {
-        kind: [(re.compile(p, flags), subtype, guards.get(subtype)) for p, subtype, flags in patterns]
-        for kind, patterns in _entity_rules(rules).items()
-    }
-    needed = {g for g in guards.values()}
-
-    def find(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        found = []
-        possible = {g: re.search(g, text) is not None for g in needed}
-        for kind, patterns in compiled.items():
-            spans = [
-                (m.start(), m.end(), sub, m.group(0))
-                for p, sub, guard in patterns
-                if guard is None or possible[guard]
-                for m in p.finditer(text)
-            ]
-            spans.sort(key=lambda s: s[0])  # stable: pattern order decides equal starts
-            end = -1
-            for start, stop, subtype, value in spans:
-                if start >= end:
-                    found.append({"type": kind, "subtype": subtype, "value": value, "start": start, "end": stop})
-                    end = stop
-        return found
-
-    @F.pandas_udf(ENTITIES)
-    def entities(texts: pd.Series) -> pd.Series:
-        return texts.map(find)
-
-    return entities
+    """Matches per type with offsets, sorted by start; a match inside an earlier one is dropped.
+
+    Returns a function from a text column to an array column; blank texts have no entities, null
+    texts a null.
+    """
+    compiled = {kind: [(re.compile(p, flags), sub) for p, sub, flags in patterns] for kind, patterns in _entity_rules(rules).items()}
+
+    @F.arrow_udf(ENTITIES)
+    def entities(texts: pa.Array) -> pa.Array:
+        batch = _Batch([t or "" for t in texts.to_pylist()])
+        found: list[list[dict]] = [[] for _ in batch.texts]
+        for kind, patterns in compiled.items() if batch.texts else ():
+            parts = [(*batch.search(p), np.full(1, i)) for i, (p, _) in enumerate(patterns)]
+            row, start, end = (np.concatenate([part[c] for part in parts]) for c in range(3))
+            place = np.concatenate([np.repeat(part[3], len(part[0])) for part in parts])
+            last = (-1, -1)
+            for i in np.lexsort((place, start, row)).tolist():  # pattern order decides equal starts
+                at = (int(row[i]), int(start[i]))
+                if at[0] != last[0] or at[1] >= last[1]:
+                    last = (at[0], int(end[i]))
+                    value = batch.texts[at[0]][at[1] : last[1]]
+                    found[at[0]].append({"type": kind, "subtype": patterns[place[i]][1], "value": value, "start": at[1], "end": last[1]})
+        return pa.array([f if v else None for f, v in zip(found, texts.is_valid().to_pylist(), strict=True)], ARROW_ENTITIES)
+
+    def find(text: Column) -> Column:
+        if not isinstance(rules, str):
+            return entities(text)
+        none = F.when(text.isNotNull(), F.array().cast(ENTITIES))
+        return F.coalesce(entities(F.when(F.rlike(text, F.lit(_ENTITY_GUARD)), text)), none)
+
+    return find
 
 
 def _entity_rules(rules: str | dict) -> dict:

@@ -97,7 +97,7 @@ def extract_keywords(
     every distinct (document, word) pair of the corpus.
     """
     counter = arrow.keyword_counter(k, stop_words, min_length)
-    counted = df.select(key, counter(F.lower(F.col(column))).alias("words"))
+    counted = df.select(key, counter(X.whitespace_tokens(F.lower(F.col(column)))).alias("words"))
     return each(counted, [key], F.col("words"), "entry", "pos").select(
         key, (F.col("pos") + 1).alias("rank"), F.col("entry.word").alias("word"), F.col("entry.count").alias("count")
     )

@@ -257,3 +257,34 @@ def test_merge_at_splits(spark):
 def test_semantic_splits_cut_where_words_change(spark):
     df = spark.createDataFrame([(1, ["red cat", "red dog", "blue sky", "blue sea"])], "id int, pieces array<string>")
     assert df.select(chunking.semantic_splits(F.col("pieces"), 0.2).alias("s")).first()["s"] == [0, 2]
+
+
+def test_entities_of_a_batch_equal_entities_alone(spark):
+    import random
+    import re
+
+    import pyarrow as pa
+    from lectern.functions import arrow
+
+    rng = random.Random(4)
+    bits = ["2024-01-02", "1/2/2024", " ", "May 3, 2021", "$ 12.50", "12 EUR", "#12345", "INV-77", "a@b.org", "+216 22 333 444", "Acme Data Inc", "New York", "\n", "\x00", "é", "x", "99", "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(400)] + ["Foo Bar", "Baz Inc", "", "12", "34"]
+    batch = arrow._Batch(texts)
+    for kind, patterns in arrow._entity_rules("default").items():
+        for pattern, _, flags in patterns:
+            compiled = re.compile(pattern, flags)
+            want = sorted((i, *m.span()) for i, t in enumerate(texts) for m in compiled.finditer(t))
+            assert sorted(zip(*(c.tolist() for c in batch.search(compiled)))) == want, pattern
+    # A pattern that runs over the end of a text is searched again in each text it touched.
+    greedy = re.compile(r"x[^q]*")
+    assert sorted(zip(*(c.tolist() for c in arrow._Batch(["ax", "bx", "q"]).search(greedy)))) == [(0, 1, 2), (1, 1, 2)]
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "nothing here"), (4, "call +216 22 333 444 now")], "id int, t string")
+    found = {r["id"]: r["e"] for r in df.select("id", arrow.entity_finder()(F.col("t")).alias("e")).collect()}
+    assert found[1] is None and found[2] == found[3] == [] and "phone" in {e["type"] for e in found[4]}
+
+
+def test_keywords_of_null_and_empty_batches(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "bb the bbb ccc bbb the a")], "doc_id int, text string").coalesce(1)
+    found = [(r["doc_id"], r["rank"], r["word"], r["count"]) for r in cleaning.extract_keywords(df, "doc_id").collect()]
+    assert found == [(3, 1, "bbb", 2), (3, 2, "ccc", 1)]
+    assert cleaning.extract_keywords(df.filter("doc_id < 3"), "doc_id").count() == 0
