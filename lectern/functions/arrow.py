@@ -229,15 +229,21 @@ def tokenizer_functions(load):
 # Entities that stay escaped until markup has been read.
 _MARKUP_ENTITY = re.compile(r"&(?:amp|lt|gt|quot|apos|#39|#34|#38|#60|#62|#x0*(?:22|26|27|3c|3e));?", re.IGNORECASE)
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+# Entities beyond those that expressions decode.
+_RARE_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|nbsp|#39);)(?:#|[A-Za-z])[A-Za-z0-9]*;"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
+def _decode(text: str) -> str:
     def one(match: re.Match) -> str:
         entity = match.group(0)
         return entity if _MARKUP_ENTITY.fullmatch(entity) else html.unescape(entity)
 
-    return texts.map(lambda t: t if t is None else _ENTITY.sub(one, t))
+    return _ENTITY.sub(one, text)
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else _decode(t))
 
 
 def unescape_entities(text: Column) -> Column:
@@ -249,6 +255,50 @@ def unescape_entities(text: Column) -> Column:
     return F.coalesce(_unescape(escaped), text)
 
 
+_TABLE_TAG = re.compile(r"<(/?)table\b[^>]*>", re.IGNORECASE)
+
+
+def _unnested(text: str) -> str:
+    """Nested tables moved behind their outer table, with their text left in the cell.
+
+    An outer table then reads like any other, and an inner one is a table of its own. Text whose
+    table tags do not pair up stays as it is.
+    """
+    stack: list[dict] = [{"parts": [], "inner": []}]
+    at = 0
+    for tag in _TABLE_TAG.finditer(text):
+        stack[-1]["parts"].append(text[at : tag.start()])
+        at = tag.end()
+        if not tag[1]:
+            stack.append({"parts": [tag[0]], "inner": []})
+            continue
+        if len(stack) == 1:
+            return text
+        table = stack.pop()
+        table["parts"].append(tag[0])
+        whole = "".join(table["parts"])
+        if len(stack) > 1:
+            stack[-1]["parts"].append(" ".join(re.sub(r"(?s)<[^>]*>", " ", whole).split()))
+            stack[-1]["inner"] += [whole, *table["inner"]]
+        else:
+            stack[-1]["parts"] += [whole, *("\n\n" + inner for inner in table["inner"])]
+    return text if len(stack) > 1 else "".join([*stack[0]["parts"], text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _readable(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else _decode(_unnested(t)))
+
+
+def readable_markup(text: Column) -> Column:
+    """Text that the markup expressions can read: no nested tables, no entities beyond the common ones.
+
+    Only texts with two tables or a rarer entity travel to Python.
+    """
+    odd = F.rlike(text, F.lit(_RARE_ENTITY)) | (F.regexp_count(text, F.lit(r"(?i)<table\b")) > 1)
+    return F.coalesce(_readable(F.when(odd, text)), text)
+
+
 def token_slot(token: str, dim: int) -> int:
     """Vector slot of a token: the first eight hex digits of its MD5, modulo the dimension."""
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim

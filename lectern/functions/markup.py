@@ -1,8 +1,9 @@
 """Markdown and HTML expressions over one section of text.
 
-Supported tables: HTML ``<table>`` elements without nesting (attributes, missing closing
-cell and row tags, ``<th>`` or ``<td>`` headers) and markdown pipe tables. Spanning cells
-count once.
+Supported tables: HTML ``<table>`` elements (attributes, missing closing cell and row tags,
+``<th>`` or ``<td>`` headers) and markdown pipe tables, with or without outer pipes, outside
+fenced code. Spanning cells count once. Nested tables and rarer entities are taken care of by
+``arrow.readable_markup`` before these expressions see the text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,36 @@ HTML_TABLE = r"(?is:<table\b[^>]*>.*?</table\s*>)"
 PIPE_TABLE = (
     r"(?m:^[ \t]*\|[^\n\x01]+\|[ \t]*\x01[ \t]*\|?[ \t]*:?-[-: |\t]*\|[ \t]*(?:\x01[^\n]*)?$)"
 )
-TABLE = HTML_TABLE + "|" + PIPE_TABLE
+# A table without outer pipes is a block whose second line is a rule; it ends with the block.
+_RULE = r"[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*"
+_BARE_HEADER = r"^(?![ \t]*\|)[^\n\x01]*\|[^\n\x01]*"
+_BARE_BREAK = rf"(?m)({_BARE_HEADER}(?=\n{_RULE}$)|\G(?<!\A)[^\n\x01]*[^\s\x01][^\n\x01]*)\n(?=[^\n]*\S)"
+BARE_TABLE = rf"(?m:{_BARE_HEADER}\x01{_RULE}(?:\x01[^\n]*)?$)"
+TABLE = HTML_TABLE + "|" + PIPE_TABLE + "|" + BARE_TABLE
+
+# Fenced code, cut out by marks of its own; in it, table marks are replaced one to one.
+_FENCE_MARK = "\u0003"
+_FENCE = r"(?ms)(^(```|~~~)[^\n]*$.*?^\2[ \t]*$)"
+_SHIELD = ("|<", "\u0004\u0005")
+
+
+def has_fence(text: Column) -> Column:
+    return F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
+
+
+def cut_at_fences(text: Column) -> Column:
+    """Text, code, text, ..., text: every second part is a fenced block with its fences."""
+    return F.split(F.regexp_replace(text, _FENCE, f"{_FENCE_MARK}$1{_FENCE_MARK}"), _FENCE_MARK, -1)
+
+
+def fence_content(block: Column) -> Column:
+    return F.regexp_replace(block, r"(?s)\A[^\n]*\n?|\n?[^\n]*\z", "")
+
+
+def shielded(section: Column) -> Column:
+    """The section with nothing in fenced code that looks like a table; positions stay."""
+    parts = F.transform(cut_at_fences(section), lambda p, i: F.when(i % 2 == 1, F.translate(p, *_SHIELD)).otherwise(p))
+    return F.when(has_fence(section), F.array_join(parts, "")).otherwise(section)
 
 
 def header_pattern(level: int) -> str:
@@ -49,9 +79,13 @@ def sections(text: Column, level: int = fixed.HEADER_LEVEL, keep_preamble: bool
 
 
 def join_pipe_rows(section: Column) -> Column:
-    return F.when(F.contains(section, F.lit("|")), F.regexp_replace(section, _PIPE_BREAK, "$1" + ROW_MARK)).otherwise(
-        section
-    )
+    def joined(text: Column) -> Column:
+        outer = F.regexp_replace(text, _PIPE_BREAK, "$1" + ROW_MARK)
+        bare = F.regexp_replace(outer, _BARE_BREAK, "$1" + ROW_MARK)
+        return F.when(F.rlike(text, F.lit(rf"(?m)^{_RULE}$")), bare).otherwise(outer)
+
+    # Both table patterns look for pipes and tags that fenced code may hold as well.
+    return F.when(F.contains(section, F.lit("|")) | has_fence(section), bind(shielded(section), joined)).otherwise(section)
 
 
 def table_sources(section: Column) -> Column:
@@ -118,13 +152,21 @@ def strip_markdown(text: Column) -> Column:
 
 
 def plain_text(section: Column) -> Column:
-    """Text of a markdown section without its tables, markup and markdown marks."""
-    return strip(
-        bind(
-            strip_markdown(without_tables(section)),
-            lambda bare: F.when(F.rlike(bare, F.lit("[<&]")), strip_html(bare)).otherwise(bare),
+    """Text of a markdown section without its tables, markup and markdown marks; code loses its fences only."""
+
+    def plain(part: Column) -> Column:
+        return strip(
+            bind(
+                strip_markdown(without_tables(part)),
+                lambda bare: F.when(F.rlike(bare, F.lit("[<&]")), strip_html(bare)).otherwise(bare),
+            )
         )
+
+    parts = F.transform(
+        cut_at_fences(section), lambda p, i: F.when(i % 2 == 1, decode_entities(strip(fence_content(p)))).otherwise(plain(p))
     )
+    pieces = F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+    return F.when(has_fence(section), pieces).otherwise(plain(section))
 
 
 def cell_text(cell: Column) -> Column:

@@ -228,6 +228,7 @@ def section_records(
     with text, looking back over the document's section array.
     """
     kept = [c for c in docs.columns if c != column]
+    docs = docs.withColumn(column, arrow.readable_markup(F.col(column)))
     staged = docs.select(*kept, M.sections(F.col(column), level).alias("_sections"))
     staged = staged.withColumn("_texts", F.transform("_sections", lambda s: M.plain_text(s["section"])))
     staged = staged.withColumn(
@@ -282,6 +283,7 @@ def build_chunks(
     many chunks precede it and the ids need no window over the document.
     """
     meta = [c for c in METADATA if c in docs.columns]
+    docs = docs.withColumn(column, arrow.readable_markup(F.col(column)))
     staged = docs.select(*meta, M.sections(F.col(column), level).alias("_sections"))
     staged = staged.withColumn(
         "_tokens", F.transform("_sections", lambda s: X.whitespace_tokens(M.plain_text(s["section"])))

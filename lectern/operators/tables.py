@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.functions import arrow
 from lectern.functions import markup as M
 from lectern.functions import text as X
 from lectern.functions.rows import each
@@ -34,7 +35,11 @@ def _tables(section: Column) -> Column:
 
 
 def extract_tables(sections: DataFrame, column: str = "section") -> DataFrame:
-    """One row per HTML or pipe table: ``table_idx``, ``source``, ``position`` in the section."""
+    """One row per HTML or pipe table: ``table_idx``, ``source``, ``position`` in the section.
+
+    The section comes back as it was read: rarer entities decoded, nested tables behind their outer one.
+    """
+    sections = sections.withColumn(column, arrow.readable_markup(F.col(column)))
     found = each(sections, sections.columns, _tables(F.col(column)), "_t")
     return found.select(*sections.columns, "_t.*")
 

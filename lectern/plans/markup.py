@@ -8,6 +8,7 @@ must return, from the columns of ``part``.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import fixed
@@ -164,6 +165,42 @@ def table_cells(t: Inputs):
     return tables.table_cells(found(t), KEYS)
 
 
+# One form of table per part, by its key: nested, without outer pipes, beside fenced code, with entities.
+_FORMS = (
+    "<table><tr><th>k</th><th>v</th></tr><tr><td><table><tr><td>in</td></tr></table></td><td>{}</td></tr></table>",
+    "Text | no table\n\nk | v\n---|---\nin | {}\n\nafter",
+    "```\n| x | y |\n|---|---|\n| 1 | 2 |\n```\n\n| k | v |\n|---|---|\n| in | {} |",
+    "<table><tr><th>k</th><th>v</th></tr><tr><td>i&#110;</td><td>{} caf&eacute;&copy;</td></tr></table>",
+)
+
+
+def _form() -> Column:
+    written = [F.concat(F.lit(before), "p_name", F.lit(after)) for before, after in (form.split("{}") for form in _FORMS)]
+    return F.element_at(F.array(*written), (F.col("p_partkey") % len(_FORMS) + 1).cast("int"))
+
+
+@query(
+    "table_forms",
+    """SELECT p_partkey, 0 AS table_idx, 0 AS row_idx, 'k' AS header, 'in' AS value FROM part
+    UNION ALL SELECT p_partkey, 0, 0, 'v', p_name || CASE WHEN p_partkey % 4 = 3 THEN ' café©' ELSE '' END FROM part""",
+)
+def table_forms(t: Inputs):
+    sections = t.part.select("p_partkey", _form().alias("section"))
+    cells = tables.table_cells(tables.extract_tables(sections), ["p_partkey", "table_idx"])
+    return cells.select("p_partkey", "table_idx", F.col("row_idx").cast("int").alias("row_idx"), "header", "value")
+
+
+@query(
+    "form_texts",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'in' WHEN 1 THEN E'Text | no table\n\nafter'
+      WHEN 2 THEN E'| x | y |\n|---|---|\n| 1 | 2 |' ELSE '' END AS text FROM part WHERE p_partkey % 4 IN (1, 2)""",
+)
+def form_texts(t: Inputs):
+    """Plain text beside tables: fenced code stays, tables go."""
+    shown = t.part.filter(F.col("p_partkey") % len(_FORMS) != 0).select("p_partkey", M.plain_text(_form()).alias("text"))
+    return shown.filter(F.col("text") != "")
+
+
 @query(
     "table_row_maps",
     BASE

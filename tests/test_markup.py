@@ -157,3 +157,35 @@ def test_pipe_rows_with_many_trailing_blanks(spark):
     df = spark.createDataFrame([("\n".join(rows),)], "t string")
     found = df.select(F.transform(M.table_sources(F.col("t")), M.table_rows).alias("r")).first()["r"]
     assert found == [[["a", "b"], ["1", "2"], ["3", "4"]]]
+
+
+def table_cells_of(spark, text):
+    df = spark.createDataFrame([(text,)], "section string")
+    rows = tables.with_rows(tables.extract_tables(df)).orderBy("table_idx").collect()
+    return [[r["header"], *r["body"]] for r in rows]
+
+
+def test_tables_without_outer_pipes(spark):
+    assert table_cells_of(spark, "a | b\n---|---\n1 | 2\n3 | 4 | 5\nlast\n\nc | d") == [[["a", "b"], ["1", "2"], ["3", "4", "5"], ["last"]]]
+    assert table_cells_of(spark, "x\n\na|b\n:--|--:\n\n|c|d|\n|-|-|\n|1|2|") == [[["a", "b"]], [["c", "d"], ["1", "2"]]]
+    assert table_cells_of(spark, "a | b\nno rule\n---\n1 | 2") == []
+
+
+def test_fenced_code_holds_no_table(spark):
+    code = "```sql\n| a | b |\n|---|---|\n<table><tr><td>x</td></tr></table>\n*kept* as is\n```"
+    assert table_cells_of(spark, f"{code}\n\n| c |\n|---|\n| 1 |") == [[["c"], ["1"]]]
+    df = spark.createDataFrame([(f"before *em*\n{code}\nafter",), ("~~~\n# x\n~~~",), ("```\nopen",)], "t string")
+    assert [r[0] for r in df.select(M.plain_text(F.col("t"))).collect()] == [
+        "before em\n\n| a | b |\n|---|---|\n<table><tr><td>x</td></tr></table>\n*kept* as is\n\nafter", "# x", "```\nopen",
+    ]
+
+
+def test_nested_tables_and_rare_entities(spark):
+    inner = "<table class=i><tr><td>x</td><td>y &amp; z</td></tr></table>"
+    text = f"<table><tr><th>k</th><th>v</th></tr><tr><td>{inner}</td><td>caf&eacute; &#169; &lt;b&gt;</td></tr></table>"
+    assert table_cells_of(spark, text) == [[["k", "v"], ["x y & z", "café © <b>"]], [["x", "y & z"]]]
+    twice = f"<table><tr><td>a</td></tr><tr><td>b{text}</td></tr></table>"
+    assert [t[0] for t in table_cells_of(spark, twice)] == [["a"], ["k", "v"], ["x", "y & z"]]
+    assert table_cells_of(spark, "<table><tr><td>a</td></tr></table> <table><tr><td>b</td></tr></table>") == [[["a"]], [["b"]]]
+    docs = spark.createDataFrame([("caf&eacute; &#233;", "u", "p", "y", ["x"], "f.md")], "text string, university_id string, program string, year string, aliases array<string>, source_file string")
+    assert chunking.build_chunks(docs).first()["text"] == "café é"
