@@ -49,11 +49,7 @@ ENTITY_PATTERNS_REFERENCE = {
         (r"\b\d{4}-\d{2}-\d{2}\b", "iso_date"),
         (r"\b\d{1,2}/\d{1,2}/\d{4}\b", "us_date"),
         (r"\b\d{1,2}\.\d{1,2}\.\d{4}\b", "eu_date"),
-        (
-            r"\b(january|february|march|april|may|june|july|august|september|october|november|december)"
-            r"\s+\d{1,2},?\s+\d{4}\b",
-            "natural_date",
-        ),
+        (r"\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}\b", "natural_date"),
     ],
     "amount": [
         (r"\b\d+(?:,\d{3})*(?:\.\d{2})?\s*(?:USD|EUR|TND|DT|\$|€)\b", "currency"),
@@ -240,3 +236,89 @@ HTML_ENTITIES = (
     ("&apos;", "'"),
     ("&amp;", "&"),
 )
+
+# --- fixed values: columns and types of the relational tables ---------------------
+RELATIONAL_TABLES = {
+    "documents": {
+        "id": "bigint",
+        "source_file": "string",
+        "file_path": "string",
+        "file_content": "binary",
+        "file_type": "string",
+        "university_id": "string",
+        "program": "string",
+        "year": "string",
+        "file_size": "bigint",
+        "num_pages": "int",
+        "num_chunks": "bigint",
+        "processed_date": "timestamp",
+        "metadata": "string",
+    },
+    "chunks": {
+        "id": "bigint",
+        "chunk_id": "string",
+        "document_id": "bigint",
+        "text": "string",
+        "chunk_type": "string",
+        "section_title": "string",
+        "chunk_index": "int",
+        "start_char": "int",
+        "end_char": "int",
+        "summary": "string",
+        "table_html": "string",
+        "table_description": "string",
+        "metadata": "string",
+        "created_at": "timestamp",
+    },
+    "embeddings": {
+        "id": "bigint",
+        "chunk_id": "bigint",
+        "model_name": "string",
+        "embedding_dim": "int",
+        "position": "bigint",
+        "embedding": "array<float>",
+        "created_at": "timestamp",
+    },
+    "indices": {
+        "id": "bigint",
+        "index_name": "string",
+        "index_type": "string",
+        "file_path": "string",
+        "dimension": "int",
+        "num_vectors": "bigint",
+        "model_name": "string",
+        "build_date": "timestamp",
+        "index_params": "string",
+    },
+    "query_history": {
+        "id": "bigint",
+        "user_id": "bigint",
+        "question": "string",
+        "question_type": "string",
+        "answer": "string",
+        "num_sources": "bigint",
+        "response_time_ms": "bigint",
+        "llm_model": "string",
+        "embedding_model": "string",
+        "metadata_filters": "string",
+        "timestamp": "timestamp",
+    },
+    "query_feedback": {
+        "id": "bigint",
+        "query_id": "bigint",
+        "rating": "int",
+        "helpful": "boolean",
+        "comments": "string",
+        "created_at": "timestamp",
+    },
+    "retrieved_chunks": {
+        "id": "bigint",
+        "query_id": "bigint",
+        "chunk_id": "bigint",
+        "rank": "int",
+        "vector_score": "double",
+        "bm25_score": "double",
+        "combined_score": "double",
+        "rerank_score": "double",
+    },
+}

@@ -99,6 +99,7 @@ def answer_batch(
     sources: Mapping[str, DataFrame],
     k: int = 5,
     load=None,
+    scratch: str | None = None,
     attach: tuple[str, ...] = ("university_id", "program", "year", "source_file", "section_title"),
     **options,
 ) -> DataFrame:
@@ -106,10 +107,11 @@ def answer_batch(
 
     Questions are ``(query_id, text, embedding)`` with optional ``question_type`` and
     ``language``. A question without hits keeps its row, with a fixed answer and no sources.
+    The hits, which contexts and citations both read, are written to ``scratch``, by default a
+    new folder below the session's shared one; the caller may remove it once the answers are read.
     """
     found = retrieval.search_and_rerank(sources, questions, k, attach=attach, **options)
-    # Contexts and citations both read the hits; the search runs once.
-    hits = stored(found, scratch_path(questions.sparkSession, "hits"))
+    hits = stored(found, scratch or scratch_path(questions.sparkSession, "hits"))
     contexts = ctx.assemble_context(hits)
     cited = ctx.citations(hits, floor=0.0)
     per_query = cited.groupBy("query_id").agg(

@@ -6,6 +6,7 @@ Questions are the rows of ``benchmark``. Sources are the token windows of ``docu
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lectern import fixed
@@ -44,11 +45,25 @@ def sources(t: Inputs) -> dict:
         F.lit("turns.md").alias("source_file"),
         F.lit("").alias("section_title"),
     )
-    # Ingest writes the encoded items once; searches scan them.
-    return {
-        name: stored(embedding.embed(items), scratch_path(t.spark, name))
-        for name, items in (("chunk", chunks), ("table", turns))
-    }
+    return {name: indexed(t, name, items) for name, items in (("chunk", chunks), ("table", turns))}
+
+
+# Where the encoded items of an input path lie, per application.
+_INDEXED: dict[tuple[str, str, str], str] = {}
+
+
+def indexed(t: Inputs, name: str, items):
+    """Ingest encodes and writes the items of an input path once; all searches of the session scan them."""
+    key = (t.spark.sparkContext.applicationId, t.path, name)
+    if key in _INDEXED:
+        try:
+            return t.spark.read.parquet(_INDEXED[key])
+        except AnalysisException:  # the folder was cleared
+            pass
+    path = scratch_path(t.spark, name)
+    found = stored(embedding.embed(items), path)
+    _INDEXED[key] = path
+    return found
 
 
 ITEMS = f"""WITH items AS (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,11 @@ SETTINGS = {
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Single-machine session used by tests and the benchmark."""
+    # On one machine its own temporary folder is the shared one; it goes when the process ends.
+    if "spark.checkpoint.dir" not in conf:
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        conf["spark.checkpoint.dir"] = folder
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lectern")
@@ -41,6 +48,10 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folders of local masters that this process made and removes when it ends.
+_own: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates, visible to every executor.
 
@@ -51,9 +62,14 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return os.path.join(tempfile.gettempdir(), f"lectern-{spark.sparkContext.applicationId}")
+    folder = os.path.join(tempfile.gettempdir(), f"lectern-{spark.sparkContext.applicationId}")
+    if folder not in _own:
+        _own.add(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

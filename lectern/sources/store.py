@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern import fixed
+
 # ---- tables ---------------------------------------------------------------------------
 
 
@@ -125,42 +127,7 @@ def etl_totals(chunks: DataFrame, tables: DataFrame) -> DataFrame:
 # ---- relational tables -------------------------------------------------------------------
 
 
-def _fields(spec: str) -> dict[str, str]:
-    """Column -> type, in order."""
-    return dict(part.split() for part in spec.split(", "))
-
-
-TABLES = {
-    "documents": _fields(
-        "id bigint, source_file string, file_path string, file_content binary, file_type string, "
-        "university_id string, program string, year string, file_size bigint, num_pages int, num_chunks bigint, "
-        "processed_date timestamp, metadata string"
-    ),
-    "chunks": _fields(
-        "id bigint, chunk_id string, document_id bigint, text string, chunk_type string, section_title string, "
-        "chunk_index int, start_char int, end_char int, summary string, table_html string, table_description string, "
-        "metadata string, created_at timestamp"
-    ),
-    "embeddings": _fields(
-        "id bigint, chunk_id bigint, model_name string, embedding_dim int, position bigint, embedding array<float>, "
-        "created_at timestamp"
-    ),
-    "indices": _fields(
-        "id bigint, index_name string, index_type string, file_path string, dimension int, num_vectors bigint, "
-        "model_name string, build_date timestamp, index_params string"
-    ),
-    "query_history": _fields(
-        "id bigint, user_id bigint, question string, question_type string, answer string, num_sources bigint, "
-        "response_time_ms bigint, llm_model string, embedding_model string, metadata_filters string, timestamp timestamp"
-    ),
-    "query_feedback": _fields(
-        "id bigint, query_id bigint, rating int, helpful boolean, comments string, created_at timestamp"
-    ),
-    "retrieved_chunks": _fields(
-        "id bigint, query_id bigint, chunk_id bigint, rank int, vector_score double, bm25_score double, "
-        "combined_score double, rerank_score double"
-    ),
-}
+TABLES = fixed.RELATIONAL_TABLES
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
