@@ -126,7 +126,43 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark).drop("row")
 
 
-@query("op8_secret_scan")
+def _places(kind: str, pattern: str) -> str:
+    """Matches of a pattern with their places: each begins after all gaps and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::INT AS start
+        FROM (SELECT doc_id, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i
+              FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS m, regexp_split_to_array(t, '{quoted}') AS g FROM d))"""
+
+
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+
+
+@query(
+    "op8_secret_scan",
+    rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    assign AS (SELECT * FROM ({_places("assign", secrets.ASSIGN)}) WHERE length(regexp_extract(m, '^(?:{_ASSIGN})$', 2)) >= 8),
+    access AS ({_places("access", secrets.ACCESS)}),
+    hex AS ({_places("hex", secrets.HEX)}),
+    weak AS (SELECT * FROM ({_places("linked", "[A-Za-z0-9+/=_.-]+")})
+             WHERE regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')),
+    hosts AS (SELECT * FROM ({_places("endpoint", "[A-Za-z0-9.-]+")}) WHERE regexp_matches(m, '^[A-Za-z0-9.-]{{1,200}}\.amazonaws\.com')),
+    endpoint AS (SELECT doc_id, start FROM ({_places("endpoint", "https?://[A-Za-z0-9.-]+")})
+                 UNION ALL SELECT doc_id, start FROM hosts JOIN d USING (doc_id) WHERE NOT regexp_matches(substr(t, 1, start), 'https?://$')),
+    linked AS (SELECT * FROM weak w WHERE
+        EXISTS (SELECT 1 FROM access a WHERE a.doc_id = w.doc_id AND abs(a.start - w.start) <= 400)
+        OR EXISTS (SELECT 1 FROM endpoint e WHERE e.doc_id = w.doc_id AND abs(e.start - w.start) <= 400)
+           AND EXISTS (SELECT 1 FROM assign s WHERE s.doc_id = w.doc_id AND abs(s.start - w.start) <= 400)),
+    found AS (SELECT doc_id, kind, start, list_position(['assign', 'access', 'hex', 'linked'], kind) AS place,
+                     kind || ':' || start || ':' || (start + length(m)) AS span
+              FROM (FROM assign UNION ALL FROM access UNION ALL FROM hex UNION ALL FROM linked))
+    SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+           count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'linked') AS n_linked,
+           sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 4), '')) AS base_sha256,
+           coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
+    FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id
+    """,
+)
 def _secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
