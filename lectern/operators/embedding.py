@@ -14,7 +14,7 @@ from lectern import fixed
 from lectern.functions import arrow, vectors
 from lectern.functions import text as X
 from lectern.functions.rows import each
-from lectern.operators import ordinals
+from lectern.operators import filters, ordinals
 
 DIM = 64
 # Titles of a corpus that are sent to every task when parts are joined to their totals.
@@ -165,8 +165,8 @@ def section_summaries(chunks: DataFrame, order: str = "chunk_index", by: str = "
         return grouped.withColumn(
             "section_id", F.concat_ws("_", F.col("source_file").cast("string"), F.lit("section"), "first_index")
         ).drop("first_index")
-    totals = grouped.groupBy("section_title").agg(
-        F.sum("num_chunks").alias("num_chunks"), *[F.min_by(c, "source_file").alias(c) for c in meta]
+    totals = filters.joinable(
+        grouped, "section_title", F.sum("num_chunks").alias("num_chunks"), *[F.min_by(c, "source_file").alias(c) for c in meta]
     )
     totals = totals.withColumn("section_id", F.sha2("section_title", 256))
     parts = grouped.select("section_title", F.col("source_file").alias("part"), "text")

@@ -69,16 +69,34 @@ def search_text(
     return matched if limit is None else matched.orderBy(order).limit(limit)
 
 
+# Keys that are sent to every task, at most.
+SENT_KEYS = 1 << 16
+
+
+def joinable(df: DataFrame, key: str, *aggregates) -> DataFrame:
+    """One row per key, for a join in which a key may have very many rows on the other side.
+
+    The key is grouped with a hash of itself beside it: the result is the same, but the join then
+    gets an exchange of its own on this side as well, without which adaptive execution does not split
+    the other side's partition of a hot key.
+    """
+    return df.groupBy(key, F.xxhash64(key).alias("_beside")).agg(*aggregates).drop("_beside")
+
+
 def lookup(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows for a table of keys (each key once), with the number of rows that share the key.
 
-    The join strategy is left to the optimizer, which broadcasts the keys only when their
-    known size is small.
+    Few keys (counted) are sent to every task, and so are their counts. For many, all keys of the
+    table are counted first, and rows of a hot key are split at run time.
     """
     wanted = keys.select(on).dropDuplicates([on])
-    found = df.join(wanted, on, "left_semi")
-    counts = found.groupBy(on).agg(F.count(F.lit(1)).alias("matches"))
-    return found.join(counts, on)
+    if wanted.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
+        found = df.join(F.broadcast(wanted), on, "left_semi")
+        return found.join(F.broadcast(found.groupBy(on).agg(F.count(F.lit(1)).alias("matches"))), on)
+    beside = F.xxhash64(on).alias("_beside")
+    counts = df.groupBy(on, beside).agg(F.count(F.lit(1)).alias("matches"))
+    matched = counts.join(wanted.select(on, beside), [on, "_beside"], "left_semi").drop("_beside")
+    return df.join(matched, on)
 
 
 def lookup_duplicates(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -102,7 +120,7 @@ def chunks_of(df: DataFrame, documents: object, column: str = "document_id", ord
 def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the last in order. Aggregates before the shuffle."""
     values = [c for c in df.columns if c != key]
-    latest = df.groupBy(key).agg(F.max_by(F.struct(*values), F.col(order)).alias("_row"))
+    latest = joinable(df, key, F.max_by(F.struct(*values), F.col(order)).alias("_row"))
     return latest.select(key, "_row.*")
 
 
