@@ -413,8 +413,13 @@ def _top_k(
 
 
 def _for_join(hits: DataFrame, bound: int | None) -> DataFrame:
-    """Hits of a known small number are sent to the items, which then are not shuffled."""
-    return F.broadcast(hits) if bound is not None and bound <= HIT_ROWS else hits
+    """Hits of a known small number are sent to the items, which then are not shuffled.
+
+    The number bounds their bytes only if ids have a fixed width; of others adaptive execution measures
+    the bytes before it sends them.
+    """
+    fixed_width = all(not isinstance(hits.schema[c].dataType, (T.StringType, T.BinaryType)) for c in ("query_id", "item_id"))
+    return F.broadcast(hits) if fixed_width and bound is not None and bound <= HIT_ROWS else hits
 
 
 def knn_exact(

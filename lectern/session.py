@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches of long texts or wide vectors are cut by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
