@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import sized, without_rows, written
+from lectern.llm.common import shuffle_partitions, sized, without_rows, written
 from lectern.llm.components import components
 from lectern.llm.words import chunks, find_words, mix, numbers, sequence_hashes
 
 # Documents of a tile, and columns that a task multiplies out at a time.
 TILE = 1024
 COLUMNS = 2048
+# The block of documents with equal sets.
+TWINS = 0
 EMPTY_BLOCK = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -104,7 +106,11 @@ def block_rows(grams: np.ndarray, ranges: Ranges) -> np.ndarray:
 
 
 def _blocks(words: int, percent: int):
-    """Per chunk: ``block, member, hub, same, held`` with each block's rows tied to its smallest member."""
+    """Per chunk: ``block, member, tie``, slim rows with each block's members tied to its smallest one.
+
+    The smallest member's row has tie 0 and meets those of other chunks; a row tied to it has minus
+    the smallest member minus 1. Documents of equal sets are tied in ``TWINS`` and have no other row.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(percent)
@@ -131,55 +137,84 @@ def _blocks(words: int, percent: int):
             block, member = np.concatenate(prints).view(np.int64), np.concatenate(owners)
             order = np.lexsort((member, block))
             block, member = block[order], member[order]
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            held = np.diff(np.append(first, len(block)))
-            hub = np.repeat(member[first], held)
+            new = np.concatenate([[True], block[1:] != block[:-1]])
+            first = np.flatnonzero(new)
+            hub = member[first][np.cumsum(new) - 1]
             twins = np.array(same, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([block, np.zeros(len(twins), np.int64)])),
+                    pa.array(np.concatenate([block, np.full(len(twins), TWINS)])),
                     pa.array(np.concatenate([member, twins[:, 0]])),
-                    pa.array(np.concatenate([hub, twins[:, 1]])),
-                    pa.array(np.concatenate([np.zeros(len(block), bool), np.ones(len(twins), bool)])),
-                    pa.array(np.concatenate([np.repeat(held, held), np.full(len(twins), 2)]).astype(np.int32)),
+                    pa.array(np.concatenate([np.where(new, 0, -hub - 1), -twins[:, 1] - 1])),
                 ],
-                names=["block", "member", "hub", "same", "held"],
+                names=["block", "member", "tie"],
             )
 
     return run
 
 
+def profile(grams: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams in ranges of the hash, about eight in each, at most 255.
+
+    The sum of the differences of two profiles is no more than the number of differing n-grams.
+    """
+    parts = 64
+    while parts * 8 < len(grams):
+        parts *= 2
+    part = (grams >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=parts), 255).astype(np.uint8)
+
+
 def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             sets = shingle_sets(chunk.column("text"), words)
             wanted = chunk.column("wanted").to_numpy(zero_copy_only=False)
             grams = [s.view(np.int64) if w else None for s, w in zip(sets, wanted, strict=True)]
+            profiles = [profile(s).tobytes() if w else None for s, w in zip(sets, wanted, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     chunk.column("row"),
                     chunk.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(grams, pa.list_(pa.int64())),
+                    pa.array(profiles, pa.binary()),
                 ],
-                names=["row", "id", "n_shingles", "grams"],
+                names=["row", "id", "n_shingles", "grams", "profile"],
             )
 
     return run
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a, b``) whose sizes and profiles do not rule out a link; rows carry profiles, not n-grams."""
+    side = sets.filter(F.col("profile").isNotNull()).select("row", "n_shingles", "profile")
+    left, right = (side.withColumnsRenamed({"row": c, "n_shingles": f"n_{c}", "profile": f"profile_{c}"}) for c in "ab")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            limits = ((100 - percent) * (n + m) // (100 + percent)).tolist()
+            profiles = zip(batch.column("profile_a").to_pylist(), batch.column("profile_b").to_pylist(), limits, strict=True)
+            kept = np.flatnonzero([bool(np.abs(np.subtract(*_folded([x, y]))).sum() <= limit) for x, y, limit in profiles])
+            yield batch.select(["a", "b"]).take(pa.array(kept))
+
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return pairs.join(left, "a").join(right, "b").filter(fits).mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a, b``) whose accumulated overlap reaches the threshold."""
-    side = sets.filter(F.col("grams").isNotNull()).select("row", "n_shingles", "grams")
+    """Pairs (``a, b``) whose accumulated overlap reaches the threshold. N-grams move for possible pairs only."""
+    pairs = written(_possible(pairs, sets, percent), "possible")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
+    side = sets.join(sized(asked, 16), "row", "left_semi").select("row", "n_shingles", "grams")
     left = side.select(F.col("row").alias("a"), F.col("n_shingles").alias("n"), F.col("grams").alias("x"))
     right = side.select(F.col("row").alias("b"), F.col("n_shingles").alias("m"), F.col("grams").alias("y"))
-    overlap = F.size(F.array_intersect("x", "y"))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    common = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .filter(fits)
-        .select("a", "b", "n", "m", overlap.alias("common"))
+        .select("a", "b", "n", "m", common.alias("common"))
         .filter(F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent)
         .select("a", "b")
     )
@@ -236,15 +271,91 @@ def _multiply(percent: int):
     return run
 
 
+def _folded(profiles: list[bytes]) -> np.ndarray:
+    """Profiles as rows of the shortest one's length: longer ones are added up in runs."""
+    arrays = [np.frombuffer(p, np.uint8) for p in profiles]
+    parts = min(map(len, arrays))
+    return np.stack([a.reshape(parts, -1).sum(1, dtype=np.int16) if len(a) > parts else a.astype(np.int16) for a in arrays])
+
+
+def _alike(percent: int):
+    """Per block, the parts that some pair of members may link: ``a, b`` that join them (rows come sorted by block).
+
+    A pair may be linked unless the difference of its profiles exceeds the size-derived bound on
+    differing n-grams. Pairs are formed here only, a bounded number at a time.
+    """
+
+    def joined(parts: np.ndarray, n: np.ndarray, profiles: list[bytes]) -> list[tuple[int, int]]:
+        rows = _folded(profiles)
+        bound = (100 - percent) * (n[:, None] + n[None, :]) // (100 + percent) if len(n) <= 64 else None
+        root = {int(p): int(p) for p in parts}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i in range(len(rows) - 1):
+            limit = bound[i, i + 1 :] if bound is not None else (100 - percent) * (n[i] + n[i + 1 :]) // (100 + percent)
+            near = np.abs(rows[i + 1 :] - rows[i]).sum(1) <= limit
+            near &= parts[i + 1 :] != parts[i]
+            for other in np.unique(parts[i + 1 :][near]).tolist():
+                p, q = find(int(parts[i])), find(other)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append((p, q))
+        return found
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            table = pa.Table.from_batches([batch]) if batch is not None else None
+            if held is not None:
+                table = held if table is None else pa.concat_tables([held, table])
+            if table is None or not table.num_rows:
+                continue
+            blocks = table.column("block").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])).tolist() + [len(blocks)]
+            # The last block may go on in the next batch.
+            if batch is not None:
+                held, edges = table.slice(edges[-2]), edges[:-1]
+            part, n = table.column("part").to_numpy(), table.column("n_shingles").to_numpy()
+            profiles = table.column("profile").to_pylist()
+            found = [e for a, z in zip(edges[:-1], edges[1:], strict=True) for e in joined(part[a:z], n[a:z], profiles[a:z])]
+            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _with_end(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different parts of the same block; ``rest`` has ``block, row, part`` and ``low``, the block's least part.
+    """Links between different parts of the same block; ``rest`` has ``block, row, part``.
 
-    Blocks that have a part in common are taken together, so a pair that meets in many blocks is
-    multiplied out once. Members are dealt to tiles of about ``TILE`` rows: large parts to tiles of their
-    own, which are not paired with each other, small parts together. Tile pairs whose sizes cannot
-    reach the threshold are left out.
+    Blocks of the same members are looked at once. Parts that some block holds alike by their
+    profiles make a family, and a family's rows are multiplied out, each pair once. Its members are
+    dealt to tiles of about ``TILE`` rows: large parts to tiles of their own, which are not paired with
+    each other, small parts together. Tile pairs whose sizes cannot reach the threshold are left out.
     """
-    chains = components(rest.select(F.col("part").alias("a"), F.col("low").alias("b")).distinct())
+    spark = rest.sparkSession
+    marks = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("again"))).alias("y")]
+    members_of = rest.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *marks)
+    once = members_of.groupBy("n", "x", "y").agg(F.min("block").alias("block")).select("block")
+    alike = (
+        rest.join(once, "block")
+        .join(sets.select("row", "n_shingles", "profile"), "row")
+        .select("block", "row", "part", "n_shingles", "profile")
+        .repartition(shuffle_partitions(spark), "block")
+        .sortWithinPartitions("block", "row")
+        .mapInArrow(_alike(percent), "a long, b long")
+    )
+    chains = components(alike)
     family = chains.select(F.col("node").alias("part"), F.col("component").alias("family"))
     members = written(rest.select("row", "part").distinct().join(family, "part").join(sets.select("row", "n_shingles"), "row"), "families")
     parts = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -306,24 +417,20 @@ def jaccard_components(
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    emitted = base.select("row", "text").mapInArrow(
-        _blocks(words, percent), "block long, member long, hub long, same boolean, held int"
-    )
-    # Rows inside a chunk are tied to the chunk's hub already; only hubs meet those of other chunks.
-    lone = F.when((F.col("member") == F.col("hub")) & ~F.col("same"), F.lit(-1)).otherwise(F.col("member"))
-    group = Window.partitionBy("block", "lone")
+    emitted = base.select("row", "text").mapInArrow(_blocks(words, percent), "block long, member long, tie long")
+    # Rows tied inside a chunk make groups of their own; only the hubs of a block meet across chunks.
+    group = Window.partitionBy("block", "tie")
     edges = written(
-        emitted.withColumn("lone", lone)
-        .withColumn("top", F.min("hub").over(group))
+        emitted.withColumn("top", F.min("member").over(group))
         .withColumn("hubs", F.count(F.lit(1)).over(group))
-        .filter((F.col("lone") >= 0) | (F.col("hubs") > 1) | (F.col("held") > 1))
-        .select("block", "member", F.col("top").alias("hub"), "same"),
+        .filter((F.col("tie") < 0) | (F.col("hubs") > 1))
+        .select("block", "member", F.when(F.col("tie") < 0, -F.col("tie") - 1).otherwise(F.col("top")).alias("hub")),
         "blocks",
     )
     tied = written(
-        edges.filter("member <> hub").groupBy("member", "hub").agg(F.max("same").alias("same")).withColumnsRenamed(
-            {"member": "b", "hub": "a"}
-        ),
+        edges.filter("member <> hub")
+        .groupBy(F.col("hub").alias("a"), F.col("member").alias("b"))
+        .agg(F.max(F.col("block") == TWINS).alias("same")),
         "pairs",
     )
     open_pairs = tied.filter(~F.col("same")).select("a", "b")
@@ -331,20 +438,21 @@ def jaccard_components(
     sets = written(
         base.join(sized(named.withColumn("wanted", F.lit(True)), 16), "row", "left")
         .select("row", "id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-        .mapInArrow(_sets(words), f"row long, id {dict(docs.dtypes)[id_col]}, n_shingles long, grams array<long>"),
+        .mapInArrow(_sets(words), f"row long, id {dict(docs.dtypes)[id_col]}, n_shingles long, grams array<long>, profile binary"),
         "sets",
     )
     links = written(tied.filter("same").select("a", "b").union(_linked(open_pairs, sets, percent)), "linked")
     found = written(components(links), "components")
-    # Blocks whose members are still apart.
+    # Blocks whose members are still apart (few, unless documents share passages or are near copies).
     placed = (
-        edges.filter(~F.col("same"))
-        .select("block", F.col("member").alias("row"))
+        edges.filter(F.col("block") != TWINS)
+        .select("block", F.explode(F.array("member", "hub")).alias("row"))
+        .distinct()
         .join(found.withColumnRenamed("node", "row"), "row", "left")
         .select("block", "row", F.coalesce("component", "row").alias("part"))
     )
     apart = placed.groupBy("block").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    rest = written(placed.join(apart.select("block", "low"), "block"), "apart")
+    rest = written(placed.join(apart.select("block"), "block"), "apart")
     if rest.limit(1).count():
         more = written(_across(rest, sets, percent), "linked")
         found = written(components(links.union(more)), "components")
