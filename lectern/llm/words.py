@@ -27,6 +27,8 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 LONG = 64
+# Bytes hashed at once: bounds the index arrays, which take eight bytes for each of these.
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,19 +73,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of non-empty byte spans that do not overlap and lie in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """Hashes of non-empty byte spans that do not overlap and lie in order, about ``BLOCK`` bytes at a time."""
     lengths = ends - starts
-    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inside = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(firsts, lengths)
-    at = inside + np.repeat(starts, lengths)
-    inside %= LONG
-    inside *= 256
-    inside += data[at]
-    sums = np.add.reduceat(TABLE[inside], firsts)
-    sums += lengths.astype(np.uint64)
-    hashes = mix(sums)
+    hashes = np.empty(len(starts), np.uint64)
+    done = np.concatenate([[0], np.cumsum(lengths)])
+    low = 0
+    while low < len(starts):
+        high = min(len(starts), max(low + 1, int(np.searchsorted(done, done[low] + BLOCK))))
+        own = lengths[low:high]
+        firsts = done[low:high] - done[low]
+        inside = np.arange(int(own.sum()), dtype=np.int64)
+        at = inside + np.repeat(starts[low:high] - firsts, own)
+        inside -= np.repeat(firsts, own)
+        inside %= LONG
+        inside *= 256
+        inside += data[at]
+        hashes[low:high] = mix(np.add.reduceat(TABLE[inside], firsts) + own.astype(np.uint64))
+        low = high
     for i in np.flatnonzero(lengths > LONG):
         hashes[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
     return hashes
