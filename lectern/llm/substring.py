@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_BYTES, sized, shuffle_partitions, written
+from lectern.llm.common import shuffle_partitions, sized, written
 from lectern.llm.words import Words, chunks, find_words, sequence_hashes
 
 WINDOW = 50
@@ -297,12 +297,6 @@ def _kept(window: int):
     return run
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """Joins per-row lists, sent to every task if the lists are counted to be small."""
-    total = lists.agg(F.sum(F.size(column) * 16 + 32)).first()[0] or 0
-    return texts.join(F.broadcast(lists) if total <= BROADCAST_BYTES else lists, "row", how)
-
-
 def removed_windows(
     docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", group_stretches: int = GROUP_STRETCHES
 ) -> tuple[DataFrame, DataFrame]:
@@ -333,14 +327,15 @@ def removed_windows(
         names = written(repeated.filter(condition).select("name"), "prefixes")
         return written(runs.join(sized(names, 16), "name").groupBy("row").agg(F.collect_list("first").alias("firsts")), "picked")
 
-    small = _with_lists(single, picked(F.col("n") <= group_stretches), "firsts", "inner")
+    # Texts meet their lists by row: a shuffle of the texts at any size, so lists may grow with the input.
+    small = single.join(picked(F.col("n") <= group_stretches), "row")
     stretches = small.mapInArrow(_stretches(window), "name long, row long, doc long, first int, stretch binary")
     parts = shuffle_partitions(docs.sparkSession)
     found = (
         stretches.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_trees(window), "row long, first long, last long")
     )
     if repeated.filter(F.col("n") > group_stretches).limit(1).count():
-        large = _with_lists(single, picked(F.col("n") > group_stretches), "firsts", "inner")
+        large = single.join(picked(F.col("n") > group_stretches), "row")
         windows = written(
             large.mapInArrow(_single_windows(window), "high long, low long, row long, doc long, first int, known boolean"), "windows"
         )
@@ -363,6 +358,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     runs, copies = removed_windows(docs, window, id_col, text_col, **options)
     lists = written(runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("removed")), "lists")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = _with_lists(texts, lists, "removed", "left").join(sized(copies, 16).withColumn("copy", F.lit(True)), "row", "left")
+    marked = texts.join(lists, "row", "left").join(sized(copies, 16).withColumn("copy", F.lit(True)), "row", "left")
     kind = dict(docs.dtypes)[id_col]
     return marked.mapInArrow(_kept(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, row long")
