@@ -23,8 +23,11 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
 UNKNOWN = "und"
-# Windows of labelled text that the network is fitted on, drawn evenly by hash, at most.
+# Windows of labelled text that the network is fitted on, shared out among the languages, at most;
+# each language has one at least, however many there are.
 TRAIN_WINDOWS = 12_000
+# Windows that tasks emit of a language beyond twice its share, so that chance leaves none short.
+SPARE = 64
 BATCH = 512
 
 
@@ -149,18 +152,28 @@ def _draws(seed: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(seed[owner] + np.arange(len(owner), dtype=np.uint64))
 
 
-def _labelled(share: float):
-    """Windows of labelled texts with a hash that orders them at random, of that share of all."""
-    limit = np.uint64(min(1.0, share) * (2**64 - 2**12))
+def _quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Windows to learn from per language: an equal share, or all where there are fewer; what those leave goes to the others."""
+    quotas, left = {}, most
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        quotas[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= quotas[lang]
+    return quotas
+
+
+def _labelled(shares: dict[str, float]):
+    """Windows of labelled texts with a hash that orders them at random, of each language that share of all."""
+    limits = {lang: np.uint64(min(1.0, share) * (2**64 - 2**12)) for lang, share in shares.items()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             seed = chunk.column("seed").to_numpy().view(np.uint64)
+            limit = np.array([limits[lang] for lang in chunk.column("lang").to_pylist()], np.uint64)
             drawn = []
 
-            def pick(owner, size, seed=seed, drawn=drawn):
+            def pick(owner, size, seed=seed, limit=limit, drawn=drawn):
                 draw = _draws(seed, owner)
-                wanted = (draw <= limit) & (size >= WINDOW // 2)
+                wanted = draw <= limit[owner]
                 drawn.append(draw[wanted])
                 return wanted
 
@@ -178,22 +191,23 @@ def _labelled(share: float):
 
 
 def train(labelled: DataFrame, most: int = TRAIN_WINDOWS, id_col: str = "doc_id") -> ByteNet | None:
-    """A network fitted on at most ``most`` windows of the rows' whole texts, drawn evenly by hash.
+    """A network fitted on at most ``most`` windows of the rows' whole texts, drawn by hash per language.
 
     Input columns: the id, ``text`` and ``lang``; null or empty labels and texts are left out.
-    Windows of at least half the width take part, of any place in a text. The number of windows is
-    summed first, so that tasks emit about twice ``most`` together. None if there is no window.
+    Windows of any size and place in a text take part, so short texts teach as well. Windows are counted
+    per language first, so that tasks emit about twice ``most`` together. None if there is no window.
     """
     rows = labelled.filter((F.coalesce("lang", F.lit("")) != "") & (F.length("text") > 0)).select(
         "text", "lang", F.xxhash64(id_col, "text").alias("seed")
     )
-    total = rows.agg(F.sum(F.ceil(F.octet_length("text") / WINDOW))).first()[0]
-    if not total:
-        return None
-    drawn = rows.mapInArrow(_labelled(2 * most / int(total)), "draw long, lang string, bytes binary")
-    picked = drawn.orderBy("draw", "bytes").limit(most).toPandas()
-    if not len(picked):
+    found = rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()
+    counts = {r["lang"]: int(r["n"]) for r in found}
+    if not counts:
         return None
+    quotas = _quotas(counts, most)
+    shares = {lang: (2 * quotas[lang] + SPARE) / n for lang, n in counts.items()}
+    drawn = rows.mapInArrow(_labelled(shares), "draw long, lang string, bytes binary").toPandas().sort_values(["draw", "bytes"])
+    picked = drawn[drawn.groupby("lang").cumcount() < drawn["lang"].map(quotas)]
     languages = sorted(picked["lang"].unique())
     x = np.frombuffer(b"".join(picked["bytes"]), np.uint8).reshape(-1, WINDOW)
     return fit(x, np.searchsorted(languages, picked["lang"].to_numpy()), languages)
@@ -240,8 +254,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learns from the rows that are not held out, predicts all: ``doc_id, held_out, lang_pred, score, row``."""
+def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, ByteNet | None]:
+    """The rows under fixed names, and the network that those not held out give."""
     named = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
@@ -249,16 +263,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         held_out(id_col).alias("held_out"),
         F.monotonically_increasing_id().alias("row"),
     )
-    net = train(named.filter(~F.col("held_out")))
+    return named, train(named.filter(~F.col("held_out")))
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Learns from the rows that are not held out, predicts all: ``doc_id, held_out, lang_pred, score, row``."""
+    named, net = _learned(docs, id_col, text_col, lang_col)
     return predict(named, net, ["doc_id", "held_out", "row"]).select("doc_id", "held_out", "lang_pred", "score", "row")
 
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """The rows of a written table whose language is identified, with all their columns.
 
-    Rejected are texts that are null or have no letter (``und``), and texts whose score lies below
-    ``least_score``.
+    Rejected are texts that are null or have no letter, and texts whose score lies below ``least_score``.
+    Where nothing could be learned there are no scores, and only the former are rejected.
     """
-    found = identify(docs)
-    bad = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)
-    return without_rows(docs, written(found.filter(bad).select("row"), "language-dropped"))
+    named, net = _learned(docs, "doc_id", "text", "lang")
+    if net:
+        bad = predict(named, net, ["row"]).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
+    else:
+        bad = named.filter(~text_or_empty("text").rlike(r"\p{L}"))
+    return without_rows(docs, written(bad.select("row"), "language-dropped"))

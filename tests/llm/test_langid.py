@@ -73,3 +73,25 @@ def test_drop_unidentified(spark, tmp_path):
     kept = langid.drop_unidentified(given)
     assert kept.columns == given.columns
     assert sorted(set(r.doc_id for r in given.collect() if r.doc_id) - set(r.doc_id for r in kept.collect() if r.doc_id)) == [1000, 1001, 1002]
+
+
+def test_short_texts_and_rare_languages_are_learned(spark):
+    rows = [(i, "foo bar baz qux " * 400, "aa", 1, "r") for i in range(600)]
+    rows += [(10_000 + i, "ñandú grün", "bb", 1, "r") for i in range(40)]
+    given = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    net = langid.train(given, most=400)
+    assert net.languages == ["aa", "bb"]
+    found = langid.predict(given, net, ["doc_id", "lang"])
+    assert found.filter("lang_pred <> lang").count() == 0
+
+
+def test_every_language_has_its_windows():
+    assert langid._quotas({"a": 10**9, "b": 3, "c": 10**6}, 1000) == {"b": 3, "c": 498, "a": 499}
+    assert set(langid._quotas({str(i): 5 for i in range(50)}, 20).values()) == {1}
+
+
+def test_nothing_learned_drops_letterless_texts_only(spark, tmp_path):
+    rows = [(0, "short text", None, 1, "r"), (1, "123", None, 1, "r"), (2, None, None, 1, "r"), (3, "x" * 200, "", 1, "r")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "none"))
+    kept = langid.drop_unidentified(spark.read.parquet(str(tmp_path / "none")), least_score=0.5)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3]
