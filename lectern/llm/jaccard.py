@@ -279,13 +279,13 @@ def _folded(profiles: list[bytes]) -> np.ndarray:
 
 
 def _alike(percent: int):
-    """Per block, the parts that some pair of members may link: ``a, b`` that join them (rows come sorted by block).
+    """Per pair of tiles, the parts that some two members may link: ``a, b`` that join them (rows come sorted by pair and side).
 
-    A pair may be linked unless the difference of its profiles exceeds the size-derived bound on
-    differing n-grams. Pairs are formed here only, a bounded number at a time.
+    Members of side 0 meet those of side 1; side 2 is a tile whose members meet each other. Two members may be linked unless the difference of its profiles exceeds the size-derived bound on
+    differing n-grams. They meet here only, a bounded number at a time.
     """
 
-    def joined(parts: np.ndarray, n: np.ndarray, profiles: list[bytes]) -> list[tuple[int, int]]:
+    def joined(parts: np.ndarray, n: np.ndarray, side: np.ndarray, profiles: list[bytes]) -> list[tuple[int, int]]:
         rows = _folded(profiles)
         bound = (100 - percent) * (n[:, None] + n[None, :]) // (100 + percent) if len(n) <= 64 else None
         root = {int(p): int(p) for p in parts}
@@ -297,11 +297,13 @@ def _alike(percent: int):
             return x
 
         found = []
-        for i in range(len(rows) - 1):
-            limit = bound[i, i + 1 :] if bound is not None else (100 - percent) * (n[i] + n[i + 1 :]) // (100 + percent)
-            near = np.abs(rows[i + 1 :] - rows[i]).sum(1) <= limit
-            near &= parts[i + 1 :] != parts[i]
-            for other in np.unique(parts[i + 1 :][near]).tolist():
+        second = int(np.searchsorted(side, 1))
+        for i in range(len(rows) - 1 if side[0] == 2 else second):
+            to = i + 1 if side[0] == 2 else second
+            limit = bound[i, to:] if bound is not None else (100 - percent) * (n[i] + n[to:]) // (100 + percent)
+            near = np.abs(rows[to:] - rows[i]).sum(1) <= limit
+            near &= parts[to:] != parts[i]
+            for other in np.unique(parts[to:][near]).tolist():
                 p, q = find(int(parts[i])), find(other)
                 if p != q:
                     root[max(p, q)] = min(p, q)
@@ -316,14 +318,14 @@ def _alike(percent: int):
                 table = held if table is None else pa.concat_tables([held, table])
             if table is None or not table.num_rows:
                 continue
-            blocks = table.column("block").to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])).tolist() + [len(blocks)]
-            # The last block may go on in the next batch.
+            pair = table.column("pair").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])).tolist() + [len(pair)]
+            # The last pair may go on in the next batch.
             if batch is not None:
                 held, edges = table.slice(edges[-2]), edges[:-1]
-            part, n = table.column("part").to_numpy(), table.column("n_shingles").to_numpy()
+            part, n, side = (table.column(c).to_numpy() for c in ("part", "n_shingles", "side"))
             profiles = table.column("profile").to_pylist()
-            found = [e for a, z in zip(edges[:-1], edges[1:], strict=True) for e in joined(part[a:z], n[a:z], profiles[a:z])]
+            found = [e for a, z in zip(edges[:-1], edges[1:], strict=True) for e in joined(part[a:z], n[a:z], side[a:z], profiles[a:z])]
             pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -335,37 +337,22 @@ def _with_end(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different parts of the same block; ``rest`` has ``block, row, part``.
+def _paired(members: DataFrame, group: str, percent: int) -> DataFrame:
+    """Members of each group once for every pair of tiles they are in: the group, ``pair, row, part, n_shingles, side``.
 
-    Blocks of the same members are looked at once. Parts that some block holds alike by their
-    profiles make a family, and a family's rows are multiplied out, each pair once. Its members are
-    dealt to tiles of about ``TILE`` rows: large parts to tiles of their own, which are not paired with
-    each other, small parts together. Tile pairs whose sizes cannot reach the threshold are left out.
+    ``members`` has the group, ``row, part, n_shingles``. They are dealt to tiles of about ``TILE`` rows:
+    large parts to tiles of their own, which are not paired with each other, small parts together. Tile
+    pairs whose sizes cannot reach the threshold are left out. Side 0 is the first tile of a pair, 1 the
+    second; a tile paired with itself has side 2 only.
     """
-    spark = rest.sparkSession
-    marks = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("again"))).alias("y")]
-    members_of = rest.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *marks)
-    once = members_of.groupBy("n", "x", "y").agg(F.min("block").alias("block")).select("block")
-    alike = (
-        rest.join(once, "block")
-        .join(sets.select("row", "n_shingles", "profile"), "row")
-        .select("block", "row", "part", "n_shingles", "profile")
-        .repartition(shuffle_partitions(spark), "block")
-        .sortWithinPartitions("block", "row")
-        .mapInArrow(_alike(percent), "a long, b long")
-    )
-    chains = components(alike)
-    family = chains.select(F.col("node").alias("part"), F.col("component").alias("family"))
-    members = written(rest.select("row", "part").distinct().join(family, "part").join(sets.select("row", "n_shingles"), "row"), "families")
-    parts = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = members.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") > TILE
-    few = parts.filter(~own).groupBy("family").agg(F.ceil(F.sum("n") / TILE).alias("mixed"))
+    few = parts.filter(~own).groupBy(group).agg(F.ceil(F.sum("n") / TILE).alias("mixed"))
     dealt = written(
-        members.join(parts, ["family", "part"])
-        .join(few, "family", "left")
+        members.join(parts, [group, "part"])
+        .join(few, group, "left")
         .select(
-            "family",
+            group,
             "row",
             "part",
             "n_shingles",
@@ -374,25 +361,56 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ),
         "dealt",
     )
-    tiles = dealt.groupBy("family", "of", "tile").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    tiles = dealt.groupBy(group, "of", "tile").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     fits = (F.col("l.most") * 100 >= F.col("r.least") * percent) & (F.col("r.most") * 100 >= F.col("l.least") * percent)
     ordered = F.struct("l.of", "l.tile") <= F.struct("r.of", "r.tile")
     apart = (F.col("l.of") != F.col("r.of")) | (F.col("l.of") == -1)
     pairs = written(
-        tiles.alias("l").join(tiles.alias("r"), "family").filter(fits & ordered & apart).select(
-            "family",
+        tiles.alias("l").join(tiles.alias("r"), group).filter(fits & ordered & apart).select(
+            group,
             F.struct("l.of", "l.tile").alias("first"),
             F.struct("r.of", "r.tile").alias("second"),
         ),
         "tiles",
     )
-    key = F.xxhash64("family", "first", "second").alias("pair")
+    key = F.xxhash64(group, "first", "second").alias("pair")
     alike = F.col("first") == F.col("second")
-    sides = pairs.select("family", "first", "second", F.explode(F.when(alike, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.select("family", key, "side", F.when(F.col("side") == 1, F.col("second")).otherwise(F.col("first")).alias("t"))
+    sides = pairs.select(group, "first", "second", F.explode(F.when(alike, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.select(group, key, "side", F.when(F.col("side") == 1, F.col("second")).otherwise(F.col("first")).alias("t"))
+    return dealt.withColumn("t", F.struct("of", "tile")).join(sides, [group, "t"]).select(group, "pair", "row", "part", "n_shingles", "side")
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different parts of the same block; ``rest`` has ``block, row, part``.
+
+    Blocks of the same members are looked at once, large ones in pairs of tiles. Parts that some block
+    holds alike by their profiles make a family, and a family's rows are multiplied out, each pair once,
+    in pairs of tiles as well.
+    """
+    spark = rest.sparkSession
+    marks = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("again"))).alias("y")]
+    members_of = rest.groupBy("block").agg(F.count(F.lit(1)).alias("size"), *marks)
+    once = written(members_of.groupBy("size", "x", "y").agg(F.min("block").alias("block")).select("block", "size"), "once")
+    sizes = sets.select("row", "n_shingles")
+    met = rest.join(once.filter(F.col("size") <= TILE), "block").join(sizes, "row").select(
+        F.col("block").alias("pair"), "row", "part", "n_shingles", F.lit(2).alias("side")
+    )
+    large = once.filter(F.col("size") > TILE)
+    if large.limit(1).count():
+        cut = written(rest.join(large, "block").join(sizes, "row").select("block", "row", "part", "n_shingles"), "large")
+        met = met.union(_paired(cut, "block", percent).select("pair", "row", "part", "n_shingles", "side"))
+    alike = (
+        met.join(sets.select("row", "profile"), "row")
+        .select("pair", "row", "part", "n_shingles", "side", "profile")
+        .repartition(shuffle_partitions(spark), "pair")
+        .sortWithinPartitions("pair", "side", "row")
+        .mapInArrow(_alike(percent), "a long, b long")
+    )
+    chains = components(alike)
+    family = chains.select(F.col("node").alias("part"), F.col("component").alias("family"))
+    members = written(rest.select("row", "part").distinct().join(family, "part").join(sizes, "row"), "families")
     return (
-        dealt.withColumn("t", F.struct("of", "tile"))
-        .join(sides, ["family", "t"])
+        _paired(members, "family", percent)
         .join(sets.select("row", "grams"), "row")
         .select("family", "pair", "row", "part", "n_shingles", "side", "grams")
         .groupBy("family", "pair")

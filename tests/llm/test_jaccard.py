@@ -131,3 +131,35 @@ def test_tiles_smaller_than_families(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
     found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
     assert [found[i] for i in range(60)] == brute(texts, 3, 90)[1]
+
+
+def test_large_blocks_meet_in_pairs_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    alike = jaccard._alike
+
+    def bounded(percent):
+        inner = alike(percent)
+
+        def run(batches):
+            seen = {}
+
+            def counted():
+                for batch in batches:
+                    for group in batch.column(0).to_pylist():
+                        seen[group] = seen.get(group, 0) + 1
+                    assert max(seen.values(), default=0) <= 24, "a task holds a whole block"
+                    yield batch
+
+            yield from inner(counted())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_alike", bounded)
+    # Forty rows of one part share a block with two strays, of which one is linked with a row of it.
+    grams = {i: [*range(20), 1000 + i] for i in range(40)} | {100: [*range(20), 1005], 101: list(range(500, 521))}
+    rest = spark.createDataFrame([(7, i, min(i, 100) // 100 * i) for i in grams], "block long, row long, part long")
+    sets = spark.createDataFrame(
+        [(i, len(g), g, bytearray(64)) for i, g in grams.items()], "row long, n_shingles long, grams array<long>, profile binary"
+    )
+    links = {tuple(sorted((r.a, r.b))) for r in jaccard._across(rest, sets, 90).collect()}
+    assert links and all(a < 40 and b == 100 for a, b in links)
