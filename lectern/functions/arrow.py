@@ -69,8 +69,10 @@ def keyword_counter(k: int, stop_words: tuple[str, ...], min_length: int):
 
 
 # What a text must hold for any default pattern to match; the test runs in the JVM, and only texts
-# that pass it travel to Python.
-_ENTITY_GUARD = r"\d|@|(?i:(?:LLC|Inc|Ltd|Corp|SA|GmbH|SARL|Corporation)\b)|[A-Z][A-Za-z]+\s+[A-Z]"
+# that pass it travel to Python. Digits and blanks are those of any script (unassigned characters may be
+# digits to Python); word boundaries, on
+# which Java and Python differ, are not asked for.
+_ENTITY_GUARD = r"[\p{Nd}\p{Cn}]|@|LLC|Inc|Ltd|Corp|SA|GmbH|[A-Z][A-Za-z]+[\s\x1C-\x1F\x85\p{Z}]+[A-Z]"
 # Stands between the texts of a batch. No pattern asks for it, and to word boundaries and
 # lookbehinds it is like the end of a text.
 _BETWEEN = "\x00"
@@ -145,7 +147,7 @@ def entity_finder(rules: str | dict = "default"):
         return pa.array([f if v else None for f, v in zip(found, texts.is_valid().to_pylist(), strict=True)], ARROW_ENTITIES)
 
     def find(text: Column) -> Column:
-        if not isinstance(rules, str):
+        if rules != "default":
             return entities(text)
         none = F.when(text.isNotNull(), F.array().cast(ENTITIES))
         return F.coalesce(entities(F.when(F.rlike(text, F.lit(_ENTITY_GUARD)), text)), none)

@@ -288,3 +288,10 @@ def test_keywords_of_null_and_empty_batches(spark):
     found = [(r["doc_id"], r["rank"], r["word"], r["count"]) for r in cleaning.extract_keywords(df, "doc_id").collect()]
     assert found == [(3, 1, "bbb", 2), (3, 2, "ccc", 1)]
     assert cleaning.extract_keywords(df.filter("doc_id < 3"), "doc_id").count() == 0
+
+
+def test_texts_of_any_script_and_rules_reach_the_entity_patterns(spark):
+    reference = entity_set(spark, "hello there friend", rules="reference")
+    assert any(s == "capitalized_entity" for _, s, _ in reference)
+    for text in ("\u0661\u0662 EUR", "\uff11\uff12/\uff11/\uff12\uff10\uff12\uff11", "New\u00a0York", "New\x1fYork", "New\x85York", "Data\u3000Haus GmbH"):
+        assert entity_set(spark, text), text
