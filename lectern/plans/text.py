@@ -245,6 +245,17 @@ def entity_counts(t: Inputs):
     return questions.entity_counts(plain_entities(t), "doc_id")
 
 
+# The same over the texts as they are; DuckDB's word bounds are ASCII, so these have no SQL.
+@query("entities_unicode")
+def entities_unicode(t: Inputs):
+    return questions.extract_entities(t.documents, "doc_id")
+
+
+@query("entity_counts_unicode")
+def entity_counts_unicode(t: Inputs):
+    return questions.entity_counts(entities_unicode(t), "doc_id")
+
+
 _RECORD_BEST, _ = intent_sql("processed")
 
 

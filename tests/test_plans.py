@@ -134,3 +134,21 @@ def test_library_avoids_local_checkpoints_and_cross_joins():
     for path in (ROOT / "lectern").rglob("*.py"):
         source = path.read_text(encoding="utf-8")
         assert "localCheckpoint" not in source and "crossJoin" not in source, path
+
+
+def test_entities_of_real_texts_equal_a_plain_pass(spark, sf):
+    from lectern.functions import arrow
+
+    want, counts = [], {}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        for kind, patterns in arrow._entity_rules("default").items():
+            found = sorted((m.start(), i, m.end(), m[0]) for i, (p, _, flags) in enumerate(patterns) for m in re.finditer(p, d.text or "", flags))
+            last = -1
+            for start, i, end, value in found:
+                if start >= last:
+                    last = end
+                    want.append((d.doc_id, kind, patterns[i][1], value, start, end))
+                    counts[d.doc_id] = counts.get(d.doc_id, 0) + 1
+    got = QUERIES["entities_unicode"](spark, sf).select("doc_id", "type", "subtype", "value", "start", "end").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    assert {r.doc_id: r.entity_count for r in QUERIES["entity_counts_unicode"](spark, sf).collect() if r.entity_count} == counts
