@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, exact_dedup, jaccard, langid, lines, packing, recurrent_lm, secrets, substring
+from lectern.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard,
+    langid,
+    lines,
+    packing,
+    recurrent_lm,
+    secrets,
+    simhash,
+    spelling,
+    substring,
+    whitening,
+)
 from lectern.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -213,3 +227,46 @@ def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_score")
 def _lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(documents(spark, sf_dir)).drop("row")
+
+
+@query(
+    "op11_spelling_variants",
+    rf"""
+    WITH RECURSIVE
+    crc AS (SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v
+        FROM range(256) r(i))),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+    kept AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+    hashed AS (SELECT run, times, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+                   flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c) - 64] END))),
+                   lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+               FROM kept, crc),
+    spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times
+              FROM hashed),
+    w AS (SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+    cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    pairs AS (SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT c.word, w.word FROM cuts c JOIN w ON w.word = c.rest
+              UNION SELECT w.word, c.word FROM cuts c JOIN w ON w.word = c.rest),
+    best AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY b.n DESC, encode(near)) AS near, max(b.n) AS near_n
+             FROM pairs p JOIN w b ON b.word = p.near GROUP BY p.word),
+    formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+                      CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.at WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n
+    FROM formed f JOIN walk k ON k.word = f.word JOIN formed e ON e.word = k.at WHERE e.form IS NULL
+    """,
+)
+def _spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+@query("op12_simhash_near_dedup")
+def _simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("bits")
+
+
+@query("op13_embedding_whitening")
+def _embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
