@@ -1,6 +1,5 @@
 """Operators for preparing language-model training data.
 
 Each module holds one operator with its general interface; ``queries`` holds the thin registered
-queries. Rows are told apart by their number in the table, so operators expect a table
-that is read the same way each time (a written one). Nothing outside this folder, ``tests/llm`` and ``corpus_pipeline.py`` depends on it.
+queries. Rows are told apart by a number that every job finds the same (``common.numbered``). Nothing outside this folder, ``tests/llm`` and ``corpus_pipeline.py`` depends on it.
 """

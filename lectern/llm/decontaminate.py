@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_or_empty, without_rows, written
+from lectern.llm.common import numbered, row_number, text_or_empty, without_rows, written
 from lectern.llm.words import PUNCTUATION, chunks, find_words, sequence_hashes
 
 SHINGLE = 5
@@ -192,7 +192,7 @@ def contaminated(
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     passes = -(-int(total) // PASS_BYTES)
     read = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), plain(text_col).alias("text")
+        row_number(docs).alias("row"), F.col(id_col).alias("id"), plain(text_col).alias("text")
     )
     kinds, item_kind = dict(docs.dtypes), dict(benchmark.dtypes)[item_col]
     schema = f"doc_id {kinds[id_col]}, row long, item_id {item_kind}, similarity double, first_word long, n_words long"
@@ -206,6 +206,7 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of a written table in which no benchmark item is found, with all their columns."""
+    """The rows in which no benchmark item is found, with all their columns; an empty table stays empty."""
+    docs = numbered(docs)
     found = contaminated(docs, benchmark, threshold)
     return without_rows(docs, written(found.select("row").distinct(), "contaminated"))

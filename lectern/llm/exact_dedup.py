@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shuffle_partitions, text_or_empty, without_rows, written
+from lectern.llm.common import numbered, row_number, shuffle_partitions, text_or_empty, without_rows, written
 
 BLANKS = " \t\n\x0b\f\r"
 # A group of copies is split when it would fill more than a quarter of a mean partition.
@@ -44,7 +44,7 @@ def exact_duplicates(
     total = max(1, docs.count())
     texts = (
         docs.select(
-            F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"), F.monotonically_increasing_id().alias("row")
+            F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"), row_number(docs).alias("row")
         )
         .select("doc_id", "row", F.length("t").alias("chars"), normalised(F.col("t")).alias("norm"))
         .withColumn("print", F.xxhash64("norm"))
@@ -107,6 +107,7 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of a written table that stay, with all their columns."""
+    """The rows that stay, with all their columns; an empty table stays empty."""
+    docs = numbered(docs)
     found = exact_duplicates(docs, id_col, text_col)
     return without_rows(docs, written(found.filter(~F.col("kept")).select("row"), "exact-dropped"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shuffle_partitions, sized, without_rows, written
+from lectern.llm.common import ROW, numbered, shuffle_partitions, sized, without_rows, written
 from lectern.llm.components import components
 from lectern.llm.words import chunks, find_words, mix, numbers, sequence_hashes
 
@@ -432,8 +432,9 @@ def jaccard_components(
     nothing. Repeated rows are documents of their own, linked like other copies. N-grams are
     compared by 64-bit hashes. Other columns are not read; an empty table gives an empty result.
     """
+    docs = numbered(docs)
     base = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
+        F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
     emitted = base.select("row", "text").mapInArrow(_blocks(words, percent), "block long, member long, tie long")
     # Rows tied inside a chunk make groups of their own; only the hubs of a block meet across chunks.
@@ -492,6 +493,7 @@ def jaccard_components(
 def drop_near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One document of each group stays, the first row of the (written) table, with all columns."""
+    """One document of each group stays, the first row of the table, with all columns; an empty table stays empty."""
+    docs = numbered(docs)
     found = jaccard_components(docs, words, percent, id_col, text_col)
     return without_rows(docs, written(found.filter(F.col("component") != F.col("row")).select("row"), "near-dropped"))

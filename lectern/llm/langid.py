@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_or_empty, without_rows, written
+from lectern.llm.common import numbered, row_number, text_or_empty, without_rows, written
 from lectern.llm.words import chunks, mix, text_bytes
 
 WINDOW = 128
@@ -261,7 +261,7 @@ def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tupl
         F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
         held_out(id_col).alias("held_out"),
-        F.monotonically_increasing_id().alias("row"),
+        row_number(docs).alias("row"),
     )
     return named, train(named.filter(~F.col("held_out")))
 
@@ -273,11 +273,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The rows of a written table whose language is identified, with all their columns.
+    """The rows whose language is identified, with all their columns.
 
     Rejected are texts that are null or have no letter, and texts whose score lies below ``least_score``.
     Where nothing could be learned there are no scores, and only the former are rejected.
     """
+    docs = numbered(docs)
     named, net = _learned(docs, "doc_id", "text", "lang")
     if net:
         bad = predict(named, net, ["row"]).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_BYTES, written
+from lectern.llm.common import BROADCAST_BYTES, ROW, numbered, whole_ids, written
 from lectern.llm.words import chunks, hash_spans, sequence_hashes, text_bytes
 
 LINES = 3
@@ -130,12 +130,13 @@ def remove_repeated_lines(docs: DataFrame, lines: int = LINES, id_col: str = "do
     Windows are compared over all documents as they were given, first by id (null last), then by
     row of the table, then by position, within a document too. Kept lines keep their line breaks. Null
     text counts as empty and has no lines; a text with fewer lines than a window keeps them all;
-    of repeated rows the first keeps its lines. Other columns are not read.
+    of repeated rows the first keeps its lines. Ids that are no whole numbers are refused. Other columns are not read.
     """
+    docs = numbered(docs)
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.col(ROW).alias("row"),
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
+        F.coalesce(whole_ids(docs, id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.col(text_col).cast("string").alias("text"),
     )
     later = written(later_windows(texts.select("row", "doc", "text"), lines).groupBy("row").agg(F.collect_list("line").alias("later")), "later")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import ROW, numbered, written
 from lectern.llm.words import chunks, find_words
 
 HIDDEN = 16
@@ -478,9 +478,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     not read.
     """
     kind = dict(docs.dtypes)[id_col]
+    docs = numbered(docs)
     texts = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col(ROW).alias("row"),
         held_out(id_col).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
     )

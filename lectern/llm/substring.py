@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shuffle_partitions, sized, written
+from lectern.llm.common import ROW, numbered, shuffle_partitions, sized, whole_ids, written
 from lectern.llm.words import Words, chunks, find_words, sequence_hashes
 
 WINDOW = 50
@@ -307,9 +307,10 @@ def removed_windows(
     """
     if window < PREFIX:
         raise ValueError(f"windows have at least {PREFIX} words")
+    docs = numbered(docs)
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
+        F.col(ROW).alias("row"),
+        F.coalesce(whole_ids(docs, id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.col(text_col).cast("string").alias("text"),
     )
     sequences = texts.mapInArrow(_sequences(window), "row long, doc long, n long, high long, low long")
@@ -353,11 +354,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     A word is removed if a window that covers it also begins in a document with a smaller id;
     windows are judged on the input. Null text has no words. A text with fewer words than a window
     keeps them all. Rows with the same id never remove each other's words; a null id is larger than
-    all others. Other columns are not read.
+    all others; ids that are no whole numbers are refused. Other columns are not read.
     """
+    docs = numbered(docs)
     runs, copies = removed_windows(docs, window, id_col, text_col, **options)
     lists = written(runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("removed")), "lists")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = texts.join(lists, "row", "left").join(sized(copies, 16).withColumn("copy", F.lit(True)), "row", "left")
     kind = dict(docs.dtypes)[id_col]
     return marked.mapInArrow(_kept(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, row long")
