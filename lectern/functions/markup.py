@@ -2,7 +2,7 @@
 
 Supported tables: HTML ``<table>`` elements (attributes, missing closing cell and row tags,
 ``<th>`` or ``<td>`` headers) and markdown pipe tables, with or without outer pipes, outside
-fenced code. Spanning cells count once. Nested tables and rarer entities are taken care of by
+fenced code. A cell that spans rows or columns stands at every place it covers. Nested tables and rarer entities are taken care of by
 ``arrow.readable_markup`` before these expressions see the text.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.functions import arrow
 from lectern.functions.text import bind, last_items, strip
 
 # Consecutive pipe-table lines are joined by this mark (one character for one newline, so
@@ -179,13 +180,15 @@ def table_rows(source: Column) -> Column:
     html_rows = F.regexp_extract_all(
         source, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|</table|\z)"), F.lit(1)
     )
-    html_cells = F.transform(
-        html_rows,
-        lambda row: F.transform(
-            F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)(?=</t[hd]\s*>|<t[hd]\b|\z)"), F.lit(1)),
-            cell_text,
-        ),
-    )
+    cell = r"(?is)<t[hd]\b([^>]*)>(.*?)(?=</t[hd]\s*>|<t[hd]\b|\z)"
+
+    def parts(group: int, read) -> Column:
+        return F.transform(html_rows, lambda row: F.transform(F.regexp_extract_all(row, F.lit(cell), F.lit(group)), read))
+
+    html_cells = parts(2, cell_text)
+    # Only tables with a spanning cell need the place of every cell.
+    spanned = F.rlike(source, F.lit(r"(?is)<t[hd]\b[^>]*\b(?:row|col)span\s*="))
+    html_cells = F.when(spanned, arrow.spanned_rows(html_cells, parts(1, lambda tag: tag))).otherwise(html_cells)
     pipe_lines = F.split(source, ROW_MARK)
     pipe_rows = F.concat(
         F.slice(pipe_lines, 1, 1), F.slice(pipe_lines, F.lit(3), F.greatest(F.size(pipe_lines) - 2, F.lit(0)))

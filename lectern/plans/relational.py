@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking, ingest, retrieval
+from lectern.operators import chunking, ingest, postings, retrieval
 from lectern.operators import filters as flt
 from lectern.plans.registry import Inputs, query
 from lectern.plans.text import WINDOWS
@@ -56,6 +56,13 @@ def text_search(t: Inputs):
     return flt.search_text(documents(t), "Tion The").select("id")
 
 
+@query("text_search_stored", f"SELECT id FROM {DOCS} WHERE contains(lower(text), 'tion the') ORDER BY id LIMIT 10")
+def text_search_stored(t: Inputs):
+    """The same search over stored trigrams: only rows that can match are read."""
+    index = postings.trigram_store(documents(t), scratch_path(t.spark, "trigrams"))
+    return postings.search_text_stored(index, "Tion The").select("id")
+
+
 @query("text_search_wildcard", f"SELECT id FROM {DOCS} WHERE text ILIKE '%tion_the%' ORDER BY id LIMIT 10")
 def text_search_wildcard(t: Inputs):
     return flt.search_text(documents(t), "tion_the", literal=False).select("id")

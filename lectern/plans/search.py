@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions import text as X
-from lectern.operators import chunking, completion, context, embedding, ingest, retrieval
+from lectern.operators import chunking, completion, context, embedding, ingest, postings, retrieval
 from lectern.plans.registry import Inputs, query
 from lectern.plans.text import language_sql, tokens_sql, windows_sql
 from lectern.plans.vectors import DIM, SLOTS, rounded
@@ -184,6 +184,13 @@ def lexical_search_cells(t: Inputs):
     return rounded(retrieval.bm25(documents(t), asked(t).drop("embedding"), strategy="cells"), "score")
 
 
+@query("lexical_search_stored", BM25 + "SELECT query_id, item_id, rank, round(s, 6) AS score FROM bm_hits WHERE rank <= 10")
+def lexical_search_stored(t: Inputs):
+    """The same search over stored postings: no text is read."""
+    index = postings.postings_store(documents(t), scratch_path(t.spark, "postings"))
+    return rounded(postings.bm25_stored(index, asked(t).drop("embedding")), "score")
+
+
 FUSED = (
     BM25
     + f""", qn AS (SELECT item_id AS query_id, text FROM benchmark),

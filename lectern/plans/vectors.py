@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.rows import each
-from lectern.operators import embedding, retrieval
+from lectern.operators import embedding, probing, retrieval
 from lectern.plans.registry import Inputs, query
 from lectern.plans.text import tokens_sql
 from lectern.session import scratch_path
@@ -224,6 +224,13 @@ def clustered_search_recall(t: Inputs):
     return enough(t, retrieval.ivf_search(index, asked(t), 10, nprobe=12, skip_same_id=True))
 
 
+@query("probed_search_recall", RECALL)
+def probed_search_recall(t: Inputs):
+    """A stored index whose buckets are probed in the order of their chance to hold a neighbour."""
+    index = probing.probe_store(probing.probe_build(items(t)), scratch_path(t.spark, "index"))
+    return enough(t, probing.probe_search(index, asked(t), 10, target=0.95, skip_same_id=True))
+
+
 @query("bucketed_search_recall", RECALL)
 def bucketed_search_recall(t: Inputs):
     return enough(t, retrieval.lsh_search(items(t), asked(t), 10, tables=32, skip_same_id=True))
