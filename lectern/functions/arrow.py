@@ -301,44 +301,6 @@ def readable_markup(text: Column) -> Column:
     return F.coalesce(_readable(F.when(odd, text)), text)
 
 
-# Limits that browsers put on spans.
-_MOST_COLUMNS, _MOST_ROWS = 1_000, 65_534
-_SPAN = {name: re.compile(rf"""(?i)\b{name}span\s*=\s*["']?\s*(\d+)""") for name in ("row", "col")}
-
-
-def span_grid(cells: list[list[str]], tags: list[list[str]]) -> list[list[str]]:
-    """Rows of a table with each cell's text at every place it covers.
-
-    A cell takes the first free place of its row. A row span of 0 reaches to the last row; spans
-    end with the table, unreadable ones count as 1, and places that no cell covers are empty where a later one in
-    the row is covered.
-    """
-    grid: list[dict[int, str]] = [{} for _ in cells]
-    for i, (texts, own) in enumerate(zip(cells, tags, strict=True)):
-        at = 0
-        for text, tag in zip(texts, own, strict=True):
-            while at in grid[i]:
-                at += 1
-            found = {name: pattern.search(tag or "") for name, pattern in _SPAN.items()}
-            down, across = (min(int(found[n][1]), most) if found[n] else 1 for n, most in (("row", _MOST_ROWS), ("col", _MOST_COLUMNS)))
-            last = len(cells) if down == 0 else min(len(cells), i + down)
-            for row in grid[i:last]:
-                for place in range(at, at + max(1, across)):
-                    row.setdefault(place, text)
-            at += max(1, across)
-    return [[row.get(place, "") for place in range(max(row, default=-1) + 1)] for row in grid]
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _spanned(cells: pd.Series, tags: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else span_grid(list(map(list, c)), list(map(list, t))) for c, t in zip(cells, tags, strict=True)])
-
-
-def spanned_rows(cells: Column, tags: Column) -> Column:
-    """Cells of a table by row, placed by the row and column spans of their tags."""
-    return _spanned(cells, tags)
-
-
 def token_slot(token: str, dim: int) -> int:
     """Vector slot of a token: the first eight hex digits of its MD5, modulo the dimension."""
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim

@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import fixed
-from lectern.functions import arrow
 from lectern.functions.text import bind, last_items, strip
 
 # Consecutive pipe-table lines are joined by this mark (one character for one newline, so
@@ -175,6 +174,75 @@ def cell_text(cell: Column) -> Column:
     return strip(decode_entities(F.regexp_replace(cell, r"(?s)\s*<[^>]*>\s*", "")))
 
 
+# Limits that browsers put on spans; a row span of 0 reaches to the last row.
+_MOST_COLUMNS, _MOST_ROWS = 1_000, 65_534
+
+
+def _span(tag: Column, name: str) -> Column:
+    return F.coalesce(F.regexp_extract(tag, rf"(?i)\b{name}span\s*=\s*[\"']?\s*(\d{{1,9}})", 1).try_cast("int"), F.lit(1))
+
+
+def spanned_rows(cells: Column, tags: Column) -> Column:
+    """Rows of a table with each cell's text at every place it covers.
+
+    A cell takes the first free place of its row. The row above hands down its places with the number of rows that
+    they still cover. Spans end with the table, unreadable ones count as 1, and a place that no cell
+    covers is empty where a later one in the row is covered.
+    """
+    place = lambda left, text: F.struct(left.cast("int").alias("left"), text.alias("text"))
+    places = F.array().cast("array<struct<left:int,text:string>>")
+
+    def cell(text: Column, tag: Column) -> Column:
+        down, across = _span(tag, "row"), F.least(_span(tag, "col"), F.lit(_MOST_COLUMNS))
+        down = F.when(down == 0, F.lit(_MOST_ROWS)).otherwise(F.least(down, F.lit(_MOST_ROWS)))
+        return F.struct(place(down - 1, text).alias("place"), F.greatest(across, F.lit(1)).alias("across"))
+
+    def lower(p: Column) -> Column:
+        return place(p["left"] - 1, p["text"])
+
+    def after(above: Column, done: Column) -> Column:
+        return F.slice(above, F.size(done) + 1, F.size(above))
+
+    def with_covered(above: Column, done: Column) -> Column:
+        """The row so far and the covered places that follow it at once."""
+
+        def covered(tail: Column) -> Column:
+            free = F.array_position(F.transform(tail, lambda p: p["left"] > 0), F.lit(False))
+            return F.concat(done, F.transform(F.slice(tail, F.lit(1), F.when(free > 0, free - 1).otherwise(F.size(tail)).cast("int")), lower))
+
+        return bind(after(above, done), covered)
+
+    def with_cell(above: Column, done: Column, own: Column) -> Column:
+        def put(begun: Column) -> Column:
+            def at(p: Column, i: Column) -> Column:
+                over = F.get(above, F.size(begun) + i)
+                return F.when(over["left"] > 0, lower(over)).otherwise(p)
+
+            return F.concat(begun, F.transform(F.array_repeat(own["place"], own["across"]), at))
+
+        return bind(with_covered(above, done), put)
+
+    def with_rest(above: Column, done: Column) -> Column:
+        def closed(tail: Column) -> Column:
+            last = F.array_max(F.transform(tail, lambda p, i: F.when(p["left"] > 0, i + 1).otherwise(F.lit(0))))
+            kept = F.slice(tail, F.lit(1), F.coalesce(last, F.lit(0)))
+            return F.concat(done, F.transform(kept, lambda p: F.when(p["left"] > 0, lower(p)).otherwise(place(F.lit(0), F.lit("")))))
+
+        return bind(after(above, done), closed)
+
+    def next_row(state: Column, row: Column) -> Column:
+        above = state["above"]
+        own = F.aggregate(row, places, lambda done, c: with_cell(above, done, c))
+        return bind(
+            bind(own, lambda done: with_rest(above, done)),
+            lambda done: F.struct(done.alias("above"), F.concat(state["rows"], F.array(F.transform(done, lambda p: p["text"]))).alias("rows")),
+        )
+
+    given = F.zip_with(cells, tags, lambda texts, own: F.zip_with(texts, own, cell))
+    start = F.struct(places.alias("above"), F.array().cast("array<array<string>>").alias("rows"))
+    return F.aggregate(given, start, next_row, lambda state: state["rows"])
+
+
 def table_rows(source: Column) -> Column:
     """array<array<string>>: the cells of every row, header row first; rows without cells stay empty."""
     html_rows = F.regexp_extract_all(
@@ -188,7 +256,7 @@ def table_rows(source: Column) -> Column:
     html_cells = parts(2, cell_text)
     # Only tables with a spanning cell need the place of every cell.
     spanned = F.rlike(source, F.lit(r"(?is)<t[hd]\b[^>]*\b(?:row|col)span\s*="))
-    html_cells = F.when(spanned, arrow.spanned_rows(html_cells, parts(1, lambda tag: tag))).otherwise(html_cells)
+    html_cells = F.when(spanned, spanned_rows(html_cells, parts(1, lambda tag: tag))).otherwise(html_cells)
     pipe_lines = F.split(source, ROW_MARK)
     pipe_rows = F.concat(
         F.slice(pipe_lines, 1, 1), F.slice(pipe_lines, F.lit(3), F.greatest(F.size(pipe_lines) - 2, F.lit(0)))

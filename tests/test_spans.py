@@ -1,7 +1,6 @@
 from html.parser import HTMLParser
 
 import pytest
-from lectern.functions.arrow import span_grid
 from lectern.operators import tables
 
 BOTH = """<table border=1><tr><th rowspan="2">Name</th><th colspan=2>Marks</th></tr>
@@ -71,12 +70,18 @@ def test_values_meet_their_headers(spark):
     assert cells[1, 1] == cells[2, 1] == ("Marks", "10") and cells[2, 2] == ("Marks", "30") and cells[3, 2] == ("Marks", "none")
 
 
-def test_tables_of_the_corpus_without_spans_need_no_python(spark):
+def test_tables_without_spans(spark):
     df = spark.createDataFrame([("<table><tr><td>a</td></tr></table>",)], "source string")
     assert tables.with_rows(df).first()["header"] == ["a"]
 
 
-def test_unreadable_spans():
-    assert span_grid([["a", "b"]], [[' colspan="x"', None]]) == [["a", "b"]]
-    assert span_grid([["a"], [], ["b"]], [[' rowspan="2"'], [], [""]]) == [["a"], ["a"], ["b"]]
-    assert span_grid([], []) == []
+def test_unreadable_spans(spark):
+    source = "<table><tr><td colspan=x>a</td><td rowspan=>b</td></tr><tr></tr><tr><td rowspan=99999999999>c</td><td>d</td></tr></table>"
+    row = tables.with_rows(spark.createDataFrame([(source,)], "source string")).first()
+    assert [row["header"], *row["body"]] == [["a", "b"], ["c", "d"]]
+
+
+def test_spans_in_section_records_need_no_python(spark):
+    found = tables.table_row_maps(spark.createDataFrame([(1, BOTH)], "id int, source string"), ["id"])
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    assert found.filter("row_idx = 2").first()["cells"] == {"Name": "B", "Marks": "30"}
