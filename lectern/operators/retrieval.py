@@ -513,10 +513,15 @@ def ivf_build(items: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int =
     return ClusterIndex(assigned, centroids)
 
 
-def ivf_store(index: ClusterIndex, path: str) -> ClusterIndex:
-    """Writes an index, items by list and the centroids beside them, and returns the stored one."""
+def ivf_store(index: ClusterIndex, path: str, slices: int = 8) -> ClusterIndex:
+    """Writes an index, items by list and the centroids beside them, and returns the stored one.
+
+    Items of a list are dealt into ``slices`` by their ids first: a list has at most that many files, and
+    one that holds a third of all items is written by as many tasks.
+    """
     spark = index.items.sparkSession
-    index.items.write.partitionBy("list_id").parquet(f"{path}/items")
+    dealt = index.items.repartition("list_id", F.pmod(F.xxhash64("item_id"), F.lit(slices)))
+    dealt.write.partitionBy("list_id").parquet(f"{path}/items")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
     spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
     return ivf_load(spark, path)

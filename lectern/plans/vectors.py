@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.rows import each
-from lectern.operators import embedding, probing, retrieval
+from lectern.operators import embedding, probing, retrieval, two_level
 from lectern.plans.registry import Inputs, query
 from lectern.plans.text import tokens_sql
 from lectern.session import scratch_path
@@ -224,6 +224,14 @@ def clustered_search_recall(t: Inputs):
     return enough(t, retrieval.ivf_search(index, asked(t), 10, nprobe=12, skip_same_id=True))
 
 
+@query("two_level_search_recall", RECALL)
+def two_level_search_recall(t: Inputs):
+    """A stored index of lists below roots; the vectors are close to random, so most lists must be probed."""
+    index = two_level.two_level_store(two_level.two_level_build(items(t), list_items=32), scratch_path(t.spark, "index"))
+    lists = index.lists.count()
+    return enough(t, two_level.two_level_search(index, asked(t), 10, -(-4 * lists // 5), len(index.roots), skip_same_id=True))
+
+
 @query("probed_search_recall", RECALL)
 def probed_search_recall(t: Inputs):
     """A stored index whose buckets are probed in the order of their chance to hold a neighbour."""
