@@ -60,7 +60,7 @@ def test_run_packs_what_is_left(spark, corpus):
 
 def test_queries_are_named_by_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "decontaminate", "pack"]
 
@@ -68,6 +68,7 @@ def test_queries_are_named_by_operator():
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, build in queries.QUERIES.items():
         if name not in ("op2_chat_format", "op4_decontamination"):
