@@ -9,6 +9,7 @@ from lectern.operators import filters as flt
 from lectern.plans.registry import Inputs, query
 from lectern.plans.text import WINDOWS
 from lectern.session import scratch_path
+from lectern.sources import versions
 
 
 def documents(t: Inputs):
@@ -277,6 +278,23 @@ def chunks_merged(t: Inputs):
     return ingest.merge_chunks(existing, chunks.select(key, F.col("window_idx").alias("chunk_index")))
 
 
+@query(
+    "documents_loaded",
+    f"""SELECT 'd' || doc_id AS source_file, lang, n AS num_chunks FROM documents
+    JOIN (SELECT doc_id, count(*) AS n FROM ({WINDOWS}) GROUP BY doc_id) USING (doc_id)""",
+)
+def documents_loaded(t: Inputs):
+    """Two loads, the labelled documents and then all, of which the first is repeated; chunks are counted in the last version."""
+    path = scratch_path(t.spark, "versions")
+    key = F.concat(F.lit("d"), F.col("doc_id")).alias("source_file")
+    chunks = chunking.chunk_tokens(t.documents.select("doc_id", "text")).select(key, "window_idx")
+    first = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(key, "lang")
+    for load_id, given in (("labelled", first), ("labelled", first), ("all", t.documents.select(key, "lang"))):
+        versions.load_documents(t.spark, path, load_id, given, chunks)
+    found = versions.read_version(t.spark, path)
+    return ingest.with_chunk_counts(found["documents"], found["chunks"]).filter("num_chunks > 0").select("source_file", "lang", "num_chunks")
+
+
 @query(
     "chunk_counts",
     f"""SELECT doc_id, coalesce(n, 0)::BIGINT AS num_chunks FROM documents
