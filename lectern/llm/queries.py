@@ -158,15 +158,15 @@ _ASSIGN = secrets.ASSIGN.replace("'", "''")
     assign AS (SELECT * FROM ({_places("assign", secrets.ASSIGN)}) WHERE length(regexp_extract(m, '^(?:{_ASSIGN})$', 2)) >= 8),
     access AS ({_places("access", secrets.ACCESS)}),
     hex AS ({_places("hex", secrets.HEX)}),
-    weak AS (SELECT * FROM ({_places("linked", "[A-Za-z0-9+/=_.-]+")})
+    weak AS (SELECT * FROM ({_places("linked", "[A-Za-z0-9+/]+")})
              WHERE regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')),
-    hosts AS (SELECT * FROM ({_places("endpoint", "[A-Za-z0-9.-]+")}) WHERE regexp_matches(m, '^[A-Za-z0-9.-]{{1,200}}\.amazonaws\.com')),
-    endpoint AS (SELECT doc_id, start FROM ({_places("endpoint", "https?://[A-Za-z0-9.-]+")})
-                 UNION ALL SELECT doc_id, start FROM hosts JOIN d USING (doc_id) WHERE NOT regexp_matches(substr(t, 1, start), 'https?://$')),
+    hosts AS (SELECT * FROM ({_places("endpoint", "[A-Za-z0-9.-]+")}) WHERE regexp_matches(m, '^[A-Za-z0-9.-]+\.amazonaws\.com')),
+    endpoint AS (SELECT doc_id, start, m FROM ({_places("endpoint", "https?://[A-Za-z0-9.-]+")})
+                 UNION ALL SELECT doc_id, start, regexp_extract(m, '^[A-Za-z0-9.-]+\.amazonaws\.com') FROM hosts JOIN d USING (doc_id) WHERE NOT regexp_matches(substr(t, 1, start), 'https?://$')),
     linked AS (SELECT * FROM weak w WHERE
-        EXISTS (SELECT 1 FROM access a WHERE a.doc_id = w.doc_id AND abs(a.start - w.start) <= 400)
-        OR EXISTS (SELECT 1 FROM endpoint e WHERE e.doc_id = w.doc_id AND abs(e.start - w.start) <= 400)
-           AND EXISTS (SELECT 1 FROM assign s WHERE s.doc_id = w.doc_id AND abs(s.start - w.start) <= 400)),
+        EXISTS (SELECT 1 FROM access a WHERE a.doc_id = w.doc_id AND least(abs(a.start - w.start), abs(a.start + length(a.m) - w.start)) <= 400)
+        OR EXISTS (SELECT 1 FROM endpoint e WHERE e.doc_id = w.doc_id AND least(abs(e.start - w.start), abs(e.start + length(e.m) - w.start)) <= 400)
+           AND EXISTS (SELECT 1 FROM assign s WHERE s.doc_id = w.doc_id AND least(abs(s.start - w.start), abs(s.start + length(s.m) - w.start)) <= 400)),
     found AS (SELECT doc_id, kind, start, list_position(['assign', 'access', 'hex', 'linked'], kind) AS place,
                      kind || ':' || start || ':' || (start + length(m)) AS span
               FROM (FROM assign UNION ALL FROM access UNION ALL FROM hex UNION ALL FROM linked))

@@ -4,7 +4,7 @@ Three base kinds are reported wherever they match. A weak candidate (a bare toke
 secret key) says little alone: it is added as ``linked`` only when complementary parts of a
 credential occur within its scope, an access identifier, or an endpoint together with an assignment.
 Parts are joined to candidates as intervals: the text is cut into bins as wide as the scope, parts
-are reduced per bin to their first and last place, and a candidate looks into its own and the two
+are reduced per bin to their first and last edge, and a candidate looks into its own and the two
 neighbouring bins.
 """
 
@@ -27,10 +27,11 @@ LEAST_VALUE = 8
 # These two match as long as they can, so a least length drops matches and changes no other.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-# A bare token of 40 characters of base 64, which must hold capitals, small letters and digits.
-WEAK = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
-ENDPOINT = r"https?://[A-Za-z0-9.-]+|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]{1,200}\.amazonaws\.com"
-# Starts of a candidate and of the parts that speak for it lie at most so many code points apart.
+# A run of exactly 40 characters of base 64, which must hold capitals, small letters and digits. Only such characters bound
+# it, so it may stand behind ``=`` (env files) and before a full stop, a comma, a hyphen or padding.
+WEAK = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
+ENDPOINT = r"https?://[A-Za-z0-9.-]+|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]+\.amazonaws\.com"
+# A part speaks for a candidate if its start or its end lies at most so many code points from the candidate's start.
 SCOPE = 400
 KINDS = ("assign", "access", "hex", "linked")
 SPANS = "array<struct<start:int,end:int>>"
@@ -122,7 +123,10 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     weak = found.filter(F.size("weak") > 0)
     parts = reduce(
         DataFrame.union,
-        [weak.select("row", F.lit(k).alias("kind"), F.explode(F.col(k)["start"]).alias("at")) for k in ("access", "endpoint", "assign")],
+        [
+            weak.select("row", F.lit(k).alias("kind"), F.explode(F.concat(F.col(k)["start"], F.col(k)["end"])).alias("at"))
+            for k in ("access", "endpoint", "assign")
+        ],
     )
     binned = parts.groupBy("row", "kind", F.floor(F.col("at") / scope).alias("bin")).agg(
         F.min("at").alias("first"), F.max("at").alias("last")
@@ -155,8 +159,8 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, row, assign, access, hex, linked`` (spans in code points).
 
-    Null text counts as empty; repeated rows are told each; other columns are not read. Texts are
-    scanned once, where they lie; only spans are kept and joined.
+    Null text counts as empty; repeated rows are told each; other columns are not read; an empty table gives an empty
+    result. Texts of any length are scanned whole, where they lie; only spans are kept and joined.
     """
     text = F.col("text")
     found = written(
