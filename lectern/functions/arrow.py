@@ -206,6 +206,67 @@ def split_proposer(load, window: int = 20, step: int = 10):
     return splits
 
 
+SUBWORD_WINDOWS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("chunk", T.StringType()),
+            T.StructField("start_char", T.IntegerType()),
+            T.StructField("end_char", T.IntegerType()),
+            T.StructField("n_tokens", T.IntegerType()),
+        ]
+    )
+)
+
+
+def window_bounds(offsets: np.ndarray, max_tokens: int, step: int) -> list[tuple[int, int]]:
+    """(first token, token behind the last) of windows that begin ``step`` tokens apart.
+
+    A window never begins or ends inside a character: such a bound moves back to the character's first token,
+    and on to the next character only where going back would not get on.
+    """
+    n = len(offsets)
+    if n == 0:
+        return []
+    whole = np.ones(n + 1, dtype=bool)
+    whole[1:n] = offsets[1:, 0] >= np.maximum.accumulate(offsets[:-1, 1])
+    marks = np.flatnonzero(whole)
+    back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))
+
+    def bound(at: int, beyond: int) -> int:
+        found = int(back[min(at, n)])
+        return found if found > beyond else int(marks[np.searchsorted(marks, beyond, side="right")])
+
+    found, first = [], 0
+    while first < n:
+        found.append((first, bound(first + max_tokens, first)))
+        first = bound(first + step, first)
+    return found
+
+
+def subword_windows(load, max_tokens: int, step: int):
+    """Windows of a loaded tokenizer's tokens, cut from the text itself at the tokens' character offsets."""
+
+    @F.pandas_udf(SUBWORD_WINDOWS)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        offsets_of = load()
+
+        def windows(text: str | None) -> list | None:
+            if not text:
+                return None
+            offsets = np.asarray(offsets_of(text), dtype=np.int64).reshape(-1, 2)
+            starts = [*offsets[:, 0].tolist(), len(text)]
+            starts[0] = 0
+            return [
+                {"chunk": text[starts[a] : starts[b]], "start_char": starts[a], "end_char": starts[b], "n_tokens": b - a}
+                for a, b in window_bounds(offsets, max_tokens, step)
+            ]
+
+        for texts in batches:
+            yield texts.map(windows)
+
+    return cut
+
+
 def tokenizer_functions(load):
     """(encode, decode) between text and token ids for a loaded tokenizer, batch by batch.
 

@@ -84,6 +84,27 @@ def chunk_tokens(
     )
 
 
+def chunk_subwords(
+    df: DataFrame,
+    load: Callable[[], Callable[[str], list[tuple[int, int]]]],
+    column: str = "text",
+    max_tokens: int = fixed.MAX_CHUNK_TOKENS,
+    overlap: int = fixed.OVERLAP_TOKENS,
+) -> DataFrame:
+    """One row per window of subword tokens: ``window_idx``, ``chunk``, ``start_char``, ``end_char``, ``n_tokens``; drops the text.
+
+    ``load`` runs once per Python worker and returns a function from a text to its tokens' (start, end) in code points.
+    A chunk is cut from the text, from its first token to the next window's bound, and not decoded from ids: no character
+    is lost or changed, and with ``overlap`` 0 the chunks of a text joined give the text. A character of several tokens is
+    not cut, so windows may end a few tokens early. Null and empty texts and texts without tokens give no rows. The tokens of one
+    text are held by its task at a time.
+    """
+    step = _check_windows(max_tokens, overlap)
+    kept = [c for c in df.columns if c != column]
+    staged = df.select(*kept, arrow.subword_windows(load, max_tokens, step)(F.col(column)).alias("_windows"))
+    return each(staged, kept, F.col("_windows"), "_w", "window_idx").select(*kept, "window_idx", "_w.*")
+
+
 def fixed_pieces(df: DataFrame, column: str = "text", size: int = 50, tokenizer: Tokenizer = WHITESPACE) -> DataFrame:
     """Non-overlapping pieces of ``size`` tokens."""
     return chunk_tokens(df, column, size, 0, tokenizer)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +15,12 @@ from lectern.functions import text as X
 from lectern.operators import context as ctx
 from lectern.operators import retrieval
 from lectern.session import scratch_path
+from lectern.sources import versions
 from lectern.sources.store import stored
 
+ANSWERS = "digest string, model string, answer string"
+ANSWER_PART = "answers-"
+
 
 def map_items(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
     """Applies a per-batch callback to all rows."""
@@ -50,7 +55,22 @@ def complete(
         done = df.withColumn(name, fallback)
         return done.withColumn(failed, F.lit(False)) if failed else done
     keyed = df.withColumn("_digest", F.sha2(F.col(prompt), 256))
-    distinct = keyed.select("_digest", F.col(prompt).alias("prompt")).dropDuplicates(["_digest"])
+    # A prompt that most rows share is one row on the right and is sent to every task if all
+    # are few; otherwise adaptive execution splits the rows of such a prompt.
+    joined = keyed.join(_asked(_distinct(keyed, prompt), load, batch_size), "_digest", "left")
+    done = joined.withColumn(name, F.coalesce(F.nullif(F.trim("_answer"), F.lit("")), fallback))
+    if failed:
+        done = done.withColumn(failed, F.coalesce("_failed", F.lit(False)))
+    return done.drop("_digest", "_answer", "_failed")
+
+
+def _distinct(keyed: DataFrame, prompt: str) -> DataFrame:
+    """(_digest, prompt), one row per distinct prompt."""
+    return keyed.filter(F.col("_digest").isNotNull()).select("_digest", F.col(prompt).alias("prompt")).dropDuplicates(["_digest"])
+
+
+def _asked(distinct: DataFrame, load, batch_size: int) -> DataFrame:
+    """(_digest, _answer, _failed) of every prompt, from the model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -66,16 +86,76 @@ def complete(
                     }
                 )
 
-    answered = distinct.filter(F.col("_digest").isNotNull()).mapInPandas(
-        run, "_digest string, _answer string, _failed boolean"
+    return distinct.mapInPandas(run, "_digest string, _answer string, _failed boolean")
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, model, answer) of the newest version of an answer store, empty before the first."""
+    tables = versions.manifest(spark, path)["tables"]
+    parts = [folder for name, folder in sorted(tables.items()) if name.startswith(ANSWER_PART)]
+    return spark.read.schema(ANSWERS).parquet(*parts) if parts else spark.createDataFrame([], ANSWERS)
+
+
+def complete_stored(
+    df: DataFrame,
+    prompt: str,
+    load: Callable[[], Callable[[list[str]], list[str | None]]],
+    path: str,
+    model: str,
+    fallback: Column | None = None,
+    name: str = "completion",
+    batch_size: int = 32,
+    reused: str | None = None,
+    parts: int = 16,
+) -> DataFrame:
+    """:func:`complete` with answers kept in a store, so that a model is asked for new prompts alone.
+
+    Prompts are told apart by their digest and the name of the ``model`` (with its version and settings). Those without
+    a stored answer are asked and published as one new version by one rename; a job that fails before leaves the store
+    as it was. Failed calls are not stored, so the next job asks them again; empty answers are, and give the
+    fallback. Two jobs that ask the same prompt at once may both store it; the smaller answer counts, in every later
+    job. Answers stay in the folder they were written to; once a store has ``parts`` folders, the next load writes all into
+    one. ``reused`` names a column that tells which rows got an answer that was there before. Null prompts get the fallback.
+    """
+    if fallback is None:
+        fallback = X.first_sentence_summary(F.col(prompt))
+    spark = df.sparkSession
+    keyed = df.withColumn("_digest", F.sha2(F.col(prompt), 256))
+
+    def known(answers: DataFrame) -> DataFrame:
+        mine = answers.filter(F.col("model") == model)
+        return mine.groupBy(F.col("digest").alias("_digest")).agg(F.min("answer").alias("_answer"))
+
+    before = read_answers(spark, path)
+    digests = before.filter(F.col("model") == model).select(F.col("digest").alias("_digest"))
+    # Digests of the store meet digests of the table; no answer is read here, and prompts travel once.
+    new = _distinct(keyed, prompt).join(digests, "_digest", "left_anti")
+    asked = _asked(new, load, batch_size).filter(~F.col("_failed"))
+    fresh = stored(
+        asked.select(F.col("_digest").alias("digest"), F.lit(model).alias("model"), F.col("_answer").alias("answer")),
+        scratch_path(spark, "answers"),
     )
-    # A prompt that most rows share is one row on the right and is sent to every task if all
-    # are few; otherwise adaptive execution splits the rows of such a prompt.
-    joined = keyed.join(answered, "_digest", "left")
-    done = joined.withColumn(name, F.coalesce(F.nullif(F.trim("_answer"), F.lit("")), fallback))
-    if failed:
-        done = done.withColumn(failed, F.coalesce("_failed", F.lit(False)))
-    return done.drop("_digest", "_answer", "_failed")
+    if not fresh.isEmpty():
+        _publish(spark, path, fresh, parts)
+    done = keyed.join(known(before.unionByName(fresh)), "_digest", "left")
+    done = done.withColumn(name, F.coalesce(F.nullif(F.trim("_answer"), F.lit("")), fallback))
+    if reused:
+        old = digests.distinct().withColumn("_old", F.lit(True))
+        done = done.join(old, "_digest", "left").withColumn(reused, F.coalesce("_old", F.lit(False))).drop("_old")
+    return done.drop("_digest", "_answer")
+
+
+def _publish(spark: SparkSession, path: str, fresh: DataFrame, parts: int) -> None:
+    """Adds answers as one new part, or writes all parts into one where there are many."""
+
+    def build(current: Mapping[str, DataFrame]) -> dict[str, DataFrame | None]:
+        held = [n for n in current if n.startswith(ANSWER_PART)]
+        if len(held) < parts:
+            return {f"{ANSWER_PART}{uuid.uuid4().hex}": fresh}
+        merged = read_answers(spark, path).unionByName(fresh).groupBy("digest", "model").agg(F.min("answer").alias("answer"))
+        return {**dict.fromkeys(held), f"{ANSWER_PART}{uuid.uuid4().hex}": merged}
+
+    versions.load(spark, path, uuid.uuid4().hex, build)
 
 
 def _answers(model: Callable[[list[str]], list[str | None]], prompts: list[str]) -> list[tuple[str | None, bool]]:

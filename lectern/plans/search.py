@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from lectern import fixed
 from lectern.functions import text as X
 from lectern.operators import chunking, completion, context, embedding, ingest, postings, retrieval
-from lectern.plans.registry import Inputs, query
+from lectern.plans.registry import ORACLES, Inputs, query
 from lectern.plans.text import language_sql, tokens_sql, windows_sql
 from lectern.plans.vectors import DIM, SLOTS, rounded
 from lectern.session import scratch_path
-from lectern.sources.store import stored
+from lectern.sources.store import file_state, stored
 
 ATTACH = ("university_id", "program", "year", "source_file", "section_title")
 
@@ -25,7 +25,8 @@ def asked(t: Inputs):
     return embedding.embed(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
 
 
-def sources(t: Inputs) -> dict:
+def texts(t: Inputs) -> dict:
+    """The items of both sources before they are encoded."""
     chunks = chunking.chunk_tokens(t.documents.select("doc_id", "lang", "source", "text")).select(
         F.concat(F.lit("d"), F.col("doc_id"), F.lit("_"), F.col("window_idx")).alias("item_id"),
         F.col("chunk").alias("text"),
@@ -45,16 +46,25 @@ def sources(t: Inputs) -> dict:
         F.lit("turns.md").alias("source_file"),
         F.lit("").alias("section_title"),
     )
-    return {name: indexed(t, name, items) for name, items in (("chunk", chunks), ("table", turns))}
+    return {"chunk": chunks, "table": turns}
+
+
+def sources(t: Inputs) -> dict:
+    return {name: indexed(t, name, items) for name, items in texts(t).items()}
 
 
-# Where the encoded items of an input path lie, per application.
-_INDEXED: dict[tuple[str, str, str], str] = {}
+# Where the encoded items of an input lie, per application and state of the files they come from.
+_INDEXED: dict[tuple, str] = {}
+READ_FROM = {"chunk": "documents", "table": "conversations"}
 
 
 def indexed(t: Inputs, name: str, items):
-    """Ingest encodes and writes the items of an input path once; all searches of the session scan them."""
-    key = (t.spark.sparkContext.applicationId, t.path, name)
+    """Ingest encodes and writes the items of an input once; all searches of the session scan them until its files change.
+
+    What this costs is the query items_indexed, which keeps nothing.
+    """
+    state = file_state(t.spark, f"{t.path}/{READ_FROM[name]}.parquet")
+    key = (t.spark.sparkContext.applicationId, t.path, name, state)
     if key in _INDEXED:
         try:
             return t.spark.read.parquet(_INDEXED[key])
@@ -82,6 +92,22 @@ ITEMS = f"""WITH items AS (
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY s DESC, item_id) AS r FROM scored)
 """
 
+@query(
+    "items_indexed",
+    ITEMS
+    + """SELECT i.type, i.item_id, i.text, count(iv.slot)::INT AS n_slots FROM items i LEFT JOIN iv USING (item_id)
+    GROUP BY i.type, i.item_id, i.text""",
+)
+def items_indexed(t: Inputs):
+    written = [
+        stored(embedding.embed(items), scratch_path(t.spark, name)).select(
+            F.lit(name).alias("type"), "item_id", "text", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_slots")
+        )
+        for name, items in texts(t).items()
+    ]
+    return written[0].union(written[1])
+
+
 OVERLAP = (
     f"len(list_intersect(list_distinct({tokens_sql('lower(query_text)')}), {tokens_sql('lower(text)')}))::DOUBLE"
     f" / len(list_distinct({tokens_sql('lower(query_text)')}))"
@@ -401,6 +427,18 @@ def completions(t: Inputs):
     return done.select("doc_id", "refused", "answer")
 
 
+@query(
+    "completions_stored",
+    ORACLES["completions"].replace("AS refused,", "AS refused, NOT refused AS reused,", 1),
+)
+def completions_stored(t: Inputs):
+    # The second job finds all answers but those of refused prompts, which it asks again.
+    path, docs = scratch_path(t.spark, "answer-store"), t.documents.select("doc_id", "text")
+    for _ in range(2):
+        done = completion.complete_stored(docs, "text", _reverse_model, path, "reverse", name="answer", reused="reused")
+    return done.select("doc_id", (~F.col("reused")).alias("refused"), "reused", "answer")
+
+
 @query(
     "answers",
     CITED

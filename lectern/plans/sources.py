@@ -163,7 +163,7 @@ def content_attached(t: Inputs):
         F.when(case == 0, F.col("url").cast("binary")).alias("file_content"),
         F.when(case == 1, files.plain_path(F.col("path"))).alias("file_path"),
     )
-    attached = files.attach_content(docs, files.read_files(t.spark, path, "*.txt"))
+    attached = files.attach_files(docs, path, "*.txt")
     return attached.select("page_id", "status", F.col("file_content").cast("string").alias("content"), "file_size")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,8 @@ from lectern import fixed
 
 # Chosen paths that are sent to the scan of file contents, at most.
 SENT_PATHS = 1 << 17
+# Chosen files that are opened by name, at most; a name is at most some hundred bytes.
+OPENED_PATHS = 1 << 14
 
 MANIFEST = T.StructType(
     [
@@ -112,6 +116,40 @@ def candidate_paths(base: str = "") -> Column:
     )
 
 
+def _chosen(documents: DataFrame, listed: DataFrame, options: Column) -> DataFrame:
+    """(source_file, _path): the best candidate that exists, for documents without content."""
+    has = F.col("file_content").isNotNull() if "file_content" in documents.columns else F.lit(False)
+    asked = documents.filter(~has).select("source_file", F.posexplode(options).alias("_place", "_path"))
+    return asked.join(listed, "_path").groupBy("source_file").agg(F.min_by("_path", "_place").alias("_path"))
+
+
+def _literal(path: str) -> str:
+    """A path in which characters of a glob stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def attach_files(
+    documents: DataFrame, root: str, glob: str = "*", candidates: Column | None = None, opened: int = OPENED_PATHS
+) -> DataFrame:
+    """:func:`attach_content` for the files of a tree, of which only the chosen ones are opened.
+
+    The tree is listed without content. Up to ``opened`` distinct chosen files are then read by name, so files that
+    no document asks for are not even scanned; more are joined with a scan of the tree, with the same result.
+    """
+    spark = documents.sparkSession
+    listing = read_files(spark, root, glob).select("path")
+    options = candidates if candidates is not None else candidate_paths()
+    listed = listing.select(plain_path(F.col("path")).alias("_path"), "path")
+    names = _chosen(documents, listed.select("_path"), options).select("_path").distinct().join(listed, "_path")
+    few = [r.path for r in names.select("path").limit(opened + 1).collect()]
+    if len(few) > opened:
+        return attach_content(documents, read_files(spark, root, glob), options)
+    if not few:
+        return attach_content(documents, spark.createDataFrame([], "path string, file_size long, content binary"), options)
+    files = spark.read.format("binaryFile").load([_literal(p) for p in few])
+    return attach_content(documents, files.select("path", F.col("length").alias("file_size"), "content"), options)
+
+
 def attach_content(documents: DataFrame, files: DataFrame, candidates: Column | None = None) -> DataFrame:
     """Documents with ``file_content``, ``file_size`` and ``status`` (updated, skipped, failed).
 
@@ -120,14 +158,7 @@ def attach_content(documents: DataFrame, files: DataFrame, candidates: Column |
     for is dropped where it is read; many are joined by path.
     """
     options = candidates if candidates is not None else candidate_paths()
-    listed = files.select(plain_path(F.col("path")).alias("_path"))
-    has = F.col("file_content").isNotNull() if "file_content" in documents.columns else F.lit(False)
-    asked = documents.filter(~has).select("source_file", F.posexplode(options).alias("_place", "_path"))
-    chosen = (
-        asked.join(listed, "_path")
-        .groupBy("source_file")
-        .agg(F.min_by("_path", "_place").alias("_path"))
-    )
+    chosen = _chosen(documents, files.select(plain_path(F.col("path")).alias("_path")), options)
     content = files.select(
         plain_path(F.col("path")).alias("_path"), F.col("content").alias("_content"), F.col("file_size").alias("_size")
     )

@@ -36,6 +36,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def file_state(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, length, modification time) of every file of a table: another value means another content."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    files = []
+    while found.hasNext():
+        one = found.next()
+        files.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(files))
+
+
 # ---- JSON lines ---------------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.operators import completion, context, embedding
+from lectern.sources import versions
 
 SCHEMA = (
     "query_id int, rank int, item_id string, type string, text string, section_title string, university_id string, "
@@ -149,3 +151,47 @@ def test_a_prompt_shared_by_most_rows_is_asked_once(spark, tmp_path):
 
     done = completion.complete(df, "p", load).filter("p = 'hot'")
     assert done.count() == 2000 and done.select("completion").distinct().collect()[0][0] == "hot 1"
+
+
+def test_a_second_run_asks_new_prompts_alone(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+
+    def load():
+        def ask(prompts):
+            with calls.open("a") as log:
+                log.writelines(f"{p}\n" for p in prompts)
+            if "bad" in prompts:
+                raise RuntimeError("no")
+            return ["" if p == "blank" else p + "!" for p in prompts]
+
+        return ask
+
+    def run(prompts, model="m", **options):
+        calls.write_text("")
+        df = spark.createDataFrame([(p,) for p in prompts], "p string")
+        done = completion.complete_stored(df, "p", load, store, model, F.lit("none"), batch_size=1, reused="old", **options)
+        return sorted((r.p or "", r.completion, r.old) for r in done.collect()), sorted(calls.read_text().split())
+
+    first = run(["a", "a", "b", "bad", "blank", None])
+    assert first == ([("", "none", False), ("a", "a!", False), ("a", "a!", False), ("b", "b!", False), ("bad", "none", False), ("blank", "none", False)], ["a", "b", "bad", "blank"])
+    assert run(["a", "b", "c", "blank"]) == ([("a", "a!", True), ("b", "b!", True), ("blank", "none", True), ("c", "c!", False)], ["c"])
+    assert run(["a", "bad"]) == ([("a", "a!", True), ("bad", "none", False)], ["bad"])
+    assert run(["a"], model="other") == ([("a", "a!", False)], ["a"])
+    # Parts are written into one where there are many; nothing is asked again.
+    assert run(["d"], parts=2)[1] == ["d"] and len(versions.manifest(spark, store)["tables"]) == 1
+    assert run(["a", "b", "c", "d", "blank"])[1] == []
+
+
+def test_a_failed_load_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    df, store = spark.createDataFrame([("a",)], "p string"), str(tmp_path / "store")
+
+    def load():
+        return lambda prompts: [p + "!" for p in prompts]
+
+    with monkeypatch.context() as m:
+        m.setattr(versions._Files, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            completion.complete_stored(df, "p", load, store, "m")
+    assert completion.read_answers(spark, store).count() == 0
+    assert completion.complete_stored(df, "p", load, store, "m").head().completion == "a!"
+    assert completion.read_answers(spark, store).count() == 1

@@ -71,6 +71,31 @@ def test_content_by_candidate_order(spark, tmp_path):
     assert bytes(rows["had.md"]["file_content"]) == b"kept"
 
 
+@pytest.mark.parametrize("opened", [100, 1])
+def test_only_chosen_files_are_opened(spark, tmp_path, opened):
+    names = ["a.md", "b c.md", "g[1]*.md", "q?{x}.md", "p+%41.md", "back\\slash.md"]
+    for i, name in enumerate([*names, *[f"other{i}.md" for i in range(20)]]):
+        (tmp_path / name).write_text(f"text {i}")
+    docs = spark.createDataFrame(
+        [(n, None, str(tmp_path / n), None) for n in names[:5]] + [("no.md", None, None, None), ("had.md", None, str(tmp_path / "other1.md"), bytearray(b"kept"))],
+        "source_file string, university_id string, file_path string, file_content binary",
+    )
+    attached = corpus.attach_files(docs, str(tmp_path), "*.md", opened=opened)
+    rows = {r["source_file"]: r for r in attached.collect()}
+    assert len(rows) == 7 and rows["no.md"]["status"] == "failed" and bytes(rows["had.md"]["file_content"]) == b"kept"
+    for i, name in enumerate(names[:5]):
+        assert bytes(rows[name]["file_content"]).decode() == f"text {i}" and rows[name]["status"] == "updated", name
+    scanned = {f.rsplit("/", 1)[1] for f in attached.inputFiles()}
+    assert len(scanned) == (5 if opened == 100 else 26)
+
+
+def test_no_chosen_file(spark, tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    docs = spark.createDataFrame([("no.md", "U", "nowhere")], "source_file string, university_id string, file_path string")
+    assert [r["status"] for r in corpus.attach_files(docs, str(tmp_path)).collect()] == ["failed"]
+    assert corpus.attach_files(docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1, "b": "é"}\n\n  \n{"a": 2}\n', encoding="utf-8")
     assert sorted((r["a"], r["b"]) for r in store.read_jsonl(spark, str(tmp_path / "x.jsonl")).collect()) == [(1, "é"), (2, None)]
