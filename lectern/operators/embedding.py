@@ -62,6 +62,24 @@ def embed_with(
     return df.withColumn(name, encode(F.col(column)))
 
 
+def embed_by_length(
+    df: DataFrame,
+    column: str,
+    load: Callable[[], Callable[[list[str]], np.ndarray]],
+    batch_size: int = fixed.ENCODER_BATCH,
+    name: str = "embedding",
+    length: Column | None = None,
+) -> DataFrame:
+    """:func:`embed_with` on texts of like length: a model that pads each call to its longest text pads far less.
+
+    Rows are sorted by ``length`` (white-space tokens unless given) inside their partitions, longest first, so nothing is
+    shuffled, no length can gather in one task, and a call that is too large fails at once. Vectors do not change.
+    """
+    tokens = X.token_count(F.coalesce(F.col(column), F.lit(""))) if length is None else length
+    ordered = df.withColumn("_length", tokens).sortWithinPartitions(F.desc("_length")).drop("_length")
+    return embed_with(ordered, column, load, batch_size, name)
+
+
 def embedding_text(df: DataFrame, format: str | None = None, name: str = "embedding_text") -> DataFrame:
     """Text to embed: table rows get their context in front; chunks and unified tables use their text."""
     row_text = F.concat(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 
-from lectern.operators import chunking, cleaning, questions
+from lectern.operators import chunking, cleaning, profiles, questions
 from lectern.operators import filters as flt
 from lectern.plans.registry import Inputs, query
 
@@ -127,6 +127,29 @@ def tokens_truncated(t: Inputs):
     return cleaning.truncate_tokens(t.documents.select("doc_id", "text"), "text", 50)
 
 
+# Learned from three quarters of the rows, by a number of the row that both engines compute.
+HELD_OUT = "doc_id % 4 = 2"
+
+
+@query(
+    "language_profiled",
+    f"""WITH c AS (SELECT doc_id, lang, ' ' || regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '{profiles.NO_LETTERS}', ' ', 'g')), ' +', ' ', 'g') || ' ' AS t FROM documents),
+    g AS (SELECT doc_id, any_value(lang) AS lang, z[1] || z[2] || z[3] AS gram, count(*) AS n
+          FROM (SELECT doc_id, lang, unnest(list_zip(l, l[2:], l[3:])) AS z FROM (SELECT doc_id, lang, string_split(t, '') AS l FROM c))
+          WHERE z[3] IS NOT NULL GROUP BY doc_id, gram),
+    p AS (SELECT lang AS language, gram, {profiles.PROFILE_SIZE + 1} - row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS weight
+          FROM g WHERE lang IS NOT NULL AND NOT ({HELD_OUT}) GROUP BY lang, gram QUALIFY weight > 0),
+    s AS (SELECT doc_id, language, sum(n * weight)::BIGINT AS score FROM g JOIN p USING (gram) GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS r FROM s)
+    SELECT d.doc_id, {HELD_OUT.replace('doc_id', 'd.doc_id')} AS held_out, coalesce(language, 'unknown') AS language, coalesce(score, 0) AS score
+    FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1""",
+)
+def language_profiled(t: Inputs):
+    docs = t.documents.select("doc_id", "text", "lang")
+    learned = profiles.learned(docs.filter(~F.expr(HELD_OUT)))
+    return profiles.identify(docs, "doc_id", learned).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "language", "score")
+
+
 def preprocessed_sql(source: str, keys: str, column: str) -> str:
     return f"""SELECT {keys}, masked AS text, length({column})::INT AS original_length,
       length(masked)::INT AS processed_length, len({tokens_sql('masked')})::INT AS token_count,

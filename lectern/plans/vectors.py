@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from lectern.functions import arrow
 from lectern.functions.rows import each
 from lectern.operators import embedding, probing, retrieval, two_level
-from lectern.plans.registry import Inputs, query
+from lectern.plans.registry import ORACLES, Inputs, query
 from lectern.plans.text import tokens_sql
 from lectern.session import scratch_path
 
@@ -60,6 +64,27 @@ def texts_embedded(t: Inputs):
     )
 
 
+def _hashing_model():
+    """The default encoder as a plug-in: texts -> matrix."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        matrix = np.zeros((len(texts), DIM))
+        for row, text in enumerate(texts):
+            for token in re.findall(r"[^ \t\n\r\f\v]+", text.lower()):
+                matrix[row, arrow.token_slot(token, DIM)] += 1
+        return matrix
+
+    return encode
+
+
+@query("texts_embedded_by_length", ORACLES["texts_embedded"])
+def texts_embedded_by_length(t: Inputs):
+    encoded = embedding.embed_by_length(t.documents.select("doc_id", "text"), "text", _hashing_model)
+    return each(encoded, ["doc_id"], F.col("embedding"), "v", "slot").filter("v <> 0").select(
+        "doc_id", "slot", F.round(F.col("v").cast("double"), 6).alias("value")
+    )
+
+
 @query(
     "vectors_normalized",
     """SELECT vec_id, (i - 1)::INT AS dim, round(e[i] / greatest(sqrt(list_dot_product(e, e)), 1e-8), 6) AS value

@@ -313,3 +313,31 @@ def test_top_rows_beyond_the_pruned_rank(spark):
 def test_dedup_keeps_the_first(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), (None, 5), (None, 4)], "k string, o int")
     assert {(r["k"], r["o"]) for r in retrieval.dedup_first(df, ["k"], ["o"]).collect()} == {("a", 1), (None, 4)}
+
+
+def test_batches_by_length_pad_less_and_keep_vectors(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")
+    ).repartition(2).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")))
+
+    def loader(log):
+        def load():
+            def encode(texts):
+                sizes = [len(t.split()) for t in texts]
+                with open(log, "a") as out:
+                    out.write(f"{max(sizes) * len(sizes) - sum(sizes)}\n")
+                return np.array([[len(t), t.count("e") + 1.0] for t in texts])
+
+            return encode
+
+        return load
+
+    found = {}
+    for name, embed in (("plain", embedding.embed_with), ("sorted", embedding.embed_by_length)):
+        log = str(tmp_path / name)
+        rows = embed(docs, "text", loader(log), 8).collect()
+        assert embed(docs, "text", loader(log + "2"), 8).columns == ["doc_id", "text", "embedding"]
+        found[name] = ({r.doc_id: r.embedding for r in rows}, sum(map(int, open(log))))
+    assert found["plain"][0] == found["sorted"][0] and len(found["plain"][0]) == docs.count()
+    print(found["plain"][1], found["sorted"][1])
+    assert found["sorted"][1] < found["plain"][1] / 3
