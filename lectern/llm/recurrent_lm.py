@@ -1,9 +1,10 @@
 """Language-model scores of whole documents by a gated recurrent network.
 
-Tokens are lower-cased words and one end per document. The network predicts the most frequent words;
-its output softmax is factored into classes of words, with one class for all other tokens, among which
-a token has its smoothed share of the training counts. So the scores are log-probabilities over the
-same events as the unigram base score.
+Tokens are lower-cased words and one end per document. The network predicts the most frequent words,
+whose number grows with the square root of the number of distinct tokens; its output softmax is
+factored into as many classes as a class has words, with one class more for all other tokens, among
+which a token has its smoothed share of the training counts. So the scores are log-probabilities over
+the same events as the unigram base score.
 
 Training is distributed: in each round every task trains a copy of the network on the documents it
 holds, by truncated backpropagation, and the copies are averaged, weighted by tokens. Every training
@@ -27,10 +28,12 @@ from lectern.llm.common import ROW, numbered, written
 from lectern.llm.words import chunks, find_words
 
 HIDDEN = 16
-# Words that the network predicts one by one, in classes of CLASS_WORDS.
-CLASSES, CLASS_WORDS = 24, 22
+# The network predicts side * side words one by one, in side classes; the least side.
+SIDE = 24
 # Tokens whose counts travel with every task, at most; the rest are joined.
 HEAD = 1 << 18
+# Leading bits of a token that its place among them is looked up by.
+PREFIX = 18
 STEPS = 32
 # Rounds take the training documents up to these shares of a hash, each once.
 ROUNDS = ((1 / 32, 0.02), (1 / 4, 0.01), (1.0, 0.004))
@@ -41,17 +44,21 @@ MERGED = 32
 
 
 class Net:
-    """Parameters of the network in one flat array, with named views."""
+    """Parameters of the network in one flat array, with named views.
 
-    def __init__(self, flat: np.ndarray | None = None):
-        words = CLASSES * CLASS_WORDS
+    It predicts ``side * side`` words one by one, in ``side`` classes. Arrays of states hold one
+    row per hidden unit, so that every operation runs along the tokens.
+    """
+
+    def __init__(self, side: int, flat: np.ndarray | None = None):
+        self.side, self.other, self.start = side, side * side, side * side + 1
         self.shapes = {
-            "x": (words + 2, 3 * HIDDEN),
+            "x": (side * side + 2, 3 * HIDDEN),
             "u": (HIDDEN, 3 * HIDDEN),
-            "c": (HIDDEN, CLASSES + 1),
-            "cb": (CLASSES + 1,),
-            "o": (CLASSES, HIDDEN, CLASS_WORDS),
-            "ob": (CLASSES, CLASS_WORDS),
+            "c": (HIDDEN, side + 1),
+            "cb": (side + 1,),
+            "o": (side, HIDDEN, side),
+            "ob": (side, side),
         }
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         if flat is None:
@@ -63,20 +70,21 @@ class Net:
             at += n
 
 
-OTHER = CLASSES * CLASS_WORDS
-START = OTHER + 1
+def side_for(distinct: int) -> int:
+    """Classes, and words of a class, for a number of distinct tokens: the words grow with its square root."""
+    return max(SIDE, int(np.ceil(distinct**0.25)))
 
 
 class Lanes(NamedTuple):
     """Documents laid out in lanes that run side by side; lanes are sorted by length."""
 
     target: np.ndarray  # step by lane: token, -1 behind a lane's end
-    source: np.ndarray  # the token before, START at a document's begin
+    source: np.ndarray  # the token before, the start mark at a document's begin
     owner: np.ndarray
     active: np.ndarray  # lanes that have a token at each step
 
 
-def lay_out(ids: np.ndarray, bounds: np.ndarray, lanes: int) -> Lanes:
+def lay_out(ids: np.ndarray, bounds: np.ndarray, lanes: int, start: int) -> Lanes:
     """Gives each document, longest first, to the shortest lane; a document stays in one lane."""
     lengths = np.diff(bounds)
     longest = int(lengths.max())
@@ -100,7 +108,7 @@ def lay_out(ids: np.ndarray, bounds: np.ndarray, lanes: int) -> Lanes:
         own = ids[bounds[doc] : bounds[doc + 1]]
         to = slice(load, load + len(own))
         target[to, rank[lane]] = own
-        source[load, rank[lane]] = START
+        source[load, rank[lane]] = start
         source[load + 1 : load + len(own), rank[lane]] = own[:-1]
         owner[to, rank[lane]] = doc
     return Lanes(target, source, owner, (target >= 0).sum(1))
@@ -116,7 +124,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Saved(NamedTuple):
-    """What the backward pass needs of each step."""
+    """What the backward pass needs of each step: unit by step by lane."""
 
     before: np.ndarray
     zr: np.ndarray
@@ -125,87 +133,100 @@ class Saved(NamedTuple):
 
 
 def recur(net: Net, source: np.ndarray, h: np.ndarray, saved: Saved | None = None) -> np.ndarray:
-    """States after reading each step's source token; fills ``saved`` if given.
+    """States (unit by step by lane) after reading each step's source token; fills ``saved`` if given.
 
-    A state starts anew where the source is START.
+    A state starts anew where the source is the start mark.
     """
-    states = np.empty((*source.shape, HIDDEN), np.float32)
-    fresh = source == START
+    states = np.empty((HIDDEN, *source.shape), np.float32)
+    fresh = source == net.start
     any_fresh = fresh.any(1)
-    inputs = net.x[source]
+    inputs = np.ascontiguousarray(net.x[source.ravel()].T).reshape(3 * HIDDEN, *source.shape)
+    weights = np.ascontiguousarray(net.u.T)
     for t in range(len(source)):
         if any_fresh[t]:
-            h = h * ~fresh[t][:, None]
-        g = h @ net.u
-        zr = _squash(inputs[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        gn = g[:, 2 * HIDDEN :]
-        n = zr[:, HIDDEN:] * gn
-        n += inputs[t, :, 2 * HIDDEN :]
+            h = h * ~fresh[t]
+        g = weights @ h
+        zr = g[: 2 * HIDDEN]
+        zr += inputs[: 2 * HIDDEN, t]
+        _squash(zr)
+        gn = g[2 * HIDDEN :]
+        n = zr[HIDDEN:] * gn
+        n += inputs[2 * HIDDEN :, t]
         np.tanh(n, out=n)
         if saved:
-            saved.before[t], saved.zr[t], saved.n[t], saved.g[t] = h, zr, n, gn
+            saved.before[:, t], saved.zr[:, t], saved.n[:, t], saved.g[:, t] = h, zr, n, gn
         step = h - n
-        step *= zr[:, :HIDDEN]
+        step *= zr[:HIDDEN]
         step += n
-        states[t] = h = step
+        states[:, t] = h = step
     return states
 
 
 def unwind(net: Net, grad: Net, source: np.ndarray, saved: Saved, outer: np.ndarray) -> None:
     """Backpropagation through the steps of a window: fills the gradients of ``x`` and ``u``."""
-    z, r = saved.zr[..., :HIDDEN], saved.zr[..., HIDDEN:]
+    z, r = saved.zr[:HIDDEN], saved.zr[HIDDEN:]
     to_pre = (1 - z) * (1 - saved.n * saved.n)
     to_z = (saved.before - saved.n) * z * (1 - z)
     to_r = saved.g * r * (1 - r)
-    gates = np.empty((*source.shape, 3 * HIDDEN), np.float32)
-    pres = np.empty((*source.shape, HIDDEN), np.float32)
-    fresh = source == START
+    gates = np.empty((3 * HIDDEN, *source.shape), np.float32)
+    pres = np.empty((HIDDEN, *source.shape), np.float32)
+    fresh = source == net.start
     any_fresh = fresh.any(1)
-    back = np.ascontiguousarray(net.u.T)
-    dh = np.zeros(outer.shape[1:], np.float32)
+    dh = np.zeros((HIDDEN, source.shape[1]), np.float32)
+    gate = np.empty((3 * HIDDEN, source.shape[1]), np.float32)
     for t in range(len(source) - 1, -1, -1):
-        dh += outer[t]
-        pre = np.multiply(dh, to_pre[t], out=pres[t])
-        gate = gates[t]
-        np.multiply(dh, to_z[t], out=gate[:, :HIDDEN])
-        np.multiply(pre, to_r[t], out=gate[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(pre, r[t], out=gate[:, 2 * HIDDEN :])
-        dh *= z[t]
-        dh += gate @ back
+        dh += outer[:, t]
+        pre = dh * to_pre[:, t]
+        np.multiply(dh, to_z[:, t], out=gate[:HIDDEN])
+        np.multiply(pre, to_r[:, t], out=gate[HIDDEN : 2 * HIDDEN])
+        np.multiply(pre, r[:, t], out=gate[2 * HIDDEN :])
+        gates[:, t], pres[:, t] = gate, pre
+        dh *= z[:, t]
+        dh += net.u @ gate
         if any_fresh[t]:
-            dh *= ~fresh[t][:, None]
-    flat = gates.reshape(-1, 3 * HIDDEN)
-    grad.u[:] = saved.before.reshape(-1, HIDDEN).T @ flat
-    gates[..., 2 * HIDDEN :] = pres
+            dh *= ~fresh[t]
+    grad.u[:] = saved.before.reshape(HIDDEN, -1) @ gates.reshape(3 * HIDDEN, -1).T
+    gates[2 * HIDDEN :] = pres
     ids = source.ravel()
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    order = np.argsort(ids.astype(np.min_scalar_type(net.start)), kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    flat = np.ascontiguousarray(gates.reshape(3 * HIDDEN, -1).T)
     grad.x[ids[order[first]]] = np.add.reduceat(flat[order], first)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
+def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms and values of the softmax of each column, the former in place."""
+    logits -= logits.max(0)
+    p = np.exp(logits)
+    total = p.sum(0)
+    logits -= np.log(total)
+    p /= total
+    return logits, p
 
 
-def _by_class(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of the predicted words of each class."""
-    kind = (tokens // CLASS_WORDS).astype(np.uint8)
+def _by_class(net: Net, tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the tokens by class, and the place of each class of words in it."""
+    kind = (tokens // net.side).astype(np.min_scalar_type(net.side))
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+    edges = np.searchsorted(kind[order], np.arange(net.side + 1)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
 
 
 def log_likelihood(net: Net, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token (of its class alone for the class of all others)."""
-    classes = _log_softmax(states @ net.c + net.cb)
-    found = classes[np.arange(len(tokens)), tokens // CLASS_WORDS]
-    for c, at in _by_class(tokens):
-        words = _log_softmax(states[at] @ net.o[c] + net.ob[c])
-        found[at] += words[np.arange(len(at)), tokens[at] % CLASS_WORDS]
+    order, classes = _by_class(net, tokens)
+    tokens, states = tokens[order], states[:, order]
+    log = net.c.T @ states
+    log += net.cb[:, None]
+    log -= log.max(0)
+    own = log[tokens // net.side, np.arange(len(tokens))] - np.log(np.exp(log, out=log).sum(0))
+    for c, at in classes:
+        log = net.o[c].T @ states[:, at]
+        log += net.ob[c][:, None]
+        log -= log.max(0)
+        own[at] += log[tokens[at] % net.side, np.arange(log.shape[1])] - np.log(np.exp(log, out=log).sum(0))
+    found = np.empty_like(own)
+    found[order] = own
     return found
 
 
@@ -213,37 +234,40 @@ def gradient(net: Net, lanes: Lanes, low: int, high: int, h: np.ndarray) -> tupl
     """Loss, gradient, state behind the window and number of tokens of the steps from low to high."""
     k = int(lanes.active[low])
     source, target = lanes.source[low:high, :k], lanes.target[low:high, :k]
-    shape = (*source.shape, HIDDEN)
-    saved = Saved(*(np.empty((*source.shape, w), np.float32) for w in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)))
-    states = recur(net, source, h[:k], saved)
+    saved = Saved(*(np.empty((w, *source.shape), np.float32) for w in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)))
+    states = recur(net, source, h[:, :k], saved)
     real = np.flatnonzero(target.ravel() >= 0)
-    flat, tokens = states.reshape(-1, HIDDEN)[real], target.ravel()[real]
-    grad = Net(np.zeros_like(net.flat))
-    p = _log_softmax(flat @ net.c + net.cb)
-    kind = tokens // CLASS_WORDS
-    rows = np.arange(len(tokens))
-    loss = -float(p[rows, kind].sum())
-    p = np.exp(p)
-    p[rows, kind] -= 1
-    p /= len(tokens)
-    grad.c[:] = flat.T @ p
-    grad.cb[:] = p.sum(0)
-    back = p @ net.c.T
-    for c, at in _by_class(tokens):
-        own = flat[at]
-        q = _log_softmax(own @ net.o[c] + net.ob[c])
-        word = tokens[at] % CLASS_WORDS
-        loss -= float(q[np.arange(len(at)), word].sum())
-        q = np.exp(q)
-        q[np.arange(len(at)), word] -= 1
-        q /= len(tokens)
-        grad.o[c] = own.T @ q
-        grad.ob[c] = q.sum(0)
-        back[at] += q @ net.o[c].T
-    outer = np.zeros((len(source) * k, HIDDEN), np.float32)
-    outer[real] = back
-    unwind(net, grad, source, saved, outer.reshape(shape))
-    return loss, grad.flat, states[-1], len(tokens)
+    order, classes = _by_class(net, target.ravel()[real])
+    real = real[order]
+    flat, tokens = states.reshape(HIDDEN, -1)[:, real], target.ravel()[real]
+    grad = Net(net.side, np.zeros_like(net.flat))
+    count = np.float32(len(tokens))
+    logits = net.c.T @ flat
+    logits += net.cb[:, None]
+    log, p = _log_softmax(logits)
+    kind, columns = tokens // net.side, np.arange(len(tokens))
+    loss = -float(log[kind, columns].sum())
+    p[kind, columns] -= 1
+    p /= count
+    grad.c[:] = flat @ p.T
+    grad.cb[:] = p.sum(1)
+    back = net.c @ p
+    for c, at in classes:
+        own, word = flat[:, at], tokens[at] % net.side
+        logits = net.o[c].T @ own
+        logits += net.ob[c][:, None]
+        log, q = _log_softmax(logits)
+        columns = np.arange(len(word))
+        loss -= float(log[word, columns].sum())
+        q[word, columns] -= 1
+        q /= count
+        grad.o[c] = own @ q.T
+        grad.ob[c] = q.sum(1)
+        back[:, at] += net.o[c] @ q
+    outer = np.zeros((HIDDEN, source.size), np.float32)
+    outer[:, real] = back
+    unwind(net, grad, source, saved, outer.reshape(HIDDEN, *source.shape))
+    return loss, grad.flat, states[:, -1], len(tokens)
 
 
 class Adam:
@@ -267,9 +291,9 @@ def train_on(net: Net, adam: Adam, ids: np.ndarray, bounds: np.ndarray) -> tuple
 
     Where only a few long documents are left the steps are smaller, so that every token weighs the same.
     """
-    lanes = lay_out(ids, bounds, int(np.clip(len(ids) // (STEPS * 100), 4, 384)))
+    lanes = lay_out(ids, bounds, int(np.clip(len(ids) // (STEPS * 100), 4, 384)), net.start)
     full = STEPS * lanes.target.shape[1]
-    h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, lanes.target.shape[1]), np.float32)
     loss, count = 0.0, 0
     for low in range(0, len(lanes.target), STEPS):
         part, grad, h, n = gradient(net, lanes, low, min(low + STEPS, len(lanes.target)), h)
@@ -280,17 +304,17 @@ def train_on(net: Net, adam: Adam, ids: np.ndarray, bounds: np.ndarray) -> tuple
 
 def score_on(net: Net, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each document."""
-    lanes = lay_out(ids, bounds, 512)
-    h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
+    lanes = lay_out(ids, bounds, 512, net.start)
+    h = np.zeros((HIDDEN, lanes.target.shape[1]), np.float32)
     total = np.zeros(len(bounds) - 1)
     for low in range(0, len(lanes.target), STEPS):
         k = int(lanes.active[low])
         part = slice(low, low + STEPS)
-        states = recur(net, lanes.source[part, :k], h[:k])
-        h = states[-1]
+        states = recur(net, lanes.source[part, :k], h[:, :k])
+        h = states[:, -1]
         tokens = lanes.target[part, :k].ravel()
         real = np.flatnonzero(tokens >= 0)
-        found = log_likelihood(net, states.reshape(-1, HIDDEN)[real], tokens[real])
+        found = log_likelihood(net, states.reshape(HIDDEN, -1)[:, real], tokens[real])
         total += np.bincount(lanes.owner[part, :k].ravel()[real], found.astype(np.float64), len(total))
     return total
 
@@ -299,16 +323,36 @@ def score_on(net: Net, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary(NamedTuple):
-    """Counts of the most frequent tokens, sorted by token, and the network's word of each (or OTHER)."""
+    """Counts of the most frequent tokens, sorted by token, and the network's word of each (or the mark of all others)."""
 
     tokens: np.ndarray
     counts: np.ndarray
     words: np.ndarray
+    side: int
+    begins: np.ndarray  # of each prefix of PREFIX bits, where its tokens begin
+
+    def words_of(self, tokens: np.ndarray) -> np.ndarray:
+        """The network's word of each token."""
+        if not len(self.tokens):
+            return np.full(len(tokens), self.side * self.side, np.int32)
+        at, known = self.look_up(tokens)
+        return np.where(known, self.words[at], self.side * self.side)
 
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of each token here, and whether it is here."""
-        at = np.minimum(np.searchsorted(self.tokens, tokens), max(0, len(self.tokens) - 1))
-        return at, (self.tokens[at] == tokens) if len(self.tokens) else np.zeros(len(tokens), bool)
+        """Position of each token here, and whether it is here.
+
+        Tokens are hashes, so their leading bits name a place at or little before their own.
+        """
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        last = len(self.tokens) - 1
+        at = np.minimum(self.begins[tokens >> np.uint64(64 - PREFIX)], last)
+        behind = np.flatnonzero(self.tokens[at] < tokens)
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            behind = behind[self.tokens[at[behind]] < tokens[behind]]
+        return at, self.tokens[at] == tokens
 
 
 def tokenise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +374,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Vocabulary, int]:
+def head_of(counts: DataFrame, side: int = SIDE, most: int = HEAD) -> tuple[Vocabulary, int]:
     """The tokens of count at or above the least threshold that leaves no more than ``most``, and that threshold.
 
     The threshold comes from a histogram of counts in steps of a sixteenth of an octave.
@@ -344,12 +388,14 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Vocabulary, int]:
         held, lowest = held + k, s
     found = counts.filter(step >= (lowest if lowest is not None else 1 << 20)).toPandas() if sizes else pd.DataFrame({"token": [], "n": []})
     tokens, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    words = np.full(len(tokens), OTHER, np.int32)
+    words = np.full(len(tokens), side * side, np.int32)
     # The end always is a word of the network; the others follow by count.
-    frequent = np.lexsort((tokens, -n, tokens != END))[: CLASSES * CLASS_WORDS]
+    frequent = np.lexsort((tokens, -n, tokens != END))[: side * side]
     words[frequent] = np.arange(len(frequent))
     order = np.argsort(tokens)
-    return Vocabulary(tokens[order], n[order], words[order]), int(lowest) if lowest is not None else 1 << 20
+    sizes = np.bincount((tokens >> np.uint64(64 - PREFIX)).astype(np.int64), minlength=1 << PREFIX)
+    begins = (np.cumsum(sizes) - sizes).astype(np.int32)
+    return Vocabulary(tokens[order], n[order], words[order], side, begins), int(lowest) if lowest is not None else 1 << 20
 
 
 # ---- distributed training ---------------------------------------------------------------
@@ -357,15 +403,16 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[Vocabulary, int]:
 
 def unigram_net(vocabulary: Vocabulary, n_other: int) -> Net:
     """A network whose outputs are the shares of the training counts, whatever its state."""
-    net = Net()
-    n = np.full(CLASSES * CLASS_WORDS, SMOOTHING)
-    spelled = vocabulary.words < OTHER
+    side = vocabulary.side
+    net = Net(side)
+    n = np.full(side * side, SMOOTHING)
+    spelled = vocabulary.words < side * side
     n[vocabulary.words[spelled]] += vocabulary.counts[spelled]
-    classes = n.reshape(CLASSES, CLASS_WORDS).sum(1)
+    classes = n.reshape(side, side).sum(1)
     net.c *= 0.1
     net.o *= 0.1
     net.cb[:] = np.log(np.append(classes, n_other + SMOOTHING) / (classes.sum() + n_other + SMOOTHING))
-    net.ob[:] = np.log(n.reshape(CLASSES, CLASS_WORDS) / classes[:, None])
+    net.ob[:] = np.log(n.reshape(side, side) / classes[:, None])
     return net
 
 
@@ -373,12 +420,11 @@ def _trainer(flat: np.ndarray, vocabulary: Vocabulary, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        net = Net(flat.copy())
+        net = Net(vocabulary.side, flat.copy())
         adam, loss, count = Adam(net, rate), 0.0, 0
         for chunk in chunks(batches, "text", CHUNK_BYTES):
             tokens, bounds = tokenise(chunk.column("text"))
-            at, known = vocabulary.look_up(tokens)
-            part, n = train_on(net, adam, np.where(known, vocabulary.words[at], OTHER), bounds)
+            part, n = train_on(net, adam, vocabulary.words_of(tokens), bounds)
             loss, count = loss + part, count + n
         if count:
             yield pa.RecordBatch.from_arrays(
@@ -400,8 +446,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, n_other: int, rounds=ROUNDS)
     """The trained network and the mean loss of each round; ``texts`` has ``row, text``.
 
     ``n_other`` tokens of the texts are no words of the network. Training begins with unigram shares.
-    Copies are averaged ``MERGED`` at a time, level by level, so no task or driver holds more than
-    that many.
+    Copies are averaged ``MERGED`` at a time, level by level, so no task holds more than that many and
+    the driver gets one.
     """
     schema = "task long, n long, loss double, net binary"
     net, low, losses = unigram_net(vocabulary, n_other), 0.0, []
@@ -409,14 +455,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, n_other: int, rounds=ROUNDS)
     for high, rate in rounds:
         part = texts.filter((share >= low) & (share < high)).select("text")
         copies = written(part.mapInArrow(_trainer(net.flat, vocabulary, rate), schema), "copies")
-        while copies.count() > MERGED:
+        while copies.count() > 1:
             copies = written(copies.groupBy(F.floor(F.col("task") / MERGED).alias("g")).applyInPandas(_average, schema), "copies")
         low = high
         found = copies.toPandas()
         if len(found):
-            last = _average(found.sort_values("task"))
-            net = Net(np.frombuffer(last["net"][0], np.float32).copy())
-            losses.append(last["loss"][0] / last["n"][0])
+            net = Net(vocabulary.side, np.frombuffer(found["net"][0], np.float32).copy())
+            losses.append(found["loss"][0] / found["n"][0])
     return net, losses
 
 
@@ -427,15 +472,16 @@ def _scorer(flat: np.ndarray, vocabulary: Vocabulary):
     logs = np.log10(vocabulary.counts + SMOOTHING)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Net(flat.copy())
+        net = Net(vocabulary.side, flat.copy())
         for chunk in chunks(batches, "text", CHUNK_BYTES):
             tokens, bounds = tokenise(chunk.column("text"))
             at, known = vocabulary.look_up(tokens)
-            ids = np.where(known, vocabulary.words[at], OTHER) if len(vocabulary.tokens) else np.full(len(tokens), OTHER)
+            every = vocabulary.side * vocabulary.side
+            ids = np.where(known, vocabulary.words[at], every) if len(vocabulary.tokens) else np.full(len(tokens), every)
             n = len(bounds) - 1
             owner = np.repeat(np.arange(n), np.diff(bounds))
             log = np.where(known, logs[at], 0) if len(vocabulary.tokens) else np.zeros(len(tokens))
-            other = ids == OTHER
+            other = ids == every
             tail = np.flatnonzero(~known)
             order = tail[np.lexsort((tokens[tail], owner[tail]))]
             new = np.ones(len(order), bool)
@@ -489,8 +535,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     counts = written(count_tokens(learned), "token-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total[0]), int(total[1])
-    vocabulary, lowest = head_of(counts, most)
-    spelled = vocabulary.words < OTHER
+    vocabulary, lowest = head_of(counts, side_for(v), most)
+    spelled = vocabulary.words < vocabulary.side**2
     n_other, v_other = n - int(vocabulary.counts[spelled].sum()), v - int(spelled.sum())
     net, _ = train(learned.select("row", "text"), vocabulary, n_other)
     scored = written(

@@ -58,32 +58,48 @@ def test_held_out_scores_beat_the_base(spark):
 
 
 def test_probabilities_sum_to_one():
-    net = lm.Net()
-    states = np.random.default_rng(0).normal(0, 1, (5, lm.HIDDEN)).astype(np.float32)
-    total = sum(np.exp(lm.log_likelihood(net, states, np.full(5, t))) for t in range(lm.OTHER + 1))
-    assert np.allclose(total, 1, atol=1e-4)
+    for side in (1, 7, 40):
+        net = lm.Net(side)
+        states = np.random.default_rng(0).normal(0, 1, (lm.HIDDEN, 5)).astype(np.float32)
+        total = sum(np.exp(lm.log_likelihood(net, states, np.full(5, t))) for t in range(net.other + 1))
+        assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_the_vocabulary_grows_with_the_corpus():
+    assert [lm.side_for(v) for v in (0, 1, 24**4, 24**4 + 1, 10**8)] == [24, 24, 24, 25, 100]
+
+
+def test_positions_of_tokens_equal_a_search(spark):
+    rng = np.random.default_rng(8)
+    held = np.unique(np.concatenate([rng.integers(0, 1 << 64, 5000, np.uint64), (np.arange(50) + 7).astype(np.uint64), [np.uint64(2**64 - 1)]]))
+    frame = spark.createDataFrame([(int(t), 1) for t in held.view(np.int64)], "token long, n long")
+    vocabulary, _ = lm.head_of(frame)
+    asked = np.concatenate([held, rng.integers(0, 1 << 64, 5000, np.uint64), np.arange(100, dtype=np.uint64)])
+    at, known = vocabulary.look_up(asked)
+    assert (known == np.isin(asked, held)).all() and (vocabulary.tokens[at[known]] == asked[known]).all()
 
 
 def test_state_is_carried_across_windows_and_reset_between_documents():
     rng = np.random.default_rng(3)
     lengths = [1, 200, 3, 77, 64, 1, 900]
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    ids = rng.integers(0, lm.OTHER + 1, bounds[-1]).astype(np.int64)
-    net = lm.Net()
+    net = lm.Net(26)
+    ids = rng.integers(0, net.other + 1, bounds[-1]).astype(np.int64)
     found = lm.score_on(net, ids, bounds)
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        source = np.concatenate([[lm.START], ids[a : b - 1]])[:, None]
-        states = lm.recur(net, source, np.zeros((1, lm.HIDDEN), np.float32))
-        assert abs(found[i] - lm.log_likelihood(net, states[:, 0], ids[a:b]).sum()) < 1e-2
+        source = np.concatenate([[net.start], ids[a : b - 1]])[:, None]
+        states = lm.recur(net, source, np.zeros((lm.HIDDEN, 1), np.float32))
+        assert abs(found[i] - lm.log_likelihood(net, states[:, :, 0], ids[a:b]).sum()) < 1e-2
 
 
 def test_gradient_matches_differences():
     rng = np.random.default_rng(4)
     bounds = np.array([0, 9, 14, 30])
-    ids = rng.integers(0, lm.OTHER + 1, 30)
-    lanes = lm.lay_out(ids, bounds, 2)
-    net = lm.Net((rng.normal(0, 0.4, lm.Net().flat.shape)).astype(np.float32))
-    zero = np.zeros((lanes.target.shape[1], lm.HIDDEN), np.float32)
+    side = 24
+    net = lm.Net(side, (rng.normal(0, 0.4, lm.Net(side).flat.shape)).astype(np.float32))
+    ids = rng.integers(0, net.other + 1, 30)
+    lanes = lm.lay_out(ids, bounds, 2, net.start)
+    zero = np.zeros((lm.HIDDEN, lanes.target.shape[1]), np.float32)
 
     def loss():
         part, grad, _, n = lm.gradient(net, lanes, 0, len(lanes.target), zero)
@@ -91,7 +107,7 @@ def test_gradient_matches_differences():
 
     _, grad = loss()
     for name in ("x", "u", "c", "cb", "o", "ob"):
-        at = np.abs(getattr(lm.Net(grad), name)).argmax()
+        at = np.abs(getattr(lm.Net(side, grad), name)).argmax()
         view = getattr(net, name).reshape(-1)
         old = view[at]
         view[at] = old + 3e-2
@@ -99,7 +115,7 @@ def test_gradient_matches_differences():
         view[at] = old - 3e-2
         down = loss()[0]
         view[at] = old
-        want = getattr(lm.Net(grad), name).reshape(-1)[at]
+        want = getattr(lm.Net(side, grad), name).reshape(-1)[at]
         assert abs((up - down) / 6e-2 - want) < 0.05 * abs(want) + 1e-4
 
 
