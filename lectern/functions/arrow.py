@@ -356,10 +356,12 @@ def _readable(texts: pd.Series) -> pd.Series:
 def readable_markup(text: Column) -> Column:
     """Text that the markup expressions can read: no nested tables, no entities beyond the common ones.
 
-    Only texts with two tables or a rarer entity travel to Python.
+    The control characters that these expressions use as marks (U+0001 to U+0005) become U+FFFD, one
+    for one. Only texts with two tables or a rarer entity travel to Python.
     """
     odd = F.rlike(text, F.lit(_RARE_ENTITY)) | (F.regexp_count(text, F.lit(r"(?i)<table\b")) > 1)
-    return F.coalesce(_readable(F.when(odd, text)), text)
+    free = F.when(F.rlike(text, F.lit(r"[\x01-\x05]")), F.translate(text, "\x01\x02\x03\x04\x05", "\ufffd" * 5)).otherwise(text)
+    return F.coalesce(_readable(F.when(odd, free)), free)
 
 
 def token_slot(token: str, dim: int) -> int:

@@ -37,7 +37,8 @@ def _tables(section: Column) -> Column:
 def extract_tables(sections: DataFrame, column: str = "section") -> DataFrame:
     """One row per HTML or pipe table: ``table_idx``, ``source``, ``position`` in the section.
 
-    The section comes back as it was read: rarer entities decoded, nested tables behind their outer one.
+    The section comes back as it was read: rarer entities decoded, nested tables behind their outer one,
+    U+FFFD in place of the control characters U+0001 to U+0005.
     """
     sections = sections.withColumn(column, arrow.readable_markup(F.col(column)))
     found = each(sections, sections.columns, _tables(F.col(column)), "_t")

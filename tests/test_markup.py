@@ -189,3 +189,15 @@ def test_nested_tables_and_rare_entities(spark):
     assert table_cells_of(spark, "<table><tr><td>a</td></tr></table> <table><tr><td>b</td></tr></table>") == [[["a"]], [["b"]]]
     docs = spark.createDataFrame([("caf&eacute; &#233;", "u", "p", "y", ["x"], "f.md")], "text string, university_id string, program string, year string, aliases array<string>, source_file string")
     assert chunking.build_chunks(docs).first()["text"] == "café é"
+
+
+def test_control_characters_are_not_taken_for_marks(spark):
+    marks = "\x01\x02\x03\x04\x05"
+    text = f"## T\na{marks}b\n\n| x | y |\n|---|---|\n| 1{marks} | 2 |\n\n```\nc{marks}|d\n```\n"
+    plain = text.replace(marks, "\ufffd" * 5)
+    [row] = tables.with_rows(found(spark, text)).collect()
+    [want] = tables.with_rows(found(spark, plain)).collect()
+    assert row["body"] == want["body"] == [["1" + "\ufffd" * 5, "2"]]
+    assert (row["position"], row["source"]) == (want["position"], want["source"])
+    given, same = (chunking.section_records(docs(spark, t), level=2).first().asDict() for t in (text, plain))
+    assert given == same and "a" + "\ufffd" * 5 + "b" in given["text"]
