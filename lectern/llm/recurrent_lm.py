@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import ROW, numbered, written
-from lectern.llm.words import chunks, find_words
+from lectern.llm.words import chunks, find_words, gathered
 
 HIDDEN = 16
 # The network predicts side * side words one by one, in side classes; the least side.
@@ -422,7 +422,7 @@ def _trainer(flat: np.ndarray, vocabulary: Vocabulary, rate: float):
 
         net = Net(vocabulary.side, flat.copy())
         adam, loss, count = Adam(net, rate), 0.0, 0
-        for chunk in chunks(batches, "text", CHUNK_BYTES):
+        for chunk in gathered(batches, "text", CHUNK_BYTES):
             tokens, bounds = tokenise(chunk.column("text"))
             part, n = train_on(net, adam, vocabulary.words_of(tokens), bounds)
             loss, count = loss + part, count + n
@@ -473,7 +473,7 @@ def _scorer(flat: np.ndarray, vocabulary: Vocabulary):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net(vocabulary.side, flat.copy())
-        for chunk in chunks(batches, "text", CHUNK_BYTES):
+        for chunk in gathered(batches, "text", CHUNK_BYTES):
             tokens, bounds = tokenise(chunk.column("text"))
             at, known = vocabulary.look_up(tokens)
             every = vocabulary.side * vocabulary.side

@@ -152,3 +152,21 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 <
         yield batch.slice(begin)
         del batch
         release()
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of consecutive small batches together, up to ``most_bytes`` of text (a longer text is a slice of its own)."""
+    held, size = [], 0
+    for part in chunks(batches, column, most_bytes):
+        own = part.column(column).nbytes
+        if held and size + own > most_bytes:
+            yield _joined(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from lectern.llm import recurrent_lm as lm
+from lectern.llm.words import gathered
 
 SCHEMA = "doc_id long, text string, row string, held_out int, tail string"
 
@@ -136,3 +137,12 @@ def test_nothing_to_learn_and_empty_table(spark):
 def test_tokens_follow_the_separators():
     found, bounds = lm.tokenise(pa.array(["A b", None, " c "]))
     assert bounds.tolist() == [0, 3, 4, 6] and (found[[2, 3, 5]] == lm.END).all()
+
+
+def test_small_batches_are_gathered_whole_and_in_order():
+    texts = ["a" * n for n in (5, 0, 90, 3, 3, 400, 1)] + [None, "z"]
+    given = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], names=["row", "text"]) for i, t in enumerate(texts)]
+    found = list(gathered(given, "text", 120))
+    assert [(r["row"], r["text"]) for b in found for r in b.to_pylist()] == list(enumerate(texts))
+    assert 1 < len(found) < len(texts) and all(b.num_rows == 1 or b.column("text").nbytes <= 120 for b in found)
+    assert list(gathered([], "text", 120)) == []
