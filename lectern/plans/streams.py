@@ -14,9 +14,13 @@ from lectern.streaming import jobs
 
 
 def stream(t: Inputs, name: str):
-    """The table as a stream of files, its rows spread over the cores (the test tables are one file each)."""
+    """The table as a stream of files, its rows spread over the cores (the test tables are one file each).
+
+    A table is one file or a folder of files. A stream can't start from the path of a file, but from a pattern: the
+    one here matches the table's name alone.
+    """
     schema = getattr(t, name).schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.path)
+    rows = t.spark.readStream.schema(schema).parquet(f"{t.path}/{name}.parque[t]")
     return rows.repartition(t.spark.sparkContext.defaultParallelism)
 
 

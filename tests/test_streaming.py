@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lectern.operators import embedding, retrieval
+from lectern.plans import QUERIES
 from lectern.sources import corpus
 from lectern.streaming import jobs
 
@@ -62,3 +63,17 @@ def test_answer_stream_equals_batch(spark, tmp_path):
     columns = ["query_id", "item_id", "rank"]
     found = spark.read.parquet(str(tmp_path / "out")).select(*columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+
+
+def test_a_table_is_streamed_as_one_file_or_as_a_folder(spark, tmp_path):
+    rows = [(1, t, "user", f"What is the deadline of course {t}?") for t in range(6)] + [(2, 0, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.repartition(3, "turn").write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    turns.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "file" / "conversations.parquet")
+    expected = sorted(map(str, QUERIES["question_records"](spark, str(tmp_path / "folder")).collect()))
+    for kind in ("folder", "file"):
+        found = QUERIES["stream_question_records"](spark, str(tmp_path / kind))
+        assert sorted(map(str, found.collect())) == expected, kind
+    assert len(expected) == 7
