@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from lectern import fixed
 
 
-@F.pandas_udf(T.StringType())
+# Python functions become UDFs where they are used: a UDF kept by the module would hold the driver's connection to the JVM
+# once it ran, and functions of this module could no longer be shipped.
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
@@ -27,7 +28,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 def nfkc(text: Column) -> Column:
     """NFKC form. Only rows with non-ASCII characters travel to Python."""
     foreign = F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), text)
-    return F.coalesce(_nfkc(foreign), text)
+    return F.coalesce(F.pandas_udf(_nfkc, T.StringType())(foreign), text)
 
 
 ARROW_KEYWORDS = pa.list_(pa.struct([("word", pa.string()), ("count", pa.int64())]))
@@ -304,7 +305,6 @@ def _decode(text: str) -> str:
     return _ENTITY.sub(one, text)
 
 
-@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else _decode(t))
 
@@ -315,7 +315,7 @@ def unescape_entities(text: Column) -> Column:
     Only texts with an entity travel to Python.
     """
     escaped = F.when(F.rlike(text, F.lit(r"&(?:#|[A-Za-z])[A-Za-z0-9]*;")), text)
-    return F.coalesce(_unescape(escaped), text)
+    return F.coalesce(F.pandas_udf(_unescape, T.StringType())(escaped), text)
 
 
 _TABLE_TAG = re.compile(r"<(/?)table\b[^>]*>", re.IGNORECASE)
@@ -348,7 +348,6 @@ def _unnested(text: str) -> str:
     return text if len(stack) > 1 else "".join([*stack[0]["parts"], text[at:]])
 
 
-@F.pandas_udf(T.StringType())
 def _readable(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else _decode(_unnested(t)))
 
@@ -361,7 +360,7 @@ def readable_markup(text: Column) -> Column:
     """
     odd = F.rlike(text, F.lit(_RARE_ENTITY)) | (F.regexp_count(text, F.lit(r"(?i)<table\b")) > 1)
     free = F.when(F.rlike(text, F.lit(r"[\x01-\x05]")), F.translate(text, "\x01\x02\x03\x04\x05", "\ufffd" * 5)).otherwise(text)
-    return F.coalesce(_readable(F.when(odd, free)), free)
+    return F.coalesce(F.pandas_udf(_readable, T.StringType())(F.when(odd, free)), free)
 
 
 def token_slot(token: str, dim: int) -> int:

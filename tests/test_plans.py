@@ -152,3 +152,14 @@ def test_entities_of_real_texts_equal_a_plain_pass(spark, sf):
     got = QUERIES["entities_unicode"](spark, sf).select("doc_id", "type", "subtype", "value", "start", "end").collect()
     assert sorted(map(tuple, got)) == sorted(want) and want
     assert {r.doc_id: r.entity_count for r in QUERIES["entity_counts_unicode"](spark, sf).collect() if r.entity_count} == counts
+
+
+def test_a_model_is_shipped_after_other_functions_ran(spark, tmp_path):
+    text = "na\u00efve fa\u00e7ade &copy; two"
+    spark.createDataFrame([(1, text, "fr", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    # A UDF that ran holds the driver's connection to the JVM, which can't be shipped.
+    assert QUERIES["unicode_normalized"](spark, str(tmp_path)).count() == 1
+    rows = {tuple(r) for r in QUERIES["texts_embedded_by_length"](spark, str(tmp_path)).collect()}
+    assert rows == {tuple(r) for r in QUERIES["texts_embedded"](spark, str(tmp_path)).collect()} and rows
