@@ -9,7 +9,7 @@ is measured on a bounded sample of items and queries, so near neighbours need fe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import erfc, sqrt
 
@@ -25,6 +25,8 @@ from lectern.operators import retrieval as R
 BITS = 32
 SAMPLE_ITEMS, SAMPLE_QUERIES = 4_096, 256
 DRAWS = 2_048
+# Share of probed pairs from which whole blocks are multiplied: a pair picked out of a block costs as much as some 16 of a whole one.
+DENSE_SHARE, DENSE_SAMPLE = 1 / 16, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -85,12 +87,42 @@ class ProbeKernel:
                 nth, inside = R._expanded(counts[own])
                 yield order[first[own][nth] + inside], asked[nth]
 
+    def dense(self, buckets: np.ndarray, prepared: tuple) -> bool:
+        """Whether many of the pairs are probed, by evenly drawn items and queries. It decides how hits are found, not which."""
+        _, q, slope, base, bound = prepared
+        own = buckets[:: -(-len(buckets) // DENSE_SAMPLE)]
+        asked = slice(None, None, -(-len(q) // DENSE_SAMPLE))
+        bits = ((own[:, None] >> np.arange(len(self.planes))) & 1).astype(np.float64)
+        return float((bits @ slope[:, asked] + base[asked] <= bound[asked]).mean()) >= DENSE_SHARE
+
+    def whole(self, item_ids: np.ndarray, x: np.ndarray, buckets: np.ndarray, prepared: tuple, k: int) -> Iterator[tuple]:
+        """Hits from products of whole blocks, in which pairs that are not probed are no hits."""
+        query_ids, q, slope, base, bound = prepared
+        own = R._own_places(item_ids, query_ids) if self.skip_same_id else None
+
+        def bits(items: slice | np.ndarray) -> np.ndarray:
+            return ((buckets[items, None] >> np.arange(len(self.planes))) & 1).astype(np.float64)
+
+        def allowed_of(queries: slice) -> tuple[Callable, Callable]:
+            weights, left = slope[:, queries].T, (bound - base)[queries]
+
+            def listed(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+                return np.einsum("nb,nb->n", weights[row], bits(col)) <= left[row]
+
+            return lambda items: weights @ bits(items).T <= left[:, None], listed
+
+        for rows, cols, found in R._best_of_blocks(q, x, k, "ip", own, allowed_of):
+            yield query_ids[rows], item_ids[cols], found
+
     def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:
         query_ids, q = prepared[:2]
         item_ids, x, order = R._sorted_items(items)
         if not len(item_ids) or not len(query_ids):
             return
         buckets = items["bucket"].to_numpy()[order] if "bucket" in items.column_names else codes(x, self.planes)
+        if self.dense(buckets, prepared):
+            yield from self.whole(item_ids, x, buckets, prepared, k)
+            return
         for item, query in self.pairs(buckets, prepared):
             if self.skip_same_id:
                 other = item_ids[item] != query_ids[query]
@@ -184,7 +216,7 @@ def probe_search(
     pool = index.items.select("item_id", "embedding", "bucket")
     # Without items there are no hyperplanes of the queries' dimension either.
     kernel = ProbeKernel(index.planes, neighbour_cosine(index, asked, k, skip_same_id), target, skip_same_id) if index.n else R.VectorKernel()
-    return R._top_k(pool, asked, kernel, k, strategy, broadcast_rows, R.CELL_ITEMS)[0]
+    return R._top_k(pool, asked, kernel, k, strategy, broadcast_rows)[0]
 
 
 def probed_share(index: ProbeIndex, queries: DataFrame, k: int = fixed.RETRIEVAL_K, target: float = 0.9) -> float:

@@ -68,3 +68,24 @@ def test_small_and_odd_tables(spark):
         probing.probe_build(items, bits=63)
     with pytest.raises(ValueError):
         probing.probe_search(probing.probe_build(items), asked, target=1.0)
+
+
+def test_blocks_of_which_much_is_probed_are_multiplied_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 16))
+    x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True)] * 2)  # every vector twice: ties go to the smaller id
+    items = pa.table({"item_id": np.arange(len(x))[::-1], "embedding": list(x[::-1])})
+    queries = pa.table({"query_id": np.arange(90), "embedding": list(x[:90])})
+    kernel = probing.ProbeKernel(rng.standard_normal((12, 16)), 0.4, 0.9, skip_same_id=True)
+
+    def hits():
+        found = retrieval._candidates(list(kernel(items, kernel.prepare(queries), 5)), 5)
+        return [tuple(r) for r in found[["query_id", "item_id"]].itertuples(index=False)], found["score"].to_numpy()
+
+    monkeypatch.setattr(probing, "DENSE_SHARE", 2.0)
+    expected, scores = hits()
+    monkeypatch.setattr(probing, "DENSE_SHARE", 1 / 16)
+    monkeypatch.setattr(retrieval, "_ITEM_BLOCK", 97)  # also beyond the first block
+    monkeypatch.setattr(probing.ProbeKernel, "pairs", lambda *_: pytest.fail("a pair was picked out of a block"))
+    found, again = hits()
+    assert found == expected and np.allclose(scores, again, atol=2e-9) and len(found) == 450
