@@ -8,7 +8,7 @@ number of lists. Centres below roots stay in a table; only roots are held by the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ LIST_ITEMS = 1_000
 MOST_ROOTS, MOST_LISTS, LIST_SAMPLE = 1_024, 1_024, 64
 # Probed lists that are named in a filter on the stored items.
 NAMED_LISTS = 10_000
+# Lists whose centres are sent to every task that looks for probed lists by itself.
+SENT_LISTS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -132,6 +134,63 @@ class ProbedKernel:
                 yield from exact.scored(item_ids[own], x[own], query_ids[asking[low:high]], q[asking[low:high]], k)
 
 
+@dataclass(frozen=True)
+class WideKernel:
+    """Inner products of items and queries that probe many lists: which, is found in the task from the centres.
+
+    Queries then travel without their lists, once per fragment of items and not once per list.
+    """
+
+    roots: np.ndarray
+    centres: np.ndarray
+    root_of: np.ndarray
+    list_ids: np.ndarray  # in order
+    nprobe: int
+    best_roots: int
+    skip_same_id: bool = False
+
+    def prepare(self, queries: pa.Table) -> tuple:
+        return R._ids(queries["query_id"]), R._matrix(queries["embedding"])
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """Whether each query probes each list; behind the lists comes the list -1, which all probe."""
+        below = np.zeros((len(q), len(self.roots)), bool)
+        np.put_along_axis(below, R._best_lists(q, self.roots, self.best_roots), True, axis=1)
+        scores = np.round(q @ self.centres.T, R.SCORE_DECIMALS) + 0.0
+        rows, cols, _ = R._best(np.where(below[:, self.root_of], scores, -np.inf), self.nprobe)
+        found = np.zeros((len(q), len(self.list_ids) + 1), bool)
+        found[rows, cols], found[:, -1] = True, True
+        return found
+
+    def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:
+        query_ids, q = prepared
+        item_ids, x, order = R._sorted_items(items)
+        lists = R._ids(items["list_id"]).astype(np.int64)[order]
+        lists = np.where(lists < 0, len(self.list_ids), np.searchsorted(self.list_ids, lists))
+        own = R._own_places(item_ids, query_ids) if self.skip_same_id else None
+
+        def allowed_of(queries: slice) -> tuple[Callable, Callable]:
+            probed = self.probed(q[queries])
+            return lambda part: probed[:, lists[part]], lambda row, col: probed[row, lists[col]]
+
+        for rows, cols, found in R._best_of_blocks(q, x, k, "ip", own, allowed_of):
+            yield query_ids[rows], item_ids[cols], found
+
+
+def _wide(index: TwoLevelIndex, nprobe: int, roots: int, skip_same_id: bool) -> WideKernel:
+    """The kernel with all centres: at most ``SENT_LISTS`` of them."""
+    lists = index.lists.select("item_id", "embedding", "list_id").toArrow().sort_by("item_id")
+    return WideKernel(
+        index.roots,
+        R._matrix(lists["embedding"]),
+        R._ids(lists["list_id"]).astype(np.int64),
+        R._ids(lists["item_id"]).astype(np.int64),
+        nprobe,
+        min(roots, len(index.roots)),
+        skip_same_id,
+    )
+
+
 def probes(index: TwoLevelIndex, queries: DataFrame, nprobe: int, roots: int) -> DataFrame:
     """``query_id, lists``: the best ``nprobe`` lists of each query below its best ``roots`` roots, and the list -1."""
     if not len(index.roots):
@@ -153,11 +212,18 @@ def two_level_search(
     """Top-k among the items of the lists that each query probes.
 
     Counted queries are sent to every task with their lists, and items are scored where they lie; more queries meet
-    the items in cells of (list, fragment), as in clustered search.
+    the items in cells of (list, fragment), as in clustered search. Many queries that probe more lists than there are
+    fragments of items and queries meet all items in cells of (fragment, fragment), where their lists are found again.
     """
     encoded = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    asked = encoded.join(probes(index, encoded, nprobe, roots), "query_id")
     pool = index.items.select("item_id", "embedding", "list_id")
+    many = encoded.limit(broadcast_rows + 1).count() > broadcast_rows
+    if many and len(index.roots) and index.lists.count() <= SENT_LISTS:
+        cell_items, cell_queries = R.vector_cells(pool, encoded)
+        if min(nprobe, index.lists.count()) > pool.count() // cell_items + encoded.count() // cell_queries:
+            found = R.search_cells(pool, encoded, _wide(index, nprobe, roots, skip_same_id), k, None, cell_items, cell_queries)
+            return top_rows(found, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    asked = encoded.join(probes(index, encoded, nprobe, roots), "query_id")
     small = R._counted(asked, broadcast_rows)
     if small is not None:
         named = np.unique(R._plain(small["lists"]).flatten().to_numpy(zero_copy_only=False)) if small.num_rows else []

@@ -65,3 +65,15 @@ def test_stored_lists_have_few_files(spark, tmp_path):
     stored = retrieval.ivf_store(retrieval.ivf_build(items, nlist=4), str(tmp_path / "ivf"), slices=2)
     files = stored.items.select("list_id", F.input_file_name().alias("f")).distinct().groupBy("list_id").count()
     assert files.agg(F.max("count")).first()[0] <= 2 and stored.items.count() == 1000
+
+
+def test_queries_that_probe_many_lists_travel_without_them(spark, index):
+    items, stored = index
+    asked = frame(spark, clustered(100, 60, 1)[::41], "query_id")
+    roots, n = len(stored.roots), stored.lists.count()
+    found = two_level.two_level_search(stored, asked, 10, nprobe=n // 2, roots=roots // 2, skip_same_id=True, broadcast_rows=5)
+    # Before, each query met every list that it probes as a row of its own.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in line and "list_id" in line for line in plan.split("\n"))
+    few = two_level.two_level_search(stored, asked, 10, nprobe=n // 2, roots=roots // 2, skip_same_id=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, few.collect()))
