@@ -98,7 +98,7 @@ class ProbeKernel:
     def whole(self, item_ids: np.ndarray, x: np.ndarray, buckets: np.ndarray, prepared: tuple, k: int) -> Iterator[tuple]:
         """Hits from products of whole blocks, in which pairs that are not probed are no hits."""
         query_ids, q, slope, base, bound = prepared
-        own = R._own_places(item_ids, query_ids) if self.skip_same_id else None
+        own = R._own_places(item_ids, query_ids, all_rows=True) if self.skip_same_id else None
 
         def bits(items: slice | np.ndarray) -> np.ndarray:
             return ((buckets[items, None] >> np.arange(len(self.planes))) & 1).astype(np.float64)

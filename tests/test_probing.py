@@ -74,7 +74,8 @@ def test_blocks_of_which_much_is_probed_are_multiplied_whole(monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((700, 16))
     x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True)] * 2)  # every vector twice: ties go to the smaller id
-    items = pa.table({"item_id": np.arange(len(x))[::-1], "embedding": list(x[::-1])})
+    ids = np.append(np.arange(len(x))[::-1], [3, 7, 7])  # ids that come again are left out as well
+    items = pa.table({"item_id": ids, "embedding": [*x[::-1], x[3], x[7], x[7]]})
     queries = pa.table({"query_id": np.arange(90), "embedding": list(x[:90])})
     kernel = probing.ProbeKernel(rng.standard_normal((12, 16)), 0.4, 0.9, skip_same_id=True)
 
