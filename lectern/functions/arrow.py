@@ -198,11 +198,12 @@ def split_proposer(load, window: int = 20, step: int = 10):
             at, moved = at + max(found), max(found) > 0
         return sorted(cuts)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def splits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Pieces become Python strings one row at a time, not a whole Arrow batch of them.
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def splits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ask = load()
         for rows in batches:
-            yield rows.map(lambda pieces: None if pieces is None else propose(ask, list(pieces)))
+            yield pa.array([propose(ask, pieces.as_py()) if pieces.is_valid else None for pieces in rows], pa.list_(pa.int32()))
 
     return splits
 
@@ -368,6 +369,18 @@ def token_slot(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
+# Bytes of a batch that are worked on at once: they bound the arrays that a step makes of them.
+PART_BYTES = 4 << 20
+
+
+def bounded(batch: pa.Array | pa.RecordBatch, most: int | None = None) -> Iterator[pa.Array | pa.RecordBatch]:
+    """Neighbouring rows of a batch, about ``most`` bytes at once; a larger row comes alone."""
+    rows = len(batch) if isinstance(batch, pa.Array) else batch.num_rows
+    step = max(1, int(rows * (most or PART_BYTES) // max(1, batch.nbytes)))
+    for low in range(0, rows, step):
+        yield batch.slice(low, step)
+
+
 def hashed_counts(dim: int):
     """Feature-hashing encoder over token lists: unit-length float vectors.
 
@@ -375,11 +388,8 @@ def hashed_counts(dim: int):
     one ``bincount`` over (row, slot).
     """
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def encode(tokens: pa.Array) -> pa.Array:
+    def unit_vectors(tokens: pa.Array) -> pa.Array:
         rows = len(tokens)
-        if rows == 0:
-            return pa.array([], pa.list_(pa.float32()))
         lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         words = tokens.flatten().dictionary_encode()
         slots = np.array([token_slot(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
@@ -392,4 +402,8 @@ def hashed_counts(dim: int):
         offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(offsets, pa.array(unit.reshape(-1)))
 
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(tokens: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.list_(pa.float32())), *(unit_vectors(part) for part in bounded(tokens))])
+
     return encode

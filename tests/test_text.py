@@ -295,3 +295,22 @@ def test_texts_of_any_script_and_rules_reach_the_entity_patterns(spark):
     assert any(s == "capitalized_entity" for _, s, _ in reference)
     for text in ("\u0661\u0662 EUR", "\uff11\uff12/\uff11/\uff12\uff10\uff12\uff11", "New\u00a0York", "New\x1fYork", "New\x85York", "Data\u3000Haus GmbH"):
         assert entity_set(spark, text), text
+
+
+def test_large_batches_are_worked_on_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lectern.functions import arrow
+
+    texts = pa.array([["a", "b"], None, [], ["c"] * 500, ["a"]], pa.list_(pa.string()))
+    parts = list(arrow.bounded(texts, 64))
+    assert len(parts) > 2 and pa.concat_arrays(parts).equals(texts) and list(arrow.bounded(texts[:0])) == []
+    encode = arrow.hashed_counts(8).func
+    whole = encode(texts)
+    monkeypatch.setattr(arrow, "PART_BYTES", 64)
+    assert encode(texts).equals(whole) and len(whole) == 5 and encode(texts[:0]).type == whole.type
+    rows = spark.createDataFrame([(1, [f"p{i}" for i in range(9)]), (2, None), (3, [])], "id int, pieces array<string>")
+    from lectern.operators import chunking
+
+    found = {r.id: r.s for r in rows.select("id", chunking.proposed_splits(rows.pieces, lambda: lambda part: [3]).alias("s")).collect()}
+    assert found == {1: [0], 2: None, 3: [0]}
