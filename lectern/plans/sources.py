@@ -19,9 +19,10 @@ FOLDERS, PER_FILE = 16, 100
 def write_files(t: Inputs, rows, key: str, text: str) -> str:
     """One text file per row, its key in the first line, in a fixed number of folders."""
     path = scratch_path(t.spark, "files")
-    rows.select(
+    named = rows.select(
         F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias("folder"), F.concat(F.col(key).cast("string"), F.lit("\n"), F.col(text)).alias("value")
-    ).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    )
+    store.write_texts(named, path, "folder")
     return path
 
 
@@ -163,7 +164,8 @@ def content_attached(t: Inputs):
         F.when(case == 0, F.col("url").cast("binary")).alias("file_content"),
         F.when(case == 1, files.plain_path(F.col("path"))).alias("file_path"),
     )
-    attached = files.attach_files(docs, path, "*.txt")
+    # The documents are asked for their paths and joined with the content.
+    attached = files.attach_files(store.stored(docs, scratch_path(t.spark, "documents")), path, "*.txt")
     return attached.select("page_id", "status", F.col("file_content").cast("string").alias("content"), "file_size")
 
 

@@ -9,7 +9,7 @@ from lectern.plans import search
 from lectern.plans.registry import ORACLES, Inputs, query
 from lectern.plans.text import plain_sql, windows_sql
 from lectern.session import scratch_path
-from lectern.sources import corpus
+from lectern.sources import corpus, store
 from lectern.streaming import jobs
 
 
@@ -82,7 +82,7 @@ def stream_ingest(t: Inputs):
     )
     # Two deliveries, ingested by one stream position: each file is taken once.
     for part in ("role = 'user'", "role <> 'user'"):
-        turns.filter(part).drop("role").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("Universities").text(path)
+        store.write_texts(turns.filter(part).drop("role"), path, "Universities")
         folder = F.concat(F.lit("Universities/"), F.regexp_extract("path", "Universities=([^/]+)/", 1), F.lit("/"), corpus.file_name(F.col("path")))
         finish(jobs.ingest_stream(t.spark, path, out, checkpoint, "*.txt", key=folder))
     chunks = t.spark.read.parquet(out)

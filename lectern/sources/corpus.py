@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import fixed
+from lectern.session import scratch_path
+from lectern.sources.store import stored
 
 # Chosen paths that are sent to the scan of file contents, at most.
 SENT_PATHS = 1 << 17
@@ -46,12 +48,17 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """The same files in at most four tasks a core: Spark counts a file as 4 MB at least, so small ones make a task of 32 each."""
+    return files.coalesce(4 * files.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_markdown(spark: SparkSession, path: str, glob: str = "*.md", stream: bool = False) -> DataFrame:
     """(path, source_file, text), one row per file of the tree; of new files as a stream if asked."""
     reader = spark.readStream if stream else spark.read
     files = reader.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=True)
     full = _decoded(F.col("_metadata.file_path"))
-    return files.select(full.alias("path"), file_name(full).alias("source_file"), F.col("value").alias("text"))
+    return _few_tasks(files.select(full.alias("path"), file_name(full).alias("source_file"), F.col("value").alias("text")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -137,8 +144,9 @@ def attach_files(
     no document asks for are not even scanned; more are joined with a scan of the tree, with the same result.
     """
     spark = documents.sparkSession
-    listing = read_files(spark, root, glob).select("path")
     options = candidates if candidates is not None else candidate_paths()
+    # Listed once: each look at a tree visits all of its files.
+    listing = stored(_few_tasks(read_files(spark, root, glob).select("path")), scratch_path(spark, "listing"))
     listed = listing.select(plain_path(F.col("path")).alias("_path"), "path")
     names = _chosen(documents, listed.select("_path"), options).select("_path").distinct().join(listed, "_path")
     few = [r.path for r in names.select("path").limit(opened + 1).collect()]
@@ -158,7 +166,7 @@ def attach_content(documents: DataFrame, files: DataFrame, candidates: Column |
     for is dropped where it is read; many are joined by path.
     """
     options = candidates if candidates is not None else candidate_paths()
-    chosen = _chosen(documents, files.select(plain_path(F.col("path")).alias("_path")), options)
+    chosen = _chosen(documents, _few_tasks(files.select(plain_path(F.col("path")).alias("_path"))), options)
     content = files.select(
         plain_path(F.col("path")).alias("_path"), F.col("content").alias("_content"), F.col("file_size").alias("_size")
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import os
+import shutil
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +51,65 @@ def file_state(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ..
     return tuple(sorted(files))
 
 
+# ---- text files ---------------------------------------------------------------------
+
+# Folder of rows without a value of the partition column, as Spark names it.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path on the file system of the machines, shared by them; None for any other file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(at).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _file_writer(root: str, folder: str, run: str):
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        own = f"{root}/_writing-{uuid.uuid4().hex}"
+        places: set[str] = set()
+        for batch in batches:
+            for at, text in zip(batch.column("folder").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                place = f"{folder}={NO_VALUE if at is None else at}"
+                if place not in places:
+                    os.makedirs(f"{own}/{place}")
+                    places.add(place)
+                with open(f"{own}/{place}/part-{part:05d}-{n:07d}-{run}.txt", "wb") as file:
+                    file.write(f"{text or ''}\n".encode())
+                n += 1
+        for place in sorted(places):
+            os.makedirs(f"{root}/{place}", exist_ok=True)
+            try:
+                os.rename(f"{own}/{place}", f"{root}/{place}/part={part}-{run}")
+            except OSError:  # another attempt of this task published the same rows of this folder
+                if not os.path.isdir(f"{root}/{place}/part={part}-{run}"):
+                    raise
+        shutil.rmtree(own, ignore_errors=True)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return write
+
+
+def write_texts(rows: DataFrame, path: str, folder: str, value: str = "value") -> None:
+    """Adds one text file per row below ``path``, in a folder per value of the column ``folder`` (of plain characters).
+
+    Spark's writer takes one process per file and checksum to set its mode on a local file system, tens of milliseconds of a
+    core. There the tasks write the files themselves, into a hidden folder that is published by renaming its parts;
+    an attempt that fails leaves nothing that readers see. Other file systems get Spark's writer.
+    """
+    root = local_path(rows.sparkSession, path)
+    if root is None:
+        rows.select(F.col(folder), F.col(value).alias("value")).write.mode("append").option("maxRecordsPerFile", 1).partitionBy(folder).text(path)
+        return
+    os.makedirs(root, exist_ok=True)
+    named = rows.select(F.col(folder).cast("string").alias("folder"), F.col(value).alias("value"))
+    named.mapInArrow(_file_writer(root, folder, uuid.uuid4().hex), "n long").write.format("noop").mode("overwrite").save()
+
+
 # ---- JSON lines ---------------------------------------------------------------------
 
 
