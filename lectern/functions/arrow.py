@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,6 +246,66 @@ def window_bounds(offsets: np.ndarray, max_tokens: int, step: int) -> list[tuple
     return found
 
 
+_BLANK = re.compile(r"[ \t\n\v\f\r]")
+# Words whose offsets a Python worker keeps.
+CACHED_WORDS = 1 << 20
+_PROBES = "a, b'll (c)d 'x don't. 3.14 <e> fg-hi\t!?j é,ü \"k\"'\n\n's  l''m &'t"
+
+
+class WordOffsets:
+    """Character offsets of a text's tokens, with those of each word between ASCII blanks computed once.
+
+    A tokenizer that drops blanks and never joins across them gives a text the tokens of its words in order; this is
+    probed, and any other tokenizer, and any text that holds one of its special tokens, is encoded as a whole.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+        self.whole = False
+        self.whole = not np.array_equal(self(_PROBES), self._encode(_PROBES))
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.count, self.flat = array("q"), array("q"), array("q")
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.whole or any(s in text for s in self.special):
+            return self._encode(text)
+        words = _BLANK.split(text)
+        if len(self.known) > CACHED_WORDS:
+            self.clear()
+        self._learn([w for w in set(words) if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        first, count = np.frombuffer(self.first, np.int64)[at], np.frombuffer(self.count, np.int64)[at]
+        behind = np.cumsum(count)
+        tokens = np.arange(behind[-1]) + np.repeat(first - behind + count, count)
+        own = np.frombuffer(self.flat, np.int64).reshape(-1, 2)[tokens] if len(tokens) else np.zeros((0, 2), np.int64)
+        return own + np.repeat(_begins(words), count)[:, None]
+
+    def _learn(self, words: list[str]) -> None:
+        """Offsets of new words, from one run over all of them."""
+        if not words:
+            return
+        offsets, begins = self._encode(" ".join(words)), _begins(words)
+        edges = np.searchsorted(offsets[:, 0], begins)
+        count = np.diff(np.append(edges, len(offsets)))
+        self.known.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
+        self.first.frombytes((len(self.flat) // 2 + edges).astype(np.int64).tobytes())
+        self.count.frombytes(count.astype(np.int64).tobytes())
+        self.flat.frombytes((offsets - np.repeat(begins, count)[:, None]).tobytes())
+
+
+def _begins(words: list[str]) -> np.ndarray:
+    """Where words with one blank between them begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.cumsum(sizes + 1) - sizes - 1
+
+
 def subword_windows(load, max_tokens: int, step: int):
     """Windows of a loaded tokenizer's tokens, cut from the text itself at the tokens' character offsets."""
 
@@ -256,11 +317,12 @@ def subword_windows(load, max_tokens: int, step: int):
             if not text:
                 return None
             offsets = np.asarray(offsets_of(text), dtype=np.int64).reshape(-1, 2)
-            starts = [*offsets[:, 0].tolist(), len(text)]
+            starts = np.append(offsets[:, 0], len(text))
             starts[0] = 0
             return [
-                {"chunk": text[starts[a] : starts[b]], "start_char": starts[a], "end_char": starts[b], "n_tokens": b - a}
+                {"chunk": text[i:j], "start_char": i, "end_char": j, "n_tokens": b - a}
                 for a, b in window_bounds(offsets, max_tokens, step)
+                for i, j in [(int(starts[a]), int(starts[b]))]
             ]
 
         for texts in batches:

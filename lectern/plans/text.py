@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import fixed
-
+from lectern.functions import arrow
 from lectern.operators import chunking, cleaning, profiles, questions
 from lectern.operators import filters as flt
 from lectern.plans.registry import Inputs, query
@@ -360,15 +360,27 @@ def offsets_loader(name: str = "word_bpe_49k.json"):
     return load
 
 
+def word_offsets_loader(name: str = "word_bpe_49k.json"):
+    """The same offsets, those of a word computed once per Python worker."""
+
+    def load():
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        return arrow.WordOffsets(Tokenizer.from_file(public_tokenizers.path(name)))
+
+    return load
+
+
 # No SQL: a tokenizer decides. Tested against a plain pass; what SQL can tell, that no character is lost, is the next query.
 @query("subword_windows")
 def subword_windows(t: Inputs):
-    return chunking.chunk_subwords(t.documents.select("doc_id", "text"), offsets_loader())
+    return chunking.chunk_subwords(t.documents.select("doc_id", "text"), word_offsets_loader())
 
 
 @query("subword_windows_joined", "SELECT doc_id, text, true AS in_place FROM documents WHERE text <> ''")
 def subword_windows_joined(t: Inputs):
-    cut = chunking.chunk_subwords(t.documents.select("doc_id", "text"), offsets_loader(), overlap=0)
+    cut = chunking.chunk_subwords(t.documents.select("doc_id", "text"), word_offsets_loader(), overlap=0)
     parts = F.array_sort(F.collect_list(F.struct("window_idx", "chunk", "start_char", "end_char")))
     return cut.groupBy("doc_id").agg(
         F.array_join(parts["chunk"], "").alias("text"),
