@@ -15,6 +15,8 @@ from lectern.functions import arrow, vectors
 from lectern.functions import text as X
 from lectern.functions.rows import each
 from lectern.operators import filters, ordinals
+from lectern.session import scratch_path
+from lectern.sources.store import stored
 
 DIM = 64
 # Titles of a corpus that are sent to every task when parts are joined to their totals.
@@ -183,6 +185,8 @@ def section_summaries(chunks: DataFrame, order: str = "chunk_index", by: str = "
         return grouped.withColumn(
             "section_id", F.concat_ws("_", F.col("source_file").cast("string"), F.lit("section"), "first_index")
         ).drop("first_index")
+    # Read for counts, numbers and parts: the text work below is done once.
+    grouped = stored(grouped.drop("first_index"), scratch_path(chunks.sparkSession, "sections"))
     totals = filters.joinable(
         grouped, "section_title", F.sum("num_chunks").alias("num_chunks"), *[F.min_by(c, "source_file").alias(c) for c in meta]
     )
