@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions import text as X
+from lectern.functions.arrow import bounded
 from lectern.functions.rows import each
 from lectern.operators import filters as flt
 from lectern.operators.ordinals import top_rows
@@ -24,6 +25,8 @@ from lectern.sources.store import stored
 
 # Postings of a block: the unit that a search reads or skips.
 BLOCK_POSTINGS = 256
+# Rows of a side that is sent to every task, at most.
+SENT_ROWS = 1 << 18
 # Scores that differ by less are the same after rounding.
 _SLACK = 10.0**-SCORE_DECIMALS
 
@@ -51,6 +54,29 @@ def _number(item: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(item), F.col(blocks)).cast("long")
 
 
+def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, item_id, length, tf`` from one row per text: the words of a text are counted where it lies."""
+    for batch in batches:
+        for part in bounded(batch):
+            tokens = part.column("tokens")
+            words = tokens.flatten().dictionary_encode()
+            n = len(words.dictionary)
+            if not n:
+                continue
+            rows = np.repeat(np.arange(part.num_rows), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            cells, tf = np.unique(rows * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            own = pa.array(cells // n)
+            yield pa.RecordBatch.from_arrays(
+                [words.dictionary.take(pa.array(cells % n)).cast(pa.string()), part.column("item_id").take(own), part.column("length").take(own), pa.array(tf.astype(np.int32))],
+                names=["term", "item_id", "length", "tf"],
+            )
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to every task if it has few rows."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks from rows sorted by term and block; a block on the edge of a batch becomes two with the same number."""
     for batch in batches:
@@ -74,26 +100,33 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def postings_store(items: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, block_postings: int = BLOCK_POSTINGS) -> PostingIndex:
     """Writes the postings of ``items`` (``item_id, text``) below ``path`` and returns the index.
 
-    Frequencies are counted per (term, item), so no term's postings meet in one task. Range partitioning by term, block and
+    Frequencies are counted in each text's row, so postings are shuffled once, to be sorted. Range partitioning by term, block and
     item cuts a frequent term over several files, each sorted, so that a file tells which terms it holds. Blocks hold
     about ``block_postings`` postings and their greatest impact.
     """
     spark = items.sparkSession
-    tokens = items.select("item_id", X.whitespace_tokens(F.lower(F.col("text"))).alias("tokens"))
-    total = tokens.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean_length"))
+    tokens = items.select("item_id", X.whitespace_tokens(F.lower(F.col("text"))).alias("tokens")).withColumn("length", F.size("tokens"))
+    total = tokens.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length"))
     total.select("*", F.lit(k1).alias("k1"), F.lit(b).alias("b")).write.parquet(f"{path}/totals")
     mean_length = spark.read.parquet(f"{path}/totals").first()["mean_length"]
-    found = each(tokens.withColumn("length", F.size("tokens")), ["item_id", "length"], F.col("tokens"), "term")
-    counted = found.groupBy("term", "item_id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    kind = items.schema["item_id"].dataType.simpleString()
+    counted = tokens.mapInArrow(_frequencies, f"term string, item_id {kind}, length int, tf int")
+    # Texts of one id and length count as one item; such ids are the exception.
+    twice = stored(items.groupBy("item_id").count().filter("count > 1").select("item_id"), scratch_path(spark, "twice"))
+    if not twice.isEmpty():
+        same = counted["item_id"].eqNullSafe(twice["item_id"])
+        met = counted.join(twice, same, "left_semi").groupBy("term", "item_id", "length").agg(F.sum("tf").cast("int").alias("tf"))
+        counted = counted.join(twice, same, "left_anti").unionByName(met)
     weighed = stored(counted.withColumn("impact", _saturated(F.col("tf"), F.col("length"), mean_length, k1, b)), scratch_path(spark, "weighed"))
     weighed.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.ceil(F.count(F.lit(1)) / block_postings).alias("blocks"), F.max("impact").alias("impact")
     ).write.parquet(f"{path}/terms")
-    sizes = spark.read.parquet(f"{path}/terms").select("term", "blocks")
+    # Most terms have one block, whose number is 0; only the others are looked up.
+    sizes = _sent(spark.read.parquet(f"{path}/terms").filter("blocks > 1").select("term", "blocks"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = items.schema["item_id"].dataType.simpleString()
     by = ["term", "no", "item_id"]
-    placed = weighed.join(sizes, "term").select("term", _number("item_id", "blocks").alias("no"), "item_id", "tf", "length", "impact")
+    number = F.coalesce(_number("item_id", "blocks"), F.lit(0).cast("long"))
+    placed = weighed.join(sizes, "term", "left").select("term", number.alias("no"), "item_id", "tf", "length", "impact")
     placed.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(
         _cut, f"term string, no long, impact double, n int, items array<{kind}>, tf array<int>, length array<int>"
     ).write.parquet(f"{path}/blocks")
@@ -109,7 +142,11 @@ def postings_load(spark, path: str) -> PostingIndex:
 
 def _contributions(index: PostingIndex, wanted: DataFrame) -> DataFrame:
     """``query_id, item_id, part`` for the postings of ``wanted`` (``query_id, term, no, weight``)."""
-    read = wanted.join(index.blocks.select("term", "no", "items", "tf", "length"), ["term", "no"])
+    wanted = stored(wanted, scratch_path(wanted.sparkSession, "wanted"))
+    # Blocks of other terms are left where they lie, also where much is wanted.
+    asked = stored(wanted.select("term").distinct(), scratch_path(wanted.sparkSession, "asked"))
+    blocks = index.blocks.select("term", "no", "items", "tf", "length").join(_sent(asked), "term", "left_semi")
+    read = blocks.join(_sent(wanted), ["term", "no"])
     rows = each(read, ["query_id", "weight"], F.arrays_zip("items", "tf", "length"), "p")
     saturated = _saturated(F.col("p.tf"), F.col("p.length"), index.mean_length, index.k1, index.b)
     return rows.select("query_id", F.col("p.items").alias("item_id"), (saturated * F.col("weight")).alias("part"))
@@ -149,7 +186,7 @@ def _planned(index: PostingIndex, queries: DataFrame, k: int) -> _Plan:
         scratch_path(spark, "terms"),
     )
     heads = index.blocks.select("term", "no", F.col("impact").alias("reach"))
-    met = terms.join(heads, "term").withColumn("own", F.col("reach") * F.col("weight"))
+    met = heads.join(_sent(terms), "term").withColumn("own", F.col("reach") * F.col("weight"))
     first = top_rows(met.select("query_id", "term", "no", "weight", "own"), ["query_id", "term"], [F.col("own").desc(), F.col("no")], 1)
     known = top_rows(_scores(_contributions(index, first.select("query_id", "term", "no", "weight"))), ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
     least = stored(known.filter(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("least")), scratch_path(spark, "least"))
