@@ -74,7 +74,10 @@ def keyword_counter(k: int, stop_words: tuple[str, ...], min_length: int):
 # that pass it travel to Python. Digits and blanks are those of any script (unassigned characters may be
 # digits to Python); word boundaries, on
 # which Java and Python differ, are not asked for.
-_ENTITY_GUARD = r"[\p{Nd}\p{Cn}]|@|LLC|Inc|Ltd|Corp|SA|GmbH|[A-Z][A-Za-z]+[\s\x1C-\x1F\x85\p{Z}]+[A-Z]"
+# Most characters are small letters and blanks, at which none begins: one test each tells.
+_ENTITY_GUARD = r"(?![\x00-/:-?\[-\x7F])(?:[\p{Nd}\p{Cn}]|@|LLC|Inc|Ltd|Corp|SA|GmbH|[A-Z][A-Za-z]+[\s\x1C-\x1F\x85\p{Z}]+[A-Z])"
+# What a text must hold for a default pattern that tries every run of capitalised words to its end.
+_NEEDED = {"company_suffix": re.compile("LLC|Inc|Ltd|Corp|SA|GmbH")}
 # Stands between the texts of a batch. No pattern asks for it, and to word boundaries and
 # lookbehinds it is like the end of a text.
 _BETWEEN = "\x00"
@@ -123,6 +126,15 @@ class _Batch:
         return tuple(np.concatenate([inside, np.array(alone, np.int64).reshape(-1, 3)]).T)
 
 
+def _search_where(batch: _Batch, pattern: re.Pattern, needed: re.Pattern | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches in the texts that hold what the pattern needs."""
+    if needed is None:
+        return batch.search(pattern)
+    rows = [i for i, text in enumerate(batch.texts) if needed.search(text)]
+    row, start, end = _Batch([batch.texts[i] for i in rows]).search(pattern)
+    return np.array(rows, np.int64)[row], start, end
+
+
 def entity_finder(rules: str | dict = "default"):
     """Matches per type with offsets, sorted by start; a match inside an earlier one is dropped.
 
@@ -130,13 +142,14 @@ def entity_finder(rules: str | dict = "default"):
     texts a null.
     """
     compiled = {kind: [(re.compile(p, flags), sub) for p, sub, flags in patterns] for kind, patterns in _entity_rules(rules).items()}
+    needed = _NEEDED if rules == "default" else {}
 
     @F.arrow_udf(ENTITIES)
     def entities(texts: pa.Array) -> pa.Array:
         batch = _Batch([t or "" for t in texts.to_pylist()])
         found: list[list[dict]] = [[] for _ in batch.texts]
         for kind, patterns in compiled.items() if batch.texts else ():
-            parts = [(*batch.search(p), np.full(1, i)) for i, (p, _) in enumerate(patterns)]
+            parts = [(*_search_where(batch, p, needed.get(sub)), np.full(1, i)) for i, (p, sub) in enumerate(patterns)]
             row, start, end = (np.concatenate([part[c] for part in parts]) for c in range(3))
             place = np.concatenate([np.repeat(part[3], len(part[0])) for part in parts])
             last = (-1, -1)
