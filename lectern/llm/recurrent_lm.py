@@ -46,8 +46,7 @@ MERGED = 32
 class Net:
     """Parameters of the network in one flat array, with named views.
 
-    It predicts ``side * side`` words one by one, in ``side`` classes. Arrays of states hold one
-    row per hidden unit, so that every operation runs along the tokens.
+    It predicts ``side * side`` words one by one, in ``side`` classes.
     """
 
     def __init__(self, side: int, flat: np.ndarray | None = None):
@@ -114,94 +113,140 @@ def lay_out(ids: np.ndarray, bounds: np.ndarray, lanes: int, start: int) -> Lane
     return Lanes(target, source, owner, (target >= 0).sum(1))
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
 class Saved(NamedTuple):
-    """What the backward pass needs of each step: unit by step by lane."""
+    """What the backward pass needs of each step: step by lane by unit, ``gates`` for each of the three gates."""
 
     before: np.ndarray
-    zr: np.ndarray
+    gates: np.ndarray
     n: np.ndarray
-    g: np.ndarray
+
+
+# The logistic function of x is half of one more than tanh(x / 2); halving weights instead of sums is exact.
+HALVES = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+
+
+def _by_gate(table: np.ndarray) -> np.ndarray:
+    """Rows of all gates side by side as one table for each gate."""
+    return table.reshape(len(table), 3, HIDDEN).transpose(1, 0, 2)
 
 
 def recur(net: Net, source: np.ndarray, h: np.ndarray, saved: Saved | None = None) -> np.ndarray:
     """States (unit by step by lane) after reading each step's source token; fills ``saved`` if given.
 
-    A state starts anew where the source is the start mark.
+    A state starts anew where the source is the start mark. In memory a lane's units lie side by side, as the
+    rows of ``x`` do, so that nothing is transposed.
     """
-    states = np.empty((HIDDEN, *source.shape), np.float32)
+    steps, lanes = source.shape
+    states = np.empty((steps, lanes, HIDDEN), np.float32)
     fresh = source == net.start
     any_fresh = fresh.any(1)
-    inputs = np.ascontiguousarray(net.x[source.ravel()].T).reshape(3 * HIDDEN, *source.shape)
-    weights = np.ascontiguousarray(net.u.T)
-    for t in range(len(source)):
+    x, u = _by_gate(net.x) * HALVES, _by_gate(net.u) * HALVES
+    inputs = np.empty((3, steps, lanes, HIDDEN), np.float32)
+    for gate in range(3):
+        np.take(x[gate], source, axis=0, out=inputs[gate], mode="clip")
+    gates = saved.gates if saved else np.empty((3, 1, lanes, HIDDEN), np.float32)
+    news = saved.n if saved else np.empty((1, lanes, HIDDEN), np.float32)
+    h = np.ascontiguousarray(h.T)
+    for t in range(steps):
         if any_fresh[t]:
-            h = h * ~fresh[t]
-        g = weights @ h
-        zr = g[: 2 * HIDDEN]
-        zr += inputs[: 2 * HIDDEN, t]
-        _squash(zr)
-        gn = g[2 * HIDDEN :]
-        n = zr[HIDDEN:] * gn
-        n += inputs[2 * HIDDEN :, t]
-        np.tanh(n, out=n)
+            h = h * ~fresh[t][:, None]
         if saved:
-            saved.before[:, t], saved.zr[:, t], saved.n[:, t], saved.g[:, t] = h, zr, n, gn
-        step = h - n
-        step *= zr[:HIDDEN]
+            saved.before[t] = h
+        g, n = gates[:, t if saved else 0], news[t if saved else 0]
+        np.matmul(h, u, out=g)
+        zr = g[:2]
+        zr += inputs[:2, t]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        np.multiply(zr[1], g[2], out=n)
+        n += inputs[2, t]
+        np.tanh(n, out=n)
+        step = np.subtract(h, n, out=states[t])
+        step *= zr[0]
         step += n
-        states[:, t] = h = step
-    return states
+        h = step
+    return states.transpose(2, 0, 1)
 
 
 def unwind(net: Net, grad: Net, source: np.ndarray, saved: Saved, outer: np.ndarray) -> None:
-    """Backpropagation through the steps of a window: fills the gradients of ``x`` and ``u``."""
-    z, r = saved.zr[:HIDDEN], saved.zr[HIDDEN:]
-    to_pre = (1 - z) * (1 - saved.n * saved.n)
-    to_z = (saved.before - saved.n) * z * (1 - z)
-    to_r = saved.g * r * (1 - r)
-    gates = np.empty((3 * HIDDEN, *source.shape), np.float32)
-    pres = np.empty((HIDDEN, *source.shape), np.float32)
+    """Backpropagation through the steps of a window: fills the gradients of ``x`` and ``u``.
+
+    ``outer`` has the gradient of each state by step, lane and unit.
+    """
+    z, r, g = saved.gates
+    rest = 1 - z
+    to_pre = saved.n * saved.n
+    np.subtract(1, to_pre, out=to_pre)
+    to_pre *= rest
+    to_z = saved.before - saved.n
+    to_z *= z
+    to_z *= rest
+    to_r = np.subtract(1, r, out=rest)
+    to_r *= r
+    to_r *= g
+    gates = np.empty_like(saved.gates)
+    pres = np.empty_like(saved.n)
     fresh = source == net.start
     any_fresh = fresh.any(1)
-    dh = np.zeros((HIDDEN, source.shape[1]), np.float32)
-    gate = np.empty((3 * HIDDEN, source.shape[1]), np.float32)
+    back = np.ascontiguousarray(_by_gate(net.u).transpose(0, 2, 1))
+    through = np.empty((3, source.shape[1], HIDDEN), np.float32)
+    dh = np.zeros((source.shape[1], HIDDEN), np.float32)
     for t in range(len(source) - 1, -1, -1):
-        dh += outer[:, t]
-        pre = dh * to_pre[:, t]
-        np.multiply(dh, to_z[:, t], out=gate[:HIDDEN])
-        np.multiply(pre, to_r[:, t], out=gate[HIDDEN : 2 * HIDDEN])
-        np.multiply(pre, r[:, t], out=gate[2 * HIDDEN :])
-        gates[:, t], pres[:, t] = gate, pre
-        dh *= z[:, t]
-        dh += net.u @ gate
+        dh += outer[t]
+        gate, pre = gates[:, t], pres[t]
+        np.multiply(dh, to_pre[t], out=pre)
+        np.multiply(dh, to_z[t], out=gate[0])
+        np.multiply(pre, to_r[t], out=gate[1])
+        np.multiply(pre, r[t], out=gate[2])
+        dh *= z[t]
+        np.matmul(gate, back, out=through)
+        for part in through:
+            dh += part
         if any_fresh[t]:
-            dh *= ~fresh[t]
-    grad.u[:] = saved.before.reshape(HIDDEN, -1) @ gates.reshape(3 * HIDDEN, -1).T
-    gates[2 * HIDDEN :] = pres
+            dh *= ~fresh[t][:, None]
+    flat = gates.reshape(3, -1, HIDDEN)
+    _by_gate(grad.u)[:] = saved.before.reshape(-1, HIDDEN).T @ flat
     ids = source.ravel()
     order = np.argsort(ids.astype(np.min_scalar_type(net.start)), kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-    flat = np.ascontiguousarray(gates.reshape(3 * HIDDEN, -1).T)
-    grad.x[ids[order[first]]] = np.add.reduceat(flat[order], first)
+    read = ids[order[first]]
+    for gate, part in enumerate((flat[0], flat[1], pres.reshape(-1, HIDDEN))):
+        _by_gate(grad.x)[gate, read] = np.add.reduceat(part.take(order, axis=0), first)
 
 
-def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms and values of the softmax of each column, the former in place."""
-    logits -= logits.max(0)
-    p = np.exp(logits)
+# Logits within this of zero need no shift before they are exponentiated.
+CALM = 40.0
+# Tokens whose softmax over classes is computed at once.
+BLOCK = 2048
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a unit that always is one, whose weights are the biases."""
+    flat = np.empty((len(states), HIDDEN + 1), np.float32)
+    flat[:, :HIDDEN], flat[:, HIDDEN] = states, 1
+    return flat
+
+
+def _outputs(net: Net) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights and biases of the classes and of each class's words, and whether no logit can be large.
+
+    States lie between -1 and 1, so the weights of an output bound its logit.
+    """
+    c, o = np.concatenate([net.c, net.cb[None]]), np.concatenate([net.o, net.ob[:, None]], axis=1)
+    return c, o, bool(max(np.abs(c).sum(0).max(), np.abs(o).sum(1).max()) < CALM)
+
+
+def _softmax(weights: np.ndarray, flat: np.ndarray, own: np.ndarray, calm: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log-probability of each token's own output, and exponentials of all its logits with their sum."""
+    p = weights.T @ flat.T
+    if not calm:
+        p -= p.max(0)
+    log = p[own, np.arange(len(own))]
+    np.exp(p, out=p)
     total = p.sum(0)
-    logits -= np.log(total)
-    p /= total
-    return logits, p
+    log -= np.log(total)
+    return log, p, total
 
 
 def _by_class(net: Net, tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -212,19 +257,21 @@ def _by_class(net: Net, tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int,
     return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
 
 
+def _blocks(n: int) -> list[slice]:
+    return [slice(low, min(low + BLOCK, n)) for low in range(0, n, BLOCK)]
+
+
 def log_likelihood(net: Net, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token (of its class alone for the class of all others)."""
     order, classes = _by_class(net, tokens)
-    tokens, states = tokens[order], states[:, order]
-    log = net.c.T @ states
-    log += net.cb[:, None]
-    log -= log.max(0)
-    own = log[tokens // net.side, np.arange(len(tokens))] - np.log(np.exp(log, out=log).sum(0))
-    for c, at in classes:
-        log = net.o[c].T @ states[:, at]
-        log += net.ob[c][:, None]
-        log -= log.max(0)
-        own[at] += log[tokens[at] % net.side, np.arange(log.shape[1])] - np.log(np.exp(log, out=log).sum(0))
+    tokens, flat = tokens[order], _with_one(states.T.take(order, axis=0))
+    kind, word = tokens // net.side, tokens % net.side
+    c, o, calm = _outputs(net)
+    own = np.empty(len(tokens), np.float32)
+    for at in _blocks(len(tokens)):
+        own[at] = _softmax(c, flat[at], kind[at], calm)[0]
+    for k, at in classes:
+        own[at] += _softmax(o[k], flat[at], word[at], calm)[0]
     found = np.empty_like(own)
     found[order] = own
     return found
@@ -234,39 +281,44 @@ def gradient(net: Net, lanes: Lanes, low: int, high: int, h: np.ndarray) -> tupl
     """Loss, gradient, state behind the window and number of tokens of the steps from low to high."""
     k = int(lanes.active[low])
     source, target = lanes.source[low:high, :k], lanes.target[low:high, :k]
-    saved = Saved(*(np.empty((w, *source.shape), np.float32) for w in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)))
+    one = (*source.shape, HIDDEN)
+    saved = Saved(*(np.empty(shape, np.float32) for shape in (one, (3, *one), one)))
     states = recur(net, source, h[:, :k], saved)
     real = np.flatnonzero(target.ravel() >= 0)
     order, classes = _by_class(net, target.ravel()[real])
     real = real[order]
-    flat, tokens = states.reshape(HIDDEN, -1)[:, real], target.ravel()[real]
+    tokens = target.ravel()[real]
+    flat = _with_one(states.transpose(1, 2, 0).reshape(-1, HIDDEN).take(real, axis=0))
+    kind, word = tokens // net.side, tokens % net.side
     grad = Net(net.side, np.zeros_like(net.flat))
-    count = np.float32(len(tokens))
-    logits = net.c.T @ flat
-    logits += net.cb[:, None]
-    log, p = _log_softmax(logits)
-    kind, columns = tokens // net.side, np.arange(len(tokens))
-    loss = -float(log[kind, columns].sum())
-    p[kind, columns] -= 1
-    p /= count
-    grad.c[:] = flat @ p.T
-    grad.cb[:] = p.sum(1)
-    back = net.c @ p
-    for c, at in classes:
-        own, word = flat[:, at], tokens[at] % net.side
-        logits = net.o[c].T @ own
-        logits += net.ob[c][:, None]
-        log, q = _log_softmax(logits)
-        columns = np.arange(len(word))
-        loss -= float(log[word, columns].sum())
-        q[word, columns] -= 1
-        q /= count
-        grad.o[c] = own @ q.T
-        grad.ob[c] = q.sum(1)
-        back[:, at] += net.o[c] @ q
-    outer = np.zeros((HIDDEN, source.size), np.float32)
-    outer[:, real] = back
-    unwind(net, grad, source, saved, outer.reshape(HIDDEN, *source.shape))
+    share = np.float32(1 / len(tokens))
+    c, o, calm = _outputs(net)
+    back = np.empty((len(tokens), HIDDEN), np.float32)
+    loss = 0.0
+
+    def shares(weights: np.ndarray, at: slice, own: np.ndarray) -> np.ndarray:
+        """Gradients of the logits; adds to the loss."""
+        nonlocal loss
+        log, p, total = _softmax(weights, flat[at], own[at], calm)
+        loss -= float(log.sum())
+        p *= share / total
+        p[own[at], np.arange(len(log))] -= share
+        return p
+
+    for at in _blocks(len(tokens)):
+        p = shares(c, at, kind)
+        part = flat[at].T @ p.T
+        grad.c += part[:HIDDEN]
+        grad.cb += part[HIDDEN]
+        np.matmul(p.T, net.c.T, out=back[at])
+    for j, at in classes:
+        q = shares(o[j], at, word)
+        part = flat[at].T @ q.T
+        grad.o[j], grad.ob[j] = part[:HIDDEN], part[HIDDEN]
+        back[at] += q.T @ net.o[j].T
+    outer = np.zeros((source.size, HIDDEN), np.float32)
+    outer[real] = back
+    unwind(net, grad, source, saved, outer.reshape(one))
     return loss, grad.flat, states[:, -1], len(tokens)
 
 
@@ -277,13 +329,22 @@ class Adam:
 
     def update(self, grad: np.ndarray, share: float) -> None:
         """A step of the rate times ``share``, the part of a full window that the gradient comes from."""
-        norm = float(np.sqrt((grad * grad).sum()))
+        norm = float(np.sqrt(grad @ grad))
         if norm > 1:
             grad = grad / norm
         self.step += 1
-        self.first += 0.1 * (grad - self.first)
-        self.second += 0.01 * (grad * grad - self.second)
-        self.net.flat -= self.rate * share * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
+        self.first *= 0.9
+        self.first += 0.1 * grad
+        self.second *= 0.99
+        square = grad * grad
+        square *= 0.01
+        self.second += square
+        scale = np.sqrt(self.second, out=square)
+        scale *= 1 / np.sqrt(1 - 0.99**self.step)
+        scale += 1e-6
+        change = self.first / scale
+        change *= self.rate * share / (1 - 0.9**self.step)
+        self.net.flat -= change
 
 
 def train_on(net: Net, adam: Adam, ids: np.ndarray, bounds: np.ndarray) -> tuple[float, int]:
@@ -314,7 +375,7 @@ def score_on(net: Net, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         h = states[:, -1]
         tokens = lanes.target[part, :k].ravel()
         real = np.flatnonzero(tokens >= 0)
-        found = log_likelihood(net, states.reshape(HIDDEN, -1)[:, real], tokens[real])
+        found = log_likelihood(net, states.transpose(1, 2, 0).reshape(-1, HIDDEN)[real].T, tokens[real])
         total += np.bincount(lanes.owner[part, :k].ravel()[real], found.astype(np.float64), len(total))
     return total
 

@@ -27,6 +27,7 @@ for _low, _high in ((48, 58), (65, 91), (97, 123)):
 SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
+# A power of two.
 LONG = 64
 # Bytes hashed at once: bounds the index arrays, which take eight bytes for each of these.
 BLOCK = 1 << 19
@@ -86,8 +87,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         inside = np.arange(int(own.sum()), dtype=np.int64)
         at = inside + np.repeat(starts[low:high] - firsts, own)
         inside -= np.repeat(firsts, own)
-        inside %= LONG
-        inside *= 256
+        inside &= LONG - 1
+        inside <<= 8
         inside += data[at]
         hashes[low:high] = mix(np.add.reduceat(TABLE[inside], firsts) + own.astype(np.uint64))
         low = high

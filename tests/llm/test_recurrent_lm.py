@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -66,6 +67,30 @@ def test_probabilities_sum_to_one():
         assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_large_and_small_logits_give_the_same_as_a_plain_softmax():
+    rng = np.random.default_rng(6)
+    for scale in (0.3, 300):
+        net = lm.Net(24, rng.normal(0, scale, lm.Net(24).flat.shape).astype(np.float32))
+        states = rng.uniform(-1, 1, (lm.HIDDEN, 3000)).astype(np.float32)
+        ids = rng.integers(0, net.other + 1, 3000)
+        want = np.empty(3000)
+        for i, (state, token) in enumerate(zip(states.T.astype(np.float64), ids.tolist(), strict=True)):
+            kind, word = divmod(token, 24)
+            logits = [(net.c.T @ state + net.cb, kind)] + ([(net.o[kind].T @ state + net.ob[kind], word)] if kind < 24 else [])
+            want[i] = sum(z[own] - z.max() - np.log(np.exp(z - z.max()).sum()) for z, own in logits)
+        assert np.allclose(lm.log_likelihood(net, states, ids), want, rtol=1e-4, atol=1e-3)
+
+
+def test_logits_over_classes_are_held_for_a_bounded_number_of_tokens():
+    net = lm.Net(120)
+    states, ids = np.zeros((lm.HIDDEN, 1 << 16), np.float32), np.random.default_rng(7).integers(0, net.other, 1 << 16)
+    tracemalloc.start()
+    lm.log_likelihood(net, states, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 121 * 4 << 16
+
+
 def test_the_vocabulary_grows_with_the_corpus():
     assert [lm.side_for(v) for v in (0, 1, 24**4, 24**4 + 1, 10**8)] == [24, 24, 24, 25, 100]
 
