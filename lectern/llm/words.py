@@ -100,7 +100,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def find_words(column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
     """Words of all texts; ``lower`` lower-cases A-Z first, ``separator`` says which bytes part words."""
     raw, offsets = text_bytes(column)
-    data = LOWER[raw] if lower else raw
+    data = np.frombuffer(raw.tobytes().translate(LOWER.tobytes()), np.uint8) if lower else raw
     inside = ~separator[data]
     if not len(data):
         none = np.zeros(0, np.int64)
