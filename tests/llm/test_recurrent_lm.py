@@ -171,3 +171,64 @@ def test_small_batches_are_gathered_whole_and_in_order():
     assert [(r["row"], r["text"]) for b in found for r in b.to_pylist()] == list(enumerate(texts))
     assert 1 < len(found) < len(texts) and all(b.num_rows == 1 or b.column("text").nbytes <= 120 for b in found)
     assert list(gathered([], "text", 120)) == []
+
+
+def test_classes_of_unlike_sizes_are_grouped_whole_and_give_the_gradient():
+    rng = np.random.default_rng(9)
+    net = lm.Net(24, rng.normal(0, 0.4, lm.Net(24).flat.shape).astype(np.float32))
+    ids = np.where(rng.random(4000) < 0.4, rng.integers(0, 24, 4000), (rng.zipf(1.5, 4000) * 7) % (net.other + 1))
+    order, n, classes = lm._by_class(net, np.append(ids, [-1, -1]))
+    assert n == 4000 and sorted(order[n:].tolist()) == [4000, 4001]
+    groups = list(lm._groups(classes))
+    assert len(groups) < len(classes) / 2
+    taken = sorted(np.concatenate([at[real] for _, at, real in groups]).tolist())
+    assert taken == list(range(int((ids < net.other).sum())))
+    lanes = lm.lay_out(ids, np.arange(0, 4001, 100), 40, net.start)
+    loss, grad, h, _ = lm.gradient(net, lanes, 0, 100, np.zeros((lm.HIDDEN, 40), np.float32))
+    states = lm.recur(net, lanes.source, np.zeros((lm.HIDDEN, 40), np.float32))
+    assert np.array_equal(h, states[:, -1])
+    flat, tokens = states.reshape(lm.HIDDEN, -1), lanes.target.ravel()
+    assert abs(loss + lm.log_likelihood(net, flat, tokens).astype(np.float64).sum()) < 1e-3 * loss
+    want = np.zeros((24, 24))
+    for k in range(24):
+        own = tokens // 24 == k
+        logits = flat[:, own].T @ net.o[k] + net.ob[k]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        want[k] = (p / p.sum(1, keepdims=True)).sum(0) - np.bincount(tokens[own] % 24, minlength=24)
+    assert np.allclose(lm.Net(24, grad).ob, want / 4000, atol=1e-5)
+
+
+def test_steps_equal_the_usual_means_of_gradients_and_squares():
+    rng = np.random.default_rng(10)
+    net = lm.Net(24)
+    adam, want = lm.Adam(net, 0.01), net.flat.astype(np.float64)
+    first = second = np.zeros_like(want)
+    for step in range(1, 6):
+        grad = rng.normal(0, 10.0 ** rng.integers(-6, 0), len(want)).astype(np.float32)
+        adam.update(grad, 0.7)
+        grad = grad.astype(np.float64) / max(1, np.sqrt((grad.astype(np.float64) ** 2).sum()))
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        want = want - 0.01 * 0.7 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+    assert np.allclose(net.flat, want, atol=2e-5)
+
+
+def test_documents_of_several_chunks_are_scored_side_by_side(monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(200, 3)[:205])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([False] * len(rows)), pa.array([t for _, t in rows], pa.string())],
+        names=["doc_id", "row", "held_out", "text"],
+    )
+    none = np.zeros(0, np.int64)
+    vocabulary = lm.Vocabulary(none.astype(np.uint64), none, none.astype(np.int32), 24, np.zeros(1 << lm.PREFIX, np.int32))
+    flat, calls, found = lm.Net(24).flat, [], {}
+    plain = lm.score_on
+    monkeypatch.setattr(lm, "score_on", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1000)
+    for scored in (1 << 22, 1, 900):
+        monkeypatch.setattr(lm, "SCORED", scored, raising=False)
+        out = list(lm._scorer(flat, vocabulary)([batch]))
+        assert len(out) > 5 and [i for b in out for i in b.column("doc_id").to_pylist()] == [i for i, _ in rows]
+        found[scored] = np.concatenate([b.column("net_log").to_numpy() for b in out])
+        if scored == 1 << 22:
+            assert len(calls) == 1
+    assert np.allclose(found[1], found[900], rtol=1e-4) and np.allclose(found[1], found[1 << 22], rtol=1e-4)
