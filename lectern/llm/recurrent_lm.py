@@ -132,7 +132,9 @@ class Scratch:
 # of the time of tanh. Weights are multiplied instead of sums, which is exact. An infinite exponential gives the limit.
 SIGNS = np.array([-1, -1, 2], np.float32)[:, None, None]
 # Arrays, as numbers would be converted again in every step.
-ONE, MINUS_TWO = np.array(1, np.float32), np.array(-2, np.float32)
+ONE, HALF, MINUS_TWO = (np.array(x, np.float32) for x in (1, 0.5, -2))
+# States whose gradients are computed at once, so that they stay near the processor.
+NEAR = 1024
 
 
 def _by_gate(table: np.ndarray) -> np.ndarray:
@@ -156,10 +158,13 @@ def _read(net: Net, source: np.ndarray, h: np.ndarray, scratch: Scratch, every:
     """
     steps, lanes = source.shape
     fresh = source == net.start
-    x, u = _by_gate(net.x) * SIGNS, _by_gate(net.u) * SIGNS
+    u = _by_gate(net.u) * SIGNS
     inputs = scratch.get("inputs", 3, steps, lanes, HIDDEN)
-    for gate in range(3):
-        np.take(x[gate], source, axis=0, out=inputs[gate], mode="clip")
+    if source.size < len(net.x):
+        np.multiply(_by_gate(net.x.take(source.ravel(), axis=0)), SIGNS, inputs.reshape(3, -1, HIDDEN))
+    else:
+        for table, sign, own in zip(_by_gate(net.x), SIGNS, inputs, strict=True):
+            np.take(table * sign, source, axis=0, out=own, mode="clip")
     kept = steps if every else 1
     states = scratch.get("states", steps, lanes, HIDDEN)
     gates, news = scratch.get("gates", kept, 3, lanes, HIDDEN), scratch.get("n", kept, lanes, HIDDEN)
@@ -199,46 +204,50 @@ def unwind(net: Net, grad: Net, source: np.ndarray, h: np.ndarray, read: Read, o
     ``outer`` has the gradient of each state by step, lane and unit; the gradients that come through later steps are added to it.
     """
     steps, lanes = source.shape
-    z, r, g = read.gates
-    n = read.n
     fresh = source == net.start
-    before = scratch.get("before", steps, lanes, HIDDEN)
-    before[0], before[1:] = h.T, read.states[:-1]
-    before[fresh] = 0
-    # A gate's gradient is that of the state times these.
-    to_gates = scratch.get("to_gates", steps, 3, lanes, HIDDEN)
-    to_z, to_r, to_g = to_gates.swapaxes(0, 1)
-    to_pre, rest = scratch.get("to_pre", steps, lanes, HIDDEN), scratch.get("rest", steps, lanes, HIDDEN)
-    np.subtract(ONE, z, rest)
-    np.multiply(n, n, to_pre)
-    np.subtract(ONE, to_pre, to_pre)
-    to_pre *= rest
-    np.subtract(before, n, to_z)
-    to_z *= z
-    to_z *= rest
-    np.multiply(to_pre, r, to_g)
-    np.subtract(ONE, r, rest)
-    np.multiply(to_g, rest, to_r)
-    to_r *= g
-    to_r *= 0.5
-    gates = scratch.get("gate_gradients", steps, 3, lanes, HIDDEN)
+    begins = fresh.any(1).tolist()
+    block = max(1, min(steps, NEAR // lanes))
+    # The gradients of the gates and of the new state before its tanh are that of the state times these.
+    factors, gates = scratch.get("factors", 4, block, lanes, HIDDEN), scratch.get("gate_gradients", block, 3, lanes, HIDDEN)
+    before, rest = scratch.get("before", block, lanes, HIDDEN), scratch.get("rest", block, lanes, HIDDEN)
+    flat = scratch.get("flat_gates", steps, lanes, 3, HIDDEN)
     back = np.ascontiguousarray(_by_gate(net.u).transpose(0, 2, 1))
     parts = scratch.get("parts", 4, lanes, HIDDEN)
     through, kept = parts[:3], parts[3]
-    dh, begins = np.zeros((lanes, HIDDEN), np.float32), fresh.any(1).tolist()
-    for t in range(steps - 1, -1, -1):
-        total, gate = outer[t], gates[t]
-        np.add(total, dh, total)
-        np.multiply(total, to_gates[t], gate)
-        np.multiply(total, z[t], kept)
-        np.matmul(gate, back, out=through)
-        np.add.reduce(parts, axis=0, out=dh)
-        if begins[t]:
-            dh *= ~fresh[t][:, None]
-    flat = scratch.get("flat_gates", steps, lanes, 3, HIDDEN)
-    flat[:] = gates.swapaxes(1, 2)
-    np.matmul(before.reshape(-1, HIDDEN).T, flat.reshape(-1, 3 * HIDDEN), out=grad.u)
-    np.multiply(outer, to_pre, flat[:, :, 2])
+    dh = np.zeros((lanes, HIDDEN), np.float32)
+    for low in reversed(range(0, steps, block)):
+        high = min(low + block, steps)
+        z, r, g = read.gates[:, low:high]
+        n, own = read.n[low:high], flat[low:high]
+        was, other = before[: high - low], rest[: high - low]
+        to_z, to_r, to_g, to_pre = to_gates = factors[:, : high - low]
+        was[0] = read.states[low - 1] if low else h.T
+        was[1:] = read.states[low : high - 1]
+        was[fresh[low:high]] = 0
+        np.subtract(ONE, z, other)
+        np.multiply(n, n, to_pre)
+        np.subtract(ONE, to_pre, to_pre)
+        to_pre *= other
+        np.subtract(was, n, to_z)
+        to_z *= z
+        to_z *= other
+        np.multiply(to_pre, r, to_g)
+        np.subtract(ONE, r, other)
+        np.multiply(to_g, other, to_r)
+        to_r *= g
+        to_r *= HALF
+        for t in range(high - 1, low - 1, -1):
+            total, gate = outer[t], gates[t - low]
+            np.add(total, dh, total)
+            np.multiply(total, to_gates[:3, t - low], gate)
+            np.multiply(total, z[t - low], kept)
+            np.matmul(gate, back, out=through)
+            np.add.reduce(parts, axis=0, out=dh)
+            if begins[t]:
+                dh *= ~fresh[t][:, None]
+        own[:] = gates[: high - low].swapaxes(1, 2)
+        grad.u += was.reshape(-1, HIDDEN).T @ own.reshape(-1, 3 * HIDDEN)
+        np.multiply(outer[low:high], to_pre, own[:, :, 2])
     ids = source.ravel()
     order = np.argsort(ids.astype(np.min_scalar_type(net.start)), kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
@@ -292,7 +301,7 @@ def _by_class(net: Net, tokens: np.ndarray) -> tuple[np.ndarray, int, list[tuple
 
 
 # Classes join a group while they have this share of the tokens of its largest one, or few.
-ALIKE, FEW = 0.6, 8
+ALIKE, FEW = 0.5, 16
 
 
 def _groups(classes: list[tuple[int, slice]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -386,39 +395,32 @@ def gradient(net: Net, lanes: Lanes, low: int, high: int, h: np.ndarray, scratch
     return loss, grad.flat, read.states[-1].T.copy(), len(tokens)
 
 
-# Parameters that are updated at once, so that they stay near the processor.
-PARAMETERS = 1 << 14
-
-
 class Adam:
     """The sums of gradients and of their squares are ten and a hundred times the usual means, which saves passes over them."""
 
     def __init__(self, net: Net, rate: float):
         self.net, self.rate, self.step = net, rate, 0
-        self.first, self.second = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.first, self.second, self.change = np.zeros_like(net.flat), np.zeros_like(net.flat), np.empty_like(net.flat)
 
     def update(self, grad: np.ndarray, share: float) -> None:
         """A step of the rate times ``share``, the part of a full window that the gradient comes from."""
         norm = float(np.sqrt(grad @ grad))
+        if norm > 1:
+            grad = grad / norm
         self.step += 1
+        change = self.change
+        self.first *= 0.9
+        self.first += grad
+        self.second *= 0.99
+        np.multiply(grad, grad, change)
+        self.second += change
         # 0.1 first / (sqrt(0.01 second) unbias + 1e-6), the fraction divided by 0.1 unbias
         unbias = 1 / np.sqrt(1 - 0.99**self.step)
-        rate = self.rate * share / unbias / (1 - 0.9**self.step)
-        for low in range(0, len(grad), PARAMETERS):
-            at = slice(low, low + PARAMETERS)
-            own, first, second = grad[at], self.first[at], self.second[at]
-            if norm > 1:
-                own = own / norm
-            change = own * own
-            first *= 0.9
-            first += own
-            second *= 0.99
-            second += change
-            np.sqrt(second, change)
-            change += 1e-5 / unbias
-            np.divide(first, change, change)
-            change *= rate
-            self.net.flat[at] -= change
+        np.sqrt(self.second, change)
+        change += 1e-5 / unbias
+        np.divide(self.first, change, change)
+        change *= self.rate * share / unbias / (1 - 0.9**self.step)
+        self.net.flat -= change
 
 
 def train_on(net: Net, adam: Adam, ids: np.ndarray, bounds: np.ndarray) -> tuple[float, int]:
