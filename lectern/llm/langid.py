@@ -23,6 +23,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
 UNKNOWN = "und"
+# Mean probability of the predicted language below which a text counts as not identified: all others together are likelier.
+LEAST_SCORE = 0.5
 # Windows of labelled text that the network is fitted on, shared out among the languages, at most;
 # each language has one at least, however many there are.
 TRAIN_WINDOWS = 12_000
@@ -272,10 +274,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(named, net, ["doc_id", "held_out", "row"]).select("doc_id", "held_out", "lang_pred", "score", "row")
 
 
-def drop_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
+def drop_unidentified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows whose language is identified, with all their columns.
 
-    Rejected are texts that are null or have no letter, and texts whose score lies below ``least_score``.
+    Rejected are texts that are null or have no letter, and texts to which the network gives no language with a
+    mean probability of at least ``least_score`` (noise, and texts that change between languages).
     Where nothing could be learned there are no scores, and only the former are rejected.
     """
     docs = numbered(docs)

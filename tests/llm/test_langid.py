@@ -1,3 +1,4 @@
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from lectern.llm import langid
@@ -95,3 +96,16 @@ def test_nothing_learned_drops_letterless_texts_only(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "none"))
     kept = langid.drop_unidentified(spark.read.parquet(str(tmp_path / "none")), least_score=0.5)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3]
+
+
+def test_the_network_rejects_texts_that_it_gives_no_language(spark, tmp_path):
+    mixed = "foo bar baz qux " * 40 + "über straße grün ñandú " * 28 + "zzz yyy xxx " * 53
+    rows = [(2000 + i, mixed, None, 1, "mixed") for i in range(3)]
+    docs(spark, 90).union(spark.createDataFrame(rows, SCHEMA)).write.parquet(str(tmp_path / "d"))
+    given = spark.read.parquet(str(tmp_path / "d"))
+    scores = [r.score for r in langid.identify(given).filter("doc_id >= 2000").collect()]
+    assert len(scores) == 3 and all(0.3 < s < 0.5 for s in scores)
+    for kept in (langid.drop_unidentified(given), corpus_pipeline.identify_language(spark, given, str(tmp_path))):
+        found = [r.doc_id for r in kept.collect()]
+        assert not {1000, 1001, 1002, 2000, 2001, 2002} & set(found) and len(found) == given.count() - 6
+    assert langid.drop_unidentified(given, least_score=0.0).count() == given.count() - 3
