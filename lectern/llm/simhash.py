@@ -151,7 +151,8 @@ def links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius > 2:
         raise ValueError("cells one step away serve a radius of 2 at most")
-    placed = cells(marks)
+    # Spark takes an exploded table for as large as the one below it, so it would broadcast some fifty rows for each one counted.
+    placed = cells(marks).hint("merge")
     left, right = placed.withColumnRenamed("bits", "a"), placed.withColumnRenamed("bits", "b")
     differing = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return left.join(right, "cell").filter((F.col("a") < F.col("b")) & (differing <= radius)).select("a", "b").distinct()

@@ -112,3 +112,12 @@ def test_empty_table_and_large_radius(spark):
     assert run(spark, []) == []
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "bits long"), 3)
+
+
+def test_cells_are_never_broadcast(spark):
+    marks = written(spark.range(2000).selectExpr("xxhash64(id) AS bits", "id AS least"), "marks")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 2000 * 16
+    found = simhash.links(marks)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
