@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lectern import fixed
 from lectern.session import scratch_path
+from lectern.sources import arrivals
 from lectern.sources.store import stored
 
 # Chosen paths that are sent to the scan of file contents, at most.
@@ -61,6 +62,14 @@ def read_markdown(spark: SparkSession, path: str, glob: str = "*.md", stream: bo
     return _few_tasks(files.select(full.alias("path"), file_name(full).alias("source_file"), F.col("value").alias("text")))
 
 
+def read_arrivals(spark: SparkSession, path: str, checkpoint: str, glob: str = "*.md") -> DataFrame:
+    """The same of new files as a stream, whose position and list of files lie below ``checkpoint``."""
+    found = arrivals.stream(spark, path, glob, checkpoint)
+    if found is None:
+        return read_markdown(spark, path, glob, stream=True)
+    return found.select("path", file_name(F.col("path")).alias("source_file"), "text")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per manifest entry."""
     entries = spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.explode("files").alias("f"))

@@ -64,7 +64,7 @@ def ingest_stream(
 
     ``key`` names a file by an expression over ``path``; by default the file name does.
     """
-    located = corpus.read_markdown(spark, path, glob, stream=True)
+    located = corpus.read_arrivals(spark, path, checkpoint, glob)
     if key is not None:
         located = located.withColumn("source_file", key)
     docs = corpus.derive_path_metadata(located).drop("path").withColumn("aliases", F.array().cast("array<string>"))
