@@ -29,8 +29,8 @@ LIST_ITEMS = 1_000
 MOST_ROOTS, MOST_LISTS, LIST_SAMPLE = 1_024, 1_024, 64
 # Probed lists that are named in a filter on the stored items.
 NAMED_LISTS = 10_000
-# Lists whose centres are sent to every task that looks for probed lists by itself.
-SENT_LISTS = 1 << 16
+# Lists whose centres are sent to every task that looks for probed lists by itself, and scores of centres that are held at once there.
+SENT_LISTS, PROBED_SCORES = 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,18 @@ class ProbedKernel:
                 yield from exact.scored(item_ids[own], x[own], query_ids[asking[low:high]], q[asking[low:high]], k)
 
 
+def _least(costs: np.ndarray, n: int) -> np.ndarray:
+    """Whether each place holds one of the ``n`` least finite costs of its row; equal costs go to the lower column."""
+    if n >= costs.shape[1]:
+        return np.isfinite(costs)
+    cut = np.partition(costs, n - 1, axis=1)[:, n - 1 : n]
+    found, same = costs < cut, (costs == cut) & np.isfinite(cut)
+    spare = n - found.sum(axis=1)
+    for row in np.flatnonzero(same.sum(axis=1) > spare):
+        same[row, np.flatnonzero(same[row])[spare[row] :]] = False
+    return found | same
+
+
 @dataclass(frozen=True)
 class WideKernel:
     """Inner products of items and queries that probe many lists: which, is found in the task from the centres.
@@ -154,12 +166,17 @@ class WideKernel:
 
     def probed(self, q: np.ndarray) -> np.ndarray:
         """Whether each query probes each list; behind the lists comes the list -1, which all probe."""
-        below = np.zeros((len(q), len(self.roots)), bool)
-        np.put_along_axis(below, R._best_lists(q, self.roots, self.best_roots), True, axis=1)
-        scores = np.round(q @ self.centres.T, R.SCORE_DECIMALS) + 0.0
-        rows, cols, _ = R._best(np.where(below[:, self.root_of], scores, -np.inf), self.nprobe)
         found = np.zeros((len(q), len(self.list_ids) + 1), bool)
-        found[rows, cols], found[:, -1] = True, True
+        found[:, -1] = True
+        step = max(1, PROBED_SCORES // max(1, len(self.list_ids)))
+        for at in range(0, len(q), step):
+            part = q[at : at + step]
+            costs = np.round(part @ -self.centres.T, R.SCORE_DECIMALS)
+            if self.best_roots < len(self.roots):
+                below = np.zeros((len(part), len(self.roots)), bool)
+                np.put_along_axis(below, R._best_lists(part, self.roots, self.best_roots), True, axis=1)
+                costs[~below[:, self.root_of]] = np.inf
+            found[at : at + step, :-1] = _least(costs, self.nprobe)
         return found
 
     def __call__(self, items: pa.Table, prepared: tuple, k: int) -> Iterator[tuple]:

@@ -77,3 +77,29 @@ def test_queries_that_probe_many_lists_travel_without_them(spark, index):
     assert not any("Generate" in line and "list_id" in line for line in plan.split("\n"))
     few = two_level.two_level_search(stored, asked, 10, nprobe=n // 2, roots=roots // 2, skip_same_id=True)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_probed_lists_are_found_without_sorting_them(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres, roots, root_of = rng.normal(size=(60, 8)), rng.normal(size=(5, 8)), rng.integers(0, 5, 60)
+    centres[10:30] = centres[40:60]  # equal scores go to the lower list
+    q = np.concatenate([rng.normal(size=(40, 8)), np.zeros((1, 8)), np.full((1, 8), np.nan)])
+    expected = {}
+    for nprobe in (1, 7, 48, 60, 100):
+        for best_roots in (2, 5):
+            below = np.zeros((len(q), 5), bool)
+            np.put_along_axis(below, retrieval._best_lists(q, roots, best_roots), True, axis=1)
+            scores = np.where(below[:, root_of], np.round(q @ centres.T, retrieval.SCORE_DECIMALS), -np.inf)
+            rows, cols, _ = retrieval._best(scores, nprobe)
+            expected[nprobe, best_roots] = np.zeros((len(q), 61), bool)
+            expected[nprobe, best_roots][rows, cols] = expected[nprobe, best_roots][:, -1] = True
+
+    def refused(*args):
+        raise AssertionError("sorts every probed list of every query")
+
+    monkeypatch.setattr(retrieval, "_best", refused)
+    for held in (1, 200, 1 << 20):
+        monkeypatch.setattr(two_level, "PROBED_SCORES", held, raising=False)
+        for (nprobe, best_roots), found in expected.items():
+            kernel = two_level.WideKernel(roots, centres, root_of, np.arange(60), nprobe, best_roots)
+            assert (kernel.probed(q) == found).all(), (held, nprobe, best_roots)
